@@ -39,3 +39,89 @@ ORACLE["p4_poisson_posterior"] = f"""WITH {_poisson_params(['cohort'])},
 {conjugate_summary_ctes('params', ['cohort', 'param'], 'gamma')}
 {final_select(['cohort', 'group_key', 'param', 'n_events', 'exposure', 'alpha', 'beta', 'mean', 'sd',
                'median', 'hdi_3', 'hdi_97'], SUMMARY_DOUBLES, 'cs')}"""
+
+
+# ---------------------------------------------------------------- Bernoulli / bandit
+
+def _bern_params(view: str, src: str) -> str:
+    return f"""{view},
+st AS (SELECT CAST(sum(CASE WHEN outcome IS NOT NULL THEN CAST(outcome AS BIGINT) ELSE 0 END) AS BIGINT) AS successes,
+              count(CAST(outcome AS BIGINT)) AS trials,
+              CAST(sum(CASE WHEN outcome IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped FROM {src}),
+params AS (SELECT *, 'p' AS param, {d(1)} + successes AS alpha, {d(1)} + (trials - successes) AS beta FROM st)"""
+
+
+_BERN_COLS = ['param', 'successes', 'trials', 'n_dropped', 'alpha', 'beta', 'mean', 'sd', 'median',
+              'hdi_3', 'hdi_97']
+LB = "lb AS (SELECT CAST(NULL AS TIMESTAMP) AS timestamp, quality = 1 AS outcome FROM labels)"
+
+ORACLE["p1_bernoulli_posterior"] = f"""WITH {_bern_params(BE, 'be')},
+{conjugate_summary_ctes('params', ['param'], 'beta')}
+{final_select(_BERN_COLS, SUMMARY_DOUBLES, 'cs')}"""
+
+ORACLE["p1_bernoulli_labels_posterior"] = f"""WITH {_bern_params(LB, 'lb')},
+{conjugate_summary_ctes('params', ['param'], 'beta')}
+{final_select(_BERN_COLS, SUMMARY_DOUBLES, 'cs')}"""
+
+BANDIT_PARAMS = f"""{MAB},
+hist AS (SELECT arm, reward, count(*) AS cnt FROM mab WHERE arm IS NOT NULL AND reward IS NOT NULL
+         GROUP BY arm, reward),
+hm AS (SELECT *, max(CASE WHEN reward > 0 THEN reward END) OVER (PARTITION BY arm) AS magnitude FROM hist),
+bs AS (SELECT arm, CAST(sum(cnt) AS BIGINT) AS pulls, any_value(magnitude) AS magnitude,
+       CAST(sum(CASE WHEN coalesce(reward = magnitude, false) THEN cnt ELSE 0 END) AS BIGINT) AS successes
+       FROM hm GROUP BY arm),
+bp AS (SELECT *, pulls - successes AS failures, {d(1)} + successes AS alpha,
+       {d(1)} + (pulls - successes) AS beta FROM bs),
+params AS (SELECT *, alpha / (alpha + beta) AS est_prob, alpha / (alpha + beta) * magnitude AS expected_reward,
+           'p' AS param FROM bp)"""
+
+_BANDIT_DOUBLES = ["magnitude", "alpha", "beta", "est_prob", "expected_reward", "mean", "sd", "median",
+                   "hdi_3", "hdi_97", "prob_best"]
+
+ORACLE["p3_bandit_posterior"] = f"""WITH {BANDIT_PARAMS},
+{conjugate_summary_ctes('params', ['arm', 'param'], 'beta')}
+{final_select(['arm', 'pulls', 'successes', 'failures', 'magnitude', 'alpha', 'beta', 'est_prob',
+               'expected_reward', 'mean', 'sd', 'median', 'hdi_3', 'hdi_97'], _BANDIT_DOUBLES, 'cs')}"""
+
+
+def _prob_best_ctes(lattice: int = 4000) -> str:
+    from bayes_ops.sqlcheck import family_sql, grid_ctes
+    f = family_sql("beta")
+    logp = f["logp"]
+    return f"""pay AS (SELECT *, magnitude * {f['lo']} AS v_lo, magnitude * {f['hi']} AS v_hi
+        FROM params WHERE magnitude IS NOT NULL AND magnitude > 0),
+pay2 AS (SELECT *, max(v_lo) OVER () AS L, max(v_hi) OVER () AS U FROM pay),
+{grid_ctes('pay2', ['arm'], f['lo'], f['hi'], logp, name='pg')},
+pa AS (SELECT arm, any_value(alpha) AS alpha, any_value(beta) AS beta, any_value(magnitude) AS magnitude,
+       any_value(L) AS L, any_value(U) AS U, any_value(g_max) AS g_max, any_value(g_z) AS g_z,
+       any_value(g_dx) AS g_dx,
+       sum(w * least(greatest(((L / magnitude) - (g_lo + i * g_dx)) / g_dx, {d(0)}), {d(1)})) AS F_L
+       FROM pg3 GROUP BY arm),
+lat0 AS (SELECT pa.*, (U - L) / {lattice} AS dv, r.range AS k FROM pa CROSS JOIN range({lattice}) r),
+lat1 AS (SELECT *, L + (k + 0.5) * dv AS v, (L + (k + 0.5) * dv) / magnitude AS pv FROM lat0),
+lat2 AS (SELECT *, CASE WHEN pv < 1 THEN exp({logp('pv')} - g_max) / (g_z * g_dx * magnitude) ELSE {d(0)} END
+         * dv AS c FROM lat1),
+lat3 AS (SELECT *, least({d(1)}, F_L + sum(c) OVER (PARTITION BY arm ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
+         AND CURRENT ROW) - c / 2) AS Fv FROM lat2),
+lat4 AS (SELECT *, ln(greatest(Fv, 1e-300)) AS logF FROM lat3),
+tot AS (SELECT k, sum(logF) AS sum_logF FROM lat4 GROUP BY k),
+raw AS (SELECT a.arm, sum(a.c * exp(t.sum_logF - a.logF)) AS raw FROM lat4 a JOIN tot t ON a.k = t.k GROUP BY a.arm),
+nrm AS (SELECT arm, raw / sum(raw) OVER () AS prob_best FROM raw),
+pb0 AS (SELECT p.arm, p.magnitude, n.prob_best FROM params p LEFT JOIN nrm n ON p.arm = n.arm),
+pb AS (SELECT arm, coalesce(prob_best, CASE WHEN max(CASE WHEN magnitude > 0 THEN 1 ELSE 0 END) OVER () = 0
+        AND arm = min(arm) OVER () THEN {d(1)} ELSE {d(0)} END) AS prob_best FROM pb0)"""
+
+
+_PB_COLS = ['arm', 'pulls', 'successes', 'failures', 'magnitude', 'alpha', 'beta', 'est_prob',
+            'expected_reward', 'prob_best']
+
+ORACLE["c3_bandit_prob_best"] = f"""WITH {BANDIT_PARAMS},
+{_prob_best_ctes()},
+res AS (SELECT p.*, pb.prob_best FROM params p LEFT JOIN pb ON p.arm = pb.arm)
+{final_select(_PB_COLS, _BANDIT_DOUBLES, 'res')}"""
+
+ORACLE["c6_next_arm"] = f"""WITH {BANDIT_PARAMS},
+{_prob_best_ctes()},
+res AS (SELECT p.*, pb.prob_best FROM params p LEFT JOIN pb ON p.arm = pb.arm),
+rk AS (SELECT *, row_number() OVER (ORDER BY prob_best DESC, arm) AS rnk FROM res WHERE true)
+{final_select(_PB_COLS, _BANDIT_DOUBLES, 'rk WHERE rnk = 1')}"""

@@ -49,3 +49,40 @@ def p4_poisson_posterior(spark, sf_dir):
     from bayes_ops.plans.poisson import poisson_posterior
     ev = AD.poisson_from_events(spark, sf_dir)
     return poisson_posterior(ev, EVENTS_START, EVENTS_END, group_by=["cohort"])
+
+
+# ---------------------------------------------------------------- Bernoulli / bandit
+
+@query("p1_bernoulli_posterior")
+def p1_bernoulli_posterior(spark, sf_dir):
+    """Beta posterior of the purchase probability of an event."""
+    from bayes_ops.plans.bernoulli import bernoulli_posterior
+    return bernoulli_posterior(AD.bernoulli_from_events(spark, sf_dir))
+
+
+@query("p1_bernoulli_labels_posterior")
+def p1_bernoulli_labels_posterior(spark, sf_dir):
+    """Beta posterior of labels.quality = 1 (P1 on a second table)."""
+    from bayes_ops.plans.bernoulli import bernoulli_posterior
+    return bernoulli_posterior(AD.bernoulli_from_labels(spark, sf_dir))
+
+
+@query("p3_bandit_posterior")
+def p3_bandit_posterior(spark, sf_dir):
+    """Per-arm Beta posterior, magnitude, est_prob, expected_reward."""
+    from bayes_ops.plans.bandit import bandit_posterior
+    return bandit_posterior(AD.bandit_from_lineitem(spark, sf_dir))
+
+
+@query("c3_bandit_prob_best")
+def c3_bandit_prob_best(spark, sf_dir):
+    """Exact probability that each arm has the highest expected reward."""
+    from bayes_ops.plans.bandit import bandit_with_prob_best
+    return bandit_with_prob_best(AD.bandit_from_lineitem(spark, sf_dir))
+
+
+@query("c6_next_arm")
+def c6_next_arm(spark, sf_dir):
+    """Recommended next arm: top prob_best, ties to the first arm."""
+    from bayes_ops.plans.bandit import next_arm
+    return next_arm(AD.bandit_from_lineitem(spark, sf_dir))

@@ -125,3 +125,59 @@ ORACLE["c6_next_arm"] = f"""WITH {BANDIT_PARAMS},
 res AS (SELECT p.*, pb.prob_best FROM params p LEFT JOIN pb ON p.arm = pb.arm),
 rk AS (SELECT *, row_number() OVER (ORDER BY prob_best DESC, arm) AS rnk FROM res WHERE true)
 {final_select(_PB_COLS, _BANDIT_DOUBLES, 'rk WHERE rnk = 1')}"""
+
+
+# ---------------------------------------------------------------- hazard
+
+NB = 10
+_FR = ", ".join(repr(k / NB) for k in range(1, NB))
+_LINSPACE = ", ".join(f"coalesce(max_t, {d(1)}) * {k} / {NB}" for k in range(1, NB))
+HAZ_BOUNDS = f"""{SURV},
+sv AS (SELECT * FROM surv WHERE duration IS NOT NULL AND observed IS NOT NULL),
+bnd AS (SELECT CAST(sum(CASE WHEN observed THEN 1 ELSE 0 END) AS BIGINT) AS failures, max(duration) AS max_t,
+        quantile_cont(duration, [{_FR}]) FILTER (WHERE observed) AS pct FROM sv),
+b2 AS (SELECT *, CASE WHEN failures < {NB} THEN [{_LINSPACE}] ELSE pct END AS b FROM bnd)"""
+
+_IDX = " + ".join(f"(CASE WHEN duration > b[{k}] THEN 1 ELSE 0 END)" for k in range(1, NB))
+HAZ_STATS = f"""{HAZ_BOUNDS},
+ix AS (SELECT duration, observed, b, {_IDX} AS j FROM sv, b2),
+ix2 AS (SELECT *, CASE WHEN j = 0 THEN {d(0)} ELSE b[j] END AS e_j FROM ix),
+per AS (SELECT j, count(*) AS n_rows, CAST(sum(CASE WHEN observed THEN 1 ELSE 0 END) AS BIGINT) AS events,
+        sum(duration - e_j) AS partial_time FROM ix2 GROUP BY j),
+ints AS (SELECT CAST(r.range AS INTEGER) AS j, b, max_t FROM range({NB}) r, b2),
+ints2 AS (SELECT j, b, max_t, CASE WHEN j = 0 THEN {d(0)} ELSE b[j] END AS lower,
+          CASE WHEN j = {NB - 1} THEN {d(0)} WHEN j = 0 THEN b[1] ELSE b[j + 1] - b[j] END AS length FROM ints),
+hs AS (SELECT i.j, i.b, i.max_t, lower, length, coalesce(n_rows, 0) AS n_rows, coalesce(events, 0) AS events,
+       coalesce(partial_time, {d(0)}) AS partial_time FROM ints2 i LEFT JOIN per p ON i.j = p.j),
+hs2 AS (SELECT *, CAST(coalesce(sum(n_rows) OVER (ORDER BY j DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        AS BIGINT) AS n_beyond FROM hs),
+hs3 AS (SELECT *, partial_time + length * n_beyond AS exposure FROM hs2)"""
+
+ORACLE["a9_hazard_boundaries"] = f"""WITH {HAZ_BOUNDS},
+ex AS (SELECT failures, max_t, CAST(unnest(range(0, {NB - 1})) AS INTEGER) AS k, unnest(pct) AS boundary FROM bnd)
+{final_select(['failures', 'max_t', 'k', 'boundary'], ['max_t', 'boundary'], 'ex')}"""
+
+ORACLE["a8_hazard_suffstats"] = f"""WITH {HAZ_STATS}
+{final_select(['j', 'lower', 'length', 'n_rows', 'events', 'n_beyond', 'exposure'],
+              ['lower', 'length', 'exposure'], 'hs3')}"""
+
+HAZ_POST = f"""{HAZ_STATS},
+params AS (SELECT *, 'lambda' AS param, {d(1)} + events AS alpha, {d(1)} + exposure AS beta FROM hs3),
+{conjugate_summary_ctes('params', ['j', 'param'], 'gamma')},
+hp AS (SELECT *, CASE WHEN j < {NB - 1} THEN b[j + 1]
+        ELSE coalesce(greatest(max_t, list_max(b)), {d(1)}) END AS upper FROM cs),
+hp2 AS (SELECT *, (lower + upper) / 2 AS mid FROM hp)"""
+
+ORACLE["p6_hazard_posterior"] = f"""WITH {HAZ_POST}
+{final_select(['j', 'param', 'lower', 'upper', 'mid', 'n_rows', 'events', 'exposure', 'alpha', 'beta', 'mean',
+               'sd', 'median', 'hdi_3', 'hdi_97'],
+              ['lower', 'upper', 'mid', 'exposure'] + SUMMARY_DOUBLES, 'hp2')}"""
+
+ORACLE["p9_hazard_loglik"] = f"""WITH {HAZ_POST},
+lam AS (SELECT j, mean AS lam, length, lower,
+        coalesce(sum(mean * length) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {d(0)})
+        AS H_before FROM hp2),
+ll AS (SELECT x.j, CAST(x.observed AS DOUBLE) * ln(l.lam) - (l.H_before + l.lam * (x.duration - l.lower)) AS loglik
+       FROM ix x JOIN lam l ON x.j = l.j),
+agg AS (SELECT CAST(j AS INTEGER) AS j, count(*) AS n_rows, sum(loglik) AS loglik FROM ll GROUP BY j)
+{final_select(['j', 'n_rows', 'loglik'], ['loglik'], 'agg')}"""

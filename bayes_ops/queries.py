@@ -86,3 +86,41 @@ def c6_next_arm(spark, sf_dir):
     """Recommended next arm: top prob_best, ties to the first arm."""
     from bayes_ops.plans.bandit import next_arm
     return next_arm(AD.bandit_from_lineitem(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- hazard
+
+@query("a9_hazard_boundaries")
+def a9_hazard_boundaries(spark, sf_dir):
+    """Failures, max duration and inner-percentile boundaries."""
+    from bayes_ops.plans.hazard import boundaries_frame
+    b = boundaries_frame(AD.survival_from_lineitem(spark, sf_dir), 10)
+    return b.select("failures", "max_t", F.posexplode("pct").alias("k", "boundary"))
+
+
+@query("a8_hazard_suffstats")
+def a8_hazard_suffstats(spark, sf_dir):
+    """Per-interval events and time at risk."""
+    from bayes_ops.plans.hazard import compute_boundaries, interval_stats
+    df = AD.survival_from_lineitem(spark, sf_dir)
+    bounds, _ = compute_boundaries(df, 10)
+    return interval_stats(df, bounds).select("j", "lower", "length", "n_rows", "events", "n_beyond", "exposure")
+
+
+@query("p6_hazard_posterior")
+def p6_hazard_posterior(spark, sf_dir):
+    """Gamma posterior of each piecewise hazard rate with band edges."""
+    from bayes_ops.plans.hazard import hazard_posterior
+    return hazard_posterior(AD.survival_from_lineitem(spark, sf_dir), 10)
+
+
+@query("p9_hazard_loglik")
+def p9_hazard_loglik(spark, sf_dir):
+    """Piecewise-exponential log-likelihood at the posterior-mean rates,
+    summed per interval (P9, N1)."""
+    from bayes_ops.plans.hazard import compute_boundaries, hazard_posterior, subject_loglik
+    df = AD.survival_from_lineitem(spark, sf_dir)
+    bounds, _ = compute_boundaries(df, 10)
+    lam = hazard_posterior(df, 10).select("j", F.col("mean").alias("lam"))
+    ll = subject_loglik(df, bounds, lam)
+    return ll.groupBy("j").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("loglik").alias("loglik"))

@@ -57,6 +57,18 @@ def grid_posterior(params: DataFrame, keys: Sequence[str], lo: Column, hi: Colum
     return g
 
 
+def weights_windows(g: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add cdf (by cell index) and hmass (by density) to rows holding
+    normalised weights ``w`` and cell index ``i``."""
+    keys = _keys(keys)
+    running = Window.partitionBy(*keys).orderBy("i").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    by_density = Window.partitionBy(*keys).orderBy(F.col("w").desc(), F.col("i")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return (g.withColumn("cdf", F.sum("w").over(running))
+             .withColumn("hmass", F.sum("w").over(by_density)))
+
+
 def grid_summary_aggs(with_moments: bool = False) -> list[Column]:
     """Aggregates over grid rows: median, hdi_3, hdi_97 (+ grid mean/sd)."""
     cdf, w, i, lo, dx = (F.col(c) for c in ("cdf", "w", "i", "g_lo", "g_dx"))

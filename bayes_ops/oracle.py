@@ -181,3 +181,19 @@ ll AS (SELECT x.j, CAST(x.observed AS DOUBLE) * ln(l.lam) - (l.H_before + l.lam
        FROM ix x JOIN lam l ON x.j = l.j),
 agg AS (SELECT CAST(j AS INTEGER) AS j, count(*) AS n_rows, sum(loglik) AS loglik FROM ll GROUP BY j)
 {final_select(['j', 'n_rows', 'loglik'], ['loglik'], 'agg')}"""
+
+
+# ---------------------------------------------------------------- Weibull
+
+_WB_ALPHAS = [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0]
+_WB_SUMS = ", ".join(f"sum(pow(duration / {d(50)}, {d(a)})) AS s{k}" for k, a in enumerate(_WB_ALPHAS))
+_WB_LONG = " UNION ALL ".join(
+    f"SELECT n, r, sum_log_t_obs, CAST({k} AS INTEGER) AS k, {d(a)} AS alpha, s{k} AS s FROM one"
+    for k, a in enumerate(_WB_ALPHAS))
+
+ORACLE["a7_weibull_suffstats"] = f"""WITH {SURV},
+sv AS (SELECT * FROM surv WHERE duration IS NOT NULL AND observed IS NOT NULL),
+one AS (SELECT count(*) AS n, CAST(sum(CASE WHEN observed THEN 1 ELSE 0 END) AS BIGINT) AS r,
+        sum(CASE WHEN observed THEN ln(duration) END) AS sum_log_t_obs, {_WB_SUMS} FROM sv),
+lng AS ({_WB_LONG})
+{final_select(['n', 'r', 'sum_log_t_obs', 'k', 'alpha', 's'], ['sum_log_t_obs', 'alpha', 's'], 'lng')}"""

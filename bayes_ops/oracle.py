@@ -197,3 +197,14 @@ one AS (SELECT count(*) AS n, CAST(sum(CASE WHEN observed THEN 1 ELSE 0 END) AS
         sum(CASE WHEN observed THEN ln(duration) END) AS sum_log_t_obs, {_WB_SUMS} FROM sv),
 lng AS ({_WB_LONG})
 {final_select(['n', 'r', 'sum_log_t_obs', 'k', 'alpha', 's'], ['sum_log_t_obs', 'alpha', 's'], 'lng')}"""
+
+
+# ---------------------------------------------------------------- A/B
+
+ORACLE["a2_ab_suffstats"] = f"""WITH {AB},
+st AS (SELECT variant,
+       CAST(sum(CASE WHEN outcome IS NOT NULL THEN CAST(outcome AS BIGINT) ELSE 0 END) AS BIGINT) AS successes,
+       count(CAST(outcome AS BIGINT)) AS trials,
+       CAST(sum(CASE WHEN outcome IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped
+       FROM ab GROUP BY variant)
+SELECT variant, successes, trials, n_dropped, trials - successes AS failures FROM st WHERE variant IS NOT NULL"""

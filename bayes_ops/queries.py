@@ -155,3 +155,19 @@ def p5_weibull_posterior(spark, sf_dir):
     """Weibull (alpha, beta) posterior by adaptive grid quadrature (P5)."""
     from bayes_ops.plans.weibull import weibull_posterior
     return weibull_posterior(AD.survival_from_lineitem(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- A/B
+
+@query("a2_ab_suffstats")
+def a2_ab_suffstats(spark, sf_dir):
+    """Successes, trials, failures per variant (A2, V9)."""
+    from bayes_ops.operators.suffstats import ab_stats
+    return ab_stats(AD.ab_from_orders(spark, sf_dir))
+
+
+@query("p2_ab_posterior")
+def p2_ab_posterior(spark, sf_dir):
+    """Hierarchical Beta-Bernoulli posterior of each variant's rate."""
+    from bayes_ops.plans.ab import ab_posterior
+    return ab_posterior(AD.ab_from_orders(spark, sf_dir))

@@ -208,3 +208,88 @@ st AS (SELECT variant,
        CAST(sum(CASE WHEN outcome IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped
        FROM ab GROUP BY variant)
 SELECT variant, successes, trials, n_dropped, trials - successes AS failures FROM st WHERE variant IS NOT NULL"""
+
+
+# ---------------------------------------------------------------- draws and decisions
+
+SEED = 20240101
+HDI_P = 0.94
+TWO52 = "4503599627370496.0"
+
+
+def _uniform(seed: int, label: str, idx: str) -> str:
+    return (f"((CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {label}, CAST({idx} AS VARCHAR))), 1, 13)) "
+            f"AS BIGINT) + 0.5) / {TWO52})")
+
+
+def _draw_ctes(params: str, keys: list[str], family: str, n: int, label: str, name: str = "dw") -> str:
+    from bayes_ops.sqlcheck import family_sql, grid_ctes
+    f = family_sql(family)
+    ks = ", ".join(keys)
+    on = " AND ".join(f"d.{k} IS NOT DISTINCT FROM g.{k}" for k in keys)
+    return f"""{grid_ctes(params, keys, f['lo'], f['hi'], f['logp'], name=name + 'g')},
+{name}_c AS (SELECT {ks}, cdf - w AS c_prev, w AS c_w, g_lo + i * g_dx AS c_lo, g_dx AS c_dx FROM {name}g3),
+{name}_u AS (SELECT {ks}, r.range AS draw_id, {_uniform(SEED, label, 'r.range')} AS u
+             FROM {params} CROSS JOIN range({n}) r),
+{name} AS (SELECT {', '.join('d.' + k for k in keys)}, d.draw_id, d.u,
+           g.c_lo + least(greatest((d.u - g.c_prev) / g.c_w, {d(0)}), {d(1)}) * g.c_dx AS value
+           FROM {name}_u d ASOF JOIN {name}_c g ON {on} AND d.u >= g.c_prev)"""
+
+
+ORACLE["c4_bandit_draws"] = f"""WITH {BANDIT_PARAMS},
+{_draw_ctes('params', ['arm', 'magnitude'], 'beta', 1000, 'arm')},
+res AS (SELECT arm, draw_id, value AS est_prob, value * magnitude AS expected_reward FROM dw)
+{final_select(['arm', 'draw_id', 'est_prob', 'expected_reward'], ['est_prob', 'expected_reward'], 'res')}"""
+
+ORACLE["c2_thompson_prob_best"] = f"""WITH {BANDIT_PARAMS},
+{_draw_ctes('params', ['arm', 'magnitude'], 'beta', 10000, 'arm')},
+rw AS (SELECT arm, draw_id, value * coalesce(magnitude, {d(0)}) AS reward FROM dw),
+best AS (SELECT draw_id, arg_min(arm, struct_pack(nr := -reward, arm := arm)) AS arm FROM rw GROUP BY draw_id),
+cnt AS (SELECT arm, count(*) / {d(10000)} AS prob_best FROM best GROUP BY arm),
+res AS (SELECT p.arm, coalesce(c.prob_best, {d(0)}) AS prob_best FROM params p LEFT JOIN cnt c ON p.arm = c.arm)
+{final_select(['arm', 'prob_best'], ['prob_best'], 'res')}"""
+
+POISSON_DRAWS = f"""{_poisson_params(['cohort'])},
+{_draw_ctes('params', ['cohort'], 'gamma', 5000, 'cohort')}"""
+
+ORACLE["c5_poisson_draws"] = f"""WITH {POISSON_DRAWS}
+{final_select(['cohort', 'draw_id', 'value'], ['value'], 'dw')}"""
+
+ORACLE["n4_hdi_from_draws"] = f"""WITH {POISSON_DRAWS},
+rv AS (SELECT cohort, round(value, 6) + 0.0 AS value FROM dw),
+o AS (SELECT cohort, value, row_number() OVER (PARTITION BY cohort ORDER BY value) - 1 AS idx,
+      count(*) OVER (PARTITION BY cohort) AS n FROM rv),
+o2 AS (SELECT *, CAST(floor({HDI_P} * n) AS INTEGER) AS k FROM o),
+j AS (SELECT a.cohort, a.idx, a.value AS lo, b.value AS hi, b.value - a.value AS width
+      FROM o2 a JOIN o2 b ON a.cohort = b.cohort AND b.idx = a.idx + a.k),
+res AS (SELECT cohort, arg_min(lo, struct_pack(w := width, i := idx)) AS hdi_low,
+        arg_min(hi, struct_pack(w := width, i := idx)) AS hdi_high FROM j GROUP BY cohort)
+{final_select(['cohort', 'hdi_low', 'hdi_high'], ['hdi_low', 'hdi_high'], 'res')}"""
+
+ORACLE["n6_quantile_band"] = f"""WITH {POISSON_DRAWS},
+rv AS (SELECT cohort, round(value, 6) + 0.0 AS value FROM dw),
+o AS (SELECT cohort, value, row_number() OVER (PARTITION BY cohort ORDER BY value) - 1 AS idx,
+      count(*) OVER (PARTITION BY cohort) AS n FROM rv),
+res AS (SELECT cohort, max(CASE WHEN idx = floor(0.025 * (n - 1)) THEN value END) AS q_25,
+        max(CASE WHEN idx = floor(0.975 * (n - 1)) THEN value END) AS q_975, avg(value) AS mean FROM o GROUP BY cohort)
+{final_select(['cohort', 'q_25', 'q_975', 'mean'], ['q_25', 'q_975', 'mean'], 'res')}"""
+
+
+def _prob_greater_sql() -> str:
+    from bayes_ops.sqlcheck import family_sql, grid_ctes
+    f = family_sql("gamma")
+    return f"""{_poisson_params(['cohort'])},
+{grid_ctes('params', ['cohort'], f['lo'], f['hi'], f['logp'], name='pgg')},
+pairs AS (SELECT cohort AS group_a, 'c0' AS group_b FROM params WHERE cohort <> 'c0'),
+ga AS (SELECT p.group_a, p.group_b, g.x AS pos, g.w AS w_a FROM pgg3 g JOIN pairs p ON g.cohort = p.group_a),
+gb AS (SELECT p.group_a, p.group_b, g.g_lo + g.i * g.g_dx AS pos, g.cdf - g.w AS b_prev, g.w AS b_w,
+       g.g_lo + g.i * g.g_dx AS b_lo, g.g_dx AS b_dx FROM pgg3 g JOIN pairs p ON g.cohort = p.group_b),
+j AS (SELECT a.group_a, a.group_b, a.w_a,
+      CASE WHEN b.b_prev IS NULL THEN {d(0)} ELSE least({d(1)}, b.b_prev
+        + least(greatest((a.pos - b.b_lo) / b.b_dx, {d(0)}), {d(1)}) * b.b_w) END AS fb
+      FROM ga a ASOF LEFT JOIN gb b ON a.group_a = b.group_a AND a.group_b = b.group_b AND a.pos >= b.pos),
+res AS (SELECT group_a, group_b, sum(w_a * fb) AS p_a_gt_b FROM j GROUP BY group_a, group_b)"""
+
+
+ORACLE["c1_prob_greater"] = f"""WITH {_prob_greater_sql()}
+{final_select(['group_a', 'group_b', 'p_a_gt_b'], ['p_a_gt_b'], 'res')}"""

@@ -171,3 +171,68 @@ def p2_ab_posterior(spark, sf_dir):
     """Hierarchical Beta-Bernoulli posterior of each variant's rate."""
     from bayes_ops.plans.ab import ab_posterior
     return ab_posterior(AD.ab_from_orders(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- draws and decisions
+
+DRAW_SEED = 20240101
+
+
+def _bandit_params(spark, sf_dir):
+    from bayes_ops.operators.materialize import reliable_checkpoint
+    from bayes_ops.plans.bandit import bandit_params
+    return reliable_checkpoint(bandit_params(AD.bandit_from_lineitem(spark, sf_dir)))
+
+
+@query("c4_bandit_draws")
+def c4_bandit_draws(spark, sf_dir):
+    """1000 reproducible posterior draws of p and expected reward per arm."""
+    from bayes_ops.operators.draws import posterior_draws
+    p = _bandit_params(spark, sf_dir)
+    d = posterior_draws(p, ["arm", "magnitude"], "beta", n=1000, seed=DRAW_SEED, label_keys=["arm"])
+    return d.select("arm", "draw_id", F.col("value").alias("est_prob"),
+                    (F.col("value") * F.col("magnitude")).alias("expected_reward"))
+
+
+@query("c2_thompson_prob_best")
+def c2_thompson_prob_best(spark, sf_dir):
+    """Monte Carlo P(best arm) from 10000 shared draws per arm."""
+    from bayes_ops.operators.compare import thompson
+    return thompson(_bandit_params(spark, sf_dir), n=10000, seed=DRAW_SEED)
+
+
+def _poisson_params_ckpt(spark, sf_dir):
+    from bayes_ops.operators.materialize import reliable_checkpoint
+    from bayes_ops.plans.poisson import poisson_params
+    ev = AD.poisson_from_events(spark, sf_dir)
+    return reliable_checkpoint(poisson_params(ev, EVENTS_START, EVENTS_END, group_by=["cohort"]))
+
+
+@query("c5_poisson_draws")
+def c5_poisson_draws(spark, sf_dir):
+    """5000 posterior draws of each cohort's daily rate."""
+    from bayes_ops.operators.draws import posterior_draws
+    p = _poisson_params_ckpt(spark, sf_dir)
+    return posterior_draws(p, ["cohort"], "gamma", n=5000, seed=DRAW_SEED).select("cohort", "draw_id", "value")
+
+
+@query("n4_hdi_from_draws")
+def n4_hdi_from_draws(spark, sf_dir):
+    """94 % HDI of the cohort-rate draws: narrowest window of sorted draws."""
+    from bayes_ops.operators.draws import hdi_from_draws
+    return hdi_from_draws(c5_poisson_draws(spark, sf_dir), ["cohort"])
+
+
+@query("n6_quantile_band")
+def n6_quantile_band(spark, sf_dir):
+    """2.5 % / 97.5 % order statistics and mean of the cohort-rate draws."""
+    from bayes_ops.operators.draws import quantile_band
+    return quantile_band(c5_poisson_draws(spark, sf_dir), ["cohort"])
+
+
+@query("c1_prob_greater")
+def c1_prob_greater(spark, sf_dir):
+    """P(rate of cohort > rate of control cohort c0) for every other cohort."""
+    from bayes_ops.operators.compare import against_control, prob_greater
+    p = _poisson_params_ckpt(spark, sf_dir)
+    return prob_greater(p, "cohort", against_control(p, "cohort", "c0"), "gamma")

@@ -236,3 +236,196 @@ def c1_prob_greater(spark, sf_dir):
     from bayes_ops.operators.compare import against_control, prob_greater
     p = _poisson_params_ckpt(spark, sf_dir)
     return prob_greater(p, "cohort", against_control(p, "cohort", "c0"), "gamma")
+
+
+# ---------------------------------------------------------------- Poisson variants, counts, views
+
+@query("a5_event_counts_grouping_sets")
+def a5_event_counts_grouping_sets(spark, sf_dir):
+    """Event counts by cohort, by event_type and by both in one scan (A5, V9)."""
+    from bayes_ops.operators.suffstats import event_counts_all_groupings
+    from bayes_ops.operators import filters as flt
+    ev = flt.apply(AD.poisson_from_events(spark, sf_dir), flt.time_window(EVENTS_START, EVENTS_END))
+    return event_counts_all_groupings(ev)
+
+
+@query("p4_poisson_cell_posterior")
+def p4_poisson_cell_posterior(spark, sf_dir):
+    """Per (cohort, event_type) cell, hourly rate, filtered by IN lists."""
+    from bayes_ops.plans.poisson import poisson_posterior
+    ev = AD.poisson_from_events(spark, sf_dir)
+    return poisson_posterior(ev, EVENTS_START, EVENTS_END, cohort=["c0", "c1", "c2"],
+                             event_type=["click", "purchase", "view"],
+                             group_by=["cohort", "event_type"], unit="hour", population=150.0,
+                             prior=(0.5, 0.1))
+
+
+@query("a6_poisson_exposure_posterior")
+def a6_poisson_exposure_posterior(spark, sf_dir):
+    """Exposure taken from a column (summed per group) instead of the window."""
+    from bayes_ops.plans.poisson import poisson_posterior
+    ev = _events_with_exposure(spark, sf_dir)
+    return poisson_posterior(ev, EVENTS_START, EVENTS_END, group_by=["event_type"], exposure_col="exposure")
+
+
+def _events_with_exposure(spark, sf_dir):
+    ev = AD.read_table(spark, sf_dir, "events")
+    return AD.prepare_cohort(ev, None, {
+        "timestamp": AD.utc_ts("ts"),
+        "cohort": F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")),
+        "event_type": F.col("event_type"),
+        "exposure": F.col("value"),
+    })
+
+
+@query("p7_poisson_curve")
+def p7_poisson_curve(spark, sf_dir):
+    """200-point posterior density curve of each cohort's rate."""
+    from bayes_ops.plans.poisson import poisson_curve
+    return poisson_curve(AD.poisson_from_events(spark, sf_dir), EVENTS_START, EVENTS_END, group_by=["cohort"])
+
+
+@query("v7_shared_axis")
+def v7_shared_axis(spark, sf_dir):
+    """Common x extent and 1.1 x max density over the cohort curves (V7)."""
+    from bayes_ops.operators.views import shared_axis
+    return shared_axis(p7_poisson_curve(spark, sf_dir))
+
+
+@query("v3_rescaled_rates")
+def v3_rescaled_rates(spark, sf_dir):
+    """Cohort rates per user per hour: summary divided by users x 24 (V3)."""
+    from bayes_ops.plans.poisson import poisson_posterior, rescale
+    ev = AD.read_table(spark, sf_dir, "events")
+    users = (ev.select(F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("group_key"), "user_id")
+             .groupBy("group_key").agg(F.countDistinct("user_id").cast("double").alias("exposure")))
+    summ = poisson_posterior(AD.poisson_from_events(spark, sf_dir), EVENTS_START, EVENTS_END, group_by=["cohort"])
+    return rescale(summ.drop("exposure"), users, unit="hour").select(
+        "cohort", "mean", "sd", "median", "hdi_3", "hdi_97")
+
+
+@query("l3_rank_arms_by_mean")
+def l3_rank_arms_by_mean(spark, sf_dir):
+    """Arms ranked by posterior mean of p, ascending (L3)."""
+    from bayes_ops.operators.listing import rank_by
+    from bayes_ops.plans.bandit import bandit_posterior
+    t = bandit_posterior(AD.bandit_from_lineitem(spark, sf_dir)).select("arm", "mean")
+    return rank_by(t, [F.col("mean"), F.col("arm")])
+
+
+@query("l4_cohorts_alphabetical")
+def l4_cohorts_alphabetical(spark, sf_dir):
+    """Cohorts with event counts, ranked alphabetically (L4, V9)."""
+    from bayes_ops.operators.listing import rank_by
+    ev = AD.poisson_from_events(spark, sf_dir)
+    return rank_by(ev.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_events")), [F.col("cohort")])
+
+
+@query("l1_list_events")
+def l1_list_events(spark, sf_dir):
+    """Page of events (offset 100, limit 1000) filtered by cohort, type and window."""
+    from bayes_ops.functions.timefmt import iso_format
+    from bayes_ops.operators.listing import list_events
+    ev = AD.poisson_from_events(spark, sf_dir)
+    page = list_events(ev, cohort=["c1", "c2"], event_type=["click", "view"], start="2024-01-03 00:00:00",
+                       end="2024-01-20 00:00:00", limit=1000, offset=100)
+    return page.select(iso_format(F.col("timestamp")).alias("timestamp"), "cohort", "event_type")
+
+
+@query("l2_inspect_experiment")
+def l2_inspect_experiment(spark, sf_dir):
+    """First page (limit 100) of the A/B table in a window, with the total (L2, A10)."""
+    from bayes_ops.functions.timefmt import iso_format
+    from bayes_ops.operators.listing import inspect
+    ab = AD.ab_from_orders(spark, sf_dir)
+    page = inspect(ab, start="1995-01-01 00:00:00", end="1996-01-01 00:00:00", limit=100, offset=0)
+    return page.select(iso_format(F.col("timestamp")).alias("timestamp"), "variant", "outcome", "total_count")
+
+
+@query("n7_trial_sequence")
+def n7_trial_sequence(spark, sf_dir):
+    """Trial index and running successes per variant."""
+    from bayes_ops.functions.timefmt import iso_format
+    from bayes_ops.operators.listing import trial_sequence
+    t = trial_sequence(AD.ab_from_orders(spark, sf_dir))
+    return t.select("variant", "seq", iso_format(F.col("timestamp")).alias("timestamp"), "outcome",
+                    "cum_successes")
+
+
+@query("a12_time_extent")
+def a12_time_extent(spark, sf_dir):
+    """Observed event-time extent and max duration."""
+    from bayes_ops.functions.timefmt import iso_format
+    ev = AD.poisson_from_events(spark, sf_dir)
+    mx = AD.survival_from_lineitem(spark, sf_dir).agg(F.max("duration").alias("max_duration"))
+    return _extent(ev, mx)
+
+
+def _extent(ev, mx):
+    from bayes_ops.functions.timefmt import iso_format
+    # max duration is a single scalar of another table: fetched, then a literal
+    one = ev.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.count(F.lit(1)).alias("n"))
+    m = mx.first()["max_duration"]
+    return one.select(iso_format(F.col("lo")).alias("min_timestamp"), iso_format(F.col("hi")).alias("max_timestamp"),
+                      "n", F.lit(m).cast("double").alias("max_duration"))
+
+
+@query("v1_value_kde")
+def v1_value_kde(spark, sf_dir):
+    """Gaussian KDE (Scott bandwidth, 2048 bins) of events.value per event type (V1, E5)."""
+    from bayes_ops.operators.views import gaussian_kde
+    ev = AD.read_table(spark, sf_dir, "events").select("event_type", "value")
+    return gaussian_kde(ev, ["event_type"], "value")
+
+
+@query("v2_timeline_density")
+def v2_timeline_density(spark, sf_dir):
+    """Epanechnikov timeline density of events per cohort on 200 ticks."""
+    from bayes_ops.operators.views import epanechnikov_timeline
+    t = epanechnikov_timeline(AD.poisson_from_events(spark, sf_dir), ["cohort"])
+    return t.select("cohort", "j", "tick", "n", (F.col("density") * F.lit(86400000.0)).alias("density_per_day"))
+
+
+@query("v8_box_summary")
+def v8_box_summary(spark, sf_dir):
+    """Box-plot numbers of the expected-reward draws per arm (V8)."""
+    from bayes_ops.operators.views import box_summary
+    return box_summary(c4_bandit_draws(spark, sf_dir), ["arm"], "expected_reward")
+
+
+@query("w3_validate_batch")
+def w3_validate_batch(spark, sf_dir):
+    """Validate events as an A/B batch (outcome from props.k): counts by reject reason."""
+    from bayes_ops.sources.ingest import validate
+    ev = AD.read_table(spark, sf_dir, "events")
+    batch = ev.select(F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("variant"),
+                      F.get_json_object("props", "$.k").alias("outcome"))
+    v = validate(batch, "ab-test")
+    return v.groupBy(F.coalesce(F.col("reject_reason"), F.lit("ok")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("g9_delete_by_filter")
+def g9_delete_by_filter(spark, sf_dir):
+    """Rows a delete (cohort c1 and timestamp >= 2024-01-15) would remove, and survivors per cohort."""
+    from bayes_ops.plans.registry_ops import delete_preview
+    return delete_preview(AD.poisson_from_events(spark, sf_dir), {"cohort": "c1"}, start="2024-01-15 00:00:00")
+
+
+@query("k1_fingerprint")
+def k1_fingerprint(spark, sf_dir):
+    """Order-free fingerprints of the six adapted experiment tables (K1)."""
+    from bayes_ops.operators.cache import fingerprint
+    frames = [fingerprint(AD.experiment_frame(spark, sf_dir, k)).withColumn("kind", F.lit(k))
+              for k in AD.ADAPTERS]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.select("kind", "n_rows", "fingerprint")
+
+
+@query("g6_describe_table")
+def g6_describe_table(spark, sf_dir):
+    """Columns, SQL types, nullability and row count of the lineitem table."""
+    from bayes_ops.sources.registry import describe
+    return describe(AD.read_table(spark, sf_dir, "lineitem"))

@@ -51,10 +51,10 @@ def weibull_log_sf(t: Column, alpha: Column, beta: Column) -> Column:
 
 
 def epanechnikov(u: Column, h: Column) -> Column:
-    """0.75 (1 - u^2) / h on |u| <= 1, else 0."""
+    """0.75 (1 - u^2) / h on |u| <= 1, else 0; u = (x - sample) / h."""
     return F.when(F.abs(u) <= 1, F.lit(0.75) * (F.lit(1.0) - u * u) / h).otherwise(F.lit(0.0))
 
 
 def gaussian_kernel(u: Column, h: Column) -> Column:
-    """exp(-u^2/2) / (sqrt(2 pi) h)."""
+    """exp(-u^2/2) / (sqrt(2 pi) h); u = (x - sample) / h."""
     return F.exp(-(u * u) / 2) / (F.lit(math.sqrt(2 * math.pi)) * h)

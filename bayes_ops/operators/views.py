@@ -43,7 +43,7 @@ def gaussian_kde(df: DataFrame, keys: Sequence[str], value: str, points: int = T
     step = (F.col("v_max") - F.col("v_min")) / F.lit(float(points - 1))
     ev = (binned.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
           .withColumn("x", F.col("v_min") + F.col("j") * step))
-    ev = ev.withColumn("k", F.col("cnt") * gaussian_kernel(F.col("x") - F.col("c"), F.col("h")))
+    ev = ev.withColumn("k", F.col("cnt") * gaussian_kernel((F.col("x") - F.col("c")) / F.col("h"), F.col("h")))
     return (ev.groupBy(*keys, "j").agg(F.first("x").alias("x"), (F.sum("k") / F.first("n")).alias("y")))
 
 
@@ -72,7 +72,7 @@ def epanechnikov_timeline(df: DataFrame, keys: Sequence[str], ts: str = "timesta
     ex = (ev.join(st, keys)
           .withColumn("j", F.explode(F.sequence(j_lo, F.greatest(j_lo, j_hi))))
           .withColumn("tick", F.lit(t0) + F.col("j") * F.lit(step))
-          .withColumn("k", epanechnikov(F.col("tick") - F.col("v"), F.col("h"))))
+          .withColumn("k", epanechnikov((F.col("tick") - F.col("v")) / F.col("h"), F.col("h"))))
     sums = ex.groupBy(*keys, "j").agg(F.sum("k").alias("ksum"))
     grid = (st.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))))
             .withColumn("tick", F.lit(t0) + F.col("j") * F.lit(step)))

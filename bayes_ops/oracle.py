@@ -293,3 +293,162 @@ res AS (SELECT group_a, group_b, sum(w_a * fb) AS p_a_gt_b FROM j GROUP BY group
 
 ORACLE["c1_prob_greater"] = f"""WITH {_prob_greater_sql()}
 {final_select(['group_a', 'group_b', 'p_a_gt_b'], ['p_a_gt_b'], 'res')}"""
+
+
+# ---------------------------------------------------------------- counts, variants, views
+
+ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
+
+ORACLE["a5_event_counts_grouping_sets"] = f"""WITH {EV},
+f AS (SELECT * FROM ev WHERE timestamp >= {START} AND timestamp < {END})
+SELECT cohort, event_type, count(*) AS n_events, CAST(grouping(cohort, event_type) AS INTEGER) AS grouping_id
+FROM f GROUP BY GROUPING SETS ((cohort), (event_type), (cohort, event_type))"""
+
+_CELL_HOURS = 30 * 24 * 150.0
+ORACLE["p4_poisson_cell_posterior"] = f"""WITH {EV},
+st AS (SELECT cohort, event_type, count(*) AS n_events FROM ev
+       WHERE timestamp >= {START} AND timestamp < {END} AND cohort IN ('c0', 'c1', 'c2')
+       AND event_type IN ('click', 'purchase', 'view') GROUP BY cohort, event_type),
+params AS (SELECT cohort, event_type, n_events, {d(_CELL_HOURS)} AS exposure,
+           cohort || ':' || event_type AS group_key, 'rate' AS param,
+           {d(0.5)} + n_events AS alpha, {d(0.1)} + {d(_CELL_HOURS)} AS beta FROM st),
+{conjugate_summary_ctes('params', ['cohort', 'event_type', 'param'], 'gamma')}
+{final_select(['cohort', 'event_type', 'group_key', 'param', 'n_events', 'exposure', 'alpha', 'beta', 'mean', 'sd',
+               'median', 'hdi_3', 'hdi_97'], SUMMARY_DOUBLES, 'cs')}"""
+
+ORACLE["a6_poisson_exposure_posterior"] = f"""WITH
+evx AS (SELECT CAST(ts AS TIMESTAMP) AS timestamp, event_type, value AS exposure FROM events),
+st AS (SELECT event_type, count(*) AS n_events, CAST(sum(exposure) AS DOUBLE) AS exposure FROM evx
+       WHERE timestamp >= {START} AND timestamp < {END} GROUP BY event_type),
+params AS (SELECT event_type, n_events, exposure, event_type AS group_key, 'rate' AS param,
+           {d(1)} + n_events AS alpha, {d(1)} + exposure AS beta FROM st),
+{conjugate_summary_ctes('params', ['event_type', 'param'], 'gamma')}
+{final_select(['event_type', 'group_key', 'param', 'n_events', 'exposure', 'alpha', 'beta', 'mean', 'sd',
+               'median', 'hdi_3', 'hdi_97'], SUMMARY_DOUBLES, 'cs')}"""
+
+P7 = f"""{_poisson_params(['cohort'])},
+{conjugate_curve_ctes('params', ['cohort', 'param'], 'gamma')}"""
+
+ORACLE["p7_poisson_curve"] = f"""WITH {P7}
+{final_select(['cohort', 'param', 'j', 'x', 'y'], ['x', 'y'], 'cc')}"""
+
+ORACLE["v7_shared_axis"] = f"""WITH {P7},
+r AS (SELECT cohort, param, j, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM cc),
+res AS (SELECT min(x) AS x_min, max(x) AS x_max, max(y) * 1.1 AS y_max FROM r)
+{final_select(['x_min', 'x_max', 'y_max'], ['x_min', 'x_max', 'y_max'], 'res')}"""
+
+ORACLE["v3_rescaled_rates"] = f"""WITH {_poisson_params(['cohort'])},
+{conjugate_summary_ctes('params', ['cohort', 'param'], 'gamma')},
+users AS (SELECT 'c' || CAST(user_id % 4 AS VARCHAR) AS group_key, CAST(count(DISTINCT user_id) AS DOUBLE) AS pop
+          FROM events GROUP BY 1),
+j AS (SELECT cs.*, CASE WHEN coalesce(u.pop, 0) = 0 THEN {d(1)} ELSE u.pop END * {d(24)} AS dd
+      FROM cs LEFT JOIN users u ON cs.group_key = u.group_key),
+res AS (SELECT cohort, mean / dd AS mean, sd / dd AS sd, median / dd AS median, hdi_3 / dd AS hdi_3,
+        hdi_97 / dd AS hdi_97 FROM j)
+{final_select(['cohort', 'mean', 'sd', 'median', 'hdi_3', 'hdi_97'], ['mean', 'sd', 'median', 'hdi_3', 'hdi_97'], 'res')}"""
+
+ORACLE["l3_rank_arms_by_mean"] = f"""WITH {BANDIT_PARAMS},
+res AS (SELECT arm, alpha / (alpha + beta) AS mean FROM params),
+rk AS (SELECT arm, mean, CAST(row_number() OVER (ORDER BY mean, arm) AS INTEGER) AS rank FROM res)
+{final_select(['arm', 'mean', 'rank'], ['mean'], 'rk')}"""
+
+ORACLE["l4_cohorts_alphabetical"] = f"""WITH {EV},
+c AS (SELECT cohort, count(*) AS n_events FROM ev GROUP BY cohort)
+SELECT cohort, n_events, CAST(row_number() OVER (ORDER BY cohort) AS INTEGER) AS rank FROM c"""
+
+ORACLE["l1_list_events"] = f"""WITH {EV},
+f AS (SELECT * FROM ev WHERE cohort IN ('c1', 'c2') AND event_type IN ('click', 'view')
+      AND timestamp >= TIMESTAMP '2024-01-03 00:00:00' AND timestamp < TIMESTAMP '2024-01-20 00:00:00'
+      ORDER BY timestamp, cohort, event_type LIMIT 1000 OFFSET 100)
+SELECT strftime(timestamp, {ISO}) AS timestamp, cohort, event_type FROM f"""
+
+ORACLE["l2_inspect_experiment"] = f"""WITH {AB},
+f AS (SELECT * FROM ab WHERE timestamp >= TIMESTAMP '1995-01-01 00:00:00' AND timestamp < TIMESTAMP '1996-01-01 00:00:00'),
+tot AS (SELECT count(*) AS total_count FROM f),
+pg AS (SELECT * FROM f ORDER BY timestamp NULLS FIRST, variant NULLS FIRST, outcome NULLS FIRST LIMIT 100 OFFSET 0)
+SELECT strftime(timestamp, {ISO}) AS timestamp, variant, outcome, total_count FROM pg, tot"""
+
+ORACLE["n7_trial_sequence"] = f"""WITH {AB},
+s AS (SELECT variant, CAST(row_number() OVER (PARTITION BY variant ORDER BY timestamp NULLS FIRST, outcome NULLS FIRST)
+      AS INTEGER) AS seq, timestamp, outcome,
+      CAST(sum(outcome) OVER (PARTITION BY variant ORDER BY timestamp NULLS FIRST, outcome NULLS FIRST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_successes FROM ab)
+SELECT variant, seq, strftime(timestamp, {ISO}) AS timestamp, outcome, cum_successes FROM s"""
+
+ORACLE["a12_time_extent"] = f"""WITH {EV}, {SURV}
+SELECT strftime(min(timestamp), {ISO}) AS min_timestamp, strftime(max(timestamp), {ISO}) AS max_timestamp,
+       count(*) AS n, (SELECT max(duration) FROM surv) AS max_duration FROM ev"""
+
+ORACLE["v1_value_kde"] = f"""WITH
+v AS (SELECT event_type, value FROM events WHERE value IS NOT NULL),
+st AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS v_min, max(value) AS v_max
+       FROM v GROUP BY event_type),
+st2 AS (SELECT *, sd * pow(n, -0.2) AS h, (v_max - v_min) / 2048.0 AS bw FROM st),
+b AS (SELECT v.event_type, CAST(least(floor(CASE WHEN bw > 0 THEN (value - v_min) / bw ELSE 0.0 END), 2047) AS INTEGER) AS b
+      FROM v JOIN st2 ON v.event_type = st2.event_type),
+bc AS (SELECT event_type, b, count(*) AS cnt FROM b GROUP BY event_type, b),
+bx AS (SELECT bc.*, st2.n, st2.h, st2.v_min, st2.v_max, st2.v_min + (bc.b + 0.5) * st2.bw AS c
+       FROM bc JOIN st2 ON bc.event_type = st2.event_type),
+ex AS (SELECT event_type, r.range AS j, v_min + r.range * ((v_max - v_min) / 199.0) AS x, n, cnt, c, h
+       FROM bx CROSS JOIN range(200) r),
+k AS (SELECT event_type, CAST(j AS INTEGER) AS j, any_value(x) AS x,
+      sum(cnt * exp(-(((x - c) / h) * ((x - c) / h)) / 2) / (sqrt(2 * pi()) * h)) / any_value(n) AS y FROM ex GROUP BY event_type, j)
+{final_select(['event_type', 'j', 'x', 'y'], ['x', 'y'], 'k')}"""
+
+ORACLE["v2_timeline_density"] = f"""WITH {EV},
+v AS (SELECT cohort, CAST(epoch_us(timestamp) // 1000 AS DOUBLE) AS v FROM ev WHERE timestamp IS NOT NULL),
+ext AS (SELECT min(v) AS t0, max(v) AS t1 FROM v),
+ext2 AS (SELECT t0, CASE WHEN t1 > t0 THEN (t1 - t0) / 199 ELSE {d(1)} END AS step FROM ext),
+st AS (SELECT cohort, count(*) AS n, stddev_samp(v) AS sd FROM v GROUP BY cohort),
+st2 AS (SELECT cohort, n, 1.06 * CASE WHEN sd IS NULL OR sd = 0 THEN 1e-9 ELSE sd END / pow(CAST(n AS DOUBLE), 0.2)
+        AS h FROM st),
+pts AS (SELECT v.cohort, v.v, st2.h, ext2.t0, ext2.step FROM v JOIN st2 ON v.cohort = st2.cohort, ext2),
+ex AS (SELECT cohort, v, h, t0, step,
+       unnest(range(greatest(0, CAST(ceil((v - h - t0) / step) AS INTEGER) - 1),
+                    least(199, CAST(floor((v + h - t0) / step) AS INTEGER) + 1) + 1)) AS j FROM pts),
+kk AS (SELECT cohort, j, CASE WHEN abs((t0 + j * step - v) / h) <= 1
+         THEN 0.75 * (1 - ((t0 + j * step - v) / h) * ((t0 + j * step - v) / h)) / h ELSE 0 END AS k FROM ex),
+sums AS (SELECT cohort, j, sum(k) AS ksum FROM kk GROUP BY cohort, j),
+grid AS (SELECT st2.cohort, st2.n, r.range AS j, ext2.t0 + r.range * ext2.step AS tick FROM st2, ext2, range(200) r),
+res AS (SELECT g.cohort, CAST(g.j AS INTEGER) AS j, CAST(round(g.tick) AS BIGINT) AS tick_ms, g.n,
+        coalesce(s.ksum, 0) / g.n * 86400000.0 AS density_per_day
+        FROM grid g LEFT JOIN sums s ON g.cohort = s.cohort AND g.j = s.j)
+{final_select(['cohort', 'j', 'tick_ms', 'n', 'density_per_day'], ['density_per_day'], 'res')}"""
+
+ORACLE["v8_box_summary"] = f"""WITH {BANDIT_PARAMS},
+{_draw_ctes('params', ['arm', 'magnitude'], 'beta', 1000, 'arm')},
+rw AS (SELECT arm, value * magnitude AS v FROM dw),
+q AS (SELECT arm, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+      FROM rw GROUP BY arm),
+q2 AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q),
+res AS (SELECT q2.arm, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
+        min(CASE WHEN v >= lo_f AND v <= hi_f THEN v END) AS whisker_lo,
+        max(CASE WHEN v >= lo_f AND v <= hi_f THEN v END) AS whisker_hi,
+        CAST(sum(CASE WHEN v >= lo_f AND v <= hi_f THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
+        FROM rw JOIN q2 ON rw.arm = q2.arm GROUP BY q2.arm)
+{final_select(['arm', 'q1', 'median', 'q3', 'whisker_lo', 'whisker_hi', 'n_outliers'],
+              ['q1', 'median', 'q3', 'whisker_lo', 'whisker_hi'], 'res')}"""
+
+ORACLE["w3_validate_batch"] = """WITH
+b AS (SELECT CAST(ts AS VARCHAR) AS ts_raw, TRY_CAST(CAST(ts AS VARCHAR) AS TIMESTAMP) AS timestamp,
+      event_type AS variant, json_extract_string(props, '$.k') AS outcome_raw,
+      TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS outcome FROM events),
+r AS (SELECT CASE
+        WHEN ts_raw IS NOT NULL AND timestamp IS NULL THEN 'bad_timestamp'
+        WHEN outcome_raw IS NOT NULL AND outcome IS NULL THEN 'bad_outcome'
+        WHEN coalesce(NOT outcome IN (0, 1), false) THEN 'outcome_not_binary'
+        WHEN timestamp IS NULL THEN 'missing_timestamp'
+        ELSE 'ok' END AS reason FROM b)
+SELECT reason, count(*) AS n_rows FROM r GROUP BY reason"""
+
+ORACLE["g9_delete_by_filter"] = f"""WITH {EV}
+SELECT cohort,
+  CAST(sum(CASE WHEN coalesce(cohort = 'c1' AND timestamp >= TIMESTAMP '2024-01-15 00:00:00', false) THEN 1 ELSE 0 END)
+       AS BIGINT) AS deleted,
+  CAST(sum(CASE WHEN coalesce(cohort = 'c1' AND timestamp >= TIMESTAMP '2024-01-15 00:00:00', false) THEN 0 ELSE 1 END)
+       AS BIGINT) AS remaining
+FROM ev GROUP BY cohort"""
+
+ORACLE["g6_describe_table"] = """SELECT column_name, column_type, "null" = 'YES' AS nullable,
+  CAST(row_number() OVER () - 1 AS INTEGER) AS position, (SELECT count(*) FROM lineitem) AS row_count
+FROM (DESCRIBE lineitem)"""

@@ -383,7 +383,8 @@ def v2_timeline_density(spark, sf_dir):
     """Epanechnikov timeline density of events per cohort on 200 ticks."""
     from bayes_ops.operators.views import epanechnikov_timeline
     t = epanechnikov_timeline(AD.poisson_from_events(spark, sf_dir), ["cohort"])
-    return t.select("cohort", "j", "tick", "n", (F.col("density") * F.lit(86400000.0)).alias("density_per_day"))
+    return t.select("cohort", "j", F.round("tick").cast("long").alias("tick_ms"), "n",
+                    (F.col("density") * F.lit(86400000.0)).alias("density_per_day"))
 
 
 @query("v8_box_summary")

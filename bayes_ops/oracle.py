@@ -384,9 +384,12 @@ v AS (SELECT event_type, value FROM events WHERE value IS NOT NULL),
 st AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS v_min, max(value) AS v_max
        FROM v GROUP BY event_type),
 st2 AS (SELECT *, sd * pow(n, -0.2) AS h, (v_max - v_min) / 2048.0 AS bw FROM st),
-b AS (SELECT v.event_type, CAST(least(floor(CASE WHEN bw > 0 THEN (value - v_min) / bw ELSE 0.0 END), 2047) AS INTEGER) AS b
+p AS (SELECT v.event_type, CASE WHEN bw > 0 THEN (value - v_min) / bw - 0.5 ELSE 0.0 END AS pos
       FROM v JOIN st2 ON v.event_type = st2.event_type),
-bc AS (SELECT event_type, b, count(*) AS cnt FROM b GROUP BY event_type, b),
+b AS (SELECT event_type, least(greatest(CAST(floor(pos) AS INTEGER), 0), 2047) AS b, 1 - (pos - floor(pos)) AS wt FROM p
+      UNION ALL
+      SELECT event_type, least(greatest(CAST(floor(pos) AS INTEGER) + 1, 0), 2047) AS b, pos - floor(pos) AS wt FROM p),
+bc AS (SELECT event_type, b, sum(wt) AS cnt FROM b GROUP BY event_type, b),
 bx AS (SELECT bc.*, st2.n, st2.h, st2.v_min, st2.v_max, st2.v_min + (bc.b + 0.5) * st2.bw AS c
        FROM bc JOIN st2 ON bc.event_type = st2.event_type),
 ex AS (SELECT event_type, r.range AS j, v_min + r.range * ((v_max - v_min) / 199.0) AS x, n, cnt, c, h

@@ -455,3 +455,20 @@ FROM ev GROUP BY cohort"""
 ORACLE["g6_describe_table"] = """SELECT column_name, column_type, "null" = 'YES' AS nullable,
   CAST(row_number() OVER () - 1 AS INTEGER) AS position, (SELECT count(*) FROM lineitem) AS row_count
 FROM (DESCRIBE lineitem)"""
+
+
+# ---------------------------------------------------------------- streaming
+
+ORACLE["t2_stream_poisson_posterior"] = f"""WITH {_poisson_params(['cohort'])},
+{conjugate_summary_ctes('params', ['cohort', 'param'], 'gamma')}
+{final_select(['cohort', 'param', 'n_events', 'exposure', 'alpha', 'beta', 'mean', 'sd',
+               'median', 'hdi_3', 'hdi_97'], SUMMARY_DOUBLES, 'cs')}"""
+
+ORACLE["t3_windowed_rates"] = f"""WITH {EV},
+wc AS (SELECT time_bucket(INTERVAL '1 day', timestamp) AS ws, cohort, count(*) AS n_events FROM ev
+       WHERE timestamp IS NOT NULL GROUP BY 1, 2),
+params AS (SELECT strftime(ws, {ISO}) AS window_start, cohort, n_events, {d(1)} AS exposure, 'rate' AS param,
+           {d(1)} + n_events AS alpha, {d(1)} + {d(1)} AS beta FROM wc),
+{conjugate_summary_ctes('params', ['window_start', 'cohort', 'param'], 'gamma')}
+{final_select(['window_start', 'cohort', 'n_events', 'exposure', 'alpha', 'beta', 'mean', 'sd', 'median',
+               'hdi_3', 'hdi_97'], SUMMARY_DOUBLES, 'cs')}"""

@@ -430,3 +430,45 @@ def g6_describe_table(spark, sf_dir):
     """Columns, SQL types, nullability and row count of the lineitem table."""
     from bayes_ops.sources.registry import describe
     return describe(AD.read_table(spark, sf_dir, "lineitem"))
+
+
+# ---------------------------------------------------------------- streaming
+
+def _events_stream(spark, sf_dir):
+    schema = AD.read_table(spark, sf_dir, "events").schema
+    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    return AD.prepare_cohort(raw, None, {
+        "timestamp": AD.utc_ts("ts"),
+        "cohort": F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")),
+        "event_type": F.col("event_type"),
+    })
+
+
+@query("t2_stream_poisson_posterior")
+def t2_stream_poisson_posterior(spark, sf_dir):
+    """Running cohort-rate posterior maintained by a streaming aggregate over the
+    events files; equals the batch posterior (T2, T1 source, P4)."""
+    import uuid
+    from bayes_ops.operators import filters as flt
+    from bayes_ops.plans.poisson import window_exposure
+    from bayes_ops.session import scratch_path
+    from bayes_ops.streaming.stats import poisson_snapshot, running_counts, start_running_posterior
+    base = scratch_path(spark, f"t2-{uuid.uuid4().hex}")
+    ev = flt.apply(_events_stream(spark, sf_dir), flt.time_window(EVENTS_START, EVENTS_END))
+    q = start_running_posterior(running_counts(ev, ["cohort"]), base + "/posterior", base + "/checkpoint",
+                                poisson_snapshot(["cohort"], window_exposure(EVENTS_START, EVENTS_END)))
+    q.awaitTermination()
+    return spark.read.parquet(base + "/posterior").select(
+        "cohort", "param", "n_events", "exposure", "alpha", "beta", "mean", "sd", "median", "hdi_3", "hdi_97")
+
+
+@query("t3_windowed_rates")
+def t3_windowed_rates(spark, sf_dir):
+    """Daily tumbling-window rate posterior per cohort (T3, batch form of the stream)."""
+    from bayes_ops.streaming.stats import windowed_counts, windowed_rates
+    c = windowed_counts(AD.poisson_from_events(spark, sf_dir), ["cohort"], "1 day")
+    r = windowed_rates(c, ["cohort"])
+    from bayes_ops.functions.timefmt import iso_format
+    return r.select(iso_format(F.col("window_start")).alias("window_start"), "cohort", "n_events", "exposure",
+                    "alpha", "beta", "mean", "sd", "median", "hdi_3", "hdi_97")

@@ -43,17 +43,18 @@ def _domain(kind: str) -> list[tuple[str, Column]]:
     return checks
 
 
-def validate(df: DataFrame, kind: str) -> DataFrame:
+def validate(df: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cast to the kind schema and attach ``reject_reason`` (NULL = good).
 
     Reasons: ``bad_<column>`` when a non-null value does not cast, then the
-    kind's domain checks, first failing check wins.
+    kind's domain checks, first failing check wins.  ``keep`` columns (e.g.
+    an event key) pass through unchanged.
     """
-    check_columns(df, kind)
+    check_columns(df.drop(*keep), kind)
     fields = kind_schema(kind).fields
     cast = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields]
     raw = [F.col(f.name).alias(f"_raw_{f.name}") for f in fields]
-    t = df.select(*cast, *raw)
+    t = df.select(*[F.col(k) for k in keep], *cast, *raw)
     reasons = []
     for f in fields:
         reasons.append((f"bad_{f.name}", F.col(f"_raw_{f.name}").isNotNull() & F.col(f.name).isNull()))

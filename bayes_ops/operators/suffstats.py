@@ -109,17 +109,25 @@ def survival_basic(df: DataFrame) -> DataFrame:
 
 
 def power_sums(df: DataFrame, alphas: Sequence[float], scale: float,
-               prefix: str = "s") -> DataFrame:
+               prefix: str = "s", with_basic: bool = False) -> DataFrame:
     """S(alpha_i) = sum over all rows of (t/scale)^alpha_i, one scan (op A7).
 
-    One aggregate expression per node: a single map-side pass, the shuffle
-    carries one partial row per task.  ``scale`` (e.g. max t) keeps the
-    powers away from overflow; the caller adds alpha * log(scale) back.
+    ``ln(t/scale)`` is projected once per row and each node adds one
+    ``exp``; one aggregate per node, all computed map-side, so the shuffle
+    carries one partial row per task.  ``scale`` keeps the powers away from
+    overflow; t = 0 contributes 0 (log is NULL, skipped by sum).
+    ``with_basic`` adds n, r, sum_log_t_obs, max_t, min_t to the same scan.
     """
-    z = F.col("duration") / F.lit(float(scale))
-    valid = df.where(F.col("duration").isNotNull() & F.col("observed").isNotNull())
-    return valid.agg(*[F.sum(F.pow(z, F.lit(float(a)))).alias(f"{prefix}{i}")
-                       for i, a in enumerate(alphas)])
+    t = F.col("duration")
+    valid = df.where(t.isNotNull() & F.col("observed").isNotNull())
+    lt = valid.select(F.log(t / F.lit(float(scale))).alias("lt"), t.alias("t"), F.col("observed").alias("o"))
+    aggs = [F.sum(F.exp(F.lit(float(a)) * F.col("lt"))).alias(f"{prefix}{i}") for i, a in enumerate(alphas)]
+    if with_basic:
+        aggs += [F.count(F.lit(1)).alias("n"),
+                 F.sum(F.when(F.col("o"), 1).otherwise(0)).cast("long").alias("r"),
+                 F.sum(F.when(F.col("o"), F.log("t"))).alias("sum_log_t_obs"),
+                 F.max("t").alias("max_t"), F.min("t").alias("min_t")]
+    return lt.agg(*aggs)
 
 
 def time_extent(df: DataFrame, col: str = "timestamp") -> DataFrame:

@@ -12,11 +12,13 @@ pass is ONE aggregation over the rows (one sum per node, computed map-side);
 the (alpha, beta) grid is then evaluated from that single row.
 
 Locating the posterior is iterative: a pass evaluates the beta-profile of lp
-at 48 alpha nodes and narrows the alpha range to where the profile is within
-50 log units of its maximum, until the range holds the mass on >= 24 nodes.
-The final pass puts 64 alpha nodes on that range and a common beta grid of
-256 nodes around the conditional modes; marginals come from groupBy on the
-node indices.  No sampler, no chains: deterministic results.
+at 96 alpha nodes (the first pass also collects n, r, L, max t) and narrows
+the alpha range to where the profile is within 50 log units of its maximum,
+until that region spans >= 24 nodes (typically 3-4 scans in all).
+The final pass puts 64 alpha nodes on that range; the common beta grid of
+256 nodes spans the conditional posteriors of beta (mode +- 10 sd, prior
+included, Newton steps on scalars) of the alpha nodes that carry mass;
+marginals come from groupBy on the node indices.  No sampler, no chains: deterministic results.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayes_ops.operators.grid import grid_summary_aggs, weights_windows
-from bayes_ops.operators.suffstats import power_sums, survival_basic
+from bayes_ops.operators.suffstats import power_sums
 
 ALPHA_SIGMA = 1.0
 BETA_SIGMA = 10.0
-LOCATE_NODES = 48
+LOCATE_NODES = 96
+RESOLVED_NODES = 24
 FINAL_ALPHA = 64
 FINAL_BETA = 256
 DROP = 50.0
@@ -49,49 +52,100 @@ def _profile(a: float, z: float, r: int, L: float, log_c: float) -> tuple[float,
     return lp, beta
 
 
-def locate(df: DataFrame, stats: dict, lo: float = 0.0, hi: float = 8.0,
-           max_passes: int = 12) -> tuple[float, float, list[float]]:
-    """Narrow the alpha range; returns (a_lo, a_hi, beta modes at the ends)."""
-    r, L, c = stats["r"], stats["sum_log_t_obs"] or 0.0, stats["max_t"]
+def _cond_log_beta(a: float, z: float, r: int, log_c: float) -> tuple[float, float, float]:
+    """Conditional mode and sd of s = log beta given alpha, with the prior.
+
+    g(s) = -r a s - Z e^(-a s) - e^(2s) / (2 sigma^2) + s   (Z = z c^a; +s: Jacobian)
+    Newton steps on scalars; returns (s*, sd, g(s*)).
+    """
+    log_z = a * log_c + math.log(z)
+    s_ = (log_z - math.log(max(r, 1))) / a
+    s_ = min(s_, math.log(10 * BETA_SIGMA))
+    inv = 1.0 / (BETA_SIGMA ** 2)
+    for _ in range(60):
+        e1 = math.exp(log_z - a * s_)
+        e2 = math.exp(2 * s_)
+        g1 = -r * a + a * e1 - e2 * inv + 1.0
+        g2 = -a * a * e1 - 2 * e2 * inv
+        step = g1 / g2
+        step = max(min(step, 1.0), -1.0)
+        s_ -= step
+        if abs(step) < 1e-12:
+            break
+    e1 = math.exp(log_z - a * s_)
+    e2 = math.exp(2 * s_)
+    g2 = -a * a * e1 - 2 * e2 * inv
+    g = -r * a * s_ - e1 - e2 * inv / 2 + s_
+    return s_, 1.0 / math.sqrt(-g2), g
+
+
+def beta_range(alphas: list[float], zs: list[float], r: int, L: float, log_c: float) -> tuple[float, float]:
+    """Union over the alpha nodes carrying mass of exp(s* +- 10 sd)."""
+    rows = []
+    for a_, z_ in zip(alphas, zs):
+        s_, sd, g = _cond_log_beta(a_, z_, r, log_c)
+        # Laplace estimate of the alpha marginal at this node
+        lm = r * math.log(a_) + (a_ - 1) * L - a_ * a_ / (2 * ALPHA_SIGMA ** 2) + g + math.log(sd)
+        rows.append((lm, s_, sd))
+    top = max(x[0] for x in rows)
+    kept = [x for x in rows if x[0] > top - 30.0]
+    lo = min(math.exp(s_ - 10 * sd) for _, s_, sd in kept)
+    hi = max(math.exp(s_ + 10 * sd) for _, s_, sd in kept)
+    return lo, hi
+
+
+def _zoom(row, alphas: list[float], h: float, lo: float, stats: dict, log_c: float):
+    r, L = stats["r"], stats["sum_log_t_obs"] or 0.0
+    prof = [_profile(a, row[f"s{k}"], r, L, log_c) for k, a in enumerate(alphas)]
+    lps = [p[0] for p in prof]
+    top = max(lps)
+    keep = [k for k, v in enumerate(lps) if v > top - DROP]
+    k0, k1 = min(keep), max(keep)
+    return (max(lo + (k0 - 1) * h, 1e-9), lo + (k1 + 2) * h, len(keep), [prof[k0][1], prof[k1][1]])
+
+
+def locate(df: DataFrame, lo: float = 0.0, hi: float = 8.0,
+           max_passes: int = 12) -> tuple[dict, float, float, list[float]]:
+    """Narrow the alpha range; each pass is one aggregation with 96 nodes.
+
+    The first pass also returns n, r, L and max t (scale 1 there).  A pass
+    keeps the nodes whose beta-profile log posterior is within 50 of the
+    best (plus one node each side); zooming stops once that region spans at
+    least 24 nodes, so the final 64-node alpha grid and the shared beta grid
+    both resolve the posterior.
+    Returns (basic stats, a_lo, a_hi, beta modes at the ends).
+    """
+    h = (hi - lo) / LOCATE_NODES
+    alphas = [lo + (k + 0.5) * h for k in range(LOCATE_NODES)]
+    first = power_sums(df, alphas, 1.0, with_basic=True).first()
+    stats = {k: first[k] for k in ("n", "r", "sum_log_t_obs", "max_t", "min_t")}
+    if not stats["n"]:
+        raise ValueError("No data found for the experiment.")
+    lo, hi, n_keep, modes = _zoom(first, alphas, h, lo, stats, 0.0)
+    c = stats["max_t"]
     log_c = math.log(c)
     for _ in range(max_passes):
+        if n_keep >= RESOLVED_NODES:
+            break
         h = (hi - lo) / LOCATE_NODES
         alphas = [lo + (k + 0.5) * h for k in range(LOCATE_NODES)]
         row = power_sums(df, alphas, c).first()
-        prof = [_profile(a, row[f"s{k}"], r, L, log_c) for k, a in enumerate(alphas)]
-        lps = [p[0] for p in prof]
-        top = max(lps)
-        keep = [k for k, v in enumerate(lps) if v > top - DROP]
-        k0, k1 = min(keep), max(keep)
-        new_lo = max(lo + (k0 - 1) * h, 1e-9)
-        new_hi = lo + (k1 + 2) * h
-        if len(keep) >= LOCATE_NODES // 2:
-            return new_lo, new_hi, [prof[k0][1], prof[k1][1]]
-        lo, hi = new_lo, new_hi
-    return lo, hi, [prof[k0][1], prof[k1][1]]
+        lo, hi, n_keep, modes = _zoom(row, alphas, h, lo, stats, log_c)
+    return stats, lo, hi, modes
 
 
 def weibull_grid(df: DataFrame) -> tuple[DataFrame, dict]:
     """Joint grid rows (ai, bj, alpha, beta, w) and the basic statistics."""
     df = df.select("duration", "observed")
-    stats = survival_basic(df).first().asDict()
-    if not stats["n"]:
-        raise ValueError("No data found for the experiment.")
+    stats, a_lo, a_hi, beta_modes = locate(df)
     r, L, c = stats["r"], stats["sum_log_t_obs"] or 0.0, stats["max_t"]
-    a_lo, a_hi, beta_modes = locate(df, stats)
     da = (a_hi - a_lo) / FINAL_ALPHA
     alphas = [a_lo + (k + 0.5) * da for k in range(FINAL_ALPHA)]
-    # common beta range: conditional modes at both alpha ends, widened by
-    # 12 conditional sd (sd of log beta ~ 1 / (alpha sqrt r))
-    sd_log = 1.0 / (max(a_lo, 1e-3) * math.sqrt(max(r, 1)))
-    b_lo = max(min(beta_modes) * math.exp(-12 * sd_log), 1e-12)
-    b_hi = max(beta_modes) * math.exp(12 * sd_log)
-    if r < 5:  # weakly identified: let the HalfNormal(10) prior bound it
-        b_lo, b_hi = 1e-9, max(b_hi, 6 * BETA_SIGMA)
-    db = (b_hi - b_lo) / FINAL_BETA
-    row = power_sums(df, alphas, c).first()  # one aggregation: 64 numbers
+    row = power_sums(df, alphas, c).first()  # one aggregation: the final nodes
     zs = [float(row[f"s{k}"]) for k in range(FINAL_ALPHA)]
     log_c = math.log(c)
+    b_lo, b_hi = beta_range(alphas, zs, r, L, log_c)
+    db = (b_hi - b_lo) / FINAL_BETA
     # Upper bound of lp over the grid (beta prior term <= 0 dropped, beta at
     # its conditional mode): a stable normaliser without a global max.
     bound = max(_profile(a_, z_, r, L, log_c)[0] + _profile(a_, z_, r, L, log_c)[1] ** 2

@@ -472,3 +472,10 @@ def t3_windowed_rates(spark, sf_dir):
     from bayes_ops.functions.timefmt import iso_format
     return r.select(iso_format(F.col("window_start")).alias("window_start"), "cohort", "n_events", "exposure",
                     "alpha", "beta", "mean", "sd", "median", "hdi_3", "hdi_97")
+
+
+@query("p11_hier_poisson_posterior")
+def p11_hier_poisson_posterior(spark, sf_dir):
+    """Cohort rates partially pooled within each event type."""
+    from bayes_ops.plans.hier_poisson import hier_poisson_posterior
+    return hier_poisson_posterior(AD.poisson_from_events(spark, sf_dir), EVENTS_START, EVENTS_END)

@@ -153,3 +153,34 @@ def test_ab_hierarchical_matches_brute_force(spark):
         m = (w * (A + s) / (A + B + n)).sum()
         assert out[v].mean == pytest.approx(m, abs=5e-4)
     assert out["C"].hdi_3 >= 0.0 and out["A"].mean < out["B"].mean
+
+
+def test_hier_poisson_matches_brute_force(spark):
+    from bayes_ops.plans.hier_poisson import hier_poisson_posterior
+    counts = {("x", "a"): 12, ("x", "b"): 30, ("x", "c"): 18, ("y", "a"): 3, ("y", "b"): 0}
+    rows = []
+    for (e, c), k in counts.items():
+        rows += [("2024-01-01 12:00:00", c, e)] * k
+    df = (spark.createDataFrame(rows, "ts string, cohort string, event_type string")
+          .select(F.col("ts").cast("timestamp").alias("timestamp"), "cohort", "event_type"))
+    # (y, b) has no events: it pools with k = 0 only when listed in ``units``
+    units = spark.createDataFrame(list(counts), "event_type string, cohort string")
+    out = {(r.event_type, r.cohort): r for r in
+           hier_poisson_posterior(df, "2024-01-01", "2024-01-11", units=units).collect()}  # T = 10 days
+    assert len(out) == 5
+    lg = np.vectorize(math.lgamma)
+    T = 10.0
+    la = np.linspace(math.log(1e-3), math.log(1e6), 1500)
+    lb = np.linspace(math.log(1e-5), math.log(1e6), 1500)
+    A, B = np.meshgrid(np.exp(la), np.exp(lb), indexing="ij")
+    for e in ("x", "y"):
+        ks = [(c, k) for (ee, c), k in counts.items() if ee == e]
+        lp = -np.log1p((A / 10) ** 2) - np.log1p((B / 10) ** 2) + np.log(A) + np.log(B)
+        for _, k in ks:
+            lp = lp + lg(A + k) - lg(A) - math.lgamma(k + 1) + A * np.log(B / (B + T)) + k * np.log(T / (B + T))
+        w = np.exp(lp - lp.max())
+        w /= w.sum()
+        for c, k in ks:
+            m = (w * (A + k) / (B + T)).sum()
+            assert out[(e, c)].mean == pytest.approx(m, rel=2e-3), (e, c)
+            assert out[(e, c)].n_events == k

@@ -164,8 +164,8 @@ def weibull_grid(df: DataFrame) -> tuple[DataFrame, dict]:
     return g, meta
 
 
-def weibull_posterior(df: DataFrame) -> DataFrame:
-    """Posterior summaries of alpha and beta (op P5)."""
+def weibull_marginals(df: DataFrame) -> tuple[DataFrame, dict]:
+    """Marginal grids of alpha and beta: (param, i, g_lo, g_dx, x, w, cdf, hmass)."""
     g, meta = weibull_grid(df)
     ma = (g.groupBy("ai").agg(F.sum("e").alias("m"))
           .withColumn("param", F.lit("alpha")).withColumnRenamed("ai", "i")
@@ -173,15 +173,37 @@ def weibull_posterior(df: DataFrame) -> DataFrame:
     mb = (g.groupBy("bj").agg(F.sum("e").alias("m"))
           .withColumn("param", F.lit("beta")).withColumnRenamed("bj", "i")
           .withColumn("g_lo", F.lit(meta["b_lo"])).withColumn("g_dx", F.lit(meta["db"])))
-    m = ma.unionByName(mb)
     from pyspark.sql import Window
     by = Window.partitionBy("param")
-    m = (m.withColumn("w", F.col("m") / F.sum("m").over(by))
-          .withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx"))
-          .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
-    m = weights_windows(m, ["param"])
+    m = (ma.unionByName(mb)
+         .withColumn("w", F.col("m") / F.sum("m").over(by))
+         .withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx"))
+         .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
+    return weights_windows(m, ["param"]), meta
+
+
+def weibull_posterior(df: DataFrame) -> DataFrame:
+    """Posterior summaries of alpha and beta (op P5)."""
+    m, meta = weibull_marginals(df)
     out = m.groupBy("param").agg(*grid_summary_aggs(with_moments=True)).drop("g_max", "g_z")
     return (out.withColumnRenamed("grid_mean", "mean").withColumnRenamed("grid_sd", "sd")
             .withColumn("n", F.lit(int(meta["n"])).cast("long"))
             .withColumn("r", F.lit(int(meta["r"])).cast("long"))
             .select("param", "n", "r", "mean", "sd", "median", "hdi_3", "hdi_97"))
+
+
+def weibull_traces_from(df: DataFrame, n_traces: int = 30, seed: int = 0) -> DataFrame:
+    """Sampled Weibull pdf traces and the constant-hazard reference (V5, V6).
+
+    alpha and beta are drawn independently from their marginals (as the
+    reference UI does), by inverse CDF on the marginal grids.
+    """
+    from bayes_ops.operators.draws import inverse_cdf, uniforms
+    from bayes_ops.operators.views import weibull_traces
+    m, _ = weibull_marginals(df)
+    m = m.cache()
+    params = m.select("param").distinct()
+    d = inverse_cdf(m, uniforms(params, ["param"], n_traces, seed), ["param"]).cache()
+    a = d.where(F.col("param") == "alpha").select("draw_id", "value")
+    b = d.where(F.col("param") == "beta").select("draw_id", "value")
+    return weibull_traces(a, b)

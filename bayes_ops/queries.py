@@ -479,3 +479,12 @@ def p11_hier_poisson_posterior(spark, sf_dir):
     """Cohort rates partially pooled within each event type."""
     from bayes_ops.plans.hier_poisson import hier_poisson_posterior
     return hier_poisson_posterior(AD.poisson_from_events(spark, sf_dir), EVENTS_START, EVENTS_END)
+
+
+@query("v5_weibull_traces")
+def v5_weibull_traces(spark, sf_dir):
+    """30 sampled Weibull pdfs from the posterior marginals plus the alpha = 1
+    reference trace at the median beta, 200 x points each (V5, V6, E2)."""
+    from bayes_ops.plans.weibull import weibull_traces_from
+    t = weibull_traces_from(AD.survival_from_lineitem(spark, sf_dir), 30, DRAW_SEED)
+    return t.select("draw_id", "k", "alpha", "beta", "x", "y", "reference")

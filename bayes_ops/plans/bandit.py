@@ -12,25 +12,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayes_ops.operators.grid import conjugate_summary, family_support, grid_posterior, GRID_N
-from bayes_ops.operators.suffstats import bandit_stats
+from bayes_ops.operators.suffstats import bandit_stats, bandit_stats_from_histogram
 
 LATTICE_N = 4000
 TINY = 1e-300
 
 
-def bandit_params(df: DataFrame, prior: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def bandit_params(df: DataFrame | None = None, prior: tuple[float, float] = (1.0, 1.0),
+                  hist: DataFrame | None = None) -> DataFrame:
+    """Per-arm Beta parameters from the pulls table, or from an already
+    aggregated (arm, reward, cnt) histogram (``hist``)."""
     a0, b0 = prior
-    st = bandit_stats(df)
+    st = bandit_stats_from_histogram(hist) if hist is not None else bandit_stats(df)
     return (st.withColumn("alpha", F.lit(float(a0)) + F.col("successes").cast("double"))
               .withColumn("beta", F.lit(float(b0)) + F.col("failures").cast("double"))
               .withColumn("est_prob", F.col("alpha") / (F.col("alpha") + F.col("beta")))
               .withColumn("expected_reward", F.col("est_prob") * F.col("magnitude")))
 
 
-def bandit_posterior(df: DataFrame) -> DataFrame:
+def bandit_posterior(df: DataFrame | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Per arm: pulls, successes, failures, magnitude, alpha, beta, est_prob,
     expected_reward and the summary of p (op P3)."""
-    params = bandit_params(df).withColumn("param", F.lit("p"))
+    params = bandit_params(df, hist=hist).withColumn("param", F.lit("p"))
     out = conjugate_summary(params, ["arm", "param"], "beta")
     return out.select("arm", "pulls", "successes", "failures", "magnitude", "alpha", "beta",
                       "est_prob", "expected_reward", "mean", "sd", "median", "hdi_3", "hdi_97")
@@ -94,17 +97,19 @@ def prob_best(params: DataFrame, n: int = GRID_N, lattice: int = LATTICE_N) -> D
     return out
 
 
-def bandit_with_prob_best(df: DataFrame) -> DataFrame:
+def bandit_with_prob_best(df: DataFrame | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Posterior table joined with prob_best (ops P3 + C3 + J1)."""
-    params = bandit_params(df)
+    from bayes_ops.operators.materialize import reliable_checkpoint
+    # one row per arm, referenced by several branches: materialise once
+    params = reliable_checkpoint(bandit_params(df, hist=hist))
     pb = prob_best(params)
     return (params.join(pb, "arm", "left")
             .select("arm", "pulls", "successes", "failures", "magnitude", "alpha", "beta",
                     "est_prob", "expected_reward", "prob_best"))
 
 
-def next_arm(df: DataFrame) -> DataFrame:
+def next_arm(df: DataFrame | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Arm with the highest prob_best, ties to the first arm by name."""
-    t = bandit_with_prob_best(df)
+    t = bandit_with_prob_best(df, hist=hist)
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("prob_best").desc(), F.col("arm"))
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == 1).drop("rank")

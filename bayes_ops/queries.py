@@ -71,21 +71,21 @@ def p1_bernoulli_labels_posterior(spark, sf_dir):
 def p3_bandit_posterior(spark, sf_dir):
     """Per-arm Beta posterior, magnitude, est_prob, expected_reward."""
     from bayes_ops.plans.bandit import bandit_posterior
-    return bandit_posterior(AD.bandit_from_lineitem(spark, sf_dir))
+    return bandit_posterior(hist=AD.bandit_histogram_from_lineitem(spark, sf_dir))
 
 
 @query("c3_bandit_prob_best")
 def c3_bandit_prob_best(spark, sf_dir):
     """Exact probability that each arm has the highest expected reward."""
     from bayes_ops.plans.bandit import bandit_with_prob_best
-    return bandit_with_prob_best(AD.bandit_from_lineitem(spark, sf_dir))
+    return bandit_with_prob_best(hist=AD.bandit_histogram_from_lineitem(spark, sf_dir))
 
 
 @query("c6_next_arm")
 def c6_next_arm(spark, sf_dir):
     """Recommended next arm: top prob_best, ties to the first arm."""
     from bayes_ops.plans.bandit import next_arm
-    return next_arm(AD.bandit_from_lineitem(spark, sf_dir))
+    return next_arm(hist=AD.bandit_histogram_from_lineitem(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- hazard
@@ -181,7 +181,7 @@ DRAW_SEED = 20240101
 def _bandit_params(spark, sf_dir):
     from bayes_ops.operators.materialize import reliable_checkpoint
     from bayes_ops.plans.bandit import bandit_params
-    return reliable_checkpoint(bandit_params(AD.bandit_from_lineitem(spark, sf_dir)))
+    return reliable_checkpoint(bandit_params(hist=AD.bandit_histogram_from_lineitem(spark, sf_dir)))
 
 
 @query("c4_bandit_draws")
@@ -309,7 +309,7 @@ def l3_rank_arms_by_mean(spark, sf_dir):
     """Arms ranked by posterior mean of p, ascending (L3)."""
     from bayes_ops.operators.listing import rank_by
     from bayes_ops.plans.bandit import bandit_posterior
-    t = bandit_posterior(AD.bandit_from_lineitem(spark, sf_dir)).select("arm", "mean")
+    t = bandit_posterior(hist=AD.bandit_histogram_from_lineitem(spark, sf_dir)).select("arm", "mean")
     return rank_by(t, [F.col("mean"), F.col("arm")])
 
 

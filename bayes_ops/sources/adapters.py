@@ -85,6 +85,26 @@ def bandit_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def bandit_histogram_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(arm, reward, cnt) histogram of the bandit table, aggregated before the join.
+
+    The bandit model needs only (arm, reward) counts, and reward depends on
+    (part, returned) alone: lineitem is reduced to one row per (part key,
+    returned) map-side first, so the join with ``part`` moves at most two rows
+    per part instead of every line item (a hot part key collapses in the
+    partial aggregate).  Equal to ``reward_histogram(bandit_from_lineitem)``.
+    """
+    li = (read_table(spark, sf_dir, "lineitem")
+          .select("l_partkey", (F.col("l_returnflag") == "R").alias("is_r"))
+          .groupBy("l_partkey", "is_r").agg(F.count(F.lit(1)).alias("cnt")))
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    j = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    reward = F.when(F.col("is_r"), brand_magnitude(F.col("p_brand"))).otherwise(F.lit(0.0))
+    return (j.select(F.col("p_brand").alias("arm"), reward.alias("reward"), "cnt")
+            .where(F.col("arm").isNotNull())
+            .groupBy("arm", "reward").agg(F.sum("cnt").cast("long").alias("cnt")))
+
+
 def survival_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     return prepare_cohort(li, None, {

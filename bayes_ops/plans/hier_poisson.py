@@ -16,8 +16,9 @@ in m when a is large and diffuse when a is small).  Each cohort's rate
 posterior is then the weighted mixture of Gamma(a + k_c, b + T_c).
 
 Data enter through one aggregation: k per (event type, cohort).  All sums
-over cohorts are groupBy on the node index; ranges per (event type, row) are
-small grid parameters kept in a DataFrame joined on its keys.
+over cohorts are groupBy on the node index; the zoom ranges per (event type,
+row) live in a checkpointed DataFrame joined on its keys, so the number of
+pooling groups is not limited by the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayes_ops.functions.densities import log_half_cauchy
@@ -66,73 +67,73 @@ def _nodes(stats: DataFrame, ranges: DataFrame, n_rows: int, n_cols: int) -> Dat
                           + F.col("la") + F.log(b))
 
 
-def _ranges_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, "g string, ki int, la double, m_lo double, m_hi double")
+def _zoom_step(state: DataFrame, res: DataFrame, keys: list[str], lo: str, hi: str,
+               lo_min: float, hi_max: float) -> DataFrame:
+    """New [lo, hi] per key from one pass's weighted extents (i0, i1, m, m2).
 
-
-def locate(spark: SparkSession, stats: DataFrame, groups: list[str], max_passes: int = 12):
-    """Per group: a log-shape range, then a log-mean range per shape row."""
-    la_rng = {g: (LA_MIN, LA_MAX) for g in groups}
-    done = {g: False for g in groups}
+    Keeps the cells with mass > 1e-12 plus one on each side; a key is done
+    once its marginal sd spans two cells.  Pure column expressions.
+    """
+    d = (F.col(hi) - F.col(lo)) / F.lit(float(ZOOM_N))
+    sd = F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(0.0)))
+    j = state.join(res, keys, "left")
+    upd = ~F.col("done") & F.col("i0").isNotNull()
+    new_lo = F.greatest(F.lit(lo_min), F.col(lo) + (F.col("i0") - 1) * d)
+    new_hi = F.least(F.lit(hi_max), F.col(lo) + (F.col("i1") + 2) * d)
+    return (j.select(*keys, *[c for c in state.columns if c not in keys + [lo, hi, "done"]],
+                     F.when(upd, new_lo).otherwise(F.col(lo)).alias(lo),
+                     F.when(upd, new_hi).otherwise(F.col(hi)).alias(hi),
+                     (F.col("done") | (upd & (sd >= F.lit(2.0) * d))).alias("done")))
+
+
+def locate(stats: DataFrame, max_passes: int = 12) -> DataFrame:
+    """Zoomed grid ranges per (g, ki): (g, ki, la, m_lo, m_hi).
+
+    Phase 1 narrows the log-shape range of each pooling group, phase 2 the
+    log-mean range of each log-shape row.  The zoom state is a DataFrame
+    (one row per group, then per group and row) updated by a join with the
+    pass's aggregated extents and checkpointed each pass, so nothing per
+    group passes through the driver; the driver only counts unfinished rows.
+    """
+    from bayes_ops.operators.materialize import reliable_checkpoint
     by_g = Window.partitionBy("g")
+    state = reliable_checkpoint(stats.select("g").distinct()
+                                .withColumn("la_lo", F.lit(LA_MIN)).withColumn("la_hi", F.lit(LA_MAX))
+                                .withColumn("done", F.lit(False)))
     for _ in range(max_passes):
-        rows = []
-        for g in groups:
-            lo, hi = la_rng[g]
-            d = (hi - lo) / ZOOM_N
-            rows += [(g, i, lo + (i + 0.5) * d, LM_MIN, LM_MAX) for i in range(ZOOM_N)]
-        nodes = _nodes(stats, _ranges_frame(spark, rows), ZOOM_N, ZOOM_N)
+        rows = (state.withColumn("ki", F.explode(F.sequence(F.lit(0), F.lit(ZOOM_N - 1))))
+                .withColumn("la", F.col("la_lo") + (F.col("ki") + F.lit(0.5))
+                            * (F.col("la_hi") - F.col("la_lo")) / F.lit(float(ZOOM_N)))
+                .select("g", "ki", "la", F.lit(LM_MIN).alias("m_lo"), F.lit(LM_MAX).alias("m_hi")))
+        nodes = _nodes(stats, rows, ZOOM_N, ZOOM_N)
         nodes = (nodes.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(by_g)))
                  .withColumn("w", F.col("e") / F.sum("e").over(by_g)))
         heavy = F.col("w") > F.lit(1e-12)
         res = nodes.groupBy("g").agg(
             F.sum(F.col("w") * F.col("la")).alias("m"), F.sum(F.col("w") * F.col("la") ** 2).alias("m2"),
-            F.min(F.when(heavy, F.col("ki"))).alias("k0"), F.max(F.when(heavy, F.col("ki"))).alias("k1")).collect()
-        for r in res:
-            g = r["g"]
-            if done[g]:
-                continue
-            lo, hi = la_rng[g]
-            d = (hi - lo) / ZOOM_N
-            sd = math.sqrt(max(r["m2"] - r["m"] ** 2, 0.0))
-            la_rng[g] = (max(LA_MIN, lo + (r["k0"] - 1) * d), min(LA_MAX, lo + (r["k1"] + 2) * d))
-            done[g] = sd >= 2 * d
-        if all(done.values()):
+            F.min(F.when(heavy, F.col("ki"))).alias("i0"), F.max(F.when(heavy, F.col("ki"))).alias("i1"))
+        state = reliable_checkpoint(_zoom_step(state, res, ["g"], "la_lo", "la_hi", LA_MIN, LA_MAX))
+        if state.where(~F.col("done")).count() == 0:
             break
-    # per-row log-mean ranges
-    m_rng = {(g, i): (LM_MIN, LM_MAX) for g in groups for i in range(FINAL_N)}
-    row_done = {key: False for key in m_rng}
     by_row = Window.partitionBy("g", "ki")
+    rows = reliable_checkpoint(
+        state.withColumn("ki", F.explode(F.sequence(F.lit(0), F.lit(FINAL_N - 1))))
+        .withColumn("la", F.col("la_lo") + (F.col("ki") + F.lit(0.5))
+                    * (F.col("la_hi") - F.col("la_lo")) / F.lit(float(FINAL_N)))
+        .select("g", "ki", "la", F.lit(LM_MIN).alias("m_lo"), F.lit(LM_MAX).alias("m_hi"),
+                F.lit(False).alias("done")))
     for _ in range(max_passes):
-        rows = []
-        for g in groups:
-            lo, hi = la_rng[g]
-            d = (hi - lo) / FINAL_N
-            rows += [(g, i, lo + (i + 0.5) * d, *m_rng[(g, i)]) for i in range(FINAL_N)]
-        nodes = _nodes(stats, _ranges_frame(spark, rows), FINAL_N, ZOOM_N)
+        nodes = _nodes(stats, rows.drop("done"), FINAL_N, ZOOM_N)
         nodes = (nodes.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(by_row)))
                  .withColumn("w", F.col("e") / F.sum("e").over(by_row)))
         heavy = F.col("w") > F.lit(1e-12)
         res = nodes.groupBy("g", "ki").agg(
             F.sum(F.col("w") * F.col("lm")).alias("m"), F.sum(F.col("w") * F.col("lm") ** 2).alias("m2"),
-            F.min(F.when(heavy, F.col("mi"))).alias("i0"), F.max(F.when(heavy, F.col("mi"))).alias("i1")).collect()
-        for r in res:
-            key = (r["g"], r["ki"])
-            if row_done[key]:
-                continue
-            lo, hi = m_rng[key]
-            d = (hi - lo) / ZOOM_N
-            sd = math.sqrt(max(r["m2"] - r["m"] ** 2, 0.0))
-            m_rng[key] = (max(LM_MIN, lo + (r["i0"] - 1) * d), min(LM_MAX, lo + (r["i1"] + 2) * d))
-            row_done[key] = sd >= 2 * d
-        if all(row_done.values()):
+            F.min(F.when(heavy, F.col("mi"))).alias("i0"), F.max(F.when(heavy, F.col("mi"))).alias("i1"))
+        rows = reliable_checkpoint(_zoom_step(rows, res, ["g", "ki"], "m_lo", "m_hi", LM_MIN, LM_MAX))
+        if rows.where(~F.col("done")).count() == 0:
             break
-    final = []
-    for g in groups:
-        lo, hi = la_rng[g]
-        d = (hi - lo) / FINAL_N
-        final += [(g, i, lo + (i + 0.5) * d, *m_rng[(g, i)]) for i in range(FINAL_N)]
-    return final, la_rng
+    return rows.select("g", "ki", "la", "m_lo", "m_hi")
 
 
 def hier_poisson_posterior(df: DataFrame, start, end, pool_by: str = "event_type",
@@ -144,7 +145,6 @@ def hier_poisson_posterior(df: DataFrame, start, end, pool_by: str = "event_type
     no event in the window as k = 0; by default only observed pairs pool,
     as with the plain Poisson plan.
     """
-    spark = df.sparkSession
     T = window_exposure(start, end, unit, population)
     counts = (flt.apply(df, flt.time_window(start, end)).groupBy(pool_by, unit_by)
               .agg(F.count(F.lit(1)).alias("k")))
@@ -154,9 +154,8 @@ def hier_poisson_posterior(df: DataFrame, start, end, pool_by: str = "event_type
     stats = (counts.select(F.col(pool_by).cast("string").alias("g"), F.col(unit_by).alias("unit"), "k")
              .withColumn("T", F.lit(float(T))).cache())
     try:
-        groups = [r["g"] for r in stats.select("g").distinct().collect()]  # one name per event type
-        final, _ = locate(spark, stats, groups)
-        nodes = _nodes(stats, _ranges_frame(spark, final), FINAL_N, FINAL_N)
+        final = locate(stats)
+        nodes = _nodes(stats, final, FINAL_N, FINAL_N)
         by_g = Window.partitionBy("g")
         hyper = (nodes.withColumn("hw", F.exp(F.col("lp") - F.max("lp").over(by_g)) * F.col("dm"))
                  .withColumn("hw", F.col("hw") / F.sum("hw").over(by_g))

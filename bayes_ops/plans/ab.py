@@ -114,8 +114,9 @@ def locate(stats: DataFrame, max_passes: int = 12) -> tuple[float, float, list[f
             sd = math.sqrt(max(r["m2"] - r["m"] ** 2, 0.0))
             lo = max(0.0, mu_lo[k] + (r["i0"] - 1) * dm)
             hi = min(1.0, mu_lo[k] + (r["i1"] + 2) * dm)
+            # resolved, or no longer narrowing (mass reaching the domain edge)
+            done[k] = sd >= 2 * dm or (hi - lo) > 0.9 * (mu_hi[k] - mu_lo[k])
             mu_lo[k], mu_hi[k] = lo, hi
-            done[k] = sd >= 2 * dm
         if all(done):
             break
     return lk_lo, lk_hi, mu_lo, mu_hi

@@ -72,7 +72,8 @@ def _zoom_step(state: DataFrame, res: DataFrame, keys: list[str], lo: str, hi: s
     """New [lo, hi] per key from one pass's weighted extents (i0, i1, m, m2).
 
     Keeps the cells with mass > 1e-12 plus one on each side; a key is done
-    once its marginal sd spans two cells.  Pure column expressions.
+    once its marginal sd spans two cells, or when a pass no longer narrows
+    the range by 10 % (mass reaching a domain edge).  Column expressions only.
     """
     d = (F.col(hi) - F.col(lo)) / F.lit(float(ZOOM_N))
     sd = F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(0.0)))
@@ -83,7 +84,9 @@ def _zoom_step(state: DataFrame, res: DataFrame, keys: list[str], lo: str, hi: s
     return (j.select(*keys, *[c for c in state.columns if c not in keys + [lo, hi, "done"]],
                      F.when(upd, new_lo).otherwise(F.col(lo)).alias(lo),
                      F.when(upd, new_hi).otherwise(F.col(hi)).alias(hi),
-                     (F.col("done") | (upd & (sd >= F.lit(2.0) * d))).alias("done")))
+                     (F.col("done") | (upd & ((sd >= F.lit(2.0) * d)
+                                              | (new_hi - new_lo > F.lit(0.9) * (F.col(hi) - F.col(lo))))))
+                     .alias("done")))
 
 
 def locate(stats: DataFrame, max_passes: int = 12) -> DataFrame:

@@ -138,3 +138,12 @@ def time_extent(df: DataFrame, col: str = "timestamp") -> DataFrame:
 def row_count(df: DataFrame) -> DataFrame:
     """Total row count as a one-row frame (ops A10, A11)."""
     return df.agg(F.count(F.lit(1)).alias("total_count"))
+
+
+def pull_outcomes(df: DataFrame) -> DataFrame:
+    """Each pull labelled success when its reward equals the arm's magnitude
+    (op J2, the row-level form of A4).  The per-arm magnitude table is joined
+    by a plain equi-join: AQE broadcasts it when small (one row per arm)."""
+    mags = arm_magnitudes(df)
+    return (df.join(mags, "arm", "left")
+            .withColumn("outcome", F.coalesce(F.col("reward") == F.col("magnitude"), F.lit(False)).cast("long")))

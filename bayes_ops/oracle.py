@@ -472,3 +472,10 @@ params AS (SELECT strftime(ws, {ISO}) AS window_start, cohort, n_events, {d(1)}
 {conjugate_summary_ctes('params', ['window_start', 'cohort', 'param'], 'gamma')}
 {final_select(['window_start', 'cohort', 'n_events', 'exposure', 'alpha', 'beta', 'mean', 'sd', 'median',
                'hdi_3', 'hdi_97'], SUMMARY_DOUBLES, 'cs')}"""
+
+ORACLE["j2_pull_outcomes"] = f"""WITH {MAB},
+mg AS (SELECT arm, max(reward) AS magnitude FROM mab WHERE reward > 0 GROUP BY arm),
+o AS (SELECT m.arm, g.magnitude, CAST(coalesce(m.reward = g.magnitude, false) AS BIGINT) AS outcome
+      FROM mab m LEFT JOIN mg g ON m.arm = g.arm)
+SELECT arm, any_value(magnitude) AS magnitude, count(*) AS pulls, CAST(sum(outcome) AS BIGINT) AS successes
+FROM o GROUP BY arm"""

@@ -488,3 +488,12 @@ def v5_weibull_traces(spark, sf_dir):
     from bayes_ops.plans.weibull import weibull_traces_from
     t = weibull_traces_from(AD.survival_from_lineitem(spark, sf_dir), 30, DRAW_SEED)
     return t.select("draw_id", "k", "alpha", "beta", "x", "y", "reference")
+
+
+@query("j2_pull_outcomes")
+def j2_pull_outcomes(spark, sf_dir):
+    """Row-level success labels via the magnitude lookup join, summed per arm."""
+    from bayes_ops.operators.suffstats import pull_outcomes
+    o = pull_outcomes(AD.bandit_from_lineitem(spark, sf_dir))
+    return o.groupBy("arm").agg(F.first("magnitude", ignorenulls=True).alias("magnitude"),
+                                F.count(F.lit(1)).alias("pulls"), F.sum("outcome").alias("successes"))

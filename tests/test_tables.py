@@ -135,3 +135,24 @@ def test_json_and_csv_batches(spark, workdir):
         f.write("timestamp,cohort,event_type\n2025-01-01T00:00:00Z,A,signup\n2025-01-01T00:03:10Z,A,signup\n")
     good, bad = split(read_csv_batch(spark, cp), "poisson-cohorts")
     assert good.count() == 2 and bad.count() == 0
+
+
+def test_register_new_kind(spark, workdir):
+    """A new kind plugs into validation, the registry and posterior()."""
+    from pyspark.sql import types as T
+    from bayes_ops import kinds
+
+    def fit(df, **_):
+        # Normal mean with unit variance and a flat prior: N(sum y / n, 1 / n).
+        st = df.agg(F.count("y").alias("n"), F.sum("y").alias("s")).withColumn("param", F.lit("mu"))
+        return st.select("param", (F.col("s") / F.col("n")).alias("mean"),
+                         (F.lit(1.0) / F.sqrt(F.col("n"))).alias("sd"))
+    kinds.register_kind("normal-mean", [("y", T.DoubleType())], fit)
+    root = os.path.join(workdir, "lake")
+    data = spark.createDataFrame([("1.0",), ("3.0",), ("oops",)], "y string")
+    with pytest.raises(ValueError):  # the bad row is rejected by the kind's schema
+        R.create_experiment(spark, root, "m", "normal-mean", "M", data)
+    R.create_experiment(spark, root, "m", "normal-mean", "M", data.where("y <> 'oops'"))
+    r = kinds.posterior("normal-mean", R.read_experiment(spark, root, "m", "normal-mean")).first()
+    assert (r.mean, r.sd) == (2.0, pytest.approx(2 ** -0.5))
+    assert "poisson-cohorts" in kinds.kinds()

@@ -44,11 +44,31 @@ def inspect(df: DataFrame, start=None, end=None, limit: int = 100, offset: int =
 
 
 def trial_sequence(df: DataFrame, key: str = "variant", value: str = "outcome") -> DataFrame:
-    """Trial index and running successes within each group (op N7)."""
-    order = Window.partitionBy(key).orderBy(*deterministic_order(df.drop(key)))
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (df.withColumn("seq", F.row_number().over(order))
-            .withColumn("cum_successes", F.sum(F.col(value).cast("long")).over(running)))
+    """Trial index and running successes within each group (op N7), skew-safe.
+
+    A plain window over ``partitionBy(key)`` would sort a whole group in one
+    task.  Instead the rows are range-partitioned on (key, order) -- the range
+    bounds split a hot group over many tasks -- then numbered inside each
+    (partition, key) block, and each block adds the counts and successes of
+    the same key's blocks in earlier partitions (a small table: at most
+    #partitions + #keys rows).
+    """
+    order = [c for c in deterministic_order(df.drop(key))]
+    ranged = df.repartitionByRange(F.col(key), *order).withColumn("_pid", F.spark_partition_id())
+    blk = Window.partitionBy("_pid", key).orderBy(*order)
+    run = blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (ranged.withColumn("_n", F.row_number().over(blk))
+             .withColumn("_s", F.sum(F.col(value).cast("long")).over(run)))
+    sizes = ranged.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("b_n"),
+                                            F.sum(F.col(value).cast("long")).alias("b_s"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sizes.withColumn("o_n", F.coalesce(F.sum("b_n").over(before), F.lit(0)))
+               .withColumn("o_s", F.coalesce(F.sum("b_s").over(before), F.lit(0)))
+               .select("_pid", key, "o_n", "o_s"))
+    out = local.join(offsets, ["_pid", key])
+    return (out.withColumn("seq", (F.col("o_n") + F.col("_n")).cast("int"))
+            .withColumn("cum_successes", (F.col("o_s") + F.col("_s")).cast("long"))
+            .drop("_pid", "_n", "_s", "o_n", "o_s"))
 
 
 def rank_by(df: DataFrame, cols: Sequence, name: str = "rank") -> DataFrame:

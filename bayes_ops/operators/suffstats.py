@@ -42,17 +42,16 @@ def bandit_stats_from_histogram(hist: DataFrame) -> DataFrame:
     """Per arm: pulls, magnitude = max positive reward, successes = pulls
     paying exactly the magnitude, failures (ops A3, A4, J2).
 
-    The histogram is small (arms x distinct rewards); the magnitude is joined
-    back through a window over the arm partition of that small table.
+    One aggregation over the (arm, reward) histogram: the count at the
+    largest positive reward is ``max_by(cnt, reward)`` (NULL orderings, i.e.
+    non-positive rewards, are skipped).  Algebraic, so a hot arm is reduced
+    map-side even when rewards are continuous and the histogram is large.
     """
-    from pyspark.sql import Window
-    by_arm = Window.partitionBy("arm")
-    h = hist.withColumn("magnitude", F.max(F.when(F.col("reward") > 0, F.col("reward"))).over(by_arm))
-    return (h.groupBy("arm").agg(
+    pos = F.when(F.col("reward") > 0, F.col("reward"))
+    return (hist.groupBy("arm").agg(
         F.sum("cnt").cast("long").alias("pulls"),
-        F.first("magnitude", ignorenulls=True).alias("magnitude"),
-        F.sum(F.when(F.coalesce(F.col("reward") == F.col("magnitude"), F.lit(False)),
-                     F.col("cnt")).otherwise(F.lit(0))).cast("long").alias("successes"))
+        F.max(pos).alias("magnitude"),
+        F.coalesce(F.max_by("cnt", pos), F.lit(0)).cast("long").alias("successes"))
         .withColumn("failures", F.col("pulls") - F.col("successes")))
 
 

@@ -93,3 +93,24 @@ def test_hot_key_is_reduced_map_side(spark, capsys):
     assert partial and shuffle and min(partial) < min(shuffle)
     got = {r.cohort: r.n_events for r in out.collect()}
     assert got["hot"] == n // 3 and sum(got.values()) == n
+
+
+def test_trial_sequence_splits_hot_group(spark):
+    """N7 numbering with a variant holding a third of the rows spread over
+    several range partitions equals a single-window numbering."""
+    from pyspark.sql import Window
+    from bayes_ops.operators.listing import trial_sequence
+    n = 6000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), (F.col("id") % 7).cast("string")))
+        .alias("variant"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % 100003).alias("timestamp"),
+        ((F.col("id") * 31) % 5 == 0).cast("long").alias("outcome"))
+    got = trial_sequence(df)
+    parts = got.where(F.col("variant") == "hot").select(F.spark_partition_id()).distinct().count()
+    w = Window.partitionBy("variant").orderBy("timestamp", "outcome")
+    want = (df.withColumn("seq", F.row_number().over(w))
+            .withColumn("cum_successes", F.sum("outcome").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    cols = ["variant", "seq", "timestamp", "outcome", "cum_successes"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    assert parts >= 1

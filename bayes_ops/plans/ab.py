@@ -160,12 +160,14 @@ def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int
         F.sum(F.col("hw") * m1).alias("mean"), F.sum(F.col("hw") * m2).alias("m2"))
     moments = moments.withColumn("sd", F.sqrt(F.greatest(F.col("m2") - F.col("mean") ** 2, F.lit(0.0)))).drop("m2")
     # mixture density on p cells: sum_g hw_g Beta(p; a_g, b_g)
+    # the Beta normaliser depends on (variant, node) only: computed before the cells
+    vn = vn.withColumn("lnorm", -log_beta_fn(F.col("a"), F.col("b")))
     cells = (vn.withColumn("g_dx", (F.col("p_hi") - F.col("p_lo")) / F.lit(float(p_cells)))
              .withColumnRenamed("p_lo", "g_lo")
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(p_cells - 1))))
              .withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx")))
     x = F.col("x")
-    logpdf = ((F.col("a") - 1) * F.log(x) + (F.col("b") - 1) * F.log1p(-x) - log_beta_fn(F.col("a"), F.col("b")))
+    logpdf = (F.col("a") - 1) * F.log(x) + (F.col("b") - 1) * F.log1p(-x) + F.col("lnorm")
     dens = (cells.withColumn("f", F.col("hw") * F.exp(logpdf))
             .groupBy("variant", "i").agg(F.sum("f").alias("f"), F.first("g_lo").alias("g_lo"),
                                          F.first("g_dx").alias("g_dx"), F.first("x").alias("x")))

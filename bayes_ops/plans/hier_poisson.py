@@ -188,12 +188,13 @@ def _mixtures(stats: DataFrame, hyper: DataFrame, cells: int) -> DataFrame:
     moments = x.groupBy("g", "unit").agg(
         F.first("k").alias("n_events"), F.sum(F.col("hw") * m1).alias("mean"), F.sum(F.col("hw") * m2).alias("m2"))
     moments = moments.withColumn("sd", F.sqrt(F.greatest(F.col("m2") - F.col("mean") ** 2, F.lit(0.0)))).drop("m2")
+    # the Gamma normaliser depends on (unit, node) only: computed before the cells
+    x = x.withColumn("lnorm", F.col("ca") * F.log(F.col("cb")) - lgamma(F.col("ca")))
     c = (x.withColumn("g_dx", (F.col("x_hi") - F.col("x_lo")) / F.lit(float(cells)))
          .withColumnRenamed("x_lo", "g_lo")
          .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
          .withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx")))
-    logpdf = ((F.col("ca") - 1) * F.log(F.col("x")) - F.col("cb") * F.col("x")
-              + F.col("ca") * F.log(F.col("cb")) - lgamma(F.col("ca")))
+    logpdf = (F.col("ca") - 1) * F.log(F.col("x")) - F.col("cb") * F.col("x") + F.col("lnorm")
     dens = (c.withColumn("f", F.col("hw") * F.exp(logpdf))
             .groupBy("g", "unit", "i").agg(F.sum("f").alias("f"), F.first("g_lo").alias("g_lo"),
                                            F.first("g_dx").alias("g_dx"), F.first("x").alias("x")))

@@ -479,3 +479,31 @@ o AS (SELECT m.arm, g.magnitude, CAST(coalesce(m.reward = g.magnitude, false) AS
       FROM mab m LEFT JOIN mg g ON m.arm = g.arm)
 SELECT arm, any_value(magnitude) AS magnitude, count(*) AS pulls, CAST(sum(outcome) AS BIGINT) AS successes
 FROM o GROUP BY arm"""
+
+ORACLE["p7_bernoulli_curve"] = f"""WITH {_bern_params(BE, 'be')},
+{conjugate_curve_ctes('params', ['param'], 'beta')}
+{final_select(['param', 'j', 'x', 'y'], ['x', 'y'], 'cc')}"""
+
+
+def _cdf_sql() -> str:
+    from bayes_ops.sqlcheck import family_sql, grid_ctes
+    f = family_sql("gamma")
+    return f"""WITH {_poisson_params(['cohort'])},
+p2 AS (SELECT cohort, param, alpha, beta FROM params),
+{grid_ctes('p2', ['cohort', 'param'], f['lo'], f['hi'], f['logp'], name='cg')},
+res AS (SELECT cohort, CAST(i AS INTEGER) AS i, x, w, cdf FROM cg3)
+{final_select(['cohort', 'i', 'x', 'w', 'cdf'], ['x', 'w', 'cdf'], 'res')}"""
+
+
+ORACLE["n3_posterior_cdf"] = _cdf_sql()
+
+ORACLE["e9_parse_timestamps"] = f"""WITH
+t AS (SELECT event_type, CAST(ts AS TIMESTAMP) AS t FROM events),
+txt AS (SELECT event_type, epoch_us(t) // 1000000 AS unix_s, strftime(t, '%Y-%m-%dT%H:%M:%S') AS iso,
+        strftime(t, '%Y-%m-%d') AS day, strftime(t, '%Y%m%d') AS compact FROM t),
+p AS (SELECT event_type, make_timestamp(unix_s * 1000000) AS pu, strptime(iso, '%Y-%m-%dT%H:%M:%S') AS pi,
+      strptime(day, '%Y-%m-%d') AS pd, make_timestamp(CAST(compact AS BIGINT) * 1000000) AS pc FROM txt)
+SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN pu = pi THEN 1 ELSE 0 END) AS BIGINT) AS n_unix_eq_iso,
+  CAST(sum(CASE WHEN pc IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_compact_as_unix,
+  strftime(min(pd), {ISO}) AS min_day, strftime(max(pd), {ISO}) AS max_day
+FROM p GROUP BY event_type"""

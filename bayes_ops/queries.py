@@ -497,3 +497,43 @@ def j2_pull_outcomes(spark, sf_dir):
     o = pull_outcomes(AD.bandit_from_lineitem(spark, sf_dir))
     return o.groupBy("arm").agg(F.first("magnitude", ignorenulls=True).alias("magnitude"),
                                 F.count(F.lit(1)).alias("pulls"), F.sum("outcome").alias("successes"))
+
+
+@query("p7_bernoulli_curve")
+def p7_bernoulli_curve(spark, sf_dir):
+    """200-point Beta posterior density of the purchase probability."""
+    from bayes_ops.plans.bernoulli import bernoulli_curve
+    return bernoulli_curve(AD.bernoulli_from_events(spark, sf_dir))
+
+
+@query("n3_posterior_cdf")
+def n3_posterior_cdf(spark, sf_dir):
+    """Posterior CDF of each cohort's rate on its 2000-cell grid."""
+    from bayes_ops.operators.grid import family_support, grid_posterior
+    from bayes_ops.plans.poisson import poisson_params
+    p = poisson_params(AD.poisson_from_events(spark, sf_dir), EVENTS_START, EVENTS_END, group_by=["cohort"])
+    lo, hi, logp = family_support("gamma", F.col("alpha"), F.col("beta"))
+    g = grid_posterior(p.select("cohort", "param", "alpha", "beta"), ["cohort", "param"], lo, hi, logp)
+    return g.select("cohort", "i", "x", "w", "cdf")
+
+
+@query("e9_parse_timestamps")
+def e9_parse_timestamps(spark, sf_dir):
+    """Timestamp parsing of text forms of events.ts (E9, E11): Unix seconds and
+    ISO text agree; a bare yyyyMMdd is read as a Unix number first."""
+    from bayes_ops.functions.timefmt import iso_format, parse_timestamp
+    ev = AD.read_table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("t"))
+    txt = ev.select("event_type",
+                    F.unix_seconds("t").cast("string").alias("unix"),
+                    F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
+                    F.date_format("t", "yyyy-MM-dd").alias("day"),
+                    F.date_format("t", "yyyyMMdd").alias("compact"))
+    p = txt.select("event_type", parse_timestamp(F.col("unix")).alias("pu"), parse_timestamp(F.col("iso")).alias("pi"),
+                   parse_timestamp(F.col("day")).alias("pd"), parse_timestamp(F.col("compact")).alias("pc"),
+                   "compact")
+    return p.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("pu") == F.col("pi"), 1).otherwise(0)).cast("long").alias("n_unix_eq_iso"),
+        F.sum(F.when(F.col("pc") == F.timestamp_seconds(F.col("compact").cast("long")), 1).otherwise(0))
+        .cast("long").alias("n_compact_as_unix"),
+        iso_format(F.min("pd")).alias("min_day"), iso_format(F.max("pd")).alias("max_day"))

@@ -11,7 +11,6 @@ Each window partition holds one group's grid plus its draws.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bayes_ops.operators.filters import observed_flag, positive
+
 
 def bernoulli_stats(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """successes, trials (NULL outcomes counted in n_dropped) (ops A1/A2)."""
@@ -47,7 +49,7 @@ def bandit_stats_from_histogram(hist: DataFrame) -> DataFrame:
     non-positive rewards, are skipped).  Algebraic, so a hot arm is reduced
     map-side even when rewards are continuous and the histogram is large.
     """
-    pos = F.when(F.col("reward") > 0, F.col("reward"))
+    pos = F.when(positive("reward"), F.col("reward"))
     return (hist.groupBy("arm").agg(
         F.sum("cnt").cast("long").alias("pulls"),
         F.max(pos).alias("magnitude"),
@@ -61,7 +63,7 @@ def bandit_stats(df: DataFrame) -> DataFrame:
 
 def arm_magnitudes(df: DataFrame) -> DataFrame:
     """Arm -> max positive reward (op A3); arms that never pay are absent."""
-    return (df.where(F.col("reward") > 0).groupBy("arm")
+    return (df.where(positive("reward")).groupBy("arm")
             .agg(F.max("reward").alias("magnitude")))
 
 
@@ -100,7 +102,7 @@ def survival_basic(df: DataFrame) -> DataFrame:
     valid = t.isNotNull() & obs.isNotNull()
     return df.where(valid).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(obs, 1).otherwise(0)).cast("long").alias("r"),
+        F.sum(observed_flag()).cast("long").alias("r"),
         F.sum(F.when(obs, F.log(t))).alias("sum_log_t_obs"),
         F.max(t).alias("max_t"),
         F.min(t).alias("min_t"),

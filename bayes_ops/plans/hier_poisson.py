@@ -24,7 +24,6 @@ pooling groups is not limited by the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

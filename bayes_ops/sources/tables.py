@@ -1,4 +1,7 @@
-"""Readers for experiment tables and files (ops S1-S4)."""
+"""Readers for experiment tables and Parquet files (ops S1, S2, F8).
+
+JSON and CSV event batches are read by ``sources.ingest`` (S3, S4).
+"""
 
 from __future__ import annotations
 
@@ -46,19 +49,3 @@ def conform(df: DataFrame, kind: str) -> DataFrame:
     if kind == "poisson-cohorts" and "exposure" in existing:
         cols.append(F.col("exposure").try_cast("double").alias("exposure"))
     return df.select(*cols)
-
-
-def read_json_events(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A JSON array (or JSON lines) of events, typed by kind (op S3)."""
-    raw = (spark.read.option("multiLine", True)
-           .option("mode", "PERMISSIVE").json(path))
-    return raw
-
-
-def read_csv_events(spark: SparkSession, path: str) -> DataFrame:
-    """CSV of events with a header line; all columns read as strings (op S4).
-
-    Typing happens in validation (op W3) so that bad values become rejected
-    rows with a reason instead of a failed job.
-    """
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)

@@ -3,7 +3,6 @@
 import os
 import shutil
 
-import pytest
 from pyspark.sql import functions as F
 
 from bayes_ops.sources import adapters as AD

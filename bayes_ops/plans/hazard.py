@@ -45,14 +45,26 @@ def boundaries_frame(df: DataFrame, num_bins: int = 10, approx: bool = False,
 
 def compute_boundaries(df: DataFrame, num_bins: int = 10, approx: bool = False
                        ) -> tuple[list[float], float | None]:
-    """(num_bins - 1 boundaries, max duration); bounded by num_bins."""
-    row = boundaries_frame(df, num_bins, approx).first()
+    """(num_bins - 1 boundaries, max duration); bounded by num_bins.
+
+    Exact percentiles are computed by ``operators.quantiles`` (distributed:
+    no task holds more than one range partition of the distinct durations);
+    ``approx`` uses percentile_approx instead.
+    """
+    from bayes_ops.operators.quantiles import exact_percentiles
+    v = _valid(df)
+    row = v.agg(F.sum(F.when(F.col("observed"), 1).otherwise(0)).cast("long").alias("failures"),
+                F.max("duration").alias("max_t")).first()
     failures = row["failures"] or 0
     max_t = row["max_t"]
     if failures < num_bins:
         top = max_t if max_t is not None else 1.0
         return [top * k / num_bins for k in range(1, num_bins)], max_t
-    return [float(v) for v in row["pct"]], max_t
+    fracs = [k / num_bins for k in range(1, num_bins)]
+    if approx:
+        pct = boundaries_frame(df, num_bins, approx=True).first()["pct"]
+        return [float(x) for x in pct], max_t
+    return [float(x) for x in exact_percentiles(v.where(F.col("observed")), "duration", fracs)], max_t
 
 
 def interval_index(t: Column, bounds: list[float]) -> Column:

@@ -114,3 +114,14 @@ def test_trial_sequence_splits_hot_group(spark):
     cols = ["variant", "seq", "timestamp", "outcome", "cum_successes"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
     assert parts >= 1
+
+
+@SETTINGS
+@given(vals=st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=300),
+       probs=st.lists(st.floats(0.0, 1.0), min_size=1, max_size=6), parts=st.integers(1, 6))
+def test_exact_percentiles_match_numpy(spark, vals, probs, parts):
+    from bayes_ops.operators.quantiles import exact_percentiles
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(parts)
+    got = exact_percentiles(df, "x", probs)
+    want = np.percentile(np.array(vals), [p * 100 for p in probs])
+    assert np.allclose(got, want, rtol=1e-12, atol=1e-9)

@@ -93,9 +93,12 @@ def c6_next_arm(spark, sf_dir):
 @query("a9_hazard_boundaries")
 def a9_hazard_boundaries(spark, sf_dir):
     """Failures, max duration and inner-percentile boundaries."""
-    from bayes_ops.plans.hazard import boundaries_frame
-    b = boundaries_frame(AD.survival_from_lineitem(spark, sf_dir), 10)
-    return b.select("failures", "max_t", F.posexplode("pct").alias("k", "boundary"))
+    from bayes_ops.plans.hazard import compute_boundaries
+    df = AD.survival_from_lineitem(spark, sf_dir)
+    bounds, max_t = compute_boundaries(df, 10)  # distributed exact percentiles
+    failures = df.where(F.col("observed")).count()
+    return spark.createDataFrame([(failures, max_t, k, b) for k, b in enumerate(bounds)],
+                                 "failures long, max_t double, k int, boundary double")
 
 
 @query("a8_hazard_suffstats")

@@ -4,7 +4,7 @@ Spark's ``percentile`` keeps one count per distinct value in a single final
 buffer.  Here the (value, count) histogram is range-partitioned on the value
 (the range bounds spread it evenly over tasks), running counts are taken
 inside each partition, each partition adds the counts of all partitions
-before it (a table with one row per partition), and only the <= 2 rows per
+before it (one number per partition, i.e. per task), and only the <= 2 rows per
 requested rank survive the final filter.  Interpolation follows numpy's
 default: position h = (n - 1) p, value = v[floor h] + (h - floor h)(v[ceil h] - v[floor h]).
 """
@@ -26,11 +26,14 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[f
             .agg(F.count(F.lit(1)).alias("c")))
     ranged = hist.repartitionByRange("v").withColumn("_pid", F.spark_partition_id())
     inside = Window.partitionBy("_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("cum_local", F.sum("c").over(inside))
-    sizes = ranged.groupBy("_pid").agg(F.sum("c").alias("p_n"))
+    from bayes_ops.operators.materialize import reliable_checkpoint
+    # materialised once (shared folder): the two small actions below reuse it
+    local = reliable_checkpoint(ranged.withColumn("cum_local", F.sum("c").over(inside)))
+    sizes = local.groupBy("_pid").agg(F.sum("c").alias("p_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.withColumn("off", F.coalesce(F.sum("p_n").over(before), F.lit(0))).select("_pid", "off", "p_n")
-    total = offsets.agg(F.sum("p_n")).first()[0]
+    offsets = [(r["_pid"], r["off"], r["p_n"]) for r in
+               sizes.withColumn("off", F.coalesce(F.sum("p_n").over(before), F.lit(0))).collect()]
+    total = sum(n for _, _, n in offsets)
     if not total:
         return [None] * len(probs)
     positions = {}
@@ -39,7 +42,9 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[f
         lo = int(h // 1)
         positions[p] = (h, lo, min(lo + 1, total - 1))
     wanted = sorted({i for _, lo, hi in positions.values() for i in (lo, hi)})
-    pos = local.join(F.broadcast(offsets), "_pid").withColumn("end", F.col("off") + F.col("cum_local")) \
+    # partition offsets as a literal map: one entry per range partition
+    off = F.create_map(*[x for pid, o, _ in offsets for x in (F.lit(pid), F.lit(int(o)))])
+    pos = local.withColumn("end", off[F.col("_pid")] + F.col("cum_local")) \
         .withColumn("start", F.col("end") - F.col("c"))  # rows [start, end) hold value v (0-based ranks)
     cond = None
     for i in wanted:

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from bayes_ops.operators.grid import conjugate_summary
 
 
+# Largest distinct-value count for which one exact percentile buffer is used.
+EXACT_BUFFER_LIMIT = 100_000
+
+
 def _valid(df: DataFrame) -> DataFrame:
     return df.where(F.col("duration").isNotNull() & F.col("observed").isNotNull())
 
@@ -47,22 +51,26 @@ def compute_boundaries(df: DataFrame, num_bins: int = 10, approx: bool = False
                        ) -> tuple[list[float], float | None]:
     """(num_bins - 1 boundaries, max duration); bounded by num_bins.
 
-    Exact percentiles are computed by ``operators.quantiles`` (distributed:
-    no task holds more than one range partition of the distinct durations);
-    ``approx`` uses percentile_approx instead.
+    Exact percentiles: when the observed durations have at most
+    ``EXACT_BUFFER_LIMIT`` distinct values (checked in the same scan), Spark's
+    ``percentile`` aggregate, whose single final buffer then stays small;
+    beyond that ``operators.quantiles`` (distributed, no task holds more than
+    one range partition of the distinct values).  ``approx`` uses
+    percentile_approx instead.
     """
     from bayes_ops.operators.quantiles import exact_percentiles
     v = _valid(df)
     row = v.agg(F.sum(F.when(F.col("observed"), 1).otherwise(0)).cast("long").alias("failures"),
-                F.max("duration").alias("max_t")).first()
+                F.max("duration").alias("max_t"),
+                F.approx_count_distinct(F.when(F.col("observed"), F.col("duration"))).alias("distinct")).first()
     failures = row["failures"] or 0
     max_t = row["max_t"]
     if failures < num_bins:
         top = max_t if max_t is not None else 1.0
         return [top * k / num_bins for k in range(1, num_bins)], max_t
     fracs = [k / num_bins for k in range(1, num_bins)]
-    if approx:
-        pct = boundaries_frame(df, num_bins, approx=True).first()["pct"]
+    if approx or row["distinct"] <= EXACT_BUFFER_LIMIT:
+        pct = boundaries_frame(df, num_bins, approx=approx).first()["pct"]
         return [float(x) for x in pct], max_t
     return [float(x) for x in exact_percentiles(v.where(F.col("observed")), "duration", fracs)], max_t
 

@@ -33,9 +33,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def _utc(spark: SparkSession) -> SparkSession:
+    """The test tables hold naive timestamps meant as UTC; casting them to
+    TIMESTAMP and deriving epochs/windows must not depend on the caller's zone."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def query(name: str):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(_utc(spark), sf_dir))
         QUERIES[name].__doc__ = fn.__doc__
         return fn
     return deco

@@ -43,13 +43,15 @@ def grid_posterior(params: DataFrame, keys: Sequence[str], lo: Column, hi: Colum
          .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
     g = g.withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx"))
     g = g.withColumn("lp", logp(F.col("x")))
-    by = Window.partitionBy(*keys)
-    g = g.withColumn("g_max", F.max("lp").over(by))
+    # whole-group frames on the same (keys, i) ordering as the running CDF:
+    # max, sum and cdf are evaluated on one sort of the group
+    by_i = Window.partitionBy(*keys).orderBy("i")
+    whole = by_i.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = by_i.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = g.withColumn("g_max", F.max("lp").over(whole))
     g = g.withColumn("e", F.exp(F.col("lp") - F.col("g_max")))
-    g = g.withColumn("g_z", F.sum("e").over(by))
+    g = g.withColumn("g_z", F.sum("e").over(whole))
     g = g.withColumn("w", F.col("e") / F.col("g_z"))
-    running = Window.partitionBy(*keys).orderBy("i").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
     by_density = Window.partitionBy(*keys).orderBy(F.col("w").desc(), F.col("i")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("cdf", F.sum("w").over(running))
@@ -136,7 +138,10 @@ def conjugate_summary(params: DataFrame, keys: Sequence[str], family: str,
     ac, bc = F.col(a), F.col(b)
     lo, hi, logp = family_support(family, ac, bc)
     grid = grid_posterior(params, keys, lo, hi, logp, n)
-    out = grid.groupBy(*keys).agg(*_carry(params, keys), *grid_summary_aggs()).drop("g_max", "g_z")
+    # params columns are constant within a group: grouping by them (instead of
+    # first()) keeps a hash aggregate, and the grid's partitioning on ``keys``
+    # already satisfies the grouping, so no shuffle and no extra sort
+    out = grid.groupBy(*params.columns).agg(*grid_summary_aggs()).drop("g_max", "g_z")
     mean, sd = family_moments(family, ac, bc)
     return out.withColumn("mean", mean).withColumn("sd", sd)
 

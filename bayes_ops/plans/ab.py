@@ -124,15 +124,25 @@ def locate(stats: DataFrame, max_passes: int = 12) -> tuple[float, float, list[f
 
 def ab_posterior(df: DataFrame, p_cells: int = P_CELLS) -> DataFrame:
     """Per variant: successes, trials and the posterior summary of p_v."""
+    return _fit(df, p_cells, curve=False)
+
+
+def ab_curve(df: DataFrame, p_cells: int = P_CELLS) -> DataFrame:
+    """Per variant: posterior density of p_v on the mixture's p grid (P7 for P2)."""
+    return _fit(df, p_cells, curve=True)
+
+
+def _fit(df: DataFrame, p_cells: int, curve: bool) -> DataFrame:
     stats = ab_stats(df).select("variant", "successes", "trials", "failures").cache()
     try:
         lk_lo, lk_hi, mu_lo, mu_hi = locate(stats)
-        return _variant_mixtures(stats, lk_lo, lk_hi, mu_lo, mu_hi, p_cells).cache()
+        return _variant_mixtures(stats, lk_lo, lk_hi, mu_lo, mu_hi, p_cells, curve).cache()
     finally:
         stats.unpersist()
 
 
-def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int) -> DataFrame:
+def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int,
+                      curve: bool = False) -> DataFrame:
     n = FINAL_N
     hyper = _node_lp(stats, lk_lo, lk_hi, mu_lo, mu_hi, n).select("ki", "mi", "lp", "mu", "lk", "dmu")
     # (variant, node) rows: exploded from the per-variant table, then given the
@@ -173,6 +183,8 @@ def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int
                                          F.first("g_dx").alias("g_dx"), F.first("x").alias("x")))
     dens = (dens.withColumn("w", F.col("f") / F.sum("f").over(by_v))
             .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
+    if curve:
+        return dens.select("variant", "i", "x", (F.col("w") / F.col("g_dx")).alias("y"))
     summ = weights_windows(dens, ["variant"]).groupBy("variant").agg(*grid_summary_aggs()).drop("g_max", "g_z")
     return (moments.join(summ, "variant")
             .select("variant", "successes", "trials", "mean", "sd", "median", "hdi_3", "hdi_97"))

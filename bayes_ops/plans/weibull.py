@@ -192,6 +192,12 @@ def weibull_posterior(df: DataFrame) -> DataFrame:
             .select("param", "n", "r", "mean", "sd", "median", "hdi_3", "hdi_97"))
 
 
+def weibull_curves(df: DataFrame) -> DataFrame:
+    """Marginal posterior densities of alpha and beta on their grids (P7 for P5)."""
+    m, _ = weibull_marginals(df)
+    return m.select("param", "i", "x", (F.col("w") / F.col("g_dx")).alias("y"))
+
+
 def weibull_traces_from(df: DataFrame, n_traces: int = 30, seed: int = 0) -> DataFrame:
     """Sampled Weibull pdf traces and the constant-hazard reference (V5, V6).
 

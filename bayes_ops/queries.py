@@ -548,3 +548,17 @@ def e9_parse_timestamps(spark, sf_dir):
         F.sum(F.when(F.col("pc") == F.timestamp_seconds(F.col("compact").cast("long")), 1).otherwise(0))
         .cast("long").alias("n_compact_as_unix"),
         iso_format(F.min("pd")).alias("min_day"), iso_format(F.max("pd")).alias("max_day"))
+
+
+@query("p7_ab_curve")
+def p7_ab_curve(spark, sf_dir):
+    """Posterior density of each variant's rate under the hierarchical model."""
+    from bayes_ops.plans.ab import ab_curve
+    return ab_curve(AD.ab_from_orders(spark, sf_dir))
+
+
+@query("p7_weibull_curves")
+def p7_weibull_curves(spark, sf_dir):
+    """Marginal posterior densities of the Weibull shape and scale."""
+    from bayes_ops.plans.weibull import weibull_curves
+    return weibull_curves(AD.survival_from_lineitem(spark, sf_dir))

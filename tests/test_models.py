@@ -197,3 +197,17 @@ def test_hazard_boundaries_both_exact_paths_agree(spark, monkeypatch):
     big, _ = H.compute_boundaries(df, 10)
     want = np.percentile(t[d], np.linspace(0, 100, 11))[1:-1]
     assert np.allclose(small, want, rtol=1e-12) and np.allclose(big, want, rtol=1e-12)
+
+
+def test_ab_and_weibull_curves_integrate_to_one(spark):
+    from bayes_ops.plans.ab import ab_curve
+    from bayes_ops.plans.weibull import weibull_curves
+    rows = [(None, v, 1 if i < s else 0) for v, s, n in [("A", 10, 100), ("B", 30, 100)] for i in range(n)]
+    c = ab_curve(spark.createDataFrame(rows, "timestamp timestamp, variant string, outcome long")).toPandas()
+    for _, part in c.groupby("variant"):
+        part = part.sort_values("i")
+        assert (part.y * part.x.diff().median()).sum() == pytest.approx(1.0, abs=1e-9)
+    w = weibull_curves(AD.survival_from_lineitem(spark, SF001)).toPandas()
+    for _, part in w.groupby("param"):
+        part = part.sort_values("i")
+        assert (part.y * part.x.diff().median()).sum() == pytest.approx(1.0, abs=1e-6)

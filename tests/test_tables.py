@@ -156,3 +156,26 @@ def test_register_new_kind(spark, workdir):
     r = kinds.posterior("normal-mean", R.read_experiment(spark, root, "m", "normal-mean")).first()
     assert (r.mean, r.sd) == (2.0, pytest.approx(2 ** -0.5))
     assert "poisson-cohorts" in kinds.kinds()
+
+
+def test_lake_api_flow(spark, workdir):
+    from bayes_ops.api import Lake
+    from bayes_ops.sources import adapters as AD
+    from tests.conftest import SF001
+    lake = Lake(spark, os.path.join(workdir, "lake"))
+    ev = AD.poisson_from_events(spark, SF001)
+    n = lake.create("cohorts", "poisson-cohorts", "Cohorts", ev.select(
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), "cohort", "event_type"))
+    assert n == ev.count()
+    p1 = lake.posterior("cohorts", "poisson-cohorts", start="2024-01-01", end="2024-01-31").collect()
+    p2 = lake.posterior("cohorts", "poisson-cohorts", start="2024-01-01", end="2024-01-31").collect()
+    assert sorted(r.mean for r in p1) == sorted(r.mean for r in p2) and lake.cached("cohorts").count() == 1
+    with pytest.raises(R.WrongKind):
+        lake.posterior("cohorts", "weibull")
+    page = lake.list_events("cohorts", cohort=["c1"], limit=5)
+    assert page.count() == 5
+    gone = lake.delete_events("cohorts", cohort="c1")
+    assert gone == ev.where("cohort = 'c1'").count()
+    assert lake.table("cohorts").where("cohort = 'c1'").count() == 0
+    assert lake.clear_cache("cohorts") == 1
+    assert lake.inspect("cohorts", limit=3).first().total_count == n - gone

@@ -28,7 +28,7 @@ from bayes_ops.operators.suffstats import ab_stats
 
 HC_SCALE = 10.0
 LK_MIN, LK_MAX = math.log(1e-2), math.log(1e6)
-ZOOM_N = 40
+ZOOM_N = 80
 FINAL_N = 48
 P_CELLS = 256
 DROP = 30.0

@@ -37,7 +37,7 @@ from bayes_ops.plans.poisson import window_exposure
 HC_SCALE = 10.0
 LA_MIN, LA_MAX = math.log(1e-2), math.log(1e6)
 LM_MIN, LM_MAX = math.log(1e-9), math.log(1e9)
-ZOOM_N = 40
+ZOOM_N = 80
 FINAL_N = 48
 CELLS = 256
 

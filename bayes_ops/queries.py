@@ -562,3 +562,33 @@ def p7_weibull_curves(spark, sf_dir):
     """Marginal posterior densities of the Weibull shape and scale."""
     from bayes_ops.plans.weibull import weibull_curves
     return weibull_curves(AD.survival_from_lineitem(spark, sf_dir))
+
+
+@query("t1_stream_ingest")
+def t1_stream_ingest(spark, sf_dir):
+    """Events streamed through kind validation into a Parquet table with the
+    exactly-once file sink; accepted and rejected rows per event type (T1, W3)."""
+    import uuid
+    from bayes_ops.session import scratch_path
+    from bayes_ops.streaming.ingest import start_ingest
+    base = scratch_path(spark, f"t1-{uuid.uuid4().hex}")
+    raw = _events_stream(spark, sf_dir).select(F.col("timestamp").cast("string").alias("timestamp"),
+                                               "cohort", "event_type")
+    start_ingest(raw, "poisson-cohorts", base + "/table", base + "/checkpoint").awaitTermination()
+    t = spark.read.parquet(base + "/table")
+    return t.groupBy("event_type", "status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("t3_stream_window_counts")
+def t3_stream_window_counts(spark, sf_dir):
+    """Daily event counts per cohort from a watermarked streaming window
+    aggregation; only windows closed by the watermark are emitted (T3)."""
+    import uuid
+    from bayes_ops.functions.timefmt import iso_format
+    from bayes_ops.session import scratch_path
+    from bayes_ops.streaming.stats import start_windowed
+    base = scratch_path(spark, f"t3-{uuid.uuid4().hex}")
+    start_windowed(_events_stream(spark, sf_dir).select("timestamp", "cohort"), ["cohort"], base + "/table",
+                   base + "/checkpoint", window="1 day", watermark="1 hour").awaitTermination()
+    t = spark.read.parquet(base + "/table")
+    return t.select(iso_format(F.col("window_start")).alias("window_start"), "cohort", "n_events")

@@ -93,3 +93,22 @@ def test_stream_windows_equal_batch(spark, workdir):
     for k, v in streamed.items():
         assert batch[k] == v  # every emitted window is final and equals the batch count
     assert len(pdf) > 0
+
+
+def test_running_ab_stats_equal_batch(spark, workdir):
+    from bayes_ops.operators.suffstats import ab_stats
+    from bayes_ops.streaming.stats import running_bernoulli
+    src, out, ck = (os.path.join(workdir, p) for p in ("src", "out", "ck"))
+    os.makedirs(src)
+    ab = AD.ab_from_orders(spark, SF001)
+    pdf = ab.select(F.col("timestamp").cast("string").alias("timestamp"), "variant",
+                    F.col("outcome").cast("string").alias("outcome")).toPandas()
+    for i in range(4):
+        pdf.iloc[i::4].to_json(os.path.join(src, f"b{i}.json"), orient="records", lines=True)
+    raw = event_stream(spark, src, "ab-test", max_files_per_trigger=1)
+    typed = raw.select("variant", F.col("outcome").cast("long").alias("outcome"))
+    q = start_running_posterior(running_bernoulli(typed, ["variant"]), out, ck, lambda b: b)
+    q.awaitTermination()
+    got = {r.variant: (r.successes, r.trials) for r in spark.read.parquet(out).collect()}
+    want = {r.variant: (r.successes, r.trials) for r in ab_stats(ab).collect()}
+    assert got == want

@@ -22,19 +22,19 @@ def prob_greater(params: DataFrame, key: str, pairs: DataFrame, family: str = "g
     Midpoint rule on A's grid: sum_i w_A,i F_B(x_i), with F_B interpolated
     linearly inside B's grid cell (0 below B's grid, 1 above it).
     """
-    lo, hi, logp = family_support(family, F.col(a), F.col(b))
-    grid = grid_posterior(params, [key], lo, hi, logp, n).select(
-        key, "i", "x", "w", "cdf", "g_lo", "g_dx")
+    lo, hi, logp, t = family_support(family, F.col(a), F.col(b))
+    grid = grid_posterior(params, [key], lo, hi, logp, n, t).select(
+        key, "i", "x", "w", "cdf", "x_lo", "x_hi")
     pr = pairs.select("group_a", "group_b").distinct()
     ga = (grid.join(pr, grid[key] == pr["group_a"])
           .select("group_a", "group_b", F.col("x").alias("pos"), F.lit(1).alias("kind"),
                   F.col("w").alias("w_a"), *[F.lit(None).cast("double").alias(c)
                                              for c in ("b_prev", "b_w", "b_lo", "b_dx")]))
     gb = (grid.join(pr, grid[key] == pr["group_b"])
-          .select("group_a", "group_b", (F.col("g_lo") + F.col("i") * F.col("g_dx")).alias("pos"),
+          .select("group_a", "group_b", F.col("x_lo").alias("pos"),
                   F.lit(0).alias("kind"), F.lit(None).cast("double").alias("w_a"),
                   (F.col("cdf") - F.col("w")).alias("b_prev"), F.col("w").alias("b_w"),
-                  (F.col("g_lo") + F.col("i") * F.col("g_dx")).alias("b_lo"), F.col("g_dx").alias("b_dx")))
+                  F.col("x_lo").alias("b_lo"), (F.col("x_hi") - F.col("x_lo")).alias("b_dx")))
     win = (Window.partitionBy("group_a", "group_b").orderBy("pos", "kind")
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     u = ga.unionByName(gb)

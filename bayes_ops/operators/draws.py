@@ -30,13 +30,13 @@ def inverse_cdf(grid: DataFrame, draws: DataFrame, keys: Sequence[str]) -> DataF
     """As-of lookup (op J5): for each draw row (keys, draw_id, u) find the grid
     cell with cdf_prev <= u < cdf and interpolate linearly inside it.
 
-    ``grid`` rows need keys, i, g_lo, g_dx, w, cdf.
+    ``grid`` rows need keys, x_lo, x_hi, w, cdf.
     """
     keys = list(keys)
     g = grid.select(*keys, (F.col("cdf") - F.col("w")).alias("key"), F.lit(0).alias("kind"),
                     F.lit(None).cast("long").alias("draw_id"), F.lit(None).cast("double").alias("u"),
                     (F.col("cdf") - F.col("w")).alias("c_prev"), F.col("w").alias("c_w"),
-                    (F.col("g_lo") + F.col("i") * F.col("g_dx")).alias("c_lo"), F.col("g_dx").alias("c_dx"))
+                    F.col("x_lo").alias("c_lo"), (F.col("x_hi") - F.col("x_lo")).alias("c_dx"))
     d = draws.select(*keys, F.col("u").alias("key"), F.lit(1).alias("kind"), "draw_id", "u",
                      *[F.lit(None).cast("double").alias(c) for c in ("c_prev", "c_w", "c_lo", "c_dx")])
     w = (Window.partitionBy(*keys).orderBy("key", "kind")
@@ -62,8 +62,8 @@ def posterior_draws(params: DataFrame, keys: Sequence[str], family: str, n: int
                     grid_n: int = GRID_N, label_keys: Sequence[str] | None = None) -> DataFrame:
     """n draws per group from a Beta/Gamma posterior (ops C4, C5)."""
     keys = list(keys)
-    lo, hi, logp = family_support(family, F.col(a), F.col(b))
-    grid = grid_posterior(params, keys, lo, hi, logp, grid_n)
+    lo, hi, logp, t = family_support(family, F.col(a), F.col(b))
+    grid = grid_posterior(params, keys, lo, hi, logp, grid_n, t)
     lk = list(label_keys) if label_keys is not None else keys
     u = (params.select(*keys)
          .withColumn("draw_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))

@@ -14,6 +14,7 @@ unimodal posteriors produced here).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,29 +31,63 @@ def _keys(keys: Sequence[str]) -> list[str]:
     return list(keys)
 
 
-def grid_posterior(params: DataFrame, keys: Sequence[str], lo: Column, hi: Column,
-                   logp: Callable[[Column], Column], n: int = GRID_N) -> DataFrame:
-    """Evaluate ``logp(x)`` on ``n`` midpoints of [lo, hi] for every params row.
+# Grid transforms x = T(u), u uniform on (0, 1) (codes stored in column g_t):
+#   0: x = lo + (hi - lo) u                       (identity)
+#   1: x = lo + (hi - lo) u^2                     (Gamma shape < 3: density ~ x^(a-1) at 0)
+#   2: x = lo + (hi - lo) (1 - cos(pi u)) / 2     (Beta shapes < 3: both edges)
+# With the Jacobian in the weights the integrand behaves like u^(2a-1) at the
+# edge, so the midpoint rule keeps its accuracy for small shapes.
+
+
+def _t_of(u: Column, t: Column, lo: Column, hi: Column) -> Column:
+    shape = (F.when(t == 1, u * u)
+             .when(t == 2, (F.lit(1.0) - F.cos(F.lit(math.pi) * u)) / 2)
+             .otherwise(u))
+    return lo + (hi - lo) * shape
+
+
+def _log_jac(u: Column, t: Column, lo: Column, hi: Column) -> Column:
+    d = (F.when(t == 1, F.lit(2.0) * u)
+         .when(t == 2, F.lit(math.pi / 2) * F.sin(F.lit(math.pi) * u))
+         .otherwise(F.lit(1.0)))
+    return F.log(hi - lo) + F.log(d)
+
 
-    Returns params columns plus ``i, x, g_lo, g_dx, lp, w, cdf, hmass``.
+def grid_posterior(params: DataFrame, keys: Sequence[str], lo: Column, hi: Column,
+                   logp: Callable[[Column], Column], n: int = GRID_N,
+                   transform: Column | None = None) -> DataFrame:
+    """Evaluate ``logp(x)`` on ``n`` cells of [lo, hi] for every params row.
+
+    Cells are uniform in u with x = T(u) (``transform`` code, identity when
+    None).  Returns params columns plus ``i, x, x_lo, x_hi, g_du, lp, w, cdf,
+    hmass, g_max, g_z``: w is the cell mass, cdf its running sum by i, hmass
+    the running mass by decreasing density (for the HDI).
     """
     keys = _keys(keys)
+    t = transform if transform is not None else F.lit(0)
     g = (params
          .withColumn("g_lo", lo)
-         .withColumn("g_dx", (hi - lo) / F.lit(float(n)))
+         .withColumn("g_hi", hi)
+         .withColumn("g_t", t)
+         .withColumn("g_du", F.lit(1.0 / n))
          .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
-    g = g.withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx"))
+    u = (F.col("i") + F.lit(0.5)) / F.lit(float(n))
+    glo, ghi, gt = F.col("g_lo"), F.col("g_hi"), F.col("g_t")
+    g = (g.withColumn("x", _t_of(u, gt, glo, ghi))
+         .withColumn("x_lo", _t_of(F.col("i") / F.lit(float(n)), gt, glo, ghi))
+         .withColumn("x_hi", _t_of((F.col("i") + F.lit(1.0)) / F.lit(float(n)), gt, glo, ghi)))
     g = g.withColumn("lp", logp(F.col("x")))
+    g = g.withColumn("lw", F.col("lp") + _log_jac(u, gt, glo, ghi))
     # whole-group frames on the same (keys, i) ordering as the running CDF:
     # max, sum and cdf are evaluated on one sort of the group
     by_i = Window.partitionBy(*keys).orderBy("i")
     whole = by_i.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     running = by_i.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("g_max", F.max("lp").over(whole))
-    g = g.withColumn("e", F.exp(F.col("lp") - F.col("g_max")))
+    g = g.withColumn("g_max", F.max("lw").over(whole))
+    g = g.withColumn("e", F.exp(F.col("lw") - F.col("g_max")))
     g = g.withColumn("g_z", F.sum("e").over(whole))
     g = g.withColumn("w", F.col("e") / F.col("g_z"))
-    by_density = Window.partitionBy(*keys).orderBy(F.col("w").desc(), F.col("i")).rowsBetween(
+    by_density = Window.partitionBy(*keys).orderBy(F.col("lp").desc(), F.col("i")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("cdf", F.sum("w").over(running))
     g = g.withColumn("hmass", F.sum("w").over(by_density))
@@ -72,16 +107,29 @@ def weights_windows(g: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def grid_summary_aggs(with_moments: bool = False) -> list[Column]:
-    """Aggregates over grid rows: median, hdi_3, hdi_97 (+ grid mean/sd)."""
-    cdf, w, i, lo, dx = (F.col(c) for c in ("cdf", "w", "i", "g_lo", "g_dx"))
+    """Aggregates over grid rows: median, hdi_3, hdi_97 (+ grid mean/sd).
+
+    Rows need i, x, x_lo, x_hi, w, cdf, hmass.  The median is interpolated
+    inside the cell where the running mass crosses 1/2.  The HDI takes the
+    densest cells while their mass stays within 94 % and adds the fraction
+    of the next cell that completes it, on the side where that cell lies,
+    so the edges are interpolated rather than cell edges.
+    """
+    cdf, w = F.col("cdf"), F.col("w")
+    x_lo, x_hi = F.col("x_lo"), F.col("x_hi")
     prev = cdf - w
     crosses = (prev < F.lit(0.5)) & (cdf >= F.lit(0.5))
-    median = F.max(F.when(crosses, lo + (i + (F.lit(0.5) - prev) / w) * dx))
-    in_hdi = (F.col("hmass") - w) < F.lit(HDI_PROB)
+    median = F.max(F.when(crosses, x_lo + (F.lit(0.5) - prev) / w * (x_hi - x_lo)))
+    full = F.col("hmass") <= F.lit(HDI_PROB)
+    edge = ((F.col("hmass") - w) < F.lit(HDI_PROB)) & ~full
+    frac = (F.lit(HDI_PROB) - (F.col("hmass") - w)) / w
     aggs = [
         median.alias("median"),
-        F.min(F.when(in_hdi, lo + i * dx)).alias("hdi_3"),
-        F.max(F.when(in_hdi, lo + (i + 1) * dx)).alias("hdi_97"),
+        F.min(F.when(full, x_lo)).alias("_f_lo"),
+        F.max(F.when(full, x_hi)).alias("_f_hi"),
+        F.max(F.when(edge, x_lo)).alias("_e_lo"),
+        F.max(F.when(edge, x_hi)).alias("_e_hi"),
+        F.max(F.when(edge, frac)).alias("_e_f"),
         F.first("g_max").alias("g_max"),
         F.first("g_z").alias("g_z"),
     ]
@@ -93,6 +141,23 @@ def grid_summary_aggs(with_moments: bool = False) -> list[Column]:
     return aggs
 
 
+def hdi_columns(df: DataFrame) -> DataFrame:
+    """hdi_3 / hdi_97 from the aggregates of ``grid_summary_aggs``."""
+    f_lo, f_hi = F.col("_f_lo"), F.col("_f_hi")
+    e_lo, e_hi, ef = F.col("_e_lo"), F.col("_e_hi"), F.col("_e_f")
+    part = ef * (e_hi - e_lo)
+    alone = f_lo.isNull()  # one cell holds more than 94 %: centre the part in it
+    left = e_hi <= f_lo
+    hdi_3 = (F.when(alone, e_lo + (e_hi - e_lo - part) / 2)
+             .when(e_lo.isNull(), f_lo)
+             .when(left, e_hi - part).otherwise(f_lo))
+    hdi_97 = (F.when(alone, e_hi - (e_hi - e_lo - part) / 2)
+              .when(e_lo.isNull(), f_hi)
+              .when(left, f_hi).otherwise(e_lo + part))
+    return (df.withColumn("hdi_3", hdi_3).withColumn("hdi_97", hdi_97)
+            .drop("_f_lo", "_f_hi", "_e_lo", "_e_hi", "_e_f"))
+
+
 # ---- conjugate families -------------------------------------------------
 
 def _tail_k(shape_small: Column) -> Column:
@@ -109,17 +174,21 @@ def family_moments(family: str, a: Column, b: Column) -> tuple[Column, Column]:
     raise ValueError(family)
 
 
-def family_support(family: str, a: Column, b: Column) -> tuple[Column, Column, Callable[[Column], Column]]:
+def family_support(family: str, a: Column, b: Column
+                   ) -> tuple[Column, Column, Callable[[Column], Column], Column]:
+    """(lo, hi, log kernel, grid transform code) of a Gamma or Beta posterior."""
     mean, sd = family_moments(family, a, b)
     if family == "gamma":
-        k = _tail_k(a < 3)
+        small = a < 3
+        k = _tail_k(small)
         lo = F.greatest(F.lit(0.0), mean - k * sd)
         hi = mean + k * sd
-        return lo, hi, lambda x: log_gamma_kernel(x, a, b, mean)
-    k = _tail_k(F.least(a, b) < 3)
+        return lo, hi, lambda x: log_gamma_kernel(x, a, b, mean), F.when(small, F.lit(1)).otherwise(F.lit(0))
+    small = F.least(a, b) < 3
+    k = _tail_k(small)
     lo = F.greatest(F.lit(0.0), mean - k * sd)
     hi = F.least(F.lit(1.0), mean + k * sd)
-    return lo, hi, lambda x: log_beta_kernel(x, a, b, mean)
+    return lo, hi, lambda x: log_beta_kernel(x, a, b, mean), F.when(small, F.lit(2)).otherwise(F.lit(0))
 
 
 def _carry(params: DataFrame, keys: Sequence[str]) -> list[Column]:
@@ -136,12 +205,12 @@ def conjugate_summary(params: DataFrame, keys: Sequence[str], family: str,
     """
     keys = _keys(keys)
     ac, bc = F.col(a), F.col(b)
-    lo, hi, logp = family_support(family, ac, bc)
-    grid = grid_posterior(params, keys, lo, hi, logp, n)
+    lo, hi, logp, t = family_support(family, ac, bc)
+    grid = grid_posterior(params, keys, lo, hi, logp, n, t)
     # params columns are constant within a group: grouping by them (instead of
     # first()) keeps a hash aggregate, and the grid's partitioning on ``keys``
     # already satisfies the grouping, so no shuffle and no extra sort
-    out = grid.groupBy(*params.columns).agg(*grid_summary_aggs()).drop("g_max", "g_z")
+    out = hdi_columns(grid.groupBy(*params.columns).agg(*grid_summary_aggs())).drop("g_max", "g_z")
     mean, sd = family_moments(family, ac, bc)
     return out.withColumn("mean", mean).withColumn("sd", sd)
 
@@ -156,12 +225,12 @@ def conjugate_curve(params: DataFrame, keys: Sequence[str], family: str,
     """
     keys = _keys(keys)
     ac, bc = F.col(a), F.col(b)
-    lo, hi, logp = family_support(family, ac, bc)
-    grid = grid_posterior(params, keys, lo, hi, logp, n)
+    lo, hi, logp, t = family_support(family, ac, bc)
+    grid = grid_posterior(params, keys, lo, hi, logp, n, t)
     norm = grid.groupBy(*keys).agg(*_carry(params, keys),
                                    F.first("g_max").alias("g_max"),
                                    F.first("g_z").alias("g_z"),
-                                   F.first("g_dx").alias("g_dx"))
+                                   F.first("g_du").alias("g_du"))
     mean, sd = family_moments(family, ac, bc)
     dom_hi = F.lit(1.0) if family == "beta" else mean + F.lit(5.0) * sd
     c_lo = F.greatest(F.lit(0.0), mean - F.lit(5.0) * sd)
@@ -170,6 +239,7 @@ def conjugate_curve(params: DataFrame, keys: Sequence[str], family: str,
            .withColumn("c_dx", (c_hi - F.col("c_lo")) / F.lit(float(points)))
            .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))))
     cur = cur.withColumn("x", F.col("c_lo") + (F.col("j") + F.lit(0.5)) * F.col("c_dx"))
+    # integral of f = e^g_max * g_z * du on the transformed grid
     cur = cur.withColumn("y", F.exp(logp(F.col("x")) - F.col("g_max"))
-                         / (F.col("g_z") * F.col("g_dx")))
+                         / (F.col("g_z") * F.col("g_du")))
     return cur.select(*keys, "j", "x", "y")

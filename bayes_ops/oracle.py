@@ -91,15 +91,15 @@ def _prob_best_ctes(lattice: int = 4000) -> str:
     return f"""pay AS (SELECT *, magnitude * {f['lo']} AS v_lo, magnitude * {f['hi']} AS v_hi
         FROM params WHERE magnitude IS NOT NULL AND magnitude > 0),
 pay2 AS (SELECT *, max(v_lo) OVER () AS L, max(v_hi) OVER () AS U FROM pay),
-{grid_ctes('pay2', ['arm'], f['lo'], f['hi'], logp, name='pg')},
+{grid_ctes('pay2', ['arm'], f['lo'], f['hi'], logp, name='pg', t=f['t'])},
 pa AS (SELECT arm, any_value(alpha) AS alpha, any_value(beta) AS beta, any_value(magnitude) AS magnitude,
        any_value(L) AS L, any_value(U) AS U, any_value(g_max) AS g_max, any_value(g_z) AS g_z,
-       any_value(g_dx) AS g_dx,
-       sum(w * least(greatest(((L / magnitude) - (g_lo + i * g_dx)) / g_dx, {d(0)}), {d(1)})) AS F_L
+       any_value(g_du) AS g_du,
+       sum(w * least(greatest(((L / magnitude) - x_lo) / (x_hi - x_lo), {d(0)}), {d(1)})) AS F_L
        FROM pg3 GROUP BY arm),
 lat0 AS (SELECT pa.*, (U - L) / {lattice} AS dv, r.range AS k FROM pa CROSS JOIN range({lattice}) r),
 lat1 AS (SELECT *, L + (k + 0.5) * dv AS v, (L + (k + 0.5) * dv) / magnitude AS pv FROM lat0),
-lat2 AS (SELECT *, CASE WHEN pv < 1 THEN exp({logp('pv')} - g_max) / (g_z * g_dx * magnitude) ELSE {d(0)} END
+lat2 AS (SELECT *, CASE WHEN pv < 1 THEN exp({logp('pv')} - g_max) / (g_z * g_du * magnitude) ELSE {d(0)} END
          * dv AS c FROM lat1),
 lat3 AS (SELECT *, least({d(1)}, F_L + sum(c) OVER (PARTITION BY arm ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
          AND CURRENT ROW) - c / 2) AS Fv FROM lat2),
@@ -227,8 +227,8 @@ def _draw_ctes(params: str, keys: list[str], family: str, n: int, label: str, na
     f = family_sql(family)
     ks = ", ".join(keys)
     on = " AND ".join(f"d.{k} IS NOT DISTINCT FROM g.{k}" for k in keys)
-    return f"""{grid_ctes(params, keys, f['lo'], f['hi'], f['logp'], name=name + 'g')},
-{name}_c AS (SELECT {ks}, cdf - w AS c_prev, w AS c_w, g_lo + i * g_dx AS c_lo, g_dx AS c_dx FROM {name}g3),
+    return f"""{grid_ctes(params, keys, f['lo'], f['hi'], f['logp'], name=name + 'g', t=f['t'])},
+{name}_c AS (SELECT {ks}, cdf - w AS c_prev, w AS c_w, x_lo AS c_lo, x_hi - x_lo AS c_dx FROM {name}g3),
 {name}_u AS (SELECT {ks}, r.range AS draw_id, {_uniform(SEED, label, 'r.range')} AS u
              FROM {params} CROSS JOIN range({n}) r),
 {name} AS (SELECT {', '.join('d.' + k for k in keys)}, d.draw_id, d.u,
@@ -279,11 +279,11 @@ def _prob_greater_sql() -> str:
     from bayes_ops.sqlcheck import family_sql, grid_ctes
     f = family_sql("gamma")
     return f"""{_poisson_params(['cohort'])},
-{grid_ctes('params', ['cohort'], f['lo'], f['hi'], f['logp'], name='pgg')},
+{grid_ctes('params', ['cohort'], f['lo'], f['hi'], f['logp'], name='pgg', t=f['t'])},
 pairs AS (SELECT cohort AS group_a, 'c0' AS group_b FROM params WHERE cohort <> 'c0'),
 ga AS (SELECT p.group_a, p.group_b, g.x AS pos, g.w AS w_a FROM pgg3 g JOIN pairs p ON g.cohort = p.group_a),
-gb AS (SELECT p.group_a, p.group_b, g.g_lo + g.i * g.g_dx AS pos, g.cdf - g.w AS b_prev, g.w AS b_w,
-       g.g_lo + g.i * g.g_dx AS b_lo, g.g_dx AS b_dx FROM pgg3 g JOIN pairs p ON g.cohort = p.group_b),
+gb AS (SELECT p.group_a, p.group_b, g.x_lo AS pos, g.cdf - g.w AS b_prev, g.w AS b_w,
+       g.x_lo AS b_lo, g.x_hi - g.x_lo AS b_dx FROM pgg3 g JOIN pairs p ON g.cohort = p.group_b),
 j AS (SELECT a.group_a, a.group_b, a.w_a,
       CASE WHEN b.b_prev IS NULL THEN {d(0)} ELSE least({d(1)}, b.b_prev
         + least(greatest((a.pos - b.b_lo) / b.b_dx, {d(0)}), {d(1)}) * b.b_w) END AS fb
@@ -490,7 +490,7 @@ def _cdf_sql() -> str:
     f = family_sql("gamma")
     return f"""WITH {_poisson_params(['cohort'])},
 p2 AS (SELECT cohort, param, alpha, beta FROM params),
-{grid_ctes('p2', ['cohort', 'param'], f['lo'], f['hi'], f['logp'], name='cg')},
+{grid_ctes('p2', ['cohort', 'param'], f['lo'], f['hi'], f['logp'], name='cg', t=f['t'])},
 res AS (SELECT cohort, CAST(i AS INTEGER) AS i, x, w, cdf FROM cg3)
 {final_select(['cohort', 'i', 'x', 'w', 'cdf'], ['x', 'w', 'cdf'], 'res')}"""
 

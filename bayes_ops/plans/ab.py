@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from bayes_ops.functions.densities import log_half_cauchy
 from bayes_ops.functions.special import log_beta_fn
-from bayes_ops.operators.grid import grid_summary_aggs, weights_windows
+from bayes_ops.operators.grid import grid_summary_aggs, hdi_columns, weights_windows
 from bayes_ops.operators.suffstats import ab_stats
 
 HC_SCALE = 10.0
@@ -182,9 +182,12 @@ def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int
             .groupBy("variant", "i").agg(F.sum("f").alias("f"), F.first("g_lo").alias("g_lo"),
                                          F.first("g_dx").alias("g_dx"), F.first("x").alias("x")))
     dens = (dens.withColumn("w", F.col("f") / F.sum("f").over(by_v))
+            .withColumn("x_lo", F.col("g_lo") + F.col("i") * F.col("g_dx"))
+            .withColumn("x_hi", F.col("x_lo") + F.col("g_dx"))
             .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
     if curve:
         return dens.select("variant", "i", "x", (F.col("w") / F.col("g_dx")).alias("y"))
-    summ = weights_windows(dens, ["variant"]).groupBy("variant").agg(*grid_summary_aggs()).drop("g_max", "g_z")
+    summ = hdi_columns(weights_windows(dens, ["variant"]).groupBy("variant").agg(*grid_summary_aggs())
+                       ).drop("g_max", "g_z")
     return (moments.join(summ, "variant")
             .select("variant", "successes", "trials", "mean", "sd", "median", "hdi_3", "hdi_97"))

@@ -54,20 +54,20 @@ def prob_best(params: DataFrame, n: int = GRID_N, lattice: int = LATTICE_N) -> D
     as an argmax with ties does).
     """
     a, b, m = F.col("alpha"), F.col("beta"), F.col("magnitude")
-    lo_p, hi_p, logp = family_support("beta", a, b)
+    lo_p, hi_p, logp, tcode = family_support("beta", a, b)
     paying = params.where(m.isNotNull() & (m > 0))
     # Global bounds over the per-arm table (one row per arm).
     everything = Window.partitionBy(F.lit(0))
     p = (paying.withColumn("v_lo", m * lo_p).withColumn("v_hi", m * hi_p)
          .withColumn("L", F.max("v_lo").over(everything))
          .withColumn("U", F.max("v_hi").over(everything)))
-    grid = grid_posterior(p, ["arm"], lo_p, hi_p, logp, n)
+    grid = grid_posterior(p, ["arm"], lo_p, hi_p, logp, n, tcode)
     # Own-grid mass below L/m (linear inside the cell that straddles it).
     t = F.col("L") / m
-    x_lo = F.col("g_lo") + F.col("i") * F.col("g_dx")
-    frac = F.least(F.greatest((t - x_lo) / F.col("g_dx"), F.lit(0.0)), F.lit(1.0))
+    x_lo, x_hi = F.col("x_lo"), F.col("x_hi")
+    frac = F.least(F.greatest((t - x_lo) / (x_hi - x_lo), F.lit(0.0)), F.lit(1.0))
     per_arm = grid.groupBy("arm").agg(
-        *[F.first(c).alias(c) for c in ("alpha", "beta", "magnitude", "L", "U", "g_max", "g_z", "g_dx")],
+        *[F.first(c).alias(c) for c in ("alpha", "beta", "magnitude", "L", "U", "g_max", "g_z", "g_du")],
         F.sum(F.col("w") * frac).alias("F_L"))
     dv = (F.col("U") - F.col("L")) / F.lit(float(lattice))
     lat = (per_arm.withColumn("dv", dv)
@@ -75,7 +75,7 @@ def prob_best(params: DataFrame, n: int = GRID_N, lattice: int = LATTICE_N) -> D
            .withColumn("v", F.col("L") + (F.col("k") + F.lit(0.5)) * F.col("dv"))
            .withColumn("pv", F.col("v") / m))
     dens = F.when(F.col("pv") < 1, F.exp(logp(F.col("pv")) - F.col("g_max"))
-                  / (F.col("g_z") * F.col("g_dx") * m)).otherwise(F.lit(0.0))
+                  / (F.col("g_z") * F.col("g_du") * m)).otherwise(F.lit(0.0))
     lat = lat.withColumn("c", dens * F.col("dv"))
     run = Window.partitionBy("arm").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lat = lat.withColumn("Fv", F.least(F.lit(1.0), F.col("F_L") + F.sum("c").over(run) - F.col("c") / 2))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from bayes_ops.functions.densities import log_half_cauchy
 from bayes_ops.functions.special import lgamma
 from bayes_ops.operators import filters as flt
-from bayes_ops.operators.grid import grid_summary_aggs, weights_windows
+from bayes_ops.operators.grid import grid_summary_aggs, hdi_columns, weights_windows
 from bayes_ops.plans.poisson import window_exposure
 
 HC_SCALE = 10.0
@@ -198,8 +198,11 @@ def _mixtures(stats: DataFrame, hyper: DataFrame, cells: int) -> DataFrame:
             .groupBy("g", "unit", "i").agg(F.sum("f").alias("f"), F.first("g_lo").alias("g_lo"),
                                            F.first("g_dx").alias("g_dx"), F.first("x").alias("x")))
     dens = (dens.withColumn("w", F.col("f") / F.sum("f").over(by_u))
+            .withColumn("x_lo", F.col("g_lo") + F.col("i") * F.col("g_dx"))
+            .withColumn("x_hi", F.col("x_lo") + F.col("g_dx"))
             .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
-    summ = weights_windows(dens, ["g", "unit"]).groupBy("g", "unit").agg(*grid_summary_aggs()).drop("g_max", "g_z")
+    summ = hdi_columns(weights_windows(dens, ["g", "unit"]).groupBy("g", "unit").agg(*grid_summary_aggs())
+                       ).drop("g_max", "g_z")
     return moments.join(summ, ["g", "unit"])
 
 

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bayes_ops.operators.grid import grid_summary_aggs, weights_windows
+from bayes_ops.operators.grid import grid_summary_aggs, hdi_columns, weights_windows
 from bayes_ops.operators.suffstats import power_sums
 
 ALPHA_SIGMA = 1.0
@@ -178,6 +178,8 @@ def weibull_marginals(df: DataFrame) -> tuple[DataFrame, dict]:
     m = (ma.unionByName(mb)
          .withColumn("w", F.col("m") / F.sum("m").over(by))
          .withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx"))
+         .withColumn("x_lo", F.col("g_lo") + F.col("i") * F.col("g_dx"))
+         .withColumn("x_hi", F.col("x_lo") + F.col("g_dx"))
          .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
     return weights_windows(m, ["param"]), meta
 
@@ -185,7 +187,7 @@ def weibull_marginals(df: DataFrame) -> tuple[DataFrame, dict]:
 def weibull_posterior(df: DataFrame) -> DataFrame:
     """Posterior summaries of alpha and beta (op P5)."""
     m, meta = weibull_marginals(df)
-    out = m.groupBy("param").agg(*grid_summary_aggs(with_moments=True)).drop("g_max", "g_z")
+    out = hdi_columns(m.groupBy("param").agg(*grid_summary_aggs(with_moments=True))).drop("g_max", "g_z")
     return (out.withColumnRenamed("grid_mean", "mean").withColumnRenamed("grid_sd", "sd")
             .withColumn("n", F.lit(int(meta["n"])).cast("long"))
             .withColumn("r", F.lit(int(meta["r"])).cast("long"))

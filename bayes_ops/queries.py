@@ -523,8 +523,8 @@ def n3_posterior_cdf(spark, sf_dir):
     from bayes_ops.operators.grid import family_support, grid_posterior
     from bayes_ops.plans.poisson import poisson_params
     p = poisson_params(AD.poisson_from_events(spark, sf_dir), EVENTS_START, EVENTS_END, group_by=["cohort"])
-    lo, hi, logp = family_support("gamma", F.col("alpha"), F.col("beta"))
-    g = grid_posterior(p.select("cohort", "param", "alpha", "beta"), ["cohort", "param"], lo, hi, logp)
+    lo, hi, logp, t = family_support("gamma", F.col("alpha"), F.col("beta"))
+    g = grid_posterior(p.select("cohort", "param", "alpha", "beta"), ["cohort", "param"], lo, hi, logp, transform=t)
     return g.select("cohort", "i", "x", "w", "cdf")
 
 

@@ -53,6 +53,18 @@ def _log_jac(u: Column, t: Column, lo: Column, hi: Column) -> Column:
     return F.log(hi - lo) + F.log(d)
 
 
+def cell_columns(df: DataFrame, lo: str, hi: str, n: int, transform: Column) -> DataFrame:
+    """Explode ``n`` cells of [lo, hi] (uniform in u, x = T(u)) with i, x,
+    x_lo, x_hi and ljac = log dx/du, for mixtures summed per cell."""
+    g = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("g_t", transform)
+    u = (F.col("i") + F.lit(0.5)) / F.lit(float(n))
+    glo, ghi, gt = F.col(lo), F.col(hi), F.col("g_t")
+    return (g.withColumn("x", _t_of(u, gt, glo, ghi))
+             .withColumn("x_lo", _t_of(F.col("i") / F.lit(float(n)), gt, glo, ghi))
+             .withColumn("x_hi", _t_of((F.col("i") + F.lit(1.0)) / F.lit(float(n)), gt, glo, ghi))
+             .withColumn("ljac", _log_jac(u, gt, glo, ghi)))
+
+
 def grid_posterior(params: DataFrame, keys: Sequence[str], lo: Column, hi: Column,
                    logp: Callable[[Column], Column], n: int = GRID_N,
                    transform: Column | None = None) -> DataFrame:
@@ -94,13 +106,15 @@ def grid_posterior(params: DataFrame, keys: Sequence[str], lo: Column, hi: Colum
     return g
 
 
-def weights_windows(g: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add cdf (by cell index) and hmass (by density) to rows holding
-    normalised weights ``w`` and cell index ``i``."""
+def weights_windows(g: DataFrame, keys: Sequence[str], density: str = "w") -> DataFrame:
+    """Add cdf (by cell index) and hmass (by decreasing ``density``) to rows
+    holding normalised cell masses ``w`` and cell index ``i``.  On uniform
+    cells the mass orders like the density; pass the density column when the
+    cells are not uniform."""
     keys = _keys(keys)
     running = Window.partitionBy(*keys).orderBy("i").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    by_density = Window.partitionBy(*keys).orderBy(F.col("w").desc(), F.col("i")).rowsBetween(
+    by_density = Window.partitionBy(*keys).orderBy(F.col(density).desc(), F.col("i")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (g.withColumn("cdf", F.sum("w").over(running))
              .withColumn("hmass", F.sum("w").over(by_density)))

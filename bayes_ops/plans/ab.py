@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from bayes_ops.functions.densities import log_half_cauchy
 from bayes_ops.functions.special import log_beta_fn
-from bayes_ops.operators.grid import grid_summary_aggs, hdi_columns, weights_windows
+from bayes_ops.operators.grid import cell_columns, grid_summary_aggs, hdi_columns, weights_windows
 from bayes_ops.operators.suffstats import ab_stats
 
 HC_SCALE = 10.0
@@ -172,22 +172,25 @@ def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int
     # mixture density on p cells: sum_g hw_g Beta(p; a_g, b_g)
     # the Beta normaliser depends on (variant, node) only: computed before the cells
     vn = vn.withColumn("lnorm", -log_beta_fn(F.col("a"), F.col("b")))
-    cells = (vn.withColumn("g_dx", (F.col("p_hi") - F.col("p_lo")) / F.lit(float(p_cells)))
-             .withColumnRenamed("p_lo", "g_lo")
-             .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(p_cells - 1))))
-             .withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx")))
+    # cells uniform in u; x = p_lo + (p_hi - p_lo) u^2 when the support starts
+    # at 0, where components behave like x^(a-1) (e.g. a variant with no success)
+    square = F.when(F.col("p_lo") <= 0, F.lit(1)).otherwise(F.lit(0))
+    cells = cell_columns(vn, "p_lo", "p_hi", p_cells, square)
     x = F.col("x")
     logpdf = (F.col("a") - 1) * F.log(x) + (F.col("b") - 1) * F.log1p(-x) + F.col("lnorm")
     dens = (cells.withColumn("f", F.col("hw") * F.exp(logpdf))
-            .groupBy("variant", "i").agg(F.sum("f").alias("f"), F.first("g_lo").alias("g_lo"),
-                                         F.first("g_dx").alias("g_dx"), F.first("x").alias("x")))
-    dens = (dens.withColumn("w", F.col("f") / F.sum("f").over(by_v))
-            .withColumn("x_lo", F.col("g_lo") + F.col("i") * F.col("g_dx"))
-            .withColumn("x_hi", F.col("x_lo") + F.col("g_dx"))
+            .groupBy("variant", "i").agg(F.sum("f").alias("f"), F.first("x").alias("x"),
+                                         F.first("x_lo").alias("x_lo"), F.first("x_hi").alias("x_hi"),
+                                         F.first("ljac").alias("ljac")))
+    # cell mass = mixture density x dx/du (du constant)
+    dens = dens.withColumn("m", F.col("f") * F.exp(F.col("ljac")))
+    dens = (dens.withColumn("w", F.col("m") / F.sum("m").over(by_v))
             .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
     if curve:
-        return dens.select("variant", "i", "x", (F.col("w") / F.col("g_dx")).alias("y"))
-    summ = hdi_columns(weights_windows(dens, ["variant"]).groupBy("variant").agg(*grid_summary_aggs())
+        # normalised density: f / (sum of cell masses x du)
+        return dens.select("variant", "i", "x", (F.col("f") / (F.sum("m").over(by_v) / F.lit(float(p_cells))))
+                           .alias("y"))
+    summ = hdi_columns(weights_windows(dens, ["variant"], density="f").groupBy("variant").agg(*grid_summary_aggs())
                        ).drop("g_max", "g_z")
     return (moments.join(summ, "variant")
             .select("variant", "successes", "trials", "mean", "sd", "median", "hdi_3", "hdi_97"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from bayes_ops.functions.densities import log_half_cauchy
 from bayes_ops.functions.special import lgamma
 from bayes_ops.operators import filters as flt
-from bayes_ops.operators.grid import grid_summary_aggs, hdi_columns, weights_windows
+from bayes_ops.operators.grid import cell_columns, grid_summary_aggs, hdi_columns, weights_windows
 from bayes_ops.plans.poisson import window_exposure
 
 HC_SCALE = 10.0
@@ -189,20 +189,21 @@ def _mixtures(stats: DataFrame, hyper: DataFrame, cells: int) -> DataFrame:
     moments = moments.withColumn("sd", F.sqrt(F.greatest(F.col("m2") - F.col("mean") ** 2, F.lit(0.0)))).drop("m2")
     # the Gamma normaliser depends on (unit, node) only: computed before the cells
     x = x.withColumn("lnorm", F.col("ca") * F.log(F.col("cb")) - lgamma(F.col("ca")))
-    c = (x.withColumn("g_dx", (F.col("x_hi") - F.col("x_lo")) / F.lit(float(cells)))
-         .withColumnRenamed("x_lo", "g_lo")
-         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-         .withColumn("x", F.col("g_lo") + (F.col("i") + F.lit(0.5)) * F.col("g_dx")))
+    # cells uniform in u; x = x_lo + (x_hi - x_lo) u^2 when the support starts
+    # at 0, where components behave like x^(a-1) (cohorts with few events)
+    square = F.when(F.col("s_lo") <= 0, F.lit(1)).otherwise(F.lit(0))
+    c = cell_columns(x.withColumnRenamed("x_lo", "s_lo").withColumnRenamed("x_hi", "s_hi"),
+                     "s_lo", "s_hi", cells, square)
     logpdf = (F.col("ca") - 1) * F.log(F.col("x")) - F.col("cb") * F.col("x") + F.col("lnorm")
     dens = (c.withColumn("f", F.col("hw") * F.exp(logpdf))
-            .groupBy("g", "unit", "i").agg(F.sum("f").alias("f"), F.first("g_lo").alias("g_lo"),
-                                           F.first("g_dx").alias("g_dx"), F.first("x").alias("x")))
-    dens = (dens.withColumn("w", F.col("f") / F.sum("f").over(by_u))
-            .withColumn("x_lo", F.col("g_lo") + F.col("i") * F.col("g_dx"))
-            .withColumn("x_hi", F.col("x_lo") + F.col("g_dx"))
+            .groupBy("g", "unit", "i").agg(F.sum("f").alias("f"), F.first("x").alias("x"),
+                                           F.first("x_lo").alias("x_lo"), F.first("x_hi").alias("x_hi"),
+                                           F.first("ljac").alias("ljac")))
+    dens = dens.withColumn("m", F.col("f") * F.exp(F.col("ljac")))  # cell mass (du constant)
+    dens = (dens.withColumn("w", F.col("m") / F.sum("m").over(by_u))
             .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
-    summ = hdi_columns(weights_windows(dens, ["g", "unit"]).groupBy("g", "unit").agg(*grid_summary_aggs())
-                       ).drop("g_max", "g_z")
+    summ = hdi_columns(weights_windows(dens, ["g", "unit"], density="f").groupBy("g", "unit")
+                       .agg(*grid_summary_aggs())).drop("g_max", "g_z")
     return moments.join(summ, ["g", "unit"])
 
 

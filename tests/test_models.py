@@ -205,8 +205,8 @@ def test_ab_and_weibull_curves_integrate_to_one(spark):
     rows = [(None, v, 1 if i < s else 0) for v, s, n in [("A", 10, 100), ("B", 30, 100)] for i in range(n)]
     c = ab_curve(spark.createDataFrame(rows, "timestamp timestamp, variant string, outcome long")).toPandas()
     for _, part in c.groupby("variant"):
-        part = part.sort_values("i")
-        assert (part.y * part.x.diff().median()).sum() == pytest.approx(1.0, abs=1e-9)
+        part = part.sort_values("i")  # cells may be non-uniform in x (u^2 grid from 0)
+        assert np.trapezoid(part.y, part.x) == pytest.approx(1.0, abs=1e-3)
     w = weibull_curves(AD.survival_from_lineitem(spark, SF001)).toPandas()
     for _, part in w.groupby("param"):
         part = part.sort_values("i")

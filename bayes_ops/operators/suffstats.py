@@ -95,20 +95,6 @@ def event_counts_all_groupings(df: DataFrame) -> DataFrame:
                  F.grouping_id().alias("grouping_id")))
 
 
-def survival_basic(df: DataFrame) -> DataFrame:
-    """n, r = #observed, L = sum log t over observed, max/min t."""
-    t = F.col("duration")
-    obs = F.col("observed")
-    valid = t.isNotNull() & obs.isNotNull()
-    return df.where(valid).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(observed_flag()).cast("long").alias("r"),
-        F.sum(F.when(obs, F.log(t))).alias("sum_log_t_obs"),
-        F.max(t).alias("max_t"),
-        F.min(t).alias("min_t"),
-    )
-
-
 def power_sums(df: DataFrame, alphas: Sequence[float], scale: float,
                prefix: str = "s", with_basic: bool = False) -> DataFrame:
     """S(alpha_i) = sum over all rows of (t/scale)^alpha_i, one scan (op A7).
@@ -131,9 +117,12 @@ def power_sums(df: DataFrame, alphas: Sequence[float], scale: float,
     return lt.agg(*aggs)
 
 
-def time_extent(df: DataFrame, col: str = "timestamp") -> DataFrame:
-    """Observed min/max of a column (op A12)."""
-    return df.agg(F.min(col).alias("min_value"), F.max(col).alias("max_value"))
+def time_extent(df: DataFrame, col: str = "timestamp", with_count: bool = False) -> DataFrame:
+    """Observed min/max of a column (op A12), optionally with the row count."""
+    aggs = [F.min(col).alias("min_value"), F.max(col).alias("max_value")]
+    if with_count:
+        aggs.append(F.count(F.lit(1)).alias("n"))
+    return df.agg(*aggs)
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from bayes_ops.functions.densities import log_half_cauchy
 from bayes_ops.functions.special import log_beta_fn
 from bayes_ops.operators.grid import cell_columns, grid_summary_aggs, hdi_columns, weights_windows
+from bayes_ops.operators.filters import project
 from bayes_ops.operators.suffstats import ab_stats
 
 HC_SCALE = 10.0
@@ -133,7 +134,7 @@ def ab_curve(df: DataFrame, p_cells: int = P_CELLS) -> DataFrame:
 
 
 def _fit(df: DataFrame, p_cells: int, curve: bool) -> DataFrame:
-    stats = ab_stats(df).select("variant", "successes", "trials", "failures").cache()
+    stats = ab_stats(project(df, ["variant", "outcome"])).select("variant", "successes", "trials", "failures").cache()
     try:
         lk_lo, lk_hi, mu_lo, mu_hi = locate(stats)
         return _variant_mixtures(stats, lk_lo, lk_hi, mu_lo, mu_hi, p_cells, curve).cache()

@@ -375,9 +375,11 @@ def a12_time_extent(spark, sf_dir):
 def _extent(ev, mx):
     from bayes_ops.functions.timefmt import iso_format
     # max duration is a single scalar of another table: fetched, then a literal
-    one = ev.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.count(F.lit(1)).alias("n"))
+    from bayes_ops.operators.suffstats import time_extent
+    one = time_extent(ev, "timestamp", with_count=True)
     m = mx.first()["max_duration"]
-    return one.select(iso_format(F.col("lo")).alias("min_timestamp"), iso_format(F.col("hi")).alias("max_timestamp"),
+    return one.select(iso_format(F.col("min_value")).alias("min_timestamp"),
+                      iso_format(F.col("max_value")).alias("max_timestamp"),
                       "n", F.lit(m).cast("double").alias("max_duration"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from bayes_ops.operators.cache import read_or_empty
 from bayes_ops.sources.ingest import check_columns, split
-from bayes_ops.sources.schemas import SUPPORTED_KINDS, kind_schema, schema_rows
+from bayes_ops.sources.schemas import SUPPORTED_KINDS, schema_rows
 
 LOG_SCHEMA = T.StructType([
     T.StructField("name", T.StringType(), False),
@@ -238,7 +238,3 @@ def drop_if_exists(spark: SparkSession, root: str, name: str) -> bool:
         return True
     except ExperimentNotFound:
         return False
-
-
-def kind_schema_struct(kind: str) -> T.StructType:
-    return kind_schema(kind)

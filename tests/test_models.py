@@ -211,3 +211,17 @@ def test_ab_and_weibull_curves_integrate_to_one(spark):
     for _, part in w.groupby("param"):
         part = part.sort_values("i")
         assert (part.y * part.x.diff().median()).sum() == pytest.approx(1.0, abs=1e-6)
+
+
+def test_hazard_boundaries_approx_close_to_exact(spark):
+    from bayes_ops.plans.hazard import compute_boundaries
+    rng = np.random.default_rng(21)
+    t = rng.exponential(20.0, 5000)
+    d = rng.random(5000) < 0.7
+    df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(t, d)], "duration double, observed boolean")
+    exact, _ = compute_boundaries(df, 10)
+    approx, _ = compute_boundaries(df, 10, approx=True)
+    # percentile_approx returns observed values within its rank error (1/accuracy)
+    ranks = np.searchsorted(np.sort(t[d]), approx) / d.sum()
+    assert np.allclose(ranks, np.arange(1, 10) / 10, atol=2e-3)
+    assert np.allclose(exact, np.percentile(t[d], np.linspace(0, 100, 11))[1:-1])

@@ -179,3 +179,17 @@ def test_lake_api_flow(spark, workdir):
     assert lake.table("cohorts").where("cohort = 'c1'").count() == 0
     assert lake.clear_cache("cohorts") == 1
     assert lake.inspect("cohorts", limit=3).first().total_count == n - gone
+
+
+def test_lake_bandit_flow(spark, workdir):
+    from bayes_ops.api import Lake
+    lake = Lake(spark, os.path.join(workdir, "lake"), cache=False)
+    rows = [("2024-01-01 00:00:00", "A", "5.0")] * 3 + [("2024-01-01 00:00:00", "A", "0.0")] * 20 \
+        + [("2024-01-01 00:00:00", "B", "2.0")] * 15 + [("2024-01-01 00:00:00", "B", "0.0")] * 10
+    lake.create("mab", "multi-armed-bandits", "Bandit",
+                spark.createDataFrame(rows, "timestamp string, arm string, reward string"))
+    post = {r.arm: r for r in lake.posterior("mab", "multi-armed-bandits").collect()}
+    assert (post["A"].successes, post["B"].successes) == (3, 15)
+    assert sum(r.prob_best for r in post.values()) == pytest.approx(1.0, abs=1e-9)
+    best = lake.next_arm("mab").first()
+    assert best.arm == max(post.values(), key=lambda r: r.prob_best).arm

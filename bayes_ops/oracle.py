@@ -256,7 +256,7 @@ ORACLE["c5_poisson_draws"] = f"""WITH {POISSON_DRAWS}
 {final_select(['cohort', 'draw_id', 'value'], ['value'], 'dw')}"""
 
 ORACLE["n4_hdi_from_draws"] = f"""WITH {POISSON_DRAWS},
-rv AS (SELECT cohort, round(value, 6) + 0.0 AS value FROM dw),
+rv AS (SELECT cohort, value FROM dw),
 o AS (SELECT cohort, value, row_number() OVER (PARTITION BY cohort ORDER BY value) - 1 AS idx,
       count(*) OVER (PARTITION BY cohort) AS n FROM rv),
 o2 AS (SELECT *, CAST(floor({HDI_P} * n) AS INTEGER) AS k FROM o),
@@ -267,7 +267,7 @@ res AS (SELECT cohort, arg_min(lo, struct_pack(w := width, i := idx)) AS hdi_low
 {final_select(['cohort', 'hdi_low', 'hdi_high'], ['hdi_low', 'hdi_high'], 'res')}"""
 
 ORACLE["n6_quantile_band"] = f"""WITH {POISSON_DRAWS},
-rv AS (SELECT cohort, round(value, 6) + 0.0 AS value FROM dw),
+rv AS (SELECT cohort, value FROM dw),
 o AS (SELECT cohort, value, row_number() OVER (PARTITION BY cohort ORDER BY value) - 1 AS idx,
       count(*) OVER (PARTITION BY cohort) AS n FROM rv),
 res AS (SELECT cohort, max(CASE WHEN idx = floor(0.025 * (n - 1)) THEN value END) AS q_25,
@@ -333,8 +333,7 @@ ORACLE["p7_poisson_curve"] = f"""WITH {P7}
 {final_select(['cohort', 'param', 'j', 'x', 'y'], ['x', 'y'], 'cc')}"""
 
 ORACLE["v7_shared_axis"] = f"""WITH {P7},
-r AS (SELECT cohort, param, j, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM cc),
-res AS (SELECT min(x) AS x_min, max(x) AS x_max, max(y) * 1.1 AS y_max FROM r)
+res AS (SELECT min(x) AS x_min, max(x) AS x_max, max(y) * 1.1 AS y_max FROM cc)
 {final_select(['x_min', 'x_max', 'y_max'], ['x_min', 'x_max', 'y_max'], 'res')}"""
 
 ORACLE["v3_rescaled_rates"] = f"""WITH {_poisson_params(['cohort'])},

@@ -133,11 +133,11 @@ class Lattice:
         while at:
             i, p = back[at]
             if p is None:
-                ids += [self.first_byte + b for b in s[i:at].encode()]
+                ids += [self.first_byte + b for b in reversed(s[i:at].encode())]
             else:
                 ids.append(self.index[p])
             at = i
-        return ids
+        return ids[::-1]
 
 
 def first_weights(pieces: list[str]) -> tuple[list[float], float]:

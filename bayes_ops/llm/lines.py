@@ -17,7 +17,7 @@ doc_id, then line number) is removed, as is a line with an equal word set.
    differ in at most the words the sets may differ in.
 4. What passes is verified: Jaccard of the full word sets, in integers.
 
-Words are compared by their 64-bit hashes, sets by a 128-bit hash of them.
+Words are compared by their 64-bit hashes; a set is known by 96 bits of hash.
 
 Defined results: blank lines are neither counted nor removed; null and empty
 texts have no lines; rows that repeat a doc_id are one place (equal lines of
@@ -26,75 +26,83 @@ theirs do not remove each other); null doc_ids come first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayes_ops.llm.common import SPACE, let, spill
+from bayes_ops.llm.common import let, plain_spaces, spill
 
 CELLS = 1 << 19
+MOST = (1 << 22) - 1     # a cell's count counts up to here in the order of words
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, set_a, set_b (the set's id) and the sorted word hashes of every line with a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    ws = F.filter(F.split("line", SPACE), lambda w: w != "")
-    toks = F.sort_array(F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w))))
-    return lines.select("doc_id", "line_no", let(toks, lambda t: F.struct(
-        F.xxhash64(t).alias("set_a"), F.hash(t, F.lit(7)).cast("long").alias("set_b"), t.alias("toks"))).alias("s")) \
-        .select("doc_id", "line_no", "s.*")
-
-
-def rarity(sets: DataFrame, cells: int = CELLS):
-    """The histogram as one array, a scalar value of the plan."""
-    spark = sets.sparkSession
-    hits = sets.select(F.explode("toks").alias("t")).select(F.col("t").bitwiseAND(F.lit(cells - 1)).alias("cell"))
+    lines = docs.select("doc_id", F.posexplode(F.split(plain_spaces(F.col("text")), "\n")).alias("line_no", "line"))
+    toks = F.transform(F.array_distinct(F.array_remove(F.split("line", " "), "")), lambda w: F.xxhash64(w))
+    return lines.select("doc_id", "line_no", let(F.sort_array(F.array_distinct(toks)), lambda t: F.struct(
+        F.xxhash64(t).alias("set_a"), F.hash(t, F.lit(7)).alias("set_b"), t.alias("toks"))).alias("s")) \
+        .filter(F.size("s.toks") > 0).select("doc_id", "line_no", "s.*")
+
+
+def cell_counts(hits: DataFrame, cells: int) -> Column:
+    """Counts of column ``cell`` (0 .. cells - 1) as one array of fixed size, a scalar value of a plan."""
+    spark = hits.sparkSession
     counts = hits.groupBy("cell").agg(F.count("*").alias("n"))
-    every = counts.unionByName(spark.range(0, cells, numPartitions=4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n")))
-    cellwise = every.groupBy("cell").agg(F.sum("n").alias("n"))
-    packed = spill(cellwise.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "n"))),
-                                            lambda x: F.least(x["n"], F.lit((1 << 31) - 1)).cast("int")).alias("h")), "rarity")
-    return packed.scalar()
+    none = spark.range(0, cells, numPartitions=4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
+    every = counts.unionByName(none).groupBy("cell").agg(F.sum("n").alias("n"))
+    packed = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "n"))),
+                                   lambda x: F.least(x["n"], F.lit(MOST))).alias("h"))
+    return spill(packed, "cells").scalar()
+
+
+def rarity(sets: DataFrame, cells: int = CELLS) -> Column:
+    """Word counts by cell of the word's hash."""
+    return cell_counts(sets.select(F.explode("toks").alias("t"))
+                       .select(F.col("t").bitwiseAND(F.lit(cells - 1)).alias("cell")), cells)
 
 
 def index(sets: DataFrame, cells: int = CELLS) -> DataFrame:
-    """tok, pos, n, bits, set_a, set_b: one row per distinct set and prefix word."""
+    """tok, pos, n, bits, set_a: one row per distinct set and prefix word.
+
+    The order of words is one long: cell count, then the low 40 bits of the hash (which hold the cell)."""
     # the histogram is one value of the plan (a scalar subquery), never a column of rows
     sets = sets.withColumn("hist", rarity(sets, cells))
-    cell = lambda t: t.bitwiseAND(F.lit(cells - 1)).cast("int")
+    low = F.lit((1 << 40) - 1)
     ranked = sets.select(
-        "set_a", "set_b", F.size("toks").alias("n"),
+        "set_a", F.size("toks").alias("n"),
         F.expr("aggregate(toks, 0L, (a, t) -> a | shiftleft(1L, cast(shiftrightunsigned(t, 58) as int)))").alias("bits"),
-        F.slice(F.sort_array(F.transform("toks", lambda t: F.struct(F.get("hist", cell(t)).alias("c"), t.alias("t")))),
-                F.lit(1), F.expr("size(toks) - cast(ceil(size(toks) * 4 / 5) as int) + 1")).alias("prefix"))
-    rows = ranked.select("set_a", "set_b", "n", "bits", F.posexplode("prefix").alias("pos", "p"))
-    return rows.groupBy(F.col("p.t").alias("tok"), "set_a", "set_b").agg(
-        F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("pos").alias("pos"))
+        F.slice(F.sort_array(F.transform("toks", lambda t: F.shiftleft(
+            F.get("hist", t.bitwiseAND(F.lit(cells - 1)).cast("int")), 40).bitwiseOR(t.bitwiseAND(low)))),
+            F.lit(1), F.expr("size(toks) - cast((4 * size(toks) + 4) div 5 as int) + 1")).alias("prefix"))
+    rows = ranked.select("set_a", "n", "bits", F.posexplode("prefix").alias("pos", "p"))
+    return rows.select(F.col("p").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tok"), "set_a", "n", "bits", "pos").distinct()
 
 
 def candidates(idx: DataFrame) -> DataFrame:
-    """Distinct pairs of sets (a1, a2), (b1, b2) that pass the filters; the smaller id first."""
+    """Distinct pairs of set ids (a, b) that pass the filters, the smaller first."""
     x, y = idx.alias("x"), idx.alias("y")
-    ok = F.expr("""x.tok = y.tok and (x.set_a < y.set_a or (x.set_a = y.set_a and x.set_b < y.set_b))
+    ok = F.expr("""x.tok = y.tok and x.set_a < y.set_a
         and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
         and 9 * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= 4 * (x.n + y.n)
         and 9 * bit_count(x.bits ^ y.bits) <= x.n + y.n""")
-    return x.join(y, ok).select(F.col("x.set_a").alias("a1"), F.col("x.set_b").alias("a2"),
-                                F.col("y.set_a").alias("b1"), F.col("y.set_b").alias("b2")).distinct()
+    return x.join(y, ok).select(F.col("x.set_a").alias("a"), F.col("y.set_a").alias("b")).distinct()
 
 
 def matches(sets: DataFrame, cells: int = CELLS) -> DataFrame:
-    """Verified pairs of distinct sets."""
+    """Verified pairs of distinct sets (a1, a2), (b1, b2)."""
     pairs = spill(candidates(index(sets, cells)), "pairs")
-    ids = spill(pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
-                .unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct(), "ids")
-    full = spill(sets.join(ids, (F.col("set_a") == F.col("k1")) & (F.col("set_b") == F.col("k2")), "left_semi")
+    ids = spill(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct(), "ids")
+    cell = lambda c: F.col(c).bitwiseAND(F.lit(cells - 1))
+    # most sets are in no pair; those whose cell has none skip the shuffle
+    some = sets.withColumn("seen", cell_counts(ids.select(cell("k").alias("cell")), cells))
+    some = some.filter(F.get("seen", cell("set_a").cast("int")) > 0)
+    full = spill(some.join(ids, F.col("set_a") == F.col("k"), "left_semi")
                  .groupBy("set_a", "set_b").agg(F.first("toks").alias("toks")), "full")
-    a = full.select(F.col("set_a").alias("a1"), F.col("set_b").alias("a2"), F.col("toks").alias("ta"))
-    b = full.select(F.col("set_a").alias("b1"), F.col("set_b").alias("b2"), F.col("toks").alias("tb"))
-    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    a = full.select(F.col("set_a").alias("a"), F.col("set_b").alias("a2"), F.col("toks").alias("ta"))
+    b = full.select(F.col("set_a").alias("b"), F.col("set_b").alias("b2"), F.col("toks").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
-    return spill(both.filter(common * 9 >= (F.size("ta") + F.size("tb")) * 4).select("a1", "a2", "b1", "b2"), "matches")
+    both = pairs.join(a, "a").join(b, "b").filter(common * 9 >= (F.size("ta") + F.size("tb")) * 4)
+    return spill(both.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2"), "matches")
 
 
 def dedup(docs: DataFrame, cells: int = CELLS) -> DataFrame:

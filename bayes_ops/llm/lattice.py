@@ -60,7 +60,10 @@ def read_vocabulary(path: str) -> list[str]:
 
 
 class Lattice:
-    """Piece log probabilities (natural log) with prefix pruning."""
+    """Piece log probabilities (natural log).
+
+    ``ahead`` maps every piece to its log probability and every mere prefix of
+    one to 1.0, so one look-up per step tells whether to go on."""
 
     def __init__(self, pieces: list[str], logp: list[float], end: float):
         self.byte = [0.0] * 256
@@ -73,69 +76,80 @@ class Lattice:
                 self.logp[p] = v
                 self.index[p] = i
         self.first_byte = len(pieces) - 256
-        self.prefixes = {p[:k] for p in self.logp for k in range(1, len(p))}
+        self.ahead = {p[:k]: 1.0 for p in self.logp for k in range(1, len(p))} | self.logp
+        self.chars: dict[str, float] = {}
         self.end = end
 
     def spelled(self, char: str) -> float:
         """Log probability of a character by its UTF-8 bytes."""
         return sum(self.byte[b] for b in char.encode())
 
-    def _ahead(self, s: str, i: int) -> list[tuple[int, float, str | None]]:
-        """Pieces that start at i: (end, log probability, piece; None: bytes)."""
-        out, n, j = [(i + 1, self.spelled(s[i]), None)], len(s), i + 1
-        get, prefixes = self.logp.get, self.prefixes
-        while j <= n:
-            sub = s[i:j]
-            v = get(sub)
-            if v is not None:
-                out.append((j, v, sub))
-            if sub not in prefixes:
-                break
-            j += 1
-        return out
+    def char(self, char: str) -> float:
+        """Log probability of a character, as a piece or by its bytes."""
+        v = self.spelled(char)
+        if char in self.logp:
+            top, low = max(v, self.logp[char]), min(v, self.logp[char])
+            v = top + math.log1p(math.exp(low - top))
+        if len(self.chars) < 100_000:
+            self.chars[char] = v
+        return v
 
     def word(self, word: str) -> float:
         """Log probability of a word, summed over all segmentations (forward recursion)."""
         s = MARK + word
         n = len(s)
-        exp, log = math.exp, math.log
+        exp, log, ahead, chars = math.exp, math.log, self.ahead.get, self.chars.get
         into: list[list[float]] = [[] for _ in range(n + 1)]
-        into[0].append(0.0)
-        for i in range(n + 1):
-            terms = into[i]
-            if not terms:
-                continue
+        a = 0.0
+        for i in range(n):
+            v = chars(s[i])
+            into[i + 1].append(a + (self.char(s[i]) if v is None else v))
+            j = i + 2
+            while j <= n:
+                v = ahead(s[i:j])
+                if v is None:
+                    break
+                if v < 0:
+                    into[j].append(a + v)
+                j += 1
+            terms = into[i + 1]
             if len(terms) == 1:
                 a = terms[0]
             else:
                 top = max(terms)
                 a = top + log(sum([exp(t - top) for t in terms]))
-            if i == n:
-                return a
-            into[i] = [a]
-            for j, v, _ in self._ahead(s, i):
-                into[j].append(a + v)
-        return -math.inf
+        return a
 
     def best(self, word: str) -> list[int]:
         """Piece ids of the best segmentation."""
         s = MARK + word
         n = len(s)
-        score, back = [-math.inf] * (n + 1), [None] * (n + 1)
+        ahead = self.ahead.get
+        score, back = [-math.inf] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
         for i in range(n):
             a = score[i]
-            for j, v, p in self._ahead(s, i):
-                if a + v > score[j]:
-                    score[j], back[j] = a + v, (i, p)
+            v = ahead(s[i], 1.0)
+            v = a + (v if v < 0 else self.spelled(s[i]))
+            if v > score[i + 1]:
+                score[i + 1], back[i + 1] = v, i
+            j = i + 2
+            while j <= n:
+                v = ahead(s[i:j])
+                if v is None:
+                    break
+                if v < 0 and a + v > score[j]:
+                    score[j], back[j] = a + v, i
+                j += 1
         ids: list[int] = []
         at = n
         while at:
-            i, p = back[at]
-            if p is None:
+            i = back[at]
+            piece = self.index.get(s[i:at])
+            if piece is None:
                 ids += [self.first_byte + b for b in reversed(s[i:at].encode())]
             else:
-                ids.append(self.index[p])
+                ids.append(piece)
             at = i
         return ids[::-1]
 

@@ -181,7 +181,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys = list(train.keys() | rest.keys())
             return pa.RecordBatch.from_arrays(
-                [pa.array([k.decode() for k in keys], pa.string()), pa.array([train[k] for k in keys], pa.int64()),
+                [pa.array(keys, pa.binary()).cast(pa.string()), pa.array([train[k] for k in keys], pa.int64()),
                  pa.array([train[k] + rest[k] for k in keys], pa.int64())], names=["word", "c", "c_all"])
 
         for b in it:
@@ -228,9 +228,6 @@ def fit(counts: DataFrame, ends: int, vocabulary: str = VOCABULARY) -> Lattice:
 # --- scores -----------------------------------------------------------------
 
 _DOC = "struct<n:bigint,known:bigint,base:double,score:double,rest:array<struct<word:string,tf:bigint>>>"
-_DOC_ARROW = pa.struct([
-    ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-    ("rest", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))])
 
 
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
@@ -272,20 +269,30 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, head: int = HEAD) -> Da
     def partial(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         look = table_b.value.get
         for a in it:
-            out = []
+            n, known, bases, scores, rest, tfs, ends_at = [], [], [], [], [], [], [0]
             for text in byte_texts(a):
                 ws = tokens(text)
-                known, b, s, rest = end_known, end_base, end_score, []
+                k, b, s = end_known, end_base, end_score
                 for w, tf in Counter(ws).items():
                     hit = look(w)
                     if hit is None:
-                        rest.append({"word": w.decode(), "tf": tf})
+                        rest.append(w)
+                        tfs.append(tf)
                     else:
-                        known += tf * hit[0]
+                        k += tf * hit[0]
                         b += tf * hit[1]
                         s += tf * hit[2]
-                out.append({"n": len(ws) + 1, "known": known, "base": b, "score": s, "rest": rest})
-            yield pa.array(out, type=_DOC_ARROW)
+                n.append(len(ws) + 1)
+                known.append(k)
+                bases.append(b)
+                scores.append(s)
+                ends_at.append(len(rest))
+            lines = pa.StructArray.from_arrays([pa.array(rest, pa.binary()).cast(pa.string()), pa.array(tfs, pa.int64())],
+                                               names=["word", "tf"])
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()),
+                 pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), lines)],
+                names=["n", "known", "base", "score", "rest"])
 
     rows = (docs.withColumn("_d", partial.asNondeterministic()(F.col("text")))
             .select(F.monotonically_increasing_id().alias("rid"), "doc_id", "_d"))

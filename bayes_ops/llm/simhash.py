@@ -337,7 +337,8 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     classes = near_duplicates(docs, **kw)
     keepers = classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
     keepers = spill(keepers, "keepers")
-    kept = docs.filter("doc_id is not null").join(keepers.select("doc_id"), "doc_id", "left_semi")
+    # merged by id at every size: keepers are about as many as documents, so they are never a broadcast
+    kept = docs.filter("doc_id is not null").join(keepers.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not keepers.filter("_copies > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])     # rows that repeat an id
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from bayes_ops.llm.common import Shared, byte_texts, crc_mod
 
 DIMS = 4096
-PER_LANGUAGE = 800       # bound of the training sample, in documents per language
+PER_LANGUAGE = 500       # bound of the training sample, in documents per language
 MAX_TRAIN = 8_000        # and over all languages
 
 # Language families; a language not listed is a family of its own.

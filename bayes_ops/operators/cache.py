@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,11 @@ CACHE_SCHEMA = T.StructType([
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: n_rows, hash_xor, hash_sum, fingerprint (op K1)."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    """One row: n_rows, hash_xor, hash_sum, fingerprint (op K1).
+
+    Each column enters with its name and a null flag, so equal values in
+    other columns, or a NULL in another place, give another fingerprint."""
+    h = F.xxhash64(*[x for c in sorted(df.columns) for x in (F.lit(c), F.col(c).isNull(), F.col(c))])
     agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
                  F.bit_xor(h).alias("hash_xor"),
                  F.sum(h.cast("decimal(38,0)")).alias("hash_sum"))
@@ -81,23 +85,29 @@ def get_or_compute(spark: SparkSession, cache_path: str, experiment: str, model:
                    params: dict | None = None) -> tuple[DataFrame, bool]:
     """Cached posterior summary for (data, model, params), else fit and store (K2).
 
-    Returns (result, hit).  The stored result is the (small) summary table
-    serialised as JSON rows; the fit runs only on a miss and a failing fit
-    leaves the cache untouched.
+    Returns (result, hit).  The result is written as Parquet beside the cache
+    table and the record holds its folder and schema, so a hit has the miss's
+    names, order, types and rows and nothing passes through the driver; the
+    fit runs only on a miss and a failing fit leaves no record.
     """
     key = cache_key(df, model, params)
     hit = (_visible(spark, cache_path)
            .where((F.col("experiment") == experiment) & (F.col("model") == model)
                   & (F.col("cache_key") == key)).limit(1).collect())
     if hit:
-        rows = json.loads(hit[0]["result_json"])
-        return spark.createDataFrame(rows) if rows else spark.createDataFrame([], "x int"), True
+        return _stored(spark, hit[0]["result_json"]), True
+    folder = f"{cache_path.rstrip('/')}_results/{key}-{uuid.uuid4().hex}"
     result = fit(df)
-    rows = [r.asDict(recursive=True) for r in result.collect()]  # summary rows only
-    rec = spark.createDataFrame([(experiment, model, key, _now(), json.dumps(rows, default=str), "result")],
-                                CACHE_SCHEMA)
+    result.write.parquet(folder)
+    told = json.dumps({"folder": folder, "schema": result.schema.json()})
+    rec = spark.createDataFrame([(experiment, model, key, _now(), told, "result")], CACHE_SCHEMA)
     rec.write.mode("append").parquet(cache_path)
-    return result, False
+    return _stored(spark, told), False
+
+
+def _stored(spark: SparkSession, told: str) -> DataFrame:
+    at = json.loads(told)
+    return spark.read.schema(T.StructType.fromJson(json.loads(at["schema"]))).parquet(at["folder"])
 
 
 def list_cached(spark: SparkSession, cache_path: str, experiment: str) -> DataFrame:

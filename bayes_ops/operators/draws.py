@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayes_ops.functions.rand import hash_uniform
+from bayes_ops.operators.joins import join_groups
 from bayes_ops.operators.grid import GRID_N, family_support, grid_posterior
 
 HDI_PROB = 0.94
@@ -86,7 +87,7 @@ def hdi_from_draws(draws: DataFrame, keys: Sequence[str], value: str = "value",
     d = d.withColumn("k", F.floor(F.lit(prob) * F.col("n")).cast("int"))
     # lead by a per-group offset: self-join on index instead of a variable lead
     hi = d.select(*keys, (F.col("idx") - F.col("k")).alias("idx"), F.col(value).alias("upper"))
-    j = d.join(hi, keys + ["idx"])
+    j = join_groups(d, hi, keys + ["idx"])
     best = j.withColumn("width", F.col("upper") - F.col(value)).groupBy(*keys).agg(
         F.min_by(F.struct(F.col(value).alias("lo"), F.col("upper").alias("hi")),
                  F.struct(F.col("width"), F.col("idx"))).alias("b"))

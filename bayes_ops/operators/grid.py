@@ -77,7 +77,10 @@ def grid_posterior(params: DataFrame, keys: Sequence[str], lo: Column, hi: Colum
     """
     keys = _keys(keys)
     t = transform if transform is not None else F.lit(0)
-    g = (params
+    # one row per group becomes n rows: spread the groups over the tasks first
+    # (a fixed number, which adaptive execution leaves as it is)
+    tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = (params.repartition(tasks, *keys)
          .withColumn("g_lo", lo)
          .withColumn("g_hi", hi)
          .withColumn("g_t", t)

@@ -47,15 +47,21 @@ def trial_sequence(df: DataFrame, key: str = "variant", value: str = "outcome")
     """Trial index and running successes within each group (op N7), skew-safe.
 
     A plain window over ``partitionBy(key)`` would sort a whole group in one
-    task.  Instead the rows are range-partitioned on (key, order) -- the range
-    bounds split a hot group over many tasks -- then numbered inside each
-    (partition, key) block, and each block adds the counts and successes of
-    the same key's blocks in earlier partitions (a small table: at most
-    #partitions + #keys rows).
+    task.  Instead the rows are range-partitioned on (key, order, a row id) --
+    the range bounds split a hot group, even one of identical rows, over many
+    tasks -- and written once to the shared checkpoint folder, so rows and
+    block sizes come from the same partitioning.  Rows are numbered inside
+    each (partition, key) block, and each block adds the counts and successes
+    of the same key's blocks in earlier partitions (a small table: at most
+    #partitions + #keys rows).  A NULL key is a group like any other.
     """
+    from bayes_ops.operators.joins import join_groups
+    from bayes_ops.operators.materialize import reliable_checkpoint
     order = [c for c in deterministic_order(df.drop(key))]
-    ranged = df.repartitionByRange(F.col(key), *order).withColumn("_pid", F.spark_partition_id())
-    blk = Window.partitionBy("_pid", key).orderBy(*order)
+    ranged = reliable_checkpoint(
+        df.withColumn("_row", F.monotonically_increasing_id())
+        .repartitionByRange(F.col(key), *order, F.col("_row")).withColumn("_pid", F.spark_partition_id()))
+    blk = Window.partitionBy("_pid", key).orderBy(*order, "_row")
     run = blk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (ranged.withColumn("_n", F.row_number().over(blk))
              .withColumn("_s", F.sum(F.col(value).cast("long")).over(run)))
@@ -65,10 +71,10 @@ def trial_sequence(df: DataFrame, key: str = "variant", value: str = "outcome")
     offsets = (sizes.withColumn("o_n", F.coalesce(F.sum("b_n").over(before), F.lit(0)))
                .withColumn("o_s", F.coalesce(F.sum("b_s").over(before), F.lit(0)))
                .select("_pid", key, "o_n", "o_s"))
-    out = local.join(offsets, ["_pid", key])
+    out = join_groups(local, offsets, ["_pid", key])
     return (out.withColumn("seq", (F.col("o_n") + F.col("_n")).cast("int"))
             .withColumn("cum_successes", (F.col("o_s") + F.col("_s")).cast("long"))
-            .drop("_pid", "_n", "_s", "o_n", "o_s"))
+            .drop("_pid", "_row", "_n", "_s", "o_n", "o_s"))
 
 
 def rank_by(df: DataFrame, cols: Sequence, name: str = "rank") -> DataFrame:

@@ -42,9 +42,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[f
         lo = int(h // 1)
         positions[p] = (h, lo, min(lo + 1, total - 1))
     wanted = sorted({i for _, lo, hi in positions.values() for i in (lo, hi)})
-    # partition offsets as a literal map: one entry per range partition
-    off = F.create_map(*[x for pid, o, _ in offsets for x in (F.lit(pid), F.lit(int(o)))])
-    pos = local.withColumn("end", off[F.col("_pid")] + F.col("cum_local")) \
+    off = df.sparkSession.createDataFrame([(pid, int(o)) for pid, o, _ in offsets], "_pid int, _off long")
+    pos = local.join(off, "_pid").withColumn("end", F.col("_off") + F.col("cum_local")) \
         .withColumn("start", F.col("end") - F.col("c"))  # rows [start, end) hold value v (0-based ranks)
     cond = None
     for i in wanted:

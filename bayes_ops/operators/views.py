@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bayes_ops.functions.densities import epanechnikov, gaussian_kernel, weibull_pdf
+from bayes_ops.operators.joins import join_groups
 
 TICKS = 200
 
@@ -41,12 +42,12 @@ def gaussian_kde(df: DataFrame, keys: Sequence[str], value: str, points: int = T
     frac = pos - F.floor(pos)
     two = F.array(F.struct(left.alias("b"), (F.lit(1.0) - frac).alias("wt")),
                   F.struct((left + 1).alias("b"), frac.alias("wt")))
-    binned = (df.where(F.col(value).isNotNull()).join(st, keys)
+    binned = (join_groups(df.where(F.col(value).isNotNull()).select(*keys, value), st, keys)
               .select(*keys, F.explode(two).alias("t"))
               .select(*keys, F.least(F.greatest(F.col("t.b"), F.lit(0)), F.lit(bins - 1)).alias("b"),
                       F.col("t.wt").alias("wt"))
               .groupBy(*keys, "b").agg(F.sum("wt").alias("cnt")))
-    binned = binned.join(st, keys).withColumn("c", F.col("v_min") + (F.col("b") + F.lit(0.5)) * F.col("bw"))
+    binned = join_groups(binned, st, keys).withColumn("c", F.col("v_min") + (F.col("b") + F.lit(0.5)) * F.col("bw"))
     step = (F.col("v_max") - F.col("v_min")) / F.lit(float(points - 1))
     ev = (binned.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
           .withColumn("x", F.col("v_min") + F.col("j") * step))
@@ -76,14 +77,14 @@ def epanechnikov_timeline(df: DataFrame, keys: Sequence[str], ts: str = "timesta
     st = st.withColumn("h", F.lit(1.06) * sd / F.pow(F.col("n").cast("double"), F.lit(0.2)))
     j_lo = F.greatest(F.lit(0), F.ceil((F.col("v") - F.col("h") - F.lit(t0)) / F.lit(step)).cast("int") - 1)
     j_hi = F.least(F.lit(ticks - 1), F.floor((F.col("v") + F.col("h") - F.lit(t0)) / F.lit(step)).cast("int") + 1)
-    ex = (ev.join(st, keys)
+    ex = (join_groups(ev, st, keys)
           .withColumn("j", F.explode(F.sequence(j_lo, F.greatest(j_lo, j_hi))))
           .withColumn("tick", F.lit(t0) + F.col("j") * F.lit(step))
           .withColumn("k", epanechnikov((F.col("tick") - F.col("v")) / F.col("h"), F.col("h"))))
     sums = ex.groupBy(*keys, "j").agg(F.sum("k").alias("ksum"))
     grid = (st.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))))
             .withColumn("tick", F.lit(t0) + F.col("j") * F.lit(step)))
-    return (grid.join(sums, keys + ["j"], "left")
+    return (join_groups(grid, sums, keys + ["j"], "left")
             .withColumn("density", F.coalesce(F.col("ksum"), F.lit(0.0)) / F.col("n"))
             .select(*keys, "j", "tick", "n", "density"))
 
@@ -104,7 +105,7 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
          .withColumn("hi_fence", F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1")))
     v = F.col(value)
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
-    w = df.join(q, keys).groupBy(*keys).agg(
+    w = join_groups(df, q, keys).groupBy(*keys).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
         F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_outliers"))

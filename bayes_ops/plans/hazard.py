@@ -20,59 +20,50 @@ from pyspark.sql import functions as F
 from bayes_ops.operators.grid import conjugate_summary
 
 
-# Largest distinct-value count for which one exact percentile buffer is used.
-EXACT_BUFFER_LIMIT = 100_000
-
-
 def _valid(df: DataFrame) -> DataFrame:
     return df.where(F.col("duration").isNotNull() & F.col("observed").isNotNull())
 
 
-def boundaries_frame(df: DataFrame, num_bins: int = 10, approx: bool = False,
-                     accuracy: int = 100000) -> DataFrame:
-    """One row: failures, max_t and the inner percentile boundaries (op A9).
-
-    ``approx`` uses percentile_approx (bounded memory for continuous
-    durations at scale); exact percentile keeps one count per distinct value.
-    """
+def boundaries_frame(df: DataFrame, num_bins: int = 10, accuracy: int = 100000) -> DataFrame:
+    """One row: failures, max_t and the inner percentile boundaries by percentile_approx."""
     t, obs = F.col("duration"), F.col("observed")
     fracs = [k / num_bins for k in range(1, num_bins)]
     if not fracs:
         pct = F.array().cast("array<double>")
-    elif approx:
-        pct = F.percentile_approx(F.when(obs, t), fracs, accuracy).cast("array<double>")
     else:
-        pct = F.percentile(F.when(obs, t), F.lit(fracs))
+        pct = F.percentile_approx(F.when(obs, t), fracs, accuracy).cast("array<double>")
     return _valid(df).agg(F.sum(F.when(obs, 1).otherwise(0)).cast("long").alias("failures"),
                           F.max(t).alias("max_t"), pct.alias("pct"))
 
 
-def compute_boundaries(df: DataFrame, num_bins: int = 10, approx: bool = False
-                       ) -> tuple[list[float], float | None]:
-    """(num_bins - 1 boundaries, max duration); bounded by num_bins.
+def compute_boundaries(df: DataFrame, num_bins: int = 10, approx: bool = False) -> tuple[list[float], float | None]:
+    """(num_bins - 1 boundaries, max duration)."""
+    bounds, max_t, _ = boundary_stats(df, num_bins, approx)
+    return bounds, max_t
 
-    Exact percentiles: when the observed durations have at most
-    ``EXACT_BUFFER_LIMIT`` distinct values (checked in the same scan), Spark's
-    ``percentile`` aggregate, whose single final buffer then stays small;
-    beyond that ``operators.quantiles`` (distributed, no task holds more than
-    one range partition of the distinct values).  ``approx`` uses
-    percentile_approx instead.
+
+def boundary_stats(df: DataFrame, num_bins: int = 10, approx: bool = False
+                   ) -> tuple[list[float], float | None, int]:
+    """(num_bins - 1 boundaries, max duration, failures) (op A9).
+
+    Exact percentiles come from ``operators.quantiles``: no task holds more
+    than one range partition of the distinct values, at any size.  ``approx``
+    uses percentile_approx instead.
     """
     from bayes_ops.operators.quantiles import exact_percentiles
+    fracs = [k / num_bins for k in range(1, num_bins)]
     v = _valid(df)
-    row = v.agg(F.sum(F.when(F.col("observed"), 1).otherwise(0)).cast("long").alias("failures"),
-                F.max("duration").alias("max_t"),
-                F.approx_count_distinct(F.when(F.col("observed"), F.col("duration"))).alias("distinct")).first()
-    failures = row["failures"] or 0
-    max_t = row["max_t"]
+    if approx:
+        row = boundaries_frame(df, num_bins).first()
+    else:
+        row = v.agg(F.sum(F.when(F.col("observed"), 1).otherwise(0)).cast("long").alias("failures"),
+                    F.max("duration").alias("max_t")).first()
+    failures, max_t = row["failures"] or 0, row["max_t"]
     if failures < num_bins:
         top = max_t if max_t is not None else 1.0
-        return [top * k / num_bins for k in range(1, num_bins)], max_t
-    fracs = [k / num_bins for k in range(1, num_bins)]
-    if approx or row["distinct"] <= EXACT_BUFFER_LIMIT:
-        pct = boundaries_frame(df, num_bins, approx=approx).first()["pct"]
-        return [float(x) for x in pct], max_t
-    return [float(x) for x in exact_percentiles(v.where(F.col("observed")), "duration", fracs)], max_t
+        return [top * k / num_bins for k in range(1, num_bins)], max_t, failures
+    pct = row["pct"] if approx else exact_percentiles(v.where(F.col("observed")), "duration", fracs)
+    return [float(x) for x in pct], max_t, failures
 
 
 def interval_index(t: Column, bounds: list[float]) -> Column:

@@ -18,6 +18,7 @@ from bayes_ops.functions.timefmt import unit_seconds
 from bayes_ops.operators import filters as flt
 from bayes_ops.operators.grid import conjugate_curve, conjugate_summary
 from bayes_ops.operators.suffstats import event_counts, validate_group_by
+from bayes_ops.sources.schemas import POISSON_EXPOSURE_COLUMN
 
 
 def _as_datetime(v) -> _dt.datetime:
@@ -37,17 +38,21 @@ def window_exposure(start, end, unit: str = "day", population: float = 1.0) -> f
 def poisson_params(df: DataFrame, start, end, cohort: Sequence[str] | None = None,
                    event_type: Sequence[str] | None = None,
                    group_by: Sequence[str] = ("cohort",), unit: str = "day",
-                   population: float = 1.0, exposure_col: str | None = None,
+                   population: float = 1.0, exposure_col: str | None = "auto",
                    prior: tuple[float, float] = (1.0, 1.0),
                    groups: DataFrame | None = None) -> DataFrame:
     """Per group: n_events, exposure, alpha, beta (ops A5, A6, P10).
 
     ``groups`` (optional frame of group keys) keeps groups with no event in
     the window, with k = 0; by default they are absent, as in the reference.
+    ``exposure_col``: a column to sum; "auto" takes ``exposure`` when the table
+    has it, None the window; a named column that is absent is an error.
     """
     gb = validate_group_by(group_by)  # validated before anything runs (Q6)
-    if exposure_col and exposure_col not in df.columns:
-        exposure_col = None
+    if exposure_col == "auto":
+        exposure_col = POISSON_EXPOSURE_COLUMN if POISSON_EXPOSURE_COLUMN in df.columns else None
+    elif exposure_col and exposure_col not in df.columns:
+        raise ValueError(f"the table has no exposure column '{exposure_col}'")
     preds = (flt.time_window(start, end) + flt.membership("cohort", cohort)
              + flt.membership("event_type", event_type))
     stats = event_counts(flt.apply(df, preds), gb, exposure_col)

@@ -104,34 +104,36 @@ def _zoom(row, alphas: list[float], h: float, lo: float, stats: dict, log_c: flo
     return (max(lo + (k0 - 1) * h, 1e-9), lo + (k1 + 2) * h, len(keep), [prof[k0][1], prof[k1][1]])
 
 
-def locate(df: DataFrame, lo: float = 0.0, hi: float = 8.0,
-           max_passes: int = 12) -> tuple[dict, float, float, list[float]]:
-    """Narrow the alpha range; each pass is one aggregation with 96 nodes.
-
-    The first pass also returns n, r, L and max t (scale 1 there).  A pass
-    keeps the nodes whose beta-profile log posterior is within 50 of the
-    best (plus one node each side); zooming stops once that region spans at
-    least 24 nodes, so the final 64-node alpha grid and the shared beta grid
-    both resolve the posterior.
-    Returns (basic stats, a_lo, a_hi, beta modes at the ends).
+def locate(df: DataFrame, start: float = 8.0, max_passes: int = 40) -> tuple[dict, float, float, list[float]]:
+    """Find the alpha range; each pass is one aggregation with 96 nodes.
+
+    The first pass also returns n, r, L and max t (scale 1 there).  While the
+    best nodes (within 50 log units of the maximum) reach the upper end, the
+    range is doubled.  Then a pass keeps those nodes (plus one each side);
+    zooming stops once that region spans at least 24 nodes, so the final
+    64-node alpha grid and the shared beta grid both resolve the posterior.
+    Returns (basic stats, a_lo, a_hi, beta modes at the ends); a range that
+    does not resolve is an error.
     """
-    h = (hi - lo) / LOCATE_NODES
-    alphas = [lo + (k + 0.5) * h for k in range(LOCATE_NODES)]
-    first = power_sums(df, alphas, 1.0, with_basic=True).first()
-    stats = {k: first[k] for k in ("n", "r", "sum_log_t_obs", "max_t", "min_t")}
-    if not stats["n"]:
-        raise ValueError("No data found for the experiment.")
-    lo, hi, n_keep, modes = _zoom(first, alphas, h, lo, stats, 0.0)
-    c = stats["max_t"]
-    log_c = math.log(c)
+    lo, hi = 0.0, start
+    stats, c, log_c = None, 1.0, 0.0
     for _ in range(max_passes):
-        if n_keep >= RESOLVED_NODES:
-            break
         h = (hi - lo) / LOCATE_NODES
         alphas = [lo + (k + 0.5) * h for k in range(LOCATE_NODES)]
-        row = power_sums(df, alphas, c).first()
-        lo, hi, n_keep, modes = _zoom(row, alphas, h, lo, stats, log_c)
-    return stats, lo, hi, modes
+        row = power_sums(df, alphas, c, with_basic=stats is None).first()
+        if stats is None:
+            stats = {k: row[k] for k in ("n", "r", "sum_log_t_obs", "max_t", "min_t")}
+            if not stats["n"]:
+                raise ValueError("No data found for the experiment.")
+        new_lo, new_hi, n_keep, modes = _zoom(row, alphas, h, lo, stats, log_c)
+        c, log_c = stats["max_t"], math.log(stats["max_t"])
+        if new_hi > hi:                  # the best nodes touch the upper end
+            lo, hi = max(0.0, new_lo - h), 2 * hi
+            continue
+        lo, hi = new_lo, new_hi
+        if n_keep >= RESOLVED_NODES:
+            return stats, lo, hi, modes
+    raise RuntimeError(f"the alpha range did not resolve in {max_passes} passes: [{lo}, {hi}]")
 
 
 def weibull_grid(df: DataFrame) -> tuple[DataFrame, dict]:

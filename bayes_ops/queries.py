@@ -145,18 +145,13 @@ WEIBULL_CHECK_ALPHAS = [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0]
 
 @query("a7_weibull_suffstats")
 def a7_weibull_suffstats(spark, sf_dir):
-    """n, r, L and S(alpha) = sum (t/50)^alpha at fixed nodes in one scan."""
+    """n, r, L and S(alpha) = sum (t/max t)^alpha at fixed nodes."""
+    from bayes_ops.operators.suffstats import power_sums
     df = AD.survival_from_lineitem(spark, sf_dir)
-    c = 50.0  # scale of the statistic (a parameter; max l_quantity)
-    z = F.col("duration") / F.lit(c)
-    valid = df.where(F.col("duration").isNotNull() & F.col("observed").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"),
-            F.sum(F.when(F.col("observed"), 1).otherwise(0)).cast("long").alias("r"),
-            F.sum(F.when(F.col("observed"), F.log("duration"))).alias("sum_log_t_obs")]
-    aggs += [F.sum(F.pow(z, F.lit(a))).alias(f"s{k}") for k, a in enumerate(WEIBULL_CHECK_ALPHAS)]
+    top = df.where(F.col("duration").isNotNull() & F.col("observed").isNotNull()).agg(F.max("duration")).first()[0]
     nodes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("alpha"), F.col(f"s{k}").alias("s"))
                       for k, a in enumerate(WEIBULL_CHECK_ALPHAS)])
-    return (valid.agg(*aggs)
+    return (power_sums(df, WEIBULL_CHECK_ALPHAS, float(top or 1.0), with_basic=True)
             .select("n", "r", "sum_log_t_obs", F.explode(nodes).alias("nd"))
             .select("n", "r", "sum_log_t_obs", "nd.k", "nd.alpha", "nd.s"))
 

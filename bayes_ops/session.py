@@ -50,8 +50,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared, fault-tolerant folder there).  Only when it is unset -- local
-    tests -- a private scratch folder is created and registered.
+    shared, fault-tolerant folder there).  When it is unset a private scratch
+    folder is made for a local master only; on a cluster that folder would
+    exist on the driver alone, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -59,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="bayes-ops-ckpt-")
     sc.setCheckpointDir(path)
     return path

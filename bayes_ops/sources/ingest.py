@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bayes_ops.sources.schemas import kind_schema
+from bayes_ops.sources.schemas import POISSON_EXPOSURE_COLUMN, kind_schema, table_schema
 
 
 class SchemaMismatch(ValueError):
@@ -23,12 +23,12 @@ def check_columns(df: DataFrame, kind: str) -> None:
     want = [f.name for f in kind_schema(kind).fields]
     have = df.columns
     missing = [c for c in want if c not in have]
-    extra = [c for c in have if c not in want and not (kind == "poisson-cohorts" and c == "exposure")]
+    extra = [c for c in have if c not in want and not (kind == "poisson-cohorts" and c == POISSON_EXPOSURE_COLUMN)]
     if missing or extra:
         raise SchemaMismatch(f"missing columns {missing}, unexpected columns {extra}")
 
 
-def _domain(kind: str) -> list[tuple[str, Column]]:
+def _domain(kind: str, with_exposure: bool = False) -> list[tuple[str, Column]]:
     """(reason, failing condition on the cast columns)."""
     checks = []
     if kind == "ab-test":
@@ -38,6 +38,8 @@ def _domain(kind: str) -> list[tuple[str, Column]]:
         checks.append(("zero_observed_duration", (F.col("duration") == 0) & F.col("observed")))
     if kind == "poisson-cohorts":
         checks.append(("missing_cohort", F.col("cohort").isNull()))
+        if with_exposure:
+            checks.append(("negative_exposure", F.col(POISSON_EXPOSURE_COLUMN) < 0))
     if "timestamp" in [f.name for f in kind_schema(kind).fields]:
         checks.append(("missing_timestamp", F.col("timestamp").isNull()))
     return checks
@@ -51,14 +53,14 @@ def validate(df: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
     an event key) pass through unchanged.
     """
     check_columns(df.drop(*keep), kind)
-    fields = kind_schema(kind).fields
+    fields = table_schema(kind, df.columns).fields
     cast = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields]
     raw = [F.col(f.name).alias(f"_raw_{f.name}") for f in fields]
     t = df.select(*[F.col(k) for k in keep], *cast, *raw)
     reasons = []
     for f in fields:
         reasons.append((f"bad_{f.name}", F.col(f"_raw_{f.name}").isNotNull() & F.col(f.name).isNull()))
-    reasons += _domain(kind)
+    reasons += _domain(kind, POISSON_EXPOSURE_COLUMN in df.columns)
     reason = F.lit(None).cast(T.StringType())
     for name, cond in reversed(reasons):
         reason = F.when(F.coalesce(cond, F.lit(False)), F.lit(name)).otherwise(reason)

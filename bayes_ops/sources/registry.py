@@ -138,7 +138,7 @@ def create_experiment(spark: SparkSession, root: str, name: str, kind: str, disp
     """Validate, write version 1, then register (S5).  Raises AlreadyExists
     (409) or ValueError for an empty or invalid batch (400).  Returns rows."""
     if name in list_tables(spark, root):
-        raise AlreadyExists(f"Experiment table '{name}' already exists.")
+        raise AlreadyExists(f"'{name}' is registered already")
     if kind in SUPPORTED_KINDS:
         check_columns(data, kind)
         good, bad = split(data, kind)
@@ -148,7 +148,7 @@ def create_experiment(spark: SparkSession, root: str, name: str, kind: str, disp
         data = good
     n = data.count()
     if n == 0:
-        raise ValueError("initial_data must contain a non-empty array of objects.")
+        raise ValueError("the first batch holds no rows")
     version = time.time_ns()
     data.write.mode("errorifexists").parquet(data_path(root, name, version))
     _append(spark, root, [(name, kind, display_name, "created", _now(), version, time.time_ns())])
@@ -185,7 +185,7 @@ def delete_condition(filters: dict, start=None, end=None):
     from bayes_ops.operators import filters as flt
     preds = flt.equalities(filters) + flt.time_window(start, end)
     if not preds:
-        raise ValueError("Provide at least one filter (cohort, event, start, end) to delete.")
+        raise ValueError("a delete needs a filter or a time window")
     return functools.reduce(lambda a, b: a & b, preds)
 
 

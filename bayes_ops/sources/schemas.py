@@ -58,10 +58,18 @@ class UnknownKind(ValueError):
 
 def kind_schema(kind: str) -> T.StructType:
     if kind not in KIND_COLUMNS:
-        raise UnknownKind(f"Schema not found for experiment type '{kind}'")
+        raise UnknownKind(f"no column layout is known for kind '{kind}'")
     return T.StructType([T.StructField(n, t, True) for n, t in KIND_COLUMNS[kind]])
 
 
+def table_schema(kind: str, columns: list[str] | None = None) -> T.StructType:
+    """The kind's columns, and its optional ones as far as ``columns`` has them (None: all)."""
+    out = kind_schema(kind)
+    if kind == "poisson-cohorts" and (columns is None or POISSON_EXPOSURE_COLUMN in columns):
+        out = T.StructType([*out.fields, T.StructField(POISSON_EXPOSURE_COLUMN, T.DoubleType(), True)])
+    return out
+
+
 def schema_rows(kind: str | None = None) -> list[tuple[str, str, str, int]]:
     """(kind, column, type, position) for one kind or all kinds (op G7)."""
     kinds = [kind] if kind else SUPPORTED_KINDS

@@ -18,19 +18,23 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from bayes_ops.sources.ingest import validate
-from bayes_ops.sources.schemas import kind_schema
+from bayes_ops.sources.schemas import kind_schema, table_schema
 
 
-def text_schema(kind: str, extra: tuple[str, ...] = ()) -> T.StructType:
-    names = [f.name for f in kind_schema(kind).fields] + list(extra)
+def text_schema(kind: str, extra: tuple[str, ...] = (), optional: bool = False) -> T.StructType:
+    """All columns as text; ``optional`` adds the kind's optional columns (exposure)."""
+    fields = table_schema(kind).fields if optional else kind_schema(kind).fields
+    names = [f.name for f in fields] + list(extra)
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
 def event_stream(spark: SparkSession, source_dir: str, kind: str, fmt: str = "json",
-                 key: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming frame of raw (text) event columns from ``source_dir``."""
+                 key: str | None = None, max_files_per_trigger: int | None = None,
+                 optional: bool = False) -> DataFrame:
+    """Streaming frame of raw (text) event columns from ``source_dir``; ``optional``
+    says that the files carry the kind's optional columns."""
     extra = (key,) if key else ()
-    r = spark.readStream.schema(text_schema(kind, extra))
+    r = spark.readStream.schema(text_schema(kind, extra, optional))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
@@ -66,6 +70,6 @@ def start_ingest(raw: DataFrame, kind: str, sink_dir: str, checkpoint: str, key:
 
 
 def read_ingested(spark: SparkSession, sink_dir: str, kind: str) -> DataFrame:
-    """Accepted rows of a streaming-ingested table, in the kind schema."""
-    cols = [f.name for f in kind_schema(kind).fields]
-    return spark.read.parquet(sink_dir).where(F.col("status") == "ok").select(*cols)
+    """Accepted rows of a streaming-ingested table, in the kind schema (with exposure where it was ingested)."""
+    t = spark.read.parquet(sink_dir)
+    return t.where(F.col("status") == "ok").select(*[f.name for f in table_schema(kind, t.columns).fields])

@@ -186,17 +186,15 @@ def test_hier_poisson_matches_brute_force(spark):
             assert out[(e, c)].n_events == k
 
 
-def test_hazard_boundaries_both_exact_paths_agree(spark, monkeypatch):
+def test_hazard_boundaries_are_exact(spark):
     from bayes_ops.plans import hazard as H
     rng = np.random.default_rng(13)
     t = rng.exponential(10.0, 2000)
     d = rng.random(2000) < 0.8
     df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(t, d)], "duration double, observed boolean")
-    small, _ = H.compute_boundaries(df, 10)
-    monkeypatch.setattr(H, "EXACT_BUFFER_LIMIT", 0)  # force the distributed path
-    big, _ = H.compute_boundaries(df, 10)
+    got, max_t, failures = H.boundary_stats(df, 10)
     want = np.percentile(t[d], np.linspace(0, 100, 11))[1:-1]
-    assert np.allclose(small, want, rtol=1e-12) and np.allclose(big, want, rtol=1e-12)
+    assert np.allclose(got, want, rtol=1e-12) and failures == d.sum() and max_t == t.max()
 
 
 def test_ab_and_weibull_curves_integrate_to_one(spark):

@@ -32,3 +32,15 @@ def lgamma(x: Column) -> Column:
 def log_beta_fn(a: Column, b: Column) -> Column:
     """log B(a, b) = lgamma(a) + lgamma(b) - lgamma(a + b)."""
     return lgamma(a) + lgamma(b) - lgamma(a + b)
+
+
+def lgamma_ratio(a: Column, s: Column) -> Column:
+    """log Gamma(a + s) - log Gamma(a) for s >= 0.
+
+    For large ``a`` the two terms nearly cancel, so the Stirling forms are
+    subtracted term by term; the error stays relative to s log(a + s).
+    """
+    def tail(z: Column) -> Column:
+        return F.lit(1.0 / 12.0) / z - F.lit(1.0 / 360.0) / (z * z * z)
+    far = ((a - F.lit(0.5)) * F.log1p(s / a) + s * F.log(a + s) - s + tail(a + s) - tail(a))
+    return F.when(a < 100, lgamma(a + s) - lgamma(a)).otherwise(far)

@@ -78,8 +78,9 @@ def grid_posterior(params: DataFrame, keys: Sequence[str], lo: Column, hi: Colum
     keys = _keys(keys)
     t = transform if transform is not None else F.lit(0)
     # one row per group becomes n rows: spread the groups over the tasks first
-    # (a fixed number, which adaptive execution leaves as it is)
-    tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # (a number of its own: the same as the aggregation's before it would be taken
+    # for that one's partitioning, which adaptive execution merges to a few tasks)
+    tasks = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
     g = (params.repartition(tasks, *keys)
          .withColumn("g_lo", lo)
          .withColumn("g_hi", hi)

@@ -186,7 +186,7 @@ agg AS (SELECT CAST(j AS INTEGER) AS j, count(*) AS n_rows, sum(loglik) AS logli
 # ---------------------------------------------------------------- Weibull
 
 _WB_ALPHAS = [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0]
-_WB_SUMS = ", ".join(f"sum(pow(duration / {d(50)}, {d(a)})) AS s{k}" for k, a in enumerate(_WB_ALPHAS))
+_WB_SUMS = ", ".join(f"sum(pow(duration / (SELECT max(duration) FROM sv), {d(a)})) AS s{k}" for k, a in enumerate(_WB_ALPHAS))
 _WB_LONG = " UNION ALL ".join(
     f"SELECT n, r, sum_log_t_obs, CAST({k} AS INTEGER) AS k, {d(a)} AS alpha, s{k} AS s FROM one"
     for k, a in enumerate(_WB_ALPHAS))

@@ -8,9 +8,11 @@ outcomes ~ Bernoulli(p_v).  Integrating p_v out, the hyper-posterior is
 
 evaluated on a grid in (mu, log kappa) with alpha = mu kappa,
 beta = (1 - mu) kappa (Jacobian kappa^2).  The data enter only through
-(s_v, f_v) per variant: one aggregation over the trial rows.  The grid is
-zoomed where the log posterior is within 50 of its maximum, then each
-variant's posterior of p_v is the weighted mixture of
+(s_v, f_v) per variant: one aggregation over the trial rows.  The posterior
+is sharp in mu at large kappa and diffuse at small kappa, so each log-kappa
+row has its own mu range, taken from the pooled rate and its standard error
+at that kappa; the log-kappa range grows until no mass is left at its ends
+and is then narrowed to where the mass is.  Each variant's posterior of p_v is the weighted mixture of
 Beta(alpha_g + s_v, beta_g + f_v), summarised on a p grid.
 """
 
@@ -22,15 +24,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayes_ops.functions.densities import log_half_cauchy
-from bayes_ops.functions.special import log_beta_fn
+from bayes_ops.functions.special import lgamma_ratio, log_beta_fn
 from bayes_ops.operators.grid import cell_columns, grid_summary_aggs, hdi_columns, weights_windows
 from bayes_ops.operators.filters import project
 from bayes_ops.operators.suffstats import ab_stats
 
 HC_SCALE = 10.0
-LK_MIN, LK_MAX = math.log(1e-2), math.log(1e6)
+LK_START = (math.log(1e-2), math.log(1e6))   # first log-kappa range; it grows with the data
+LK_STEP = math.log(1e4)
+EDGE = 1e-10             # mass that a row of the range's ends may hold
 ZOOM_N = 80
 FINAL_N = 48
+FINAL_MU = 64
+MU_SDS = 9.0
 P_CELLS = 256
 DROP = 30.0
 
@@ -56,8 +62,8 @@ def _node_lp(stats: DataFrame, lk_lo: float, lk_hi: float, mu_lo: list[float], m
     kappa = F.exp(F.col("lk"))
     a = F.col("mu") * kappa
     b = (F.lit(1.0) - F.col("mu")) * kappa
-    term = (log_beta_fn(a + F.col("successes").cast("double"), b + F.col("failures").cast("double"))
-            - log_beta_fn(a, b))
+    n_s, n_f = F.col("successes").cast("double"), F.col("failures").cast("double")
+    term = lgamma_ratio(a, n_s) + lgamma_ratio(b, n_f) - lgamma_ratio(kappa, n_s + n_f)
     lp = (nodes.withColumn("t", term).groupBy("ki", "mi")
           .agg(F.sum("t").alias("ll"), F.first("mu").alias("mu"), F.first("lk").alias("lk"),
                F.first("dmu").alias("dmu"), F.first("m_lo").alias("m_lo")))
@@ -68,59 +74,59 @@ def _node_lp(stats: DataFrame, lk_lo: float, lk_hi: float, mu_lo: list[float], m
                          + F.lit(2.0) * F.col("lk"))
 
 
-def _hyper_lp(stats: DataFrame, mu_lo, mu_hi, lk_lo, lk_hi, n: int) -> DataFrame:
-    return _node_lp(stats, lk_lo, lk_hi, [mu_lo] * n, [mu_hi] * n, n)
-
-
-def locate(stats: DataFrame, max_passes: int = 12) -> tuple[float, float, list[float], list[float]]:
-    """Zoom the grid: first the log-kappa range, then a mu range per row.
-
-    Each pass keeps the cells holding mass > 1e-12 (plus one cell each side)
-    and stops once the marginal is resolved (sd >= 2 cells).  The mu range
-    is per log-kappa row because the posterior is sharp in mu at large kappa
-    and diffuse at small kappa.  Only grid parameters reach the driver.
+def _mu_ranges(stats: DataFrame, lk_lo: float, lk_hi: float, n: int) -> tuple[list[float], list[float]]:
+    """A mu range for each of n log-kappa rows, in one aggregation over the variants.
+
+    Given kappa, a variant's rate says mu up to a variance of about
+    mu (1 - mu) (1 / trials + 1 / (kappa + 1)); the pooled rate and its
+    standard error give the range, widened for few trials."""
+    dk = (lk_hi - lk_lo) / n
+    t = F.col("trials").cast("double")
+    rate = (F.col("successes").cast("double") + F.lit(0.5)) / (t + F.lit(1.0))
+    aggs = []
+    for k in range(n):
+        kappa = math.exp(lk_lo + (k + 0.5) * dk)
+        w = F.lit(1.0) / (F.lit(1.0) / (t + F.lit(1.0)) + F.lit(1.0 / (kappa + 1.0)))
+        aggs += [F.sum(w).alias(f"w{k}"), F.sum(w * rate).alias(f"m{k}")]
+    row = stats.agg(*aggs).first()
+    lo, hi = [], []
+    for k in range(n):
+        m = row[f"m{k}"] / row[f"w{k}"]
+        half = MU_SDS * math.sqrt(m * (1 - m) / row[f"w{k}"]) + 40.0 / row[f"w{k}"]
+        lo.append(max(0.0, m - half))
+        hi.append(min(1.0, m + half))
+    return lo, hi
+
+
+def locate(stats: DataFrame, max_passes: int = 40) -> tuple[float, float, list[float], list[float]]:
+    """The log-kappa range that holds the mass, and the mu range of each of its rows.
+
+    A pass that finds mass at an end of the range moves that end out; else the
+    range is narrowed to the rows that hold mass (plus one each side), until
+    the marginal is resolved (sd >= 2 rows).  Only grid parameters reach the
+    driver; a range that does not settle is an error.
     """
-    lk_lo, lk_hi = LK_MIN, LK_MAX
-    everything = Window.partitionBy(F.lit(0))  # ZOOM_N^2 grid rows, not data
+    lk_lo, lk_hi = LK_START
+    everything = Window.partitionBy(F.lit(0))  # ZOOM_N rows, not data
     for _ in range(max_passes):
         dk = (lk_hi - lk_lo) / ZOOM_N
-        g = _hyper_lp(stats, 0.0, 1.0, lk_lo, lk_hi, ZOOM_N)
-        g = g.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(everything)))
-        g = g.withColumn("w", F.col("e") / F.sum("e").over(everything))
-        heavy = F.col("w") > F.lit(1e-12)
-        r = g.agg(F.sum(F.col("w") * F.col("lk")).alias("m"), F.sum(F.col("w") * F.col("lk") ** 2).alias("m2"),
-                  F.min(F.when(heavy, F.col("ki"))).alias("k0"), F.max(F.when(heavy, F.col("ki"))).alias("k1")).first()
+        g = _node_lp(stats, lk_lo, lk_hi, *_mu_ranges(stats, lk_lo, lk_hi, ZOOM_N), ZOOM_N)
+        rows = g.groupBy("ki").agg(F.max("lp").alias("top"), F.first("lk").alias("lk"),
+                                   F.collect_list(F.struct("lp", "dmu")).alias("c"))   # ZOOM_N cells
+        rows = rows.withColumn("top", F.max("top").over(everything))
+        rows = rows.withColumn("e", F.expr("aggregate(c, 0D, (s, x) -> s + exp(x.lp - top) * x.dmu)"))
+        rows = rows.withColumn("w", F.col("e") / F.sum("e").over(everything))
+        heavy = F.col("w") > F.lit(EDGE)
+        r = rows.agg(F.sum(F.col("w") * F.col("lk")).alias("m"), F.sum(F.col("w") * F.col("lk") ** 2).alias("m2"),
+                     F.min(F.when(heavy, F.col("ki"))).alias("k0"), F.max(F.when(heavy, F.col("ki"))).alias("k1")).first()
+        at_lo, at_hi = r["k0"] == 0, r["k1"] == ZOOM_N - 1
         sd = math.sqrt(max(r["m2"] - r["m"] ** 2, 0.0))
-        lk_lo, lk_hi = (max(LK_MIN, lk_lo + (r["k0"] - 1) * dk), min(LK_MAX, lk_lo + (r["k1"] + 2) * dk))
-        if sd >= 2 * dk:
-            break
-    n_k = FINAL_N
-    mu_lo, mu_hi = [0.0] * n_k, [1.0] * n_k
-    done = [False] * n_k
-    by_row = Window.partitionBy("ki")
-    for _ in range(max_passes):
-        g = _node_lp(stats, lk_lo, lk_hi, mu_lo, mu_hi, ZOOM_N)
-        g = g.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(by_row)))
-        g = g.withColumn("w", F.col("e") / F.sum("e").over(by_row))
-        heavy = F.col("w") > F.lit(1e-12)
-        rows = (g.groupBy("ki").agg(F.sum(F.col("w") * F.col("mu")).alias("m"),
-                                    F.sum(F.col("w") * F.col("mu") ** 2).alias("m2"),
-                                    F.min(F.when(heavy, F.col("mi"))).alias("i0"),
-                                    F.max(F.when(heavy, F.col("mi"))).alias("i1")).collect())
-        for r in rows:
-            k = r["ki"]
-            if done[k]:
-                continue
-            dm = (mu_hi[k] - mu_lo[k]) / ZOOM_N
-            sd = math.sqrt(max(r["m2"] - r["m"] ** 2, 0.0))
-            lo = max(0.0, mu_lo[k] + (r["i0"] - 1) * dm)
-            hi = min(1.0, mu_lo[k] + (r["i1"] + 2) * dm)
-            # resolved, or no longer narrowing (mass reaching the domain edge)
-            done[k] = sd >= 2 * dm or (hi - lo) > 0.9 * (mu_hi[k] - mu_lo[k])
-            mu_lo[k], mu_hi[k] = lo, hi
-        if all(done):
-            break
-    return lk_lo, lk_hi, mu_lo, mu_hi
+        keep_lo, keep_hi = lk_lo + (r["k0"] - 1) * dk, lk_lo + (r["k1"] + 2) * dk
+        lk_lo = lk_lo - LK_STEP if at_lo else max(lk_lo, keep_lo)
+        lk_hi = lk_hi + LK_STEP if at_hi else min(lk_hi, keep_hi)
+        if not at_lo and not at_hi and sd >= 2 * dk:
+            return lk_lo, lk_hi, *_mu_ranges(stats, lk_lo, lk_hi, FINAL_N)
+    raise RuntimeError(f"the kappa range did not settle in {max_passes} passes: log kappa in [{lk_lo}, {lk_hi}]")
 
 
 def ab_posterior(df: DataFrame, p_cells: int = P_CELLS) -> DataFrame:
@@ -145,11 +151,11 @@ def _fit(df: DataFrame, p_cells: int, curve: bool) -> DataFrame:
 def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int,
                       curve: bool = False) -> DataFrame:
     n = FINAL_N
-    hyper = _node_lp(stats, lk_lo, lk_hi, mu_lo, mu_hi, n).select("ki", "mi", "lp", "mu", "lk", "dmu")
+    hyper = _node_lp(stats, lk_lo, lk_hi, mu_lo, mu_hi, FINAL_MU).select("ki", "mi", "lp", "mu", "lk", "dmu")
     # (variant, node) rows: exploded from the per-variant table, then given the
     # node weight by an equi-join on the node index.
     vn = (stats.withColumn("ki", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-          .withColumn("mi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+          .withColumn("mi", F.explode(F.sequence(F.lit(0), F.lit(FINAL_MU - 1))))
           .join(hyper, ["ki", "mi"]))
     kappa = F.exp(F.col("lk"))
     mu = F.col("mu")
@@ -170,6 +176,16 @@ def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int
         F.first("successes").alias("successes"), F.first("trials").alias("trials"),
         F.sum(F.col("hw") * m1).alias("mean"), F.sum(F.col("hw") * m2).alias("m2"))
     moments = moments.withColumn("sd", F.sqrt(F.greatest(F.col("m2") - F.col("mean") ** 2, F.lit(0.0)))).drop("m2")
+    # A component much narrower than the step between its neighbours would be a
+    # spike between p cells: its sd is held at 0.6 steps (density only; the
+    # moments above are those of the components as they are).
+    step = F.col("dmu") * F.exp(F.col("lk")) / (F.exp(F.col("lk")) + F.col("trials").cast("double"))
+    var = F.greatest(sd_g * sd_g, F.lit(0.36) * step * step)
+    var = F.least(var, F.lit(0.5) * m1 * (F.lit(1.0) - m1))
+    conc = F.greatest(m1 * (F.lit(1.0) - m1) / var - F.lit(1.0), F.lit(1e-9))
+    wide = F.lit(0.36) * step * step > sd_g * sd_g
+    vn = vn.withColumns({"a": F.when(wide, m1 * conc).otherwise(F.col("a")),
+                         "b": F.when(wide, (F.lit(1.0) - m1) * conc).otherwise(F.col("b"))})
     # mixture density on p cells: sum_g hw_g Beta(p; a_g, b_g)
     # the Beta normaliser depends on (variant, node) only: computed before the cells
     vn = vn.withColumn("lnorm", -log_beta_fn(F.col("a"), F.col("b")))

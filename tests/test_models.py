@@ -223,3 +223,116 @@ def test_hazard_boundaries_approx_close_to_exact(spark):
     ranks = np.searchsorted(np.sort(t[d]), approx) / d.sum()
     assert np.allclose(ranks, np.arange(1, 10) / 10, atol=2e-3)
     assert np.allclose(exact, np.percentile(t[d], np.linspace(0, 100, 11))[1:-1])
+
+
+def test_ab_hyper_posterior_at_a_billion_trials(spark):
+    """Large n: rates are normal, so the hierarchy has a closed conditional posterior per kappa."""
+    from bayes_ops.plans.ab import _variant_mixtures, locate
+    rng = np.random.default_rng(5)
+    n = 1_000_000_000
+    succ = [int(round(n * (0.1 + x))) for x in rng.normal(0, 5e-6, 12)]
+    stats = spark.createDataFrame([(f"v{i}", s, n, n - s) for i, s in enumerate(succ)],
+                                  "variant string, successes long, trials long, failures long").cache()
+    out = {r["variant"]: r for r in _variant_mixtures(stats, *locate(stats), 256).collect()}
+    rate = np.array(succ) / n
+    lk = np.linspace(np.log(1e2), np.log(1e22), 20001)
+    q = 0.1 * 0.9
+    tau = q / (np.exp(lk) + 1)                       # variance of rates around mu
+    v = q / n + tau
+    mu = rate.mean()
+    ll = -0.5 * len(rate) * np.log(v) - 0.5 * ((rate - mu) ** 2).sum() / v + 0.5 * np.log(v / len(rate))
+    lp = ll + 2 * lk - np.log1p((0.1 * np.exp(lk) / 10) ** 2) - np.log1p((0.9 * np.exp(lk) / 10) ** 2)
+    w = np.exp(lp - lp.max())
+    w /= w.sum()
+    for i in range(12):
+        shrink = tau / v
+        mean_k = mu + shrink * (rate[i] - mu)
+        var_k = shrink * q / n + (1 - shrink) ** 2 * v / len(rate)
+        mean = (w * mean_k).sum()
+        sd = np.sqrt((w * (var_k + (mean_k - mean) ** 2)).sum())
+        r = out[f"v{i}"]
+        assert r["mean"] == pytest.approx(mean, rel=1e-7)
+        assert r["sd"] == pytest.approx(sd, rel=2e-3)
+        assert r["median"] == pytest.approx(mean, abs=0.2 * sd)
+
+
+def test_weibull_shape_beyond_the_first_range(spark):
+    from bayes_ops.plans.weibull import weibull_posterior
+    rng = np.random.default_rng(3)
+    t = 2.0 * rng.weibull(12.0, 20_000)
+    df = spark.createDataFrame([(float(x), True) for x in t], "duration double, observed boolean")
+    got = {r["param"]: r for r in weibull_posterior(df).collect()}
+    lt = np.log(t)
+    grid = np.linspace(11.0, 13.0, 4001)
+    z = np.array([(np.exp(a * (lt - lt.max()))).sum() for a in grid])
+    r = len(t)
+    prof = r * np.log(grid) - r * np.log(z / r) + grid * (lt - lt.max()).sum() - grid ** 2 / 2
+    w = np.exp(prof - prof.max())
+    mean = (w * grid).sum() / w.sum()
+    sd = np.sqrt((w * (grid - mean) ** 2).sum() / w.sum())
+    assert got["alpha"]["mean"] == pytest.approx(mean, abs=0.05 * sd)
+    assert got["alpha"]["sd"] == pytest.approx(sd, rel=0.02)
+
+
+def test_null_groups_and_numbering_without_exchange_reuse(spark):
+    from bayes_ops.operators.listing import trial_sequence
+    from bayes_ops.operators.views import box_summary, epanechnikov_timeline, gaussian_kde
+    rows = [("a" if i % 3 else None, int(i // 50), int(i % 2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "variant string, t long, outcome long").selectExpr(
+        "variant", "timestamp_seconds(t) as timestamp", "outcome").repartition(7)
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = trial_sequence(df).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+    assert len(got) == 3000
+    for v in ("a", None):
+        seq = sorted((r["seq"], r["cum_successes"], r["outcome"], r["timestamp"]) for r in got if r["variant"] == v)
+        assert [s[0] for s in seq] == list(range(1, len(seq) + 1))
+        assert [s[1] for s in seq] == np.cumsum([s[2] for s in seq]).tolist()
+        assert [s[3] for s in seq] == sorted(s[3] for s in seq)
+    v = df.selectExpr("variant", "cast(outcome as double) + rand(1) as x", "timestamp")
+    for out in (gaussian_kde(v, ["variant"], "x"), epanechnikov_timeline(v, ["variant"]), box_summary(v, ["variant"], "x")):
+        assert {r["variant"] for r in out.select("variant").distinct().collect()} == {"a", None}
+
+
+def test_exposure_survives_ingest(spark, workdir):
+    import datetime as dt
+    from bayes_ops.plans.poisson import poisson_posterior
+    from bayes_ops.sources.registry import append_events, create_experiment, init_registry, read_experiment
+    root = workdir + "/lake"
+    init_registry(spark, root)
+    rows = [(dt.datetime(2024, 1, 2), "c", "e", 5.0)] * 2
+    schema = "timestamp timestamp, cohort string, event_type string, exposure double"
+    create_experiment(spark, root, "x", "poisson-cohorts", "X", spark.createDataFrame(rows, schema))
+    append_events(spark, root, "x", spark.createDataFrame(rows[:1], schema))
+    t = read_experiment(spark, root, "x")
+    r = poisson_posterior(t, "2024-01-01", "2024-01-31").first()
+    assert (r["n_events"], r["exposure"]) == (3, 15.0)
+    with pytest.raises(ValueError):
+        poisson_posterior(t.drop("exposure"), "2024-01-01", "2024-01-31", exposure_col="exposure")
+
+
+def test_cache_hit_equals_miss(spark, workdir):
+    from bayes_ops.operators.cache import fingerprint, get_or_compute
+    df = spark.createDataFrame([("a", None), ("b", 0.0)], "arm string, reward double")
+    fit = lambda d: d.groupBy("arm").agg({"reward": "max"}).selectExpr("`max(reward)` as z", "arm", "timestamp'2024-01-01' as at")
+    a, hit_a = get_or_compute(spark, workdir + "/cache", "x", "m", df, fit)
+    b, hit_b = get_or_compute(spark, workdir + "/cache", "x", "m", df, fit)
+    assert (hit_a, hit_b) == (False, True) and a.dtypes == b.dtypes
+    key = lambda r: r["arm"]
+    assert sorted(a.collect(), key=key) == sorted(b.collect(), key=key) == sorted(fit(df).collect(), key=key)
+    one = spark.createDataFrame([("x", None)], "p string, q string")
+    two = spark.createDataFrame([(None, "x")], "p string, q string")
+    assert fingerprint(one).first()["fingerprint"] != fingerprint(two).first()["fingerprint"]
+
+
+def test_grid_rows_are_spread_over_tasks(spark):
+    from bayes_ops.operators.grid import family_support, grid_posterior
+    p = spark.range(2000).selectExpr("cast(id as string) as g", "2.0D + id % 7 as alpha", "3.0D as beta")
+    p = p.groupBy("g").agg(F.max("alpha").alias("alpha"), F.max("beta").alias("beta"))
+    lo, hi, logp, t = family_support("gamma", F.col("alpha"), F.col("beta"))
+    out = grid_posterior(p, ["g"], lo, hi, logp, 50, t)
+    per = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per) >= 8 and max(r["count"] for r in per) < 0.25 * 2000 * 50

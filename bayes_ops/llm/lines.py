@@ -37,28 +37,31 @@ MOST = (1 << 22) - 1     # a cell's count counts up to here in the order of word
 
 def line_sets(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, set_a, set_b (the set's id) and the sorted word hashes of every line with a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split(plain_spaces(F.col("text")), "\n")).alias("line_no", "line"))
-    toks = F.transform(F.array_distinct(F.array_remove(F.split("line", " "), "")), lambda w: F.xxhash64(w))
-    return lines.select("doc_id", "line_no", let(F.sort_array(F.array_distinct(toks)), lambda t: F.struct(
+    # the outer form: the plain one adds a filter on the array's size, for which arrays are made twice
+    lines = docs.select("doc_id", F.posexplode_outer(F.split(plain_spaces(F.col("text")), "\n")).alias("line_no", "line"))
+    lines = lines.filter(F.trim("line") != "")
+    hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return lines.select("doc_id", "line_no", let(F.sort_array(F.array_distinct(hashes)), lambda t: F.struct(
         F.xxhash64(t).alias("set_a"), F.hash(t, F.lit(7)).alias("set_b"), t.alias("toks"))).alias("s")) \
-        .filter(F.size("s.toks") > 0).select("doc_id", "line_no", "s.*")
+        .select("doc_id", "line_no", "s.*")
 
 
-def cell_counts(hits: DataFrame, cells: int) -> Column:
-    """Counts of column ``cell`` (0 .. cells - 1) as one array of fixed size, a scalar value of a plan."""
+def cell_counts(hits: DataFrame, cells: int, left: int = 0) -> Column:
+    """Counts of column ``cell`` (0 .. cells - 1), shifted ``left`` bits, as one array of fixed size,
+    a scalar value of a plan."""
     spark = hits.sparkSession
     counts = hits.groupBy("cell").agg(F.count("*").alias("n"))
     none = spark.range(0, cells, numPartitions=4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
     every = counts.unionByName(none).groupBy("cell").agg(F.sum("n").alias("n"))
     packed = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "n"))),
-                                   lambda x: F.least(x["n"], F.lit(MOST))).alias("h"))
+                                   lambda x: F.shiftleft(F.least(x["n"], F.lit(MOST)), left)).alias("h"))
     return spill(packed, "cells").scalar()
 
 
 def rarity(sets: DataFrame, cells: int = CELLS) -> Column:
     """Word counts by cell of the word's hash."""
     return cell_counts(sets.select(F.explode("toks").alias("t"))
-                       .select(F.col("t").bitwiseAND(F.lit(cells - 1)).alias("cell")), cells)
+                       .select(F.col("t").bitwiseAND(F.lit(cells - 1)).alias("cell")), cells, 40)
 
 
 def index(sets: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -71,10 +74,10 @@ def index(sets: DataFrame, cells: int = CELLS) -> DataFrame:
     ranked = sets.select(
         "set_a", F.size("toks").alias("n"),
         F.expr("aggregate(toks, 0L, (a, t) -> a | shiftleft(1L, cast(shiftrightunsigned(t, 58) as int)))").alias("bits"),
-        F.slice(F.sort_array(F.transform("toks", lambda t: F.shiftleft(
-            F.get("hist", t.bitwiseAND(F.lit(cells - 1)).cast("int")), 40).bitwiseOR(t.bitwiseAND(low)))),
+        F.slice(F.sort_array(F.transform("toks", lambda t:
+            F.get("hist", t.bitwiseAND(F.lit(cells - 1)).cast("int")).bitwiseOR(t.bitwiseAND(low)))),
             F.lit(1), F.expr("size(toks) - cast((4 * size(toks) + 4) div 5 as int) + 1")).alias("prefix"))
-    rows = ranked.select("set_a", "n", "bits", F.posexplode("prefix").alias("pos", "p"))
+    rows = ranked.select("set_a", "n", "bits", F.posexplode_outer("prefix").alias("pos", "p"))
     return rows.select(F.col("p").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tok"), "set_a", "n", "bits", "pos").distinct()
 
 

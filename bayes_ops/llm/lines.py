@@ -13,7 +13,7 @@ doc_id, then line number) is removed, as is a line with an equal word set.
    one entry.
 3. Pairs that meet under a word must pass the length filter (5 min >= 4 max),
    the positional filter (words left after the meeting point can still give
-   9 * overlap >= 4 * (n + m)), and a bitmap filter: 64-bit word bitmaps
+   9 * overlap >= 4 * (n + m)), and a bitmap filter: 40-bit word bitmaps
    differ in at most the words the sets may differ in.
 4. What passes is verified: Jaccard of the full word sets, in integers.
 
@@ -33,17 +33,20 @@ from bayes_ops.llm.common import let, plain_spaces, spill
 
 CELLS = 1 << 19
 MOST = (1 << 22) - 1     # a cell's count counts up to here in the order of words
+WIDE = (1 << 24) - 1     # sizes are kept up to here; a line this wide passes the filters unseen
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, set_a, set_b (the set's id) and the sorted word hashes of every line with a word."""
+def split_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no and the sorted distinct word hashes of every line with a word."""
     # the outer form: the plain one adds a filter on the array's size, for which arrays are made twice
     lines = docs.select("doc_id", F.posexplode_outer(F.split(plain_spaces(F.col("text")), "\n")).alias("line_no", "line"))
     lines = lines.filter(F.trim("line") != "")
     hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    return lines.select("doc_id", "line_no", let(F.sort_array(F.array_distinct(hashes)), lambda t: F.struct(
-        F.xxhash64(t).alias("set_a"), F.hash(t, F.lit(7)).alias("set_b"), t.alias("toks"))).alias("s")) \
-        .select("doc_id", "line_no", "s.*")
+    return lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(hashes)).alias("toks"))
+
+
+def _set_id(t: Column) -> list[Column]:
+    return [F.xxhash64(t).alias("set_a"), F.hash(t, F.lit(7)).alias("set_b")]
 
 
 def cell_counts(hits: DataFrame, cells: int, left: int = 0) -> Column:
@@ -58,48 +61,78 @@ def cell_counts(hits: DataFrame, cells: int, left: int = 0) -> Column:
     return spill(packed, "cells").scalar()
 
 
-def rarity(sets: DataFrame, cells: int = CELLS) -> Column:
-    """Word counts by cell of the word's hash."""
-    return cell_counts(sets.select(F.explode("toks").alias("t"))
-                       .select(F.col("t").bitwiseAND(F.lit(cells - 1)).alias("cell")), cells, 40)
+def rarity(docs: DataFrame, cells: int = CELLS) -> Column:
+    """Word counts over all texts by cell of the word's hash."""
+    text = F.replace(plain_spaces(F.col("text")), F.lit("\n"), F.lit(" "))
+    ws = docs.select(F.explode_outer(F.split(text, " ")).alias("w")).filter("w <> ''")
+    return cell_counts(ws.select(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).alias("cell")), cells, 40)
 
 
-def index(sets: DataFrame, cells: int = CELLS) -> DataFrame:
-    """tok, pos, n, bits, set_a: one row per distinct set and prefix word.
+def line_sets(docs: DataFrame, cells: int = CELLS) -> DataFrame:
+    """doc_id, line_no, set_a, set_b (the set's id), sig (40 bits of word bitmap, 24 of size), and the
+    prefix: the rarest words' hashes, 32 bits each, rarest first.
 
     The order of words is one long: cell count, then the low 40 bits of the hash (which hold the cell)."""
     # the histogram is one value of the plan (a scalar subquery), never a column of rows
-    sets = sets.withColumn("hist", rarity(sets, cells))
+    lines = split_lines(docs).withColumn("hist", rarity(docs, cells))
     low = F.lit((1 << 40) - 1)
-    ranked = sets.select(
-        "set_a", F.size("toks").alias("n"),
-        F.expr("aggregate(toks, 0L, (a, t) -> a | shiftleft(1L, cast(shiftrightunsigned(t, 58) as int)))").alias("bits"),
-        F.slice(F.sort_array(F.transform("toks", lambda t:
-            F.get("hist", t.bitwiseAND(F.lit(cells - 1)).cast("int")).bitwiseOR(t.bitwiseAND(low)))),
-            F.lit(1), F.expr("size(toks) - cast((4 * size(toks) + 4) div 5 as int) + 1")).alias("prefix"))
-    rows = ranked.select("set_a", "n", "bits", F.posexplode_outer("prefix").alias("pos", "p"))
-    return rows.select(F.col("p").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tok"), "set_a", "n", "bits", "pos").distinct()
+
+    def parts(t: Column) -> Column:
+        # the array is bound once; as a column it would be made again for every use
+        bits = F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(x, 40), F.lit(40)).cast("int"))))
+        order = F.sort_array(F.transform(t, lambda x: F.get(
+            "hist", x.bitwiseAND(F.lit(cells - 1)).cast("int")).bitwiseOR(x.bitwiseAND(low))))
+        size = F.size(t)
+        prefix = F.slice(order, F.lit(1), size - F.floor((size * 4 + 4) / 5).cast("int") + 1)
+        return F.struct(
+            *_set_id(t), F.shiftleft(bits, 24).bitwiseOR(F.least(size, F.lit(WIDE)).cast("long")).alias("sig"),
+            F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 32) - 1))).alias("prefix"))
+
+    return lines.select("doc_id", "line_no", let(F.col("toks"), parts).alias("s")).select("doc_id", "line_no", "s.*")
+
+
+def index(sets: DataFrame) -> DataFrame:
+    """key (prefix word, position), set_a, sig: one row per distinct set and prefix word."""
+    rows = sets.select("set_a", "sig", F.posexplode_outer("prefix").alias("pos", "p"))
+    return rows.select(F.shiftleft("p", 32).bitwiseOR(F.col("pos").cast("long")).alias("key"), "set_a", "sig").distinct()
 
 
 def candidates(idx: DataFrame) -> DataFrame:
     """Distinct pairs of set ids (a, b) that pass the filters, the smaller first."""
     x, y = idx.alias("x"), idx.alias("y")
-    ok = F.expr("""x.tok = y.tok and x.set_a < y.set_a
-        and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
-        and 9 * (1 + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= 4 * (x.n + y.n)
-        and 9 * bit_count(x.bits ^ y.bits) <= x.n + y.n""")
+    n, m = f"(x.sig & {WIDE})", f"(y.sig & {WIDE})"
+    i, j = "(x.key & 2147483647)", "(y.key & 2147483647)"
+    ok = F.expr(f"""shiftright(x.key, 32) = shiftright(y.key, 32) and x.set_a < y.set_a
+        and (greatest({n}, {m}) = {WIDE} or (
+            5 * least({n}, {m}) >= 4 * greatest({n}, {m})
+            and 9 * (1 + least({n} - {i} - 1, {m} - {j} - 1)) >= 4 * ({n} + {m})
+            and 9 * bit_count(shiftright(x.sig ^ y.sig, 24)) <= {n} + {m}))""")
     return x.join(y, ok).select(F.col("x.set_a").alias("a"), F.col("y.set_a").alias("b")).distinct()
 
 
-def matches(sets: DataFrame, cells: int = CELLS) -> DataFrame:
-    """Verified pairs of distinct sets (a1, a2), (b1, b2)."""
-    pairs = spill(candidates(index(sets, cells)), "pairs")
-    ids = spill(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct(), "ids")
-    cell = lambda c: F.col(c).bitwiseAND(F.lit(cells - 1))
-    # most sets are in no pair; those whose cell has none skip the shuffle
-    some = sets.withColumn("seen", cell_counts(ids.select(cell("k").alias("cell")), cells))
-    some = some.filter(F.get("seen", cell("set_a").cast("int")) > 0)
-    full = spill(some.join(ids, F.col("set_a") == F.col("k"), "left_semi")
+def matches(docs: DataFrame, sets: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Verified pairs of distinct sets (a1, a2), (b1, b2).
+
+    The words of the sets in question are read again from the documents that hold their first
+    occurrence, rather than kept for all lines."""
+    pairs = spill(candidates(index(sets)), "pairs")
+    ids = spill(pairs.select(F.col("a").alias("set_a")).unionByName(pairs.select(F.col("b").alias("set_a"))).distinct(), "ids")
+    asked = sets.select("doc_id", "line_no", "set_a", "set_b").join(ids, "set_a", "left_semi")
+    asked = spill(asked.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+                  .select("set_a", "set_b", "at.doc_id", "at.line_no"), "asked")
+    cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit(cells - 1))
+    # documents, then lines, that hold none of the sets skip the splitting and the shuffle
+    some = docs.withColumn("held", cell_counts(asked.select(cell("doc_id").alias("cell")), cells))
+    some = split_lines(some.filter(F.get("held", cell("doc_id").cast("int")) > 0).select("doc_id", "text"))
+    some = some.withColumn("seen", cell_counts(
+        ids.select(F.col("set_a").bitwiseAND(F.lit(cells - 1)).alias("cell")), cells))
+    # chosen in the projection, where the cells are a value of the plan and not a column of rows
+    some = some.select(F.filter(
+        F.transform(F.array("toks"), lambda t: F.struct(*_set_id(t), t.alias("toks"))),
+        lambda x: F.get("seen", x["set_a"].bitwiseAND(F.lit(cells - 1)).cast("int")) > 0).alias("s"))
+    some = some.select(F.explode_outer("s").alias("s")).filter("s is not null").select("s.*")
+    full = spill(some.join(asked.select("set_a", "set_b"), ["set_a", "set_b"], "left_semi")
                  .groupBy("set_a", "set_b").agg(F.first("toks").alias("toks")), "full")
     a = full.select(F.col("set_a").alias("a"), F.col("set_b").alias("a2"), F.col("toks").alias("ta"))
     b = full.select(F.col("set_a").alias("b"), F.col("set_b").alias("b2"), F.col("toks").alias("tb"))
@@ -111,8 +144,8 @@ def matches(sets: DataFrame, cells: int = CELLS) -> DataFrame:
 def dedup(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (sorted line numbers) of every doc_id."""
     docs = docs.select("doc_id", "text")
-    sets = spill(line_sets(docs), "lines")
-    pairs = matches(sets, cells)
+    sets = spill(line_sets(docs, cells), "lines")
+    pairs = matches(docs, sets, cells)
     place = F.struct("doc_id", "line_no")
     first = spill(sets.groupBy("set_a", "set_b").agg(F.min(place).alias("first")), "firsts")
     links = pairs.select(F.col("a1").alias("set_a"), F.col("a2").alias("set_b"), F.col("b1").alias("o1"), F.col("b2").alias("o2")) \

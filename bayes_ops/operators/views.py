@@ -7,6 +7,7 @@ keyed by (group, tick), so nothing is gathered per group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -24,35 +25,47 @@ def _stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.min(value).alias("v_min"), F.max(value).alias("v_max"))
 
 
-def gaussian_kde(df: DataFrame, keys: Sequence[str], value: str, points: int = TICKS,
-                 bins: int = 2048) -> DataFrame:
+def gaussian_kde(df: DataFrame, keys: Sequence[str], value: str, points: int = TICKS) -> DataFrame:
     """Gaussian KDE per group on ``points`` x from min to max (op V1).
 
-    Bandwidth: sample sd x n^(-1/5) (Scott).  Rows are first reduced to
-    ``bins`` equal-width bins per group by linear binning (each value's unit
-    weight split between the two nearest bin centres; error O(bin^2/h^2)),
-    so the kernel work is points x bins per group whatever the row count.
+    Bandwidth h: sample sd x n^(-1/5) (Scott).  Rows are reduced map-side to
+    cells an eighth of a bandwidth wide, as many as the data occupy; a cell
+    keeps the sums of (offset / h)^0..5, from which the kernel sum follows by
+    its Hermite series (within 1e-9 of the sum over all rows).  A cell meets
+    the points within 9 h of it.  One row per value enters the aggregation.
+
+    A group without spread (one row, or equal values) has y NULL.
     """
     keys = list(keys)
-    st = _stats(df, keys, value).withColumn("h", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-    st = st.withColumn("bw", (F.col("v_max") - F.col("v_min")) / F.lit(float(bins)))
-    # linear binning: each value is split between its two nearest bin centres
-    pos = F.when(F.col("bw") > 0, (F.col(value) - F.col("v_min")) / F.col("bw") - F.lit(0.5)).otherwise(F.lit(0.0))
-    left = F.floor(pos).cast("int")
-    frac = pos - F.floor(pos)
-    two = F.array(F.struct(left.alias("b"), (F.lit(1.0) - frac).alias("wt")),
-                  F.struct((left + 1).alias("b"), frac.alias("wt")))
-    binned = (join_groups(df.where(F.col(value).isNotNull()).select(*keys, value), st, keys)
-              .select(*keys, F.explode(two).alias("t"))
-              .select(*keys, F.least(F.greatest(F.col("t.b"), F.lit(0)), F.lit(bins - 1)).alias("b"),
-                      F.col("t.wt").alias("wt"))
-              .groupBy(*keys, "b").agg(F.sum("wt").alias("cnt")))
-    binned = join_groups(binned, st, keys).withColumn("c", F.col("v_min") + (F.col("b") + F.lit(0.5)) * F.col("bw"))
-    step = (F.col("v_max") - F.col("v_min")) / F.lit(float(points - 1))
-    ev = (binned.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-          .withColumn("x", F.col("v_min") + F.col("j") * step))
-    ev = ev.withColumn("k", F.col("cnt") * gaussian_kernel((F.col("x") - F.col("c")) / F.col("h"), F.col("h")))
-    return (ev.groupBy(*keys, "j").agg(F.first("x").alias("x"), (F.sum("k") / F.first("n")).alias("y")))
+    if {"j", "x", "y"} & set(keys):
+        raise ValueError("group columns must not be called j, x or y")
+    st = _stats(df, keys, value).select(
+        *keys, F.col("n").alias("_n"), F.nullif(F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)), F.lit(0.0)).alias("_h"),
+        F.col("v_min").cast("double").alias("_min"),
+        ((F.col("v_max") - F.col("v_min")) / F.lit(float(points - 1))).alias("_step"))
+    q = (F.col(value) - F.col("_min")) / F.col("_h")
+    cells = (join_groups(df.where(F.col(value).isNotNull()).select(*keys, value), st.where(F.col("_h").isNotNull()), keys)
+             .select(*keys, "_h", "_step", F.floor(q * 8).alias("_cell"), q.alias("_q"))
+             .withColumn("_d", F.col("_q") - (F.col("_cell") + F.lit(0.5)) / 8))
+    d = F.col("_d")
+    powers = [F.lit(1.0), d, d * d, d * d * d, d * d * d * d, d * d * d * d * d]
+    sums = cells.groupBy(*keys, "_cell").agg(
+        F.first("_h").alias("_h"), F.first("_step").alias("_step"),
+        *[F.sum(e).alias(f"_s{k}") for k, e in enumerate(powers)])
+    at, gap = (F.col("_cell") + F.lit(0.5)) / 8, F.col("_step") / F.col("_h")
+    near = (sums.withColumn("_from", F.greatest(F.lit(0), F.ceil((at - 9) / gap)))
+            .withColumn("_to", F.least(F.lit(points - 1), F.floor((at + 9) / gap)))
+            .where(F.col("_from") <= F.col("_to"))
+            .withColumn("j", F.explode(F.sequence(F.col("_from").cast("int"), F.col("_to").cast("int")))))
+    near = near.withColumn("_u", F.col("j") * gap - at)
+    u = F.col("_u")
+    hermite = [F.lit(1.0), u, u * u - 1, u * (u * u - 3), u * u * (u * u - 6) + 3, u * (u * u * (u * u - 10) + 15)]
+    series = sum((F.col(f"_s{k}") * hermite[k] / F.lit(float(math.factorial(k))) for k in range(1, 6)), F.col("_s0"))
+    dens = near.groupBy(*keys, "j").agg(F.sum(gaussian_kernel(u, F.lit(1.0)) * series).alias("_k"))
+    ticks = st.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    return join_groups(ticks, dens, [*keys, "j"], "left").select(
+        *keys, "j", (F.col("_min") + F.col("j") * F.col("_step")).alias("x"),
+        (F.coalesce("_k", F.lit(0.0)) / (F.col("_n") * F.col("_h"))).alias("y"))
 
 
 def epanechnikov_timeline(df: DataFrame, keys: Sequence[str], ts: str = "timestamp",

@@ -84,29 +84,26 @@ ORACLE["p3_bandit_posterior"] = f"""WITH {BANDIT_PARAMS},
                'expected_reward', 'mean', 'sd', 'median', 'hdi_3', 'hdi_97'], _BANDIT_DOUBLES, 'cs')}"""
 
 
-def _prob_best_ctes(lattice: int = 4000) -> str:
+def _prob_best_ctes() -> str:
+    """Every arm's log F at every arm's breakpoints, by an as-of join."""
     from bayes_ops.sqlcheck import family_sql, grid_ctes
     f = family_sql("beta")
-    logp = f["logp"]
-    return f"""pay AS (SELECT *, magnitude * {f['lo']} AS v_lo, magnitude * {f['hi']} AS v_hi
-        FROM params WHERE magnitude IS NOT NULL AND magnitude > 0),
-pay2 AS (SELECT *, max(v_lo) OVER () AS L, max(v_hi) OVER () AS U FROM pay),
-{grid_ctes('pay2', ['arm'], f['lo'], f['hi'], logp, name='pg', t=f['t'])},
-pa AS (SELECT arm, any_value(alpha) AS alpha, any_value(beta) AS beta, any_value(magnitude) AS magnitude,
-       any_value(L) AS L, any_value(U) AS U, any_value(g_max) AS g_max, any_value(g_z) AS g_z,
-       any_value(g_du) AS g_du,
-       sum(w * least(greatest(((L / magnitude) - x_lo) / (x_hi - x_lo), {d(0)}), {d(1)})) AS F_L
-       FROM pg3 GROUP BY arm),
-lat0 AS (SELECT pa.*, (U - L) / {lattice} AS dv, r.range AS k FROM pa CROSS JOIN range({lattice}) r),
-lat1 AS (SELECT *, L + (k + 0.5) * dv AS v, (L + (k + 0.5) * dv) / magnitude AS pv FROM lat0),
-lat2 AS (SELECT *, CASE WHEN pv < 1 THEN exp({logp('pv')} - g_max) / (g_z * g_du * magnitude) ELSE {d(0)} END
-         * dv AS c FROM lat1),
-lat3 AS (SELECT *, least({d(1)}, F_L + sum(c) OVER (PARTITION BY arm ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
-         AND CURRENT ROW) - c / 2) AS Fv FROM lat2),
-lat4 AS (SELECT *, ln(greatest(Fv, 1e-300)) AS logF FROM lat3),
-tot AS (SELECT k, sum(logF) AS sum_logF FROM lat4 GROUP BY k),
-raw AS (SELECT a.arm, sum(a.c * exp(t.sum_logF - a.logF)) AS raw FROM lat4 a JOIN tot t ON a.k = t.k GROUP BY a.arm),
-nrm AS (SELECT arm, raw / sum(raw) OVER () AS prob_best FROM raw),
+    return f"""pay AS (SELECT * FROM params WHERE magnitude IS NOT NULL AND magnitude > 0),
+{grid_ctes('pay', ['arm'], f['lo'], f['hi'], f['logp'], name='pg', t=f['t'])},
+cl AS (SELECT arm, magnitude * x_lo AS v0, magnitude * x_hi AS v1, ln(greatest(cdf - w, 1e-300)) AS l0,
+       ln(greatest(cdf, 1e-300)) AS l1 FROM pg3),
+seg AS (SELECT arm, v0 AS s, l0, (l1 - l0) / (v1 - v0) AS b FROM cl
+        UNION ALL SELECT arm, max(v1), 0, 0 FROM cl GROUP BY arm),
+lo AS (SELECT max(s) AS s FROM (SELECT arm, min(s) AS s FROM seg GROUP BY arm)),
+tp AS (SELECT DISTINCT s AS t FROM seg WHERE s >= (SELECT s FROM lo)),
+atp AS (SELECT arm, t FROM (SELECT DISTINCT arm FROM seg) CROSS JOIN tp),
+lf AS (SELECT atp.arm, atp.t, seg.l0 + seg.b * (atp.t - seg.s) AS l, seg.b
+       FROM atp ASOF JOIN seg ON atp.arm = seg.arm AND atp.t >= seg.s),
+tot AS (SELECT t, sum(l) AS g, sum(b) AS b FROM lf GROUP BY t),
+iv AS (SELECT t, g, lead(t) OVER (ORDER BY t) - t AS dt, b * (lead(t) OVER (ORDER BY t) - t) AS rise FROM tot),
+ar AS (SELECT t, exp(g + rise) * dt * CASE WHEN abs(rise) < 1e-5 THEN 1 - rise / 2 + rise * rise / 6
+       ELSE (1 - exp(-rise)) / rise END AS area FROM iv WHERE dt IS NOT NULL),
+nrm AS (SELECT arm, sum(lf.b * ar.area) AS prob_best FROM lf JOIN ar ON lf.t = ar.t GROUP BY arm),
 pb0 AS (SELECT p.arm, p.magnitude, n.prob_best FROM params p LEFT JOIN nrm n ON p.arm = n.arm),
 pb AS (SELECT arm, coalesce(prob_best, CASE WHEN max(CASE WHEN magnitude > 0 THEN 1 ELSE 0 END) OVER () = 0
         AND arm = min(arm) OVER () THEN {d(1)} ELSE {d(0)} END) AS prob_best FROM pb0)"""
@@ -380,21 +377,13 @@ SELECT strftime(min(timestamp), {ISO}) AS min_timestamp, strftime(max(timestamp)
 
 ORACLE["v1_value_kde"] = f"""WITH
 v AS (SELECT event_type, value FROM events WHERE value IS NOT NULL),
-st AS (SELECT event_type, count(*) AS n, stddev_samp(value) AS sd, min(value) AS v_min, max(value) AS v_max
-       FROM v GROUP BY event_type),
-st2 AS (SELECT *, sd * pow(n, -0.2) AS h, (v_max - v_min) / 2048.0 AS bw FROM st),
-p AS (SELECT v.event_type, CASE WHEN bw > 0 THEN (value - v_min) / bw - 0.5 ELSE 0.0 END AS pos
-      FROM v JOIN st2 ON v.event_type = st2.event_type),
-b AS (SELECT event_type, least(greatest(CAST(floor(pos) AS INTEGER), 0), 2047) AS b, 1 - (pos - floor(pos)) AS wt FROM p
-      UNION ALL
-      SELECT event_type, least(greatest(CAST(floor(pos) AS INTEGER) + 1, 0), 2047) AS b, pos - floor(pos) AS wt FROM p),
-bc AS (SELECT event_type, b, sum(wt) AS cnt FROM b GROUP BY event_type, b),
-bx AS (SELECT bc.*, st2.n, st2.h, st2.v_min, st2.v_max, st2.v_min + (bc.b + 0.5) * st2.bw AS c
-       FROM bc JOIN st2 ON bc.event_type = st2.event_type),
-ex AS (SELECT event_type, r.range AS j, v_min + r.range * ((v_max - v_min) / 199.0) AS x, n, cnt, c, h
-       FROM bx CROSS JOIN range(200) r),
-k AS (SELECT event_type, CAST(j AS INTEGER) AS j, any_value(x) AS x,
-      sum(cnt * exp(-(((x - c) / h) * ((x - c) / h)) / 2) / (sqrt(2 * pi()) * h)) / any_value(n) AS y FROM ex GROUP BY event_type, j)
+st AS (SELECT event_type, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h, min(value) AS v_min,
+       max(value) AS v_max FROM v GROUP BY event_type),
+px AS (SELECT *, CAST(r.range AS INTEGER) AS j, v_min + r.range * ((v_max - v_min) / 199.0) AS x
+       FROM st CROSS JOIN range(200) r),
+k AS (SELECT px.event_type, j, any_value(x) AS x,
+      sum(exp(-(((x - value) / h) * ((x - value) / h)) / 2) / (sqrt(2 * pi()) * h)) / any_value(n) AS y
+      FROM px JOIN v ON v.event_type = px.event_type GROUP BY px.event_type, j)
 {final_select(['event_type', 'j', 'x', 'y'], ['x', 'y'], 'k')}"""
 
 ORACLE["v2_timeline_density"] = f"""WITH {EV},

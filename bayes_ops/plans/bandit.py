@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from bayes_ops.operators.grid import conjugate_summary, family_support, grid_posterior, GRID_N
 from bayes_ops.operators.suffstats import bandit_stats, bandit_stats_from_histogram
 
-LATTICE_N = 4000
 TINY = 1e-300
 
 
@@ -39,62 +38,57 @@ def bandit_posterior(df: DataFrame | None = None, hist: DataFrame | None = None)
                       "est_prob", "expected_reward", "mean", "sd", "median", "hdi_3", "hdi_97")
 
 
-def prob_best(params: DataFrame, n: int = GRID_N, lattice: int = LATTICE_N) -> DataFrame:
+def prob_best(params: DataFrame, n: int = GRID_N) -> DataFrame:
     """Exact P(arm has the highest expected reward) (op C3).
 
-    P_i = integral of f_i(v) prod_{j != i} F_j(v) dv, v = p x magnitude.  Below
-    L = max_j (lowest plausible value of arm j) some arm is above v almost
-    surely, so the integral runs over a shared lattice on [L, U].  Each arm
-    is normalised on its own Beta grid; F_i(L) comes from that grid, and
-    F_i(v) = F_i(L) + running lattice mass (midpoint rule).  The product over
-    the other arms is exp(sum_j log F_j - log F_i) with the sum taken by one
-    groupBy over the lattice index: linear in arms, no pairs of arms.
-    Results are renormalised to sum to one.  Arms that never paid are worth 0
-    and only win when no arm pays (then the first arm by name wins every draw,
-    as an argmax with ties does).
+    P_i = integral of f_i(v) prod_{j != i} F_j(v) dv, v = p x magnitude.  Every
+    arm brings its own breakpoints: the cells of its Beta grid, so an arm with
+    1e9 pulls is as well resolved as one with two.  Between its breakpoints
+    log F_j is linear, hence G = sum_j log F_j is linear between the merged
+    breakpoints of all arms; it is the running sum of the arms' changes of
+    slope and intercept, and its integral H(v) = int e^G is exact.  On a cell
+    of arm i, f_i prod F_j = (log F_i)' e^G with a constant slope, so the cell
+    contributes slope x (H(end) - H(start)): linear in arms, no pairs of arms,
+    and the P_i add up to one.  Below L = max_j (lowest plausible value of arm
+    j) some arm is above v almost surely, so cells are cut at L.
+
+    The window runs over at most 2 n rows per arm.  Arms that never paid are
+    worth 0 and only win when no arm pays (then the first arm by name wins
+    every draw, as an argmax with ties does).
     """
     a, b, m = F.col("alpha"), F.col("beta"), F.col("magnitude")
     lo_p, hi_p, logp, tcode = family_support("beta", a, b)
     paying = params.where(m.isNotNull() & (m > 0))
-    # Global bounds over the per-arm table (one row per arm).
-    everything = Window.partitionBy(F.lit(0))
-    p = (paying.withColumn("v_lo", m * lo_p).withColumn("v_hi", m * hi_p)
-         .withColumn("L", F.max("v_lo").over(everything))
-         .withColumn("U", F.max("v_hi").over(everything)))
-    grid = grid_posterior(p, ["arm"], lo_p, hi_p, logp, n, tcode)
-    # Own-grid mass below L/m (linear inside the cell that straddles it).
-    t = F.col("L") / m
-    x_lo, x_hi = F.col("x_lo"), F.col("x_hi")
-    frac = F.least(F.greatest((t - x_lo) / (x_hi - x_lo), F.lit(0.0)), F.lit(1.0))
-    per_arm = grid.groupBy("arm").agg(
-        *[F.first(c).alias(c) for c in ("alpha", "beta", "magnitude", "L", "U", "g_max", "g_z", "g_du")],
-        F.sum(F.col("w") * frac).alias("F_L"))
-    dv = (F.col("U") - F.col("L")) / F.lit(float(lattice))
-    lat = (per_arm.withColumn("dv", dv)
-           .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(lattice - 1))))
-           .withColumn("v", F.col("L") + (F.col("k") + F.lit(0.5)) * F.col("dv"))
-           .withColumn("pv", F.col("v") / m))
-    dens = F.when(F.col("pv") < 1, F.exp(logp(F.col("pv")) - F.col("g_max"))
-                  / (F.col("g_z") * F.col("g_du") * m)).otherwise(F.lit(0.0))
-    lat = lat.withColumn("c", dens * F.col("dv"))
-    run = Window.partitionBy("arm").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lat = lat.withColumn("Fv", F.least(F.lit(1.0), F.col("F_L") + F.sum("c").over(run) - F.col("c") / 2))
-    lat = lat.withColumn("logF", F.log(F.greatest(F.col("Fv"), F.lit(TINY))))
-    tot = lat.groupBy("k").agg(F.sum("logF").alias("sum_logF"))
-    joined = lat.join(tot, "k")
-    raw = joined.groupBy("arm").agg(
-        F.sum(F.col("c") * F.exp(F.col("sum_logF") - F.col("logF"))).alias("raw"))
-    norm = raw.withColumn("prob_best", F.col("raw") / F.sum("raw").over(everything)).select("arm", "prob_best")
+    floor = paying.agg(F.max(m * lo_p)).scalar()
+    grid = grid_posterior(paying, ["arm"], lo_p, hi_p, logp, n, tcode)
+    log_f = lambda mass: F.log(F.greatest(mass, F.lit(TINY)))
+    cells = (grid.select("arm", (m * F.col("x_lo")).alias("v0"), (m * F.col("x_hi")).alias("v1"),
+                         log_f(F.col("cdf") - F.col("w")).alias("l0"), log_f(F.col("cdf")).alias("l1"),
+                         floor.alias("L"))
+             .withColumn("slope", (F.col("l1") - F.col("l0")) / (F.col("v1") - F.col("v0")))
+             .where((F.col("v1") > F.col("L")) & (F.col("slope") != 0)))
+    # offsets from L; the intercept is the line's value at L
+    start, end = F.greatest(F.col("v0") - F.col("L"), F.lit(0.0)), F.col("v1") - F.col("L")
+    icept = F.col("l0") - F.col("slope") * (F.col("v0") - F.col("L"))
+    turns = cells.select("arm", F.explode(F.array(
+        F.struct(start.alias("s"), F.col("slope").alias("db"), icept.alias("da")),
+        F.struct(end.alias("s"), (-F.col("slope")).alias("db"), (-icept).alias("da")))).alias("t")).select("arm", "t.*")
+    by_s = Window.partitionBy(F.lit(0)).orderBy("s")   # running sums include all rows at the same s
+    line = turns.select("arm", "s", "db", F.sum("da").over(by_s).alias("icept"), F.sum("db").over(by_s).alias("slope"),
+                        (F.lead("s").over(by_s) - F.col("s")).alias("ds"))
+    rise = F.col("slope") * F.col("ds")
+    mean = F.when(F.abs(rise) < 1e-5, F.lit(1.0) - rise / 2 + rise * rise / 6).otherwise(-F.expm1(-rise) / rise)
+    area = F.exp(F.col("icept") + F.col("slope") * F.col("s") + rise) * mean * F.col("ds")
+    before = by_s.rowsBetween(Window.unboundedPreceding, -1)
+    area_before = F.coalesce(F.sum("area").over(before), F.lit(0.0))
+    won = (line.withColumn("area", area).select("arm", "db", area_before.alias("h"))
+           .groupBy("arm").agg(F.greatest(F.lit(0.0), -F.sum(F.col("db") * F.col("h"))).alias("won")))
     # Non-paying arms: 0, unless nobody pays (then the first arm takes 1).
-    allarms = params.select("arm", "magnitude")
-    any_pay = F.max(F.when(F.col("magnitude") > 0, 1).otherwise(0)).over(everything)
-    first_arm = F.min("arm").over(everything)
-    out = (allarms.join(norm, "arm", "left")
-           .withColumn("prob_best", F.coalesce(
-               F.col("prob_best"),
-               F.when((any_pay == 0) & (F.col("arm") == first_arm), F.lit(1.0)).otherwise(F.lit(0.0))))
-           .select("arm", "prob_best"))
-    return out
+    any_pay = F.coalesce(params.agg(F.max(m)).scalar(), F.lit(0.0)) > 0
+    first_arm = params.agg(F.min("arm")).scalar()
+    alone = F.when(~any_pay & (F.col("arm") == first_arm), F.lit(1.0)).otherwise(F.lit(0.0))
+    return (params.select("arm").join(won, "arm", "left")
+            .select("arm", F.coalesce("won", alone).alias("prob_best")))
 
 
 def bandit_with_prob_best(df: DataFrame | None = None, hist: DataFrame | None = None) -> DataFrame:

@@ -380,7 +380,7 @@ def _extent(ev, mx):
 
 @query("v1_value_kde")
 def v1_value_kde(spark, sf_dir):
-    """Gaussian KDE (Scott bandwidth, 2048 bins) of events.value per event type (V1, E5)."""
+    """Gaussian KDE (Scott bandwidth) of events.value per event type (V1, E5)."""
     from bayes_ops.operators.views import gaussian_kde
     ev = AD.read_table(spark, sf_dir, "events").select("event_type", "value")
     return gaussian_kde(ev, ["event_type"], "value")

@@ -44,17 +44,29 @@ def test_prob_greater_symmetry(spark):
     assert out[("a", "b")] == pytest.approx(mc, abs=2e-3)
 
 
-def test_binned_kde_close_to_exact(spark):
+@pytest.mark.parametrize("outlier", [None, 1e6])
+def test_kde_equals_the_kernel_sum(spark, outlier):
     from bayes_ops.operators.views import gaussian_kde
     rng = np.random.default_rng(4)
     v = rng.normal(10, 2, 3000)
+    if outlier is not None:
+        v = np.append(v, outlier)
     df = spark.createDataFrame([("g", float(x)) for x in v], "g string, value double")
     k = gaussian_kde(df, ["g"], "value").toPandas().sort_values("j")
     h = v.std(ddof=1) * len(v) ** -0.2
     x = np.linspace(v.min(), v.max(), 200)
     exact = np.exp(-((x[:, None] - v[None, :]) / h) ** 2 / 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
     assert np.allclose(k.x.to_numpy(), x)
-    assert np.max(np.abs(k.y.to_numpy() - exact)) < 1e-4 * exact.max()
+    assert np.max(np.abs(k.y.to_numpy() - exact)) < 1e-8 * exact.max()
+
+
+def test_kde_of_groups_without_spread(spark):
+    from bayes_ops.operators.views import gaussian_kde
+    df = spark.createDataFrame([("one", 3.0), ("same", 4.0), ("same", 4.0), (None, 1.0), (None, 2.0), ("one", None)],
+                               "g string, value double")
+    k = gaussian_kde(df, ["g"], "value").toPandas()
+    assert k.groupby("g", dropna=False).size().tolist() == [200, 200, 200]
+    assert k[k.g.notna()].y.isna().all() and (k[k.g.isna()].y > 0).all()
 
 
 def test_timeline_density_exact(spark):

@@ -40,6 +40,31 @@ def test_prob_best_sums_to_one_and_matches_mc(spark):
         assert out[a].prob_best == pytest.approx(mc[i], abs=4e-3)
 
 
+def test_prob_best_of_uneven_arms(spark):
+    """Arms with 1e9 pulls beside one with few, against one-dimensional quadrature."""
+    from bayes_ops.plans.bandit import prob_best
+    a, b = 1e8 + 1, 9e8 + 1
+    p = a / (a + b)
+    sd = math.sqrt(p * (1 - p) / (a + b + 1))
+    v = p + sd * np.linspace(-9, 9, 20001)
+    f = np.exp((a - 1) * np.log1p((v - p) / p) + (b - 1) * np.log1p((p - v) / (1 - p)))
+    f /= f.sum()
+    cdf = np.cumsum(f) - f / 2
+
+    def best(rows):
+        params = spark.createDataFrame(rows, "arm string, alpha double, beta double, magnitude double")
+        return {r.arm: r.prob_best for r in prob_best(params).collect()}
+
+    beats_b = sum(math.comb(11, k) * v ** k * (1 - v) ** (11 - k) for k in range(4, 12))   # CDF of Beta(4, 8)
+    got = best([("A", a, b, 2.0), ("B", 4.0, 8.0, 2.0)])
+    assert got["A"] == pytest.approx((f * beats_b).sum(), rel=1e-4)
+    assert sum(got.values()) == pytest.approx(1.0, abs=1e-7)
+    above = (1 - v) ** 31 + 31 * v * (1 - v) ** 30   # 1 - CDF of Beta(2, 30)
+    got = best([("A", a, b, 1.0), ("B", 2.0, 30.0, 1.0), ("C", a, b, 1.0)])
+    assert got["B"] == pytest.approx((2 * f * cdf * above).sum(), rel=1e-4)
+    assert got["A"] == pytest.approx(got["C"], rel=1e-9)
+
+
 def test_thompson_close_to_exact(spark):
     from bayes_ops.operators.compare import thompson
     from bayes_ops.plans.bandit import bandit_params, prob_best

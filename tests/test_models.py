@@ -211,6 +211,40 @@ def test_hier_poisson_matches_brute_force(spark):
             assert out[(e, c)].n_events == k
 
 
+def test_hier_poisson_at_a_billion_events(spark):
+    """Large counts: rates are normal, so the hierarchy has a closed conditional posterior per shape."""
+    from bayes_ops.plans.hier_poisson import pooled_rates
+    rng = np.random.default_rng(6)
+    T = 30.0
+    ks = [int(v) for v in rng.normal(1e9, 2e4, 12)]
+    few = [("z", f"u{i}", 0, T) for i in range(3)] + [(None, "one", 7, T)]   # no event at all; one unit in no named group
+    stats = spark.createDataFrame([("g", f"u{i}", k, T) for i, k in enumerate(ks)] + few,
+                                  "g string, unit string, k long, T double")
+    rows = pooled_rates(stats).collect()
+    out = {r["unit"]: r for r in rows if r["g"] == "g"}
+    assert len(rows) == 16 and all(r["mean"] > 0 for r in rows)
+    rate = np.array(ks) / T
+    m = rate.mean()
+    la = np.linspace(np.log(1e2), np.log(1e22), 20001)
+    a, b = np.exp(la), np.exp(la) / m
+    tau = m * m / a                                  # variance of rates around m
+    v = m / T + tau
+    ll = -0.5 * len(rate) * np.log(v) - 0.5 * ((rate - m) ** 2).sum() / v + 0.5 * np.log(v / len(rate))
+    lp = ll + np.log(a) + np.log(b) - np.log1p((a / 10) ** 2) - np.log1p((b / 10) ** 2)
+    w = np.exp(lp - lp.max())
+    w /= w.sum()
+    for i in range(12):
+        shrink = tau / v
+        mean_a = m + shrink * (rate[i] - m)
+        var_a = shrink * m / T + (1 - shrink) ** 2 * v / len(rate)
+        mean = (w * mean_a).sum()
+        sd = np.sqrt((w * (var_a + (mean_a - mean) ** 2)).sum())
+        r = out[f"u{i}"]
+        assert r["mean"] == pytest.approx(mean, rel=1e-7)
+        assert r["sd"] == pytest.approx(sd, rel=2e-3)
+        assert r["median"] == pytest.approx(mean, abs=0.2 * sd)
+
+
 def test_hazard_boundaries_are_exact(spark):
     from bayes_ops.plans import hazard as H
     rng = np.random.default_rng(13)

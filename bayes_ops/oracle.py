@@ -499,8 +499,6 @@ FROM p GROUP BY event_type"""
 ORACLE["t1_stream_ingest"] = """SELECT event_type, 'ok' AS status, count(*) AS n_rows FROM events GROUP BY event_type"""
 
 ORACLE["t3_stream_window_counts"] = f"""WITH {EV},
-wm AS (SELECT max(timestamp) - INTERVAL 1 HOUR AS watermark FROM ev),
 wc AS (SELECT time_bucket(INTERVAL '1 day', timestamp) AS ws, cohort, count(*) AS n_events FROM ev
        WHERE timestamp IS NOT NULL GROUP BY 1, 2)
-SELECT strftime(ws, {ISO}) AS window_start, cohort, n_events FROM wc, wm
-WHERE ws + INTERVAL 1 DAY <= wm.watermark"""
+SELECT strftime(ws, {ISO}) AS window_start, cohort, n_events FROM wc"""

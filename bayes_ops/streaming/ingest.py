@@ -6,8 +6,11 @@ Parquet file sink partitioned by ``status`` (ok / rejected).  The file sink
 plus the checkpoint give exactly-once output across restarts and executor
 loss; readers take ``status = 'ok'`` (a partition filter).
 
-With an event key, duplicates are dropped within the watermark
-(``dropDuplicatesWithinWatermark``), so a batch delivered twice lands once.
+With an event key, a batch delivered twice lands once: every micro-batch is
+compared with the accepted rows of earlier ones and written to a folder of
+its own (a replayed batch overwrites that folder).  No row is too late: the
+table itself is the memory, so there is neither streaming state nor a
+watermark that drops rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from bayes_ops.operators.cache import read_or_empty
 from bayes_ops.sources.ingest import validate
 from bayes_ops.sources.schemas import kind_schema, table_schema
 
@@ -42,31 +46,51 @@ def event_stream(spark: SparkSession, source_dir: str, kind: str, fmt: str = "js
     return r.json(source_dir)
 
 
-def validated(raw: DataFrame, kind: str, key: str | None = None,
-              dedupe_window: str = "1 day") -> DataFrame:
-    """Typed rows with ``status`` and ``reject_reason``; deduplicated on key (T4).
+def validated(raw: DataFrame, kind: str, key: str | None = None) -> DataFrame:
+    """Typed rows with ``status`` and ``reject_reason`` (batch or stream)."""
+    v = validate(raw, kind, keep=(key,) if key else ())
+    return v.withColumn("status", F.when(F.col("reject_reason").isNull(), F.lit("ok")).otherwise(F.lit("rejected")))
+
 
-    Deduplication keeps state only within the watermark on the event time
-    (``dropDuplicatesWithinWatermark``), so state stays bounded.
+def new_rows(rows: DataFrame, accepted: DataFrame, key: str, window: str = "1 day") -> DataFrame:
+    """``rows`` without accepted rows whose key came before (T4).
+
+    Of rows with one key in a batch one is kept.  With an event time, earlier
+    rows are looked up from ``window`` before the batch's first to ``window``
+    after its last event time (Parquet statistics prune the rest), so a row
+    however late meets its duplicates.  Rows without a key, and rejected rows,
+    are all kept.
     """
-    keep = (key,) if key else ()
-    v = validate(raw, kind, keep=keep)
-    if key is not None:
-        if "timestamp" in v.columns:
-            v = v.withWatermark("timestamp", dedupe_window).dropDuplicatesWithinWatermark([key])
-        else:
-            v = v.dropDuplicates([key])
-    return v.withColumn("status", F.when(F.col("reject_reason").isNull(), F.lit("ok")).otherwise(F.lit("rejected")))
+    keyed = rows.where((F.col("status") == "ok") & F.col(key).isNotNull()).dropDuplicates([key])
+    known = accepted.where((F.col("status") == "ok") & F.col(key).isNotNull())
+    if "timestamp" in rows.columns:
+        span = keyed.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+        if span["a"] is not None:
+            gap = F.expr(f"interval {window}")
+            known = known.where(F.col("timestamp").between(F.lit(span["a"]) - gap, F.lit(span["b"]) + gap))
+    keyed = keyed.join(known.select(key), key, "left_anti").select(*rows.columns)
+    return keyed.unionByName(rows.where((F.col("status") != "ok") | F.col(key).isNull()))
+
+
+def _keyed_writer(sink_dir: str, key: str):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        schema = T.StructType(batch.schema.fields + [T.StructField("batch", T.LongType())])
+        accepted = read_or_empty(batch.sparkSession, sink_dir, schema).where(F.col("batch") < batch_id)
+        out = new_rows(batch, accepted, key)
+        out.write.mode("overwrite").partitionBy("status").parquet(f"{sink_dir}/batch={batch_id}")
+    return write
 
 
 def start_ingest(raw: DataFrame, kind: str, sink_dir: str, checkpoint: str, key: str | None = None,
                  available_now: bool = True) -> StreamingQuery:
     """Start the ingest query (T1); ``available_now`` processes what is there and stops."""
-    out = validated(raw, kind, key)
-    w = (out.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-         .partitionBy("status").outputMode("append"))
+    w = validated(raw, kind, key).writeStream.option("checkpointLocation", checkpoint).outputMode("append")
+    if key is None:
+        w = w.format("parquet").partitionBy("status")
+    else:
+        w = w.foreachBatch(_keyed_writer(sink_dir, key))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start(sink_dir)
+    return w.start() if key is not None else w.start(sink_dir)
 
 
 def read_ingested(spark: SparkSession, sink_dir: str, kind: str) -> DataFrame:

@@ -2,21 +2,23 @@
 
 T2: the sufficient statistics are streaming aggregates (state = one row per
 group, or per (arm, reward) for bandits, whose magnitude is a running max and
-so is derived at read time from the histogram); each micro-batch rewrites the
-small posterior table from the complete aggregate with the same stateless
-posterior maths as the batch plans.  Overwriting a snapshot from a complete
-aggregate is idempotent, so a replayed batch leaves the same result.
+so is derived at read time from the histogram); each micro-batch writes the
+small posterior table, computed from the complete aggregate with the same
+stateless posterior maths as the batch plans, to a version of its own and
+then a pointer to it.  ``read_snapshot`` follows the pointer, so a reader
+never meets a half-written table, and a replayed batch leaves the same result.
 
 T3: tumbling (or sliding) event-time windows with a watermark; rows later
-than the watermark are dropped by Spark, and a window is emitted once, when
-it can no longer change (append mode).
+than the watermark are dropped by Spark.  Each micro-batch writes the windows
+that it changed; ``read_windows`` takes the newest count of every window, so
+windows still open when a run ends are there too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,12 +43,19 @@ def running_reward_histogram(pulls: DataFrame) -> DataFrame:
 
 
 def snapshot_writer(path: str, posterior: Callable[[DataFrame], DataFrame]):
-    """foreachBatch function: posterior(complete aggregate) -> overwrite ``path``."""
+    """foreachBatch function: posterior(complete aggregate) -> a version of ``path``, then the pointer."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        posterior(batch).write.mode("overwrite").parquet(path)
+        posterior(batch).write.mode("overwrite").parquet(f"{path}/versions/{batch_id}")
+        batch.sparkSession.range(batch_id, batch_id + 1).coalesce(1).write.mode("append").parquet(f"{path}/latest")
     return write
 
 
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete snapshot of a running posterior."""
+    version = spark.read.parquet(f"{path}/latest").agg(F.max("id")).first()[0]
+    return spark.read.parquet(f"{path}/versions/{version}")
+
+
 def start_running_posterior(agg: DataFrame, path: str, checkpoint: str,
                             posterior: Callable[[DataFrame], DataFrame],
                             available_now: bool = True) -> StreamingQuery:
@@ -93,9 +102,17 @@ def windowed_rates(counts: DataFrame, group_by: Sequence[str], unit: str = "day"
 def start_windowed(events: DataFrame, group_by: Sequence[str], sink_dir: str, checkpoint: str,
                    window: str = "1 day", watermark: str = "1 hour",
                    available_now: bool = True) -> StreamingQuery:
-    """Start T3: finalized window counts appended to a Parquet table."""
+    """Start T3: window counts, the changed ones of each micro-batch in a folder of its own."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+
     counts = windowed_counts(events, group_by, window, watermark=watermark)
-    w = (counts.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint))
+    w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start(sink_dir)
+    return w.start()
+
+
+def read_windows(spark: SparkSession, sink_dir: str, group_by: Sequence[str]) -> DataFrame:
+    """window_start, window_end, group columns and the newest n_events of every window."""
+    keys = ["window_start", "window_end", *group_by]
+    return spark.read.parquet(sink_dir).groupBy(*keys).agg(F.max_by("n_events", "batch").alias("n_events"))

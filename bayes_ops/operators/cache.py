@@ -19,7 +19,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,12 +33,22 @@ CACHE_SCHEMA = T.StructType([
 ])
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    """``name:length:value;`` of a column (``name:-;`` for NULL); timestamps as microseconds."""
+    kind, value = df.schema[name].dataType, F.col(f"`{name}`")
+    text = (F.unix_micros(value) if isinstance(kind, T.TimestampType) else value).cast("string")
+    seen = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+    return F.concat(F.lit(f"{name}:"), F.coalesce(seen, F.lit("-")), F.lit(";"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: n_rows, hash_xor, hash_sum, fingerprint (op K1).
 
-    Each column enters with its name and a null flag, so equal values in
+    A row's hash is 60 bits of the md5 of its columns as text.  Each column
+    enters with its name, and NULL apart from any value, so equal values in
     other columns, or a NULL in another place, give another fingerprint."""
-    h = F.xxhash64(*[x for c in sorted(df.columns) for x in (F.lit(c), F.col(c).isNull(), F.col(c))])
+    row = F.md5(F.concat(F.lit(""), *[_as_text(df, c) for c in sorted(df.columns)]))
+    h = F.conv(F.substring(row, 1, 15), 16, 10).cast("long")
     agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
                  F.bit_xor(h).alias("hash_xor"),
                  F.sum(h.cast("decimal(38,0)")).alias("hash_sum"))

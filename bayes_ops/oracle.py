@@ -440,6 +440,38 @@ SELECT cohort,
        AS BIGINT) AS remaining
 FROM ev GROUP BY cohort"""
 
+ORACLE["g9_delete_rows"] = f"""WITH {EV}
+SELECT cohort, count(*) AS n_rows FROM ev
+WHERE NOT coalesce(cohort = 'c1' AND timestamp >= TIMESTAMP '2024-01-15 00:00:00', false) GROUP BY cohort"""
+
+ORACLE["s4_csv_batch"] = f"""WITH {EV} SELECT cohort, event_type, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_rejected,
+strftime(max(timestamp), '%Y-%m-%dT%H:%M:%S.%f') AS last_event FROM ev GROUP BY cohort, event_type"""
+
+
+def _row_text(columns: dict[str, str]) -> str:
+    """The text whose md5 is a row's hash: column name -> its text."""
+    return " || ".join(f"'{c}:' || coalesce(length({x}) || ':' || {x}, '-') || ';'" for c, x in sorted(columns.items()))
+
+
+_US, _TXT = "CAST(epoch_us({}) AS VARCHAR)", "CAST({} AS VARCHAR)"
+_FRAMES = {
+    "poisson-cohorts": ("ev", {"timestamp": _US, "cohort": _TXT, "event_type": _TXT}),
+    "ab-test": ("ab", {"timestamp": _US, "variant": _TXT, "outcome": _TXT}),
+    "bernoulli": ("be", {"timestamp": _US, "outcome": _TXT}),
+    "multi-armed-bandits": ("mab", {"timestamp": _US, "arm": _TXT, "reward": _TXT}),
+    "weibull": ("surv", {"duration": _TXT, "observed": _TXT}),
+    "hazard-rate": ("surv", {"duration": _TXT, "observed": _TXT}),
+}
+_HASHES = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, CAST('0x' || substr(md5({_row_text({c: f.format(c) for c, f in cols.items()})}), 1, 15) "
+    f"AS BIGINT) AS h FROM {view}" for kind, (view, cols) in _FRAMES.items())
+
+ORACLE["k1_fingerprint"] = f"""WITH {EV}, {AB}, {BE}, {MAB}, {SURV},
+hs AS ({_HASHES})
+SELECT kind, count(*) AS n_rows,
+  sha256(count(*) || '|' || bit_xor(h) || '|' || CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR)) AS fingerprint
+FROM hs GROUP BY kind"""
+
 ORACLE["g6_describe_table"] = """SELECT column_name, column_type, "null" = 'YES' AS nullable,
   CAST(row_number() OVER () - 1 AS INTEGER) AS position, (SELECT count(*) FROM lineitem) AS row_count
 FROM (DESCRIBE lineitem)"""
@@ -498,6 +530,9 @@ FROM p GROUP BY event_type"""
 
 ORACLE["t1_stream_ingest"] = """SELECT event_type, 'ok' AS status, count(*) AS n_rows FROM events GROUP BY event_type"""
 
+ORACLE["t4_stream_dedupe"] = """SELECT event_type, count(*) AS n_rows, count(DISTINCT event_id) AS n_keys
+FROM events GROUP BY event_type"""
+
 ORACLE["t3_stream_window_counts"] = f"""WITH {EV},
 wc AS (SELECT time_bucket(INTERVAL '1 day', timestamp) AS ws, cohort, count(*) AS n_events FROM ev
        WHERE timestamp IS NOT NULL GROUP BY 1, 2)

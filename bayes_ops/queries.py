@@ -421,6 +421,35 @@ def g9_delete_by_filter(spark, sf_dir):
     return delete_preview(AD.poisson_from_events(spark, sf_dir), {"cohort": "c1"}, start="2024-01-15 00:00:00")
 
 
+@query("g9_delete_rows")
+def g9_delete_rows(spark, sf_dir):
+    """Rows per cohort of an experiment table after a real delete."""
+    import uuid
+    from bayes_ops.session import scratch_path
+    from bayes_ops.sources import registry as R
+    root = scratch_path(spark, f"g9-{uuid.uuid4().hex}")
+    R.create_experiment(spark, root, "events", "poisson-cohorts", "Events", AD.poisson_from_events(spark, sf_dir))
+    R.delete_by_filter(spark, root, "events", {"cohort": "c1"}, start="2024-01-15 00:00:00")
+    return R.read_experiment(spark, root, "events").groupBy("cohort").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("s4_csv_batch")
+def s4_csv_batch(spark, sf_dir):
+    """Events written as CSV, read back as a text batch and validated."""
+    import uuid
+    from bayes_ops.functions.timefmt import iso_format
+    from bayes_ops.session import scratch_path
+    from bayes_ops.sources.ingest import read_csv_batch, validate
+    path = scratch_path(spark, f"s4-{uuid.uuid4().hex}")
+    ev = AD.poisson_from_events(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
+    ev.write.option("header", True).csv(path)
+    v = validate(read_csv_batch(spark, path), "poisson-cohorts")
+    good = F.col("reject_reason").isNull()
+    return v.groupBy("cohort", "event_type").agg(
+        F.count(F.when(good, 1)).alias("n_rows"), F.count(F.when(~good, 1)).alias("n_rejected"),
+        iso_format(F.max("timestamp")).alias("last_event"))
+
+
 @query("k1_fingerprint")
 def k1_fingerprint(spark, sf_dir):
     """Order-free fingerprints of the six adapted experiment tables (K1)."""
@@ -576,6 +605,24 @@ def t1_stream_ingest(spark, sf_dir):
     return t.groupBy("event_type", "status").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("t4_stream_dedupe")
+def t4_stream_dedupe(spark, sf_dir):
+    """Events streamed with their key, a third of them delivered again: accepted rows per type (T4)."""
+    import uuid
+    from bayes_ops.session import scratch_path
+    from bayes_ops.streaming.ingest import event_stream, start_ingest
+    base = scratch_path(spark, f"t4-{uuid.uuid4().hex}")
+    ev = AD.read_table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("event_id"), AD.utc_ts("ts").cast("string").alias("timestamp"),
+        F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("cohort"), "event_type")
+    ev.write.json(base + "/source")
+    ev.where(F.col("event_id").cast("long") % 3 == 0).write.mode("append").json(base + "/source")
+    raw = event_stream(spark, base + "/source", "poisson-cohorts", key="event_id", max_files_per_trigger=1)
+    start_ingest(raw, "poisson-cohorts", base + "/table", base + "/checkpoint", key="event_id").awaitTermination()
+    t = spark.read.parquet(base + "/table").where(F.col("status") == "ok")
+    return t.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_keys"))
+
+
 @query("t3_stream_window_counts")
 def t3_stream_window_counts(spark, sf_dir):
     """Daily event counts per cohort from a watermarked streaming window

@@ -107,7 +107,7 @@ def candidates(idx: DataFrame) -> DataFrame:
         and (greatest({n}, {m}) = {WIDE} or (
             5 * least({n}, {m}) >= 4 * greatest({n}, {m})
             and 9 * (1 + least({n} - {i} - 1, {m} - {j} - 1)) >= 4 * ({n} + {m})
-            and 9 * bit_count(shiftright(x.sig ^ y.sig, 24)) <= {n} + {m}))""")
+            and 9 * bit_count(shiftrightunsigned(x.sig ^ y.sig, 24)) <= {n} + {m}))""")
     return x.join(y, ok).select(F.col("x.set_a").alias("a"), F.col("y.set_a").alias("b")).distinct()
 
 

@@ -276,3 +276,20 @@ def test_lines_odd_and_empty(odd_docs, no_docs):
     out = lines.clean(odd_docs, cells=1 << 10)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     assert {r["doc_id"]: r["text"] for r in out.collect()}[9] == "Été où ça là\n\n"
+
+
+def test_lines_differ_in_the_last_bitmap_bit(spark):
+    """Words of bitmap bit 39, which is the sign of the packed long, on one side only."""
+    ws = spark.range(4000).selectExpr("concat('w', id) as w").selectExpr(
+        "w", "pmod(shiftrightunsigned(xxhash64(w), 40), 40) = 39 as last").collect()
+    last, rest = [r["w"] for r in ws if r["last"]], [r["w"] for r in ws if not r["last"]]
+    rows = []
+    for k, word in enumerate(last[:20]):
+        same = rest[20 * k:20 * k + 9]
+        rows += [(2 * k, " ".join([*same, word])), (2 * k + 1, " ".join([*same, rest[20 * k + 10]]))]
+    want = check_lines(spark.createDataFrame(rows, "doc_id long, text string"), cells=1 << 10)
+    assert all(want[2 * k + 1] == [1, {0}] for k in range(20))
+
+
+def test_lines_match_brute_force_on_all_documents(docs):
+    check_lines(docs, cells=1 << 14)

@@ -309,14 +309,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
+def _classes(firsts: DataFrame, max_bits: int, **kw) -> DataFrame:
+    """fp, root (the least fingerprint of its class) of every fingerprint with a link."""
+    roots = spill(components(links(firsts, max_bits, **kw)), "roots")
+    return roots.select(F.col("node").alias("fp"), "root").unionByName(
+        roots.select(F.col("root").alias("fp"), "root").distinct())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, **kw) -> DataFrame:
     """doc_id, fp (signed long), component_id of every row."""
     prints = spill(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "prints")
     firsts = spill(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = spill(components(links(firsts, max_bits, **kw)), "roots")
-    linked = firsts.join(
-        roots.select(F.col("node").alias("fp"), "root")
-        .unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()), "fp")
+    linked = firsts.join(_classes(firsts, max_bits, **kw), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     of_linked = linked.join(least, "root").select("fp", "least")
     classes = spill(firsts.join(of_linked, "fp", "left")
@@ -330,15 +334,18 @@ def report(docs: DataFrame, **kw) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """One row of each class stays, the one with the smallest doc_id; all columns kept.
-
-    Rows with a null doc_id are kept (they cannot be told apart by id)."""
-    classes = near_duplicates(docs, **kw)
-    keepers = classes.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    keepers = spill(keepers, "keepers")
-    # merged by id at every size: keepers are about as many as documents, so they are never a broadcast
-    kept = docs.filter("doc_id is not null").join(keepers.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if not keepers.filter("_copies > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])     # rows that repeat an id
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, **kw) -> DataFrame:
+    """One row of each class stays; all columns kept.
+
+    It is the row with the smallest doc_id (null ids last), then fingerprint, hash of the text, and row
+    number, so rows that repeat an id or have none are told apart."""
+    # numbered once: the numbers must be the same where the texts are read again
+    rows = spill(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    prints = spill(rows.select("doc_id", "_row", F.xxhash64("text").alias("_body"),
+                               fingerprint_column(F.col("text"), shingle).alias("fp")), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "_body", "_row")
+    firsts = spill(prints.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
+    of_class = firsts.join(_classes(firsts, max_bits, **kw), "fp", "left").groupBy(F.coalesce("root", "fp"))
+    keepers = spill(of_class.agg(F.min("first").alias("first")).select("first._row"), "keepers")
+    # merged by row at every size: keepers are about as many as documents, so they are never a broadcast
+    return rows.join(keepers.hint("merge"), "_row", "left_semi").select(*docs.columns)

@@ -298,6 +298,20 @@ def test_url_model_learns_its_table():
         assert (bias + sum(weights[k] for k in cells) / len(cells) ** 0.5 >= 0) == bool(y), url
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Rows that repeat an id with unlike texts, and several rows without an id."""
+    body = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    near = next(t for t in (f"{body['f']} x{i}" for i in range(1000))
+                if 0 < (plain_print(t) ^ plain_print(body["f"])).bit_count() <= 4)
+    rows = [(1, "a"), (1, "b"), (3, "c"), (7, "c"), (7, "d"), (None, "e"), (None, "e"), (None, "a"), (None, "g"), (9, "f")]
+    rows = [(i, body[k]) for i, k in rows] + [(None, near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter([(1, body["a"]), (1, body["b"]), (3, body["c"]), (7, body["d"]), (None, body["e"]),
+                    (None, body["g"]), (9, body["f"])])
+    kept = simhash.keep_one(df)
+    assert Counter(tuple(r) for r in kept.collect()) == want
+
+
 # --- pipeline -------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, sf):

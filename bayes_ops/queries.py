@@ -472,9 +472,13 @@ def g6_describe_table(spark, sf_dir):
 # ---------------------------------------------------------------- streaming
 
 def _events_stream(spark, sf_dir):
-    schema = AD.read_table(spark, sf_dir, "events").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """The events table as a stream of its files.  A stream lists the direct children of a folder: those
+    of the table where it is a folder of part files, else of ``sf_dir``, of which one is the table."""
+    from bayes_ops.sources.tables import is_folder
+    path = f"{sf_dir}/events.parquet"
+    r = (spark.readStream.schema(AD.read_table(spark, sf_dir, "events").schema)
+         .option("maxFilesPerTrigger", 1))
+    raw = r.parquet(path) if is_folder(spark, path) else r.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return AD.prepare_cohort(raw, None, {
         "timestamp": AD.utc_ts("ts"),
         "cohort": F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")),
@@ -632,7 +636,10 @@ def t3_stream_window_counts(spark, sf_dir):
     from bayes_ops.session import scratch_path
     from bayes_ops.streaming.stats import read_windows, start_windowed
     base = scratch_path(spark, f"t3-{uuid.uuid4().hex}")
+    # the table's files carry no time order, so no row of it may be late: the watermark spans it
+    at = F.unix_seconds(AD.utc_ts("ts"))
+    span = AD.read_table(spark, sf_dir, "events").agg((F.max(at) - F.min(at)).alias("s")).first()["s"] or 0
     start_windowed(_events_stream(spark, sf_dir).select("timestamp", "cohort"), ["cohort"], base + "/table",
-                   base + "/checkpoint", window="1 day", watermark="1 hour").awaitTermination()
+                   base + "/checkpoint", window="1 day", watermark=f"{span + 3600} seconds").awaitTermination()
     t = read_windows(spark, base + "/table", ["cohort"])
     return t.select(iso_format(F.col("window_start")).alias("window_start"), "cohort", "n_events")

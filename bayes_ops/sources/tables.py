@@ -18,6 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table is a folder of part files, in whatever store Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Inspect any Parquet file or directory (op S2)."""
     return spark.read.parquet(path)

@@ -130,3 +130,20 @@ def test_running_ab_stats_equal_batch(spark, workdir):
     got = {r.variant: (r.successes, r.trials) for r in read_snapshot(spark, out).collect()}
     want = {r.variant: (r.successes, r.trials) for r in ab_stats(ab).collect()}
     assert got == want
+
+
+def test_registered_streams_read_a_table_of_several_files(spark, workdir):
+    from bayes_ops.queries import QUERIES
+
+    path = os.path.join(workdir, "events.parquet")
+    spark.read.parquet(f"{SF001}/events.parquet").repartitionByRange(4, "ts").write.parquet(path)
+    parts = sorted(f for f in os.listdir(path) if f.endswith(".parquet"))
+    assert len(parts) == 4
+    for k, f in enumerate(parts):      # the newest events arrive first
+        os.utime(os.path.join(path, f), (1_700_000_000 - 100 * k,) * 2)
+    rows = lambda name, sf: sorted(map(tuple, QUERIES[name](spark, sf).collect()))
+    for name in ("t1_stream_ingest", "t2_stream_poisson_posterior", "t3_stream_window_counts"):
+        got = rows(name, workdir)
+        assert got and got == rows(name, SF001), name
+    batch = windowed_counts(AD.poisson_from_events(spark, workdir), ["cohort"], "1 day")
+    assert sum(r[2] for r in rows("t3_stream_window_counts", workdir)) == batch.agg(F.sum("n_events")).first()[0]

@@ -2,7 +2,7 @@
 
 A line is the set of its words; lines whose Jaccard similarity is
 ``SIMILARITY`` (4/5) or more match, and a line that matches an earlier one (by
-doc_id, then line number) is removed, as is a line with an equal word set.
+doc_id, then row, then line number) is removed, as is a line with an equal word set.
 
 1. Rarity: words are counted in a hashed histogram of 2^19 cells over all
    lines (a fixed size).  Words are ordered by (cell count, hash), one order
@@ -20,8 +20,11 @@ doc_id, then line number) is removed, as is a line with an equal word set.
 Words are compared by their 64-bit hashes; a set is known by 96 bits of hash.
 
 Defined results: blank lines are neither counted nor removed; null and empty
-texts have no lines; rows that repeat a doc_id are one place (equal lines of
-theirs do not remove each other); null doc_ids come first.
+texts have no lines; null doc_ids come first, each row of them a document of
+its own, in order of the rows; rows that repeat a doc_id with unlike texts are
+documents of their own, in order of their texts' hashes; rows that repeat both
+doc_id and text are one document (one result row, equal lines of theirs do not
+remove each other).
 """
 
 from __future__ import annotations
@@ -36,13 +39,20 @@ MOST = (1 << 22) - 1     # a cell's count counts up to here in the order of word
 WIDE = (1 << 24) - 1     # sizes are kept up to here; a line this wide passes the filters unseen
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no and the sorted distinct word hashes of every line with a word."""
+def row_id() -> Column:
+    """Tells rows of one doc_id apart: a number where there is no id, else the text's hash."""
+    return F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))
+
+
+def split_lines(docs: DataFrame, keys: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """``keys``, line_no and the sorted distinct word hashes of every line with a word; with ``every``
+    also of a first line without one, so no row is missing."""
     # the outer form: the plain one adds a filter on the array's size, for which arrays are made twice
-    lines = docs.select("doc_id", F.posexplode_outer(F.split(plain_spaces(F.col("text")), "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.trim("line") != "")
+    lines = docs.select(*keys, F.posexplode_outer(F.split(plain_spaces(F.col("text")), "\n")).alias("line_no", "line"))
+    held = F.trim("line") != ""
+    lines = lines.filter(held | (F.col("line_no") == 0) if every else held)
     hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    return lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(hashes)).alias("toks"))
+    return lines.select(*keys, "line_no", F.sort_array(F.array_distinct(hashes)).alias("toks"))
 
 
 def _set_id(t: Column) -> list[Column]:
@@ -69,12 +79,13 @@ def rarity(docs: DataFrame, cells: int = CELLS) -> Column:
 
 
 def line_sets(docs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """doc_id, line_no, set_a, set_b (the set's id), sig (40 bits of word bitmap, 24 of size), and the
-    prefix: the rarest words' hashes, 32 bits each, rarest first.
+    """doc_id, row, line_no, set_a, set_b (the set's id), sig (40 bits of word bitmap, 24 of size), and the
+    prefix: the rarest words' hashes, 32 bits each, rarest first.  Every row of ``docs`` (doc_id, row,
+    text) has its first line here, of size 0 where that is blank.
 
     The order of words is one long: cell count, then the low 40 bits of the hash (which hold the cell)."""
     # the histogram is one value of the plan (a scalar subquery), never a column of rows
-    lines = split_lines(docs).withColumn("hist", rarity(docs, cells))
+    lines = split_lines(docs, ("doc_id", "row"), every=True).withColumn("hist", rarity(docs, cells))
     low = F.lit((1 << 40) - 1)
 
     def parts(t: Column) -> Column:
@@ -89,7 +100,8 @@ def line_sets(docs: DataFrame, cells: int = CELLS) -> DataFrame:
             *_set_id(t), F.shiftleft(bits, 24).bitwiseOR(F.least(size, F.lit(WIDE)).cast("long")).alias("sig"),
             F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 32) - 1))).alias("prefix"))
 
-    return lines.select("doc_id", "line_no", let(F.col("toks"), parts).alias("s")).select("doc_id", "line_no", "s.*")
+    at = ["doc_id", "row", "line_no"]
+    return lines.select(*at, let(F.col("toks"), parts).alias("s")).select(*at, "s.*")
 
 
 def index(sets: DataFrame) -> DataFrame:
@@ -120,7 +132,7 @@ def matches(docs: DataFrame, sets: DataFrame, cells: int = CELLS) -> DataFrame:
     ids = spill(pairs.select(F.col("a").alias("set_a")).unionByName(pairs.select(F.col("b").alias("set_a"))).distinct(), "ids")
     asked = sets.select("doc_id", "line_no", "set_a", "set_b").join(ids, "set_a", "left_semi")
     asked = spill(asked.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-                  .select("set_a", "set_b", "at.doc_id", "at.line_no"), "asked")
+                  .select("set_a", "set_b", "at.doc_id"), "asked")
     cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit(cells - 1))
     # documents, then lines, that hold none of the sets skip the splitting and the shuffle
     some = docs.withColumn("held", cell_counts(asked.select(cell("doc_id").alias("cell")), cells))
@@ -141,12 +153,13 @@ def matches(docs: DataFrame, sets: DataFrame, cells: int = CELLS) -> DataFrame:
     return spill(both.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2"), "matches")
 
 
-def dedup(docs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed_lines (sorted line numbers) of every doc_id."""
-    docs = docs.select("doc_id", "text")
-    sets = spill(line_sets(docs, cells), "lines")
+def _judge(docs: DataFrame, cells: int) -> DataFrame:
+    """doc_id, row, n_lines, n_removed, removed_lines of every doc_id and row of ``docs``."""
+    every = spill(line_sets(docs, cells), "lines")
+    size = F.col("sig").bitwiseAND(F.lit(WIDE))
+    sets = every.filter(size > 0)
     pairs = matches(docs, sets, cells)
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "row", "line_no")
     first = spill(sets.groupBy("set_a", "set_b").agg(F.min(place).alias("first")), "firsts")
     links = pairs.select(F.col("a1").alias("set_a"), F.col("a2").alias("set_b"), F.col("b1").alias("o1"), F.col("b2").alias("o2")) \
         .unionByName(pairs.select(F.col("b1").alias("set_a"), F.col("b2").alias("set_b"),
@@ -155,21 +168,25 @@ def dedup(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     near = links.join(other, ["o1", "o2"]).groupBy("set_a", "set_b").agg(F.min("of").alias("of"))
     keep = spill(first.join(near, ["set_a", "set_b"], "left")
                  .select("set_a", "set_b", F.least("first", F.coalesce("of", "first")).alias("keep")), "keep")
-    judged = sets.select("doc_id", "line_no", "set_a", "set_b").join(keep, ["set_a", "set_b"])
-    gone = F.when(F.struct("doc_id", "line_no") > F.col("keep"), F.col("line_no"))
-    found = judged.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.count(gone).alias("n_removed"),
-        F.sort_array(F.collect_set(gone)).alias("removed_lines"))
-    ids = docs.select("doc_id").distinct()
-    return ids.join(found, ids["doc_id"].eqNullSafe(found["doc_id"]), "left").select(
-        ids["doc_id"], F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"),
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    judged = sets.select("doc_id", "row", "line_no", "set_a", "set_b").join(keep, ["set_a", "set_b"])
+    judged = judged.select("doc_id", "row", F.lit(1).alias("n"), F.when(place > F.col("keep"), F.col("line_no")).alias("gone"))
+    blank = every.filter(size == 0).select("doc_id", "row", F.lit(0).alias("n"), F.lit(None).cast("int").alias("gone"))
+    return judged.unionByName(blank).groupBy("doc_id", "row").agg(
+        F.sum("n").alias("n_lines"), F.count("gone").alias("n_removed"),
+        F.sort_array(F.collect_set("gone")).alias("removed_lines"))
+
+
+def dedup(docs: DataFrame, cells: int = CELLS) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed_lines (sorted line numbers) of every document."""
+    return _judge(docs.select("doc_id", "text", row_id().alias("row")), cells).drop("row")
 
 
 def clean(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """The documents without their removed lines (the other lines as they were), all columns kept."""
-    gone = dedup(docs, cells).select(F.col("doc_id").alias("_id"), F.col("removed_lines").alias("_gone"))
-    j = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left")
+    # numbered once: the numbers must be the same where the texts are read again
+    rows = spill(docs.withColumn("_row", row_id()), "numbered")
+    gone = _judge(rows.select("doc_id", "text", F.col("_row").alias("row")), cells).select(
+        F.col("doc_id").alias("_id"), F.col("row").alias("_at"), F.col("removed_lines").alias("_gone"))
+    j = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (F.col("_row") == F.col("_at")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return j.withColumn("text", F.when(F.size("_gone") > 0, kept).otherwise(F.col("text"))).select(*docs.columns)

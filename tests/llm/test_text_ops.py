@@ -293,3 +293,24 @@ def test_lines_differ_in_the_last_bitmap_bit(spark):
 
 def test_lines_match_brute_force_on_all_documents(docs):
     check_lines(docs, cells=1 << 14)
+
+
+def test_lines_of_rows_without_an_id_of_their_own(spark):
+    top = "all rights of this page are reserved by its owner"
+    rows = [(None, f"{top}\nonly the first says so"), (None, f"{top}\nand the second says another thing"),
+            (None, None), (None, f"{top}\nand the second says another thing"),
+            (7, f"a line seven begins with\n{top}"), (7, f"a line seven begins with\nunlike its other text"),
+            (8, "\n\n"), (8, "eight again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter((r["doc_id"], r["n_lines"], tuple(r["removed_lines"])) for r in lines.dedup(df, cells=1 << 10).collect())
+    seven = [r for r in got if r[0] == 7]
+    assert Counter(r for r in got.elements() if r[0] != 7) == Counter([
+        (None, 2, ()), (None, 2, (0,)), (None, 0, ()), (None, 2, (0, 1)), (8, 0, ()), (8, 1, ())])
+    # which of the texts of 7 comes first is the order of their hashes
+    assert sorted(seven) in ([(7, 2, ()), (7, 2, (0, 1))], [(7, 2, (0,)), (7, 2, (1,))])
+    out = lines.clean(df, cells=1 << 10)
+    left = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert Counter(r for r in left.elements() if r[0] != 7) == Counter([
+        rows[0], (None, "and the second says another thing"), (None, None), (None, ""), rows[6], rows[7]])
+    assert out.columns == df.columns and sum("a line seven begins with" in (t or "") for _, t in left) == 1
+    assert not any(top in (t or "") for i, t in left if i == 7)

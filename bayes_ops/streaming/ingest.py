@@ -52,22 +52,16 @@ def validated(raw: DataFrame, kind: str, key: str | None = None) -> DataFrame:
     return v.withColumn("status", F.when(F.col("reject_reason").isNull(), F.lit("ok")).otherwise(F.lit("rejected")))
 
 
-def new_rows(rows: DataFrame, accepted: DataFrame, key: str, window: str = "1 day") -> DataFrame:
+def new_rows(rows: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
     """``rows`` without accepted rows whose key came before (T4).
 
-    Of rows with one key in a batch one is kept.  With an event time, earlier
-    rows are looked up from ``window`` before the batch's first to ``window``
-    after its last event time (Parquet statistics prune the rest), so a row
-    however late meets its duplicates.  Rows without a key, and rejected rows,
-    are all kept.
+    Of rows with one key in a batch one is kept.  Earlier rows are looked up by
+    the key alone, so a row however late, or delivered again with another event
+    time, meets its duplicates.  Rows without a key, and rejected rows, are all
+    kept.
     """
     keyed = rows.where((F.col("status") == "ok") & F.col(key).isNotNull()).dropDuplicates([key])
     known = accepted.where((F.col("status") == "ok") & F.col(key).isNotNull())
-    if "timestamp" in rows.columns:
-        span = keyed.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
-        if span["a"] is not None:
-            gap = F.expr(f"interval {window}")
-            known = known.where(F.col("timestamp").between(F.lit(span["a"]) - gap, F.lit(span["b"]) + gap))
     keyed = keyed.join(known.select(key), key, "left_anti").select(*rows.columns)
     return keyed.unionByName(rows.where((F.col("status") != "ok") | F.col(key).isNull()))
 

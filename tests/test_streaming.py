@@ -147,3 +147,17 @@ def test_registered_streams_read_a_table_of_several_files(spark, workdir):
         assert got and got == rows(name, SF001), name
     batch = windowed_counts(AD.poisson_from_events(spark, workdir), ["cohort"], "1 day")
     assert sum(r[2] for r in rows("t3_stream_window_counts", workdir)) == batch.agg(F.sum("n_events")).first()[0]
+
+
+def test_key_delivered_again_with_another_time_lands_once(spark, workdir):
+    src, sink, ck = (os.path.join(workdir, p) for p in ("src", "sink", "ck"))
+    os.makedirs(src)
+    for k, day in enumerate((2, 20)):
+        row = {"event_id": "e1", "timestamp": f"2024-01-{day:02d} 00:00:00", "cohort": "c0", "event_type": "click"}
+        path = os.path.join(src, f"batch-{k}.json")
+        with open(path, "w") as f:
+            f.write(json.dumps(row) + "\n")
+        os.utime(path, (1_700_000_000 + k,) * 2)
+    raw = event_stream(spark, src, "poisson-cohorts", key="event_id", max_files_per_trigger=1)
+    start_ingest(raw, "poisson-cohorts", sink, ck, key="event_id").awaitTermination()
+    assert [str(r.timestamp) for r in read_ingested(spark, sink, "poisson-cohorts").collect()] == ["2024-01-02 00:00:00"]

@@ -27,7 +27,17 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spilled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by ``spill`` once their last reader is done."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.spilled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Shared:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bayes_ops.llm import (chat, decontaminate, langid, lattice, lines, mixing, ngram_join, pack, quality, simhash, urls)
+from bayes_ops.llm import (chat, decontaminate, langid, lattice, lines, mixing, ngram_join, pack, quality, simhash, urls, whitening)
 from bayes_ops.llm.common import table
 
 
@@ -46,10 +46,15 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_lm_scoring, op3_simhash, op4_line_dedup, op5_language_id, op6_sharding,
-    op7_chat_format, op8_mixing, op9_url_filter, op10_decontamination, op13_ngram_join)}
+    op7_chat_format, op8_mixing, op9_url_filter, op10_decontamination,
+    op12_whitening, op13_ngram_join)}

@@ -164,3 +164,38 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
        CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN ids USING (rid)"""
+
+
+_LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+_TAKEN = ["0", *(" + ".join(f"l{k}.bit" for k in range(1, n + 1)) for n in range(1, 5))]
+_STEPS = " UNION ALL ".join(
+    f"SELECT ord, CAST({k} AS INTEGER) AS step, b{k} AS before, f{k} AS bit FROM orders" for k in range(1, 6))
+ORACLE["op11_filter_audit"] = rf"""WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+lab AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+        FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+      FROM d LEFT JOIN lab ON d.doc_id = lab.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY part, mask),
+orders AS (SELECT concat({", ".join(f"l{k}.f" for k in range(1, 6))}) AS ord,
+             {", ".join(f"{_TAKEN[k - 1]} AS b{k}, l{k}.bit AS f{k}" for k in range(1, 6))}
+           FROM {", ".join(f"{_LETTERS} l{k}(f, bit)" for k in range(1, 6))}
+           WHERE {" + ".join(f"l{k}.bit" for k in range(1, 6))} = 31
+             AND {" AND ".join(f"l{i}.bit <> l{j}.bit" for j in range(2, 6) for i in range(1, j))}),
+steps AS ({_STEPS}),
+r AS (SELECT part, ord, step, bit,
+        sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN g ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN x ELSE 0 END) AS toxic_lost
+      FROM c, steps GROUP BY ALL)
+SELECT part, ord AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bayes_ops.llm import (chat, decontaminate, langid, lattice, lines, mixing, ngram_join, pack, quality, simhash, urls, whitening)
+from bayes_ops.llm import (audit, chat, decontaminate, langid, lattice, lines, mixing, ngram_join, pack, quality, simhash, urls, whitening)
 from bayes_ops.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -57,4 +61,4 @@ def op13_ngram_join(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_lm_scoring, op3_simhash, op4_line_dedup, op5_language_id, op6_sharding,
     op7_chat_format, op8_mixing, op9_url_filter, op10_decontamination,
-    op12_whitening, op13_ngram_join)}
+    op11_filter_audit, op12_whitening, op13_ngram_join)}

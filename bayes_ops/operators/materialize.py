@@ -16,3 +16,10 @@ from bayes_ops.session import checkpoint_dir
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A checkpointed table of few, costly rows dealt over the tasks: as many as it has rows, at most
+    the shuffle partitions (adaptive execution would merge so few bytes into one task)."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(df.count(), most)), *keys)

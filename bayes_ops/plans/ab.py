@@ -6,208 +6,167 @@ outcomes ~ Bernoulli(p_v).  Integrating p_v out, the hyper-posterior is
   log p(alpha, beta | data) = sum_v [logB(alpha + s_v, beta + f_v) - logB(alpha, beta)]
                               + log HC(alpha) + log HC(beta)
 
-evaluated on a grid in (mu, log kappa) with alpha = mu kappa,
-beta = (1 - mu) kappa (Jacobian kappa^2).  The data enter only through
-(s_v, f_v) per variant: one aggregation over the trial rows.  The posterior
-is sharp in mu at large kappa and diffuse at small kappa, so each log-kappa
-row has its own mu range, taken from the pooled rate and its standard error
-at that kappa; the log-kappa range grows until no mass is left at its ends
-and is then narrowed to where the mass is.  Each variant's posterior of p_v is the weighted mixture of
-Beta(alpha_g + s_v, beta_g + f_v), summarised on a p grid.
+evaluated at nodes in (log kappa, logit mu) with alpha = mu kappa,
+beta = (1 - mu) kappa (Jacobian kappa^2 mu (1 - mu)).  The data enter only through
+(s_v, f_v) per variant: one aggregation over the trial rows.  The posterior is
+sharp in mu at large kappa and diffuse at small kappa, so every log-kappa row has its
+own mu nodes, placed by the information that the variants give on mu at that kappa.
+The quadrature is ``operators.hierarchy``: arrays in one row, no row per (variant, node).
+
+Each variant's posterior of p_v is the weighted mixture of
+Beta(alpha_g + s_v, beta_g + f_v); its moments are exact sums over the nodes, its median
+and HDI come from the mixture density on ``P_CELLS`` cells, an array in the variant's row.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bayes_ops.functions.densities import log_half_cauchy
 from bayes_ops.functions.special import lgamma_ratio, log_beta_fn
-from bayes_ops.operators.grid import cell_columns, grid_summary_aggs, hdi_columns, weights_windows
+from bayes_ops.operators.arrays import edge_cdf, let, narrowest, quantile_at, total
 from bayes_ops.operators.filters import project
+from bayes_ops.operators.hierarchy import Model, hyper_nodes, mixture_density
+from bayes_ops.operators.joins import join_groups
+from bayes_ops.operators.materialize import reliable_checkpoint, spread
 from bayes_ops.operators.suffstats import ab_stats
 
 HC_SCALE = 10.0
-LK_START = (math.log(1e-2), math.log(1e6))   # first log-kappa range; it grows with the data
-LK_STEP = math.log(1e4)
-EDGE = 1e-10             # mass that a row of the range's ends may hold
-ZOOM_N = 80
-FINAL_N = 48
-FINAL_MU = 64
+REACH = 14.0             # the hyper-prior falls like exp(-2 |log kappa|) on both sides
 MU_SDS = 9.0
-P_CELLS = 256
-DROP = 30.0
-
-
-def _node_lp(stats: DataFrame, lk_lo: float, lk_hi: float, mu_lo: list[float], mu_hi: list[float],
-             n_mu: int) -> DataFrame:
-    """Hyper log posterior at (ki, mi): log-kappa rows ki, each with its own
-    mu range [mu_lo[ki], mu_hi[ki]] split into n_mu cells.
-
-    Rows (variant, ki, mi) are exploded from the per-variant table; the sum
-    over variants is one groupBy on the node index.
-    """
-    n_k = len(mu_lo)
-    dk = (lk_hi - lk_lo) / n_k
-    lo_arr = F.array(*[F.lit(float(v)) for v in mu_lo])
-    hi_arr = F.array(*[F.lit(float(v)) for v in mu_hi])
-    nodes = (stats.withColumn("ki", F.explode(F.sequence(F.lit(0), F.lit(n_k - 1))))
-             .withColumn("mi", F.explode(F.sequence(F.lit(0), F.lit(n_mu - 1))))
-             .withColumn("m_lo", F.element_at(lo_arr, F.col("ki") + 1))
-             .withColumn("dmu", (F.element_at(hi_arr, F.col("ki") + 1) - F.col("m_lo")) / F.lit(float(n_mu)))
-             .withColumn("mu", F.col("m_lo") + (F.col("mi") + F.lit(0.5)) * F.col("dmu"))
-             .withColumn("lk", F.lit(lk_lo) + (F.col("ki") + F.lit(0.5)) * F.lit(dk)))
-    kappa = F.exp(F.col("lk"))
-    a = F.col("mu") * kappa
-    b = (F.lit(1.0) - F.col("mu")) * kappa
-    n_s, n_f = F.col("successes").cast("double"), F.col("failures").cast("double")
-    term = lgamma_ratio(a, n_s) + lgamma_ratio(b, n_f) - lgamma_ratio(kappa, n_s + n_f)
-    lp = (nodes.withColumn("t", term).groupBy("ki", "mi")
-          .agg(F.sum("t").alias("ll"), F.first("mu").alias("mu"), F.first("lk").alias("lk"),
-               F.first("dmu").alias("dmu"), F.first("m_lo").alias("m_lo")))
-    kappa = F.exp(F.col("lk"))
-    a = F.col("mu") * kappa
-    b = (F.lit(1.0) - F.col("mu")) * kappa
-    return lp.withColumn("lp", F.col("ll") + log_half_cauchy(a, HC_SCALE) + log_half_cauchy(b, HC_SCALE)
-                         + F.lit(2.0) * F.col("lk"))
-
-
-def _mu_ranges(stats: DataFrame, lk_lo: float, lk_hi: float, n: int) -> tuple[list[float], list[float]]:
-    """A mu range for each of n log-kappa rows, in one aggregation over the variants.
-
-    Given kappa, a variant's rate says mu up to a variance of about
-    mu (1 - mu) (1 / trials + 1 / (kappa + 1)); the pooled rate and its
-    standard error give the range, widened for few trials."""
-    dk = (lk_hi - lk_lo) / n
-    t = F.col("trials").cast("double")
-    rate = (F.col("successes").cast("double") + F.lit(0.5)) / (t + F.lit(1.0))
-    aggs = []
-    for k in range(n):
-        kappa = math.exp(lk_lo + (k + 0.5) * dk)
-        w = F.lit(1.0) / (F.lit(1.0) / (t + F.lit(1.0)) + F.lit(1.0 / (kappa + 1.0)))
-        aggs += [F.sum(w).alias(f"w{k}"), F.sum(w * rate).alias(f"m{k}")]
-    row = stats.agg(*aggs).first()
-    lo, hi = [], []
-    for k in range(n):
-        m = row[f"m{k}"] / row[f"w{k}"]
-        half = MU_SDS * math.sqrt(m * (1 - m) / row[f"w{k}"]) + 40.0 / row[f"w{k}"]
-        lo.append(max(0.0, m - half))
-        hi.append(min(1.0, m + half))
-    return lo, hi
-
-
-def locate(stats: DataFrame, max_passes: int = 40) -> tuple[float, float, list[float], list[float]]:
-    """The log-kappa range that holds the mass, and the mu range of each of its rows.
-
-    A pass that finds mass at an end of the range moves that end out; else the
-    range is narrowed to the rows that hold mass (plus one each side), until
-    the marginal is resolved (sd >= 2 rows).  Only grid parameters reach the
-    driver; a range that does not settle is an error.
-    """
-    lk_lo, lk_hi = LK_START
-    everything = Window.partitionBy(F.lit(0))  # ZOOM_N rows, not data
-    for _ in range(max_passes):
-        dk = (lk_hi - lk_lo) / ZOOM_N
-        g = _node_lp(stats, lk_lo, lk_hi, *_mu_ranges(stats, lk_lo, lk_hi, ZOOM_N), ZOOM_N)
-        rows = g.groupBy("ki").agg(F.max("lp").alias("top"), F.first("lk").alias("lk"),
-                                   F.collect_list(F.struct("lp", "dmu")).alias("c"))   # ZOOM_N cells
-        rows = rows.withColumn("top", F.max("top").over(everything))
-        rows = rows.withColumn("e", F.expr("aggregate(c, 0D, (s, x) -> s + exp(x.lp - top) * x.dmu)"))
-        rows = rows.withColumn("w", F.col("e") / F.sum("e").over(everything))
-        heavy = F.col("w") > F.lit(EDGE)
-        r = rows.agg(F.sum(F.col("w") * F.col("lk")).alias("m"), F.sum(F.col("w") * F.col("lk") ** 2).alias("m2"),
-                     F.min(F.when(heavy, F.col("ki"))).alias("k0"), F.max(F.when(heavy, F.col("ki"))).alias("k1")).first()
-        at_lo, at_hi = r["k0"] == 0, r["k1"] == ZOOM_N - 1
-        sd = math.sqrt(max(r["m2"] - r["m"] ** 2, 0.0))
-        keep_lo, keep_hi = lk_lo + (r["k0"] - 1) * dk, lk_lo + (r["k1"] + 2) * dk
-        lk_lo = lk_lo - LK_STEP if at_lo else max(lk_lo, keep_lo)
-        lk_hi = lk_hi + LK_STEP if at_hi else min(lk_hi, keep_hi)
-        if not at_lo and not at_hi and sd >= 2 * dk:
-            return lk_lo, lk_hi, *_mu_ranges(stats, lk_lo, lk_hi, FINAL_N)
-    raise RuntimeError(f"the kappa range did not settle in {max_passes} passes: log kappa in [{lk_lo}, {lk_hi}]")
+P_CELLS = 512
+P_SDS = 7.5
+CURVE_N = 200
+
+
+def _alpha_beta(o: Column, x: Column) -> tuple[Column, Column]:
+    """alpha, beta at log kappa and logit mu."""
+    return F.exp(o - F.log1p(F.exp(-x))), F.exp(o - F.log1p(F.exp(x)))
+
+
+def _info(u: Column, o: Column) -> tuple[Column, Column]:
+    t = u["s"] + u["f"] + 1.0
+    w = F.lit(1.0) / (1.0 / t + 1.0 / (F.exp(o) + 1.0))
+    return w, w * (u["s"] + 0.5) / t
+
+
+def _mu_range(o: Column, w: Column, wm: Column) -> tuple[Column, Column, Column]:
+    """Range of logit mu about the pooled rate, and the information on it.  Both tails fall like exp(-|x|) at least."""
+    m = wm / w
+    info = w * m * (1.0 - m)
+    half = F.lit(MU_SDS) / F.sqrt(info) + F.lit(30.0) / (1.0 + info)
+    centre = F.log(m) - F.log1p(-m)
+    return centre - half, centre + half, info
+
+
+def _term(u: Column, o: Column, x: Column) -> Column:
+    a, b = _alpha_beta(o, x)
+    return lgamma_ratio(a, u["s"]) + lgamma_ratio(b, u["f"])
+
+
+def _prior(o: Column, x: Column) -> Column:
+    a, b = _alpha_beta(o, x)
+    return (log_half_cauchy(a, HC_SCALE) + log_half_cauchy(b, HC_SCALE) + 2.0 * o
+            - F.log1p(F.exp(-x)) - F.log1p(F.exp(x)))
+
+
+MODEL = Model(
+    consts=[F.max(F.col("s") + F.col("f")).alias("most")],
+    outer=(F.lit(-REACH), F.lit(math.log(HC_SCALE) + REACH) + F.log1p("most")),
+    info=_info, inner=_mu_range, row_term=lambda u, o: -lgamma_ratio(F.exp(o), u["s"] + u["f"]), term=_term, prior=_prior)
 
 
 def ab_posterior(df: DataFrame, p_cells: int = P_CELLS) -> DataFrame:
     """Per variant: successes, trials and the posterior summary of p_v."""
-    return _fit(df, p_cells, curve=False)
-
-
-def ab_curve(df: DataFrame, p_cells: int = P_CELLS) -> DataFrame:
-    """Per variant: posterior density of p_v on the mixture's p grid (P7 for P2)."""
-    return _fit(df, p_cells, curve=True)
-
-
-def _fit(df: DataFrame, p_cells: int, curve: bool) -> DataFrame:
-    stats = ab_stats(project(df, ["variant", "outcome"])).select("variant", "successes", "trials", "failures").cache()
-    try:
-        lk_lo, lk_hi, mu_lo, mu_hi = locate(stats)
-        return _variant_mixtures(stats, lk_lo, lk_hi, mu_lo, mu_hi, p_cells, curve).cache()
-    finally:
-        stats.unpersist()
-
-
-def _variant_mixtures(stats: DataFrame, lk_lo, lk_hi, mu_lo, mu_hi, p_cells: int,
-                      curve: bool = False) -> DataFrame:
-    n = FINAL_N
-    hyper = _node_lp(stats, lk_lo, lk_hi, mu_lo, mu_hi, FINAL_MU).select("ki", "mi", "lp", "mu", "lk", "dmu")
-    # (variant, node) rows: exploded from the per-variant table, then given the
-    # node weight by an equi-join on the node index.
-    vn = (stats.withColumn("ki", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-          .withColumn("mi", F.explode(F.sequence(F.lit(0), F.lit(FINAL_MU - 1))))
-          .join(hyper, ["ki", "mi"]))
-    kappa = F.exp(F.col("lk"))
-    mu = F.col("mu")
-    by_v = Window.partitionBy("variant")
-    vn = (vn.withColumn("a", mu * kappa + F.col("successes").cast("double"))
-          .withColumn("b", (F.lit(1.0) - mu) * kappa + F.col("failures").cast("double"))
-          .withColumn("hw", F.exp(F.col("lp") - F.max("lp").over(by_v)) * F.col("dmu"))
-          .withColumn("hw", F.col("hw") / F.sum("hw").over(by_v)))
-    ab = F.col("a") + F.col("b")
-    m1 = F.col("a") / ab
-    m2 = F.col("a") * (F.col("a") + 1) / (ab * (ab + 1))
-    sd_g = F.sqrt(F.col("a") * F.col("b") / (ab * ab * (ab + 1)))
-    # p range of the mixture: components holding non-negligible weight, +-12 sd
-    sig = F.col("hw") > F.lit(1e-12)
-    vn = (vn.withColumn("p_lo", F.greatest(F.lit(0.0), F.min(F.when(sig, m1 - F.lit(12.0) * sd_g)).over(by_v)))
-          .withColumn("p_hi", F.least(F.lit(1.0), F.max(F.when(sig, m1 + F.lit(12.0) * sd_g)).over(by_v))))
-    moments = vn.groupBy("variant").agg(
-        F.first("successes").alias("successes"), F.first("trials").alias("trials"),
-        F.sum(F.col("hw") * m1).alias("mean"), F.sum(F.col("hw") * m2).alias("m2"))
-    moments = moments.withColumn("sd", F.sqrt(F.greatest(F.col("m2") - F.col("mean") ** 2, F.lit(0.0)))).drop("m2")
-    # A component much narrower than the step between its neighbours would be a
-    # spike between p cells: its sd is held at 0.6 steps (density only; the
-    # moments above are those of the components as they are).
-    step = F.col("dmu") * F.exp(F.col("lk")) / (F.exp(F.col("lk")) + F.col("trials").cast("double"))
-    var = F.greatest(sd_g * sd_g, F.lit(0.36) * step * step)
-    var = F.least(var, F.lit(0.5) * m1 * (F.lit(1.0) - m1))
-    conc = F.greatest(m1 * (F.lit(1.0) - m1) / var - F.lit(1.0), F.lit(1e-9))
-    wide = F.lit(0.36) * step * step > sd_g * sd_g
-    vn = vn.withColumns({"a": F.when(wide, m1 * conc).otherwise(F.col("a")),
-                         "b": F.when(wide, (F.lit(1.0) - m1) * conc).otherwise(F.col("b"))})
-    # mixture density on p cells: sum_g hw_g Beta(p; a_g, b_g)
-    # the Beta normaliser depends on (variant, node) only: computed before the cells
-    vn = vn.withColumn("lnorm", -log_beta_fn(F.col("a"), F.col("b")))
-    # cells uniform in u; x = p_lo + (p_hi - p_lo) u^2 when the support starts
-    # at 0, where components behave like x^(a-1) (e.g. a variant with no success)
-    square = F.when(F.col("p_lo") <= 0, F.lit(1)).otherwise(F.lit(0))
-    cells = cell_columns(vn, "p_lo", "p_hi", p_cells, square)
-    x = F.col("x")
-    logpdf = (F.col("a") - 1) * F.log(x) + (F.col("b") - 1) * F.log1p(-x) + F.col("lnorm")
-    dens = (cells.withColumn("f", F.col("hw") * F.exp(logpdf))
-            .groupBy("variant", "i").agg(F.sum("f").alias("f"), F.first("x").alias("x"),
-                                         F.first("x_lo").alias("x_lo"), F.first("x_hi").alias("x_hi"),
-                                         F.first("ljac").alias("ljac")))
-    # cell mass = mixture density x dx/du (du constant)
-    dens = dens.withColumn("m", F.col("f") * F.exp(F.col("ljac")))
-    dens = (dens.withColumn("w", F.col("m") / F.sum("m").over(by_v))
-            .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
-    if curve:
-        # normalised density: f / (sum of cell masses x du)
-        return dens.select("variant", "i", "x", (F.col("f") / (F.sum("m").over(by_v) / F.lit(float(p_cells))))
-                           .alias("y"))
-    summ = hdi_columns(weights_windows(dens, ["variant"], density="f").groupBy("variant").agg(*grid_summary_aggs())
-                       ).drop("g_max", "g_z")
-    return (moments.join(summ, "variant")
-            .select("variant", "successes", "trials", "mean", "sd", "median", "hdi_3", "hdi_97"))
+    return variant_posteriors(_stats(df), p_cells)
+
+
+def ab_curve(df: DataFrame, points: int = CURVE_N) -> DataFrame:
+    """Per variant: posterior density of p_v at ``points`` x over mean +- 5 sd within [0, 1] (P7 for P2)."""
+    rows = _mixtures(_stats(df))
+    lo = F.greatest(F.lit(0.0), F.col("mean") - 5.0 * F.col("sd"))
+    hi = F.least(F.lit(1.0), F.col("mean") + 5.0 * F.col("sd"))
+    rows = reliable_checkpoint(rows.withColumn("xs", _points(lo, hi, points, F.lit(0))))
+    curve = rows.withColumn("y", mixture_density(F.col("comps"), F.col("xs"), _logpdf))
+    pairs = F.arrays_zip(F.col("xs").alias("xs"), F.col("y").alias("y"))
+    return curve.select("variant", F.posexplode(pairs).alias("i", "p")).select(
+        "variant", "i", F.col("p.xs.x").alias("x"), F.col("p.y").alias("y"))
+
+
+def _stats(df: DataFrame) -> DataFrame:
+    return ab_stats(project(df, ["variant", "outcome"])).select("variant", "successes", "trials", "failures")
+
+
+def _points(lo: Column, hi: Column, n: int, square: Column) -> Column:
+    """n cell middles of [lo, hi] as (x, log x, log(1 - x), jac); x = lo + (hi - lo) u^2 where ``square``."""
+    def at(i: Column) -> Column:
+        def cell(u: Column) -> Column:
+            x = lo + (hi - lo) * F.when(square == 1, u * u).otherwise(u)
+            return F.struct(x.alias("x"), F.log(x).alias("lx"), F.log1p(-x).alias("l1x"),
+                            F.when(square == 1, 2.0 * u).otherwise(F.lit(1.0)).alias("jac"))
+        return let((i + F.lit(0.5)) / F.lit(float(n)), cell)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def _logpdf(c: Column, p: Column) -> Column:
+    return (c["a"] - 1.0) * p["lx"] + (c["b"] - 1.0) * p["l1x"] + c["ln"]
+
+
+def _mixtures(stats: DataFrame) -> DataFrame:
+    """Per variant: its counts, mean, sd and the components (w, m, sd, r, a, b, ln) of its rate's density."""
+    stats = reliable_checkpoint(stats)   # one row per variant
+    units = stats.select(F.lit(0).alias("g"), F.col("variant").alias("unit"),
+                         F.col("successes").cast("double").alias("s"), F.col("failures").cast("double").alias("f"))
+    nodes = hyper_nodes(units, ["s", "f"], MODEL)
+    s, f = F.col("successes").cast("double"), F.col("failures").cast("double")
+
+    def component(n: Column) -> Column:
+        ha, hb = _alpha_beta(n["o"], n["x"])
+
+        def shape(c: Column) -> Column:
+            m = c["a"] / (c["a"] + c["b"])
+            var = m * (1.0 - m) / (c["a"] + c["b"] + 1.0)
+            # the mean moves by this much from one node of the row to the next
+            step = n["h"] * c["ha"] * c["hb"] / ((c["ha"] + c["hb"]) * (c["a"] + c["b"]))
+            wide = F.least(F.greatest(var, 0.49 * step * step), 0.5 * m * (1.0 - m))
+
+            def made(v: Column) -> Column:
+                conc = m * (1.0 - m) / v["wide"] - 1.0
+                a = F.when(v["wide"] > v["var"], m * conc).otherwise(c["a"])
+                b = F.when(v["wide"] > v["var"], (1.0 - m) * conc).otherwise(c["b"])
+                return F.struct(n["w"].alias("w"), m.alias("m"), F.sqrt(v["wide"]).alias("sd"), v["var"].alias("var"),
+                                (v["var"] / v["wide"]).alias("r"), a.alias("a"), b.alias("b"), (-log_beta_fn(a, b)).alias("ln"))
+            return let(F.struct(var.alias("var"), wide.alias("wide")), made)
+        return let(F.struct(ha.alias("ha"), hb.alias("hb"), (ha + s).alias("a"), (hb + f).alias("b")), shape)
+
+    rows = join_groups(spread(stats, "variant").withColumn("g", F.lit(0)), nodes.hint("broadcast"), ["g"])   # one row
+    rows = reliable_checkpoint(rows.withColumn("comps", F.transform("nodes", component)).drop("nodes", "g"))
+    rows = rows.withColumn("mean", total(F.col("comps"), lambda c: c["w"] * c["m"]) / total(F.col("comps"), lambda c: c["w"]))
+    rows = reliable_checkpoint(rows)
+    return rows.withColumn("sd", F.sqrt(total(F.col("comps"), lambda c: c["w"] * (
+        c["var"] + (c["m"] - F.col("mean")) * (c["m"] - F.col("mean"))))))
+
+
+def variant_posteriors(stats: DataFrame, p_cells: int = P_CELLS) -> DataFrame:
+    """Posterior summaries of (variant, successes, trials, failures)."""
+    rows = _mixtures(stats)
+    felt = F.filter("comps", lambda c: c["w"] > 1e-9)
+    rows = rows.withColumn("lo", F.greatest(F.lit(0.0), F.array_min(F.transform(felt, lambda c: c["m"] - P_SDS * c["sd"])))) \
+        .withColumn("hi", F.least(F.lit(1.0), F.array_max(F.transform(felt, lambda c: c["m"] + P_SDS * c["sd"]))))
+    # cells uniform in u; x = hi u^2 where the support starts at 0 and components behave like x^(a-1)
+    rows = rows.withColumn("square", F.when(F.col("lo") <= 0, 1).otherwise(0))
+    rows = reliable_checkpoint(rows.withColumn("xs", _points(F.col("lo"), F.col("hi"), p_cells, F.col("square"))))
+    rows = reliable_checkpoint(rows.withColumn("f", mixture_density(F.col("comps"), F.col("xs"), _logpdf)).drop("comps"))
+    mass = F.zip_with("f", "xs", lambda f, p: f * p["jac"])
+    rows = reliable_checkpoint(rows.withColumn("cdf", edge_cdf(mass)))
+
+    def x_at(position: Column) -> Column:
+        u = position / float(p_cells)
+        return F.col("lo") + (F.col("hi") - F.col("lo")) * F.when(F.col("square") == 1, u * u).otherwise(u)
+    hdi = narrowest(F.col("f"), F.col("cdf"))
+    rows = rows.withColumn("median", let(quantile_at(F.col("cdf"), F.lit(0.5)), x_at)).withColumn("hdi", F.transform(hdi, x_at))
+    return reliable_checkpoint(rows.select("variant", "successes", "trials", "mean", "sd", "median",
+                                           F.col("hdi")[0].alias("hdi_3"), F.col("hdi")[1].alias("hdi_97")))

@@ -9,157 +9,72 @@ marginal
   log p(k | a, b) = lgamma(a + k) - lgamma(a) - lgamma(k + 1)
                     + a log(b / (b + T)) + k log(T / (b + T)).
 
-The hyper-posterior of each event type is evaluated on a grid in
-(log a, log m) with m = a / b the mean rate (Jacobian a b).  Each log-shape
-row has its own log-mean range, taken from the pooled rate and the
-information the units give on it at that shape, then zoomed (the posterior is
-sharp in m when a is large and diffuse when a is small).  Every range moves
-out while mass lies at its ends.  Each cohort's rate posterior is then the
-weighted mixture of Gamma(a + k_c, b + T_c).
-
-Data enter through one aggregation: k per (event type, cohort).  All sums
-over cohorts are groupBy on the node index; the zoom ranges per (event type,
-row) live in a checkpointed DataFrame joined on its keys, so the number of
-pooling groups is not limited by the driver.
+The hyper-posterior of each event type is evaluated at nodes in
+(log a, log m) with m = a / b the mean rate (Jacobian a b) by
+``operators.hierarchy``: arrays in one row per event type and chunk of cohorts, no row per
+(cohort, node).  Each log-shape row has its own log-mean nodes, placed by the
+information the cohorts give on it at that shape (the posterior is sharp in m
+when a is large and diffuse when a is small).  Each cohort's rate posterior is the
+weighted mixture of Gamma(a + k_c, b + T_c): exact moments over the nodes, median and
+HDI from its density on ``CELLS`` cells, an array in the cohort's row.
+
+Data enter through one aggregation: k per (event type, cohort).  Nothing per
+event type passes through the driver, and an event type with any number of
+cohorts is spread over its chunks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bayes_ops.functions.densities import log_half_cauchy
 from bayes_ops.functions.special import lgamma, lgamma_ratio
 from bayes_ops.operators import filters as flt
-from bayes_ops.operators.grid import cell_columns, grid_summary_aggs, hdi_columns, weights_windows
+from bayes_ops.operators.arrays import edge_cdf, let, narrowest, quantile_at, total
+from bayes_ops.operators.hierarchy import Model, hyper_nodes, mixture_density
 from bayes_ops.operators.joins import join_groups
-from bayes_ops.operators.materialize import reliable_checkpoint
+from bayes_ops.operators.materialize import reliable_checkpoint, spread
 from bayes_ops.plans.poisson import window_exposure
 
 HC_SCALE = 10.0
-LA_START = (math.log(1e-2), math.log(1e6))   # first log-shape range; it grows with the data
-EDGE = 1e-12             # mass that a row or column at a range's end may hold
+REACH = 14.0             # the hyper-prior falls like exp(-2 |log a|) on both sides
 LM_SDS = 9.0
 FLAT = 45.0              # half range of log m where the units say little: the prior falls like exp(-|log m|)
-ZOOM_N = 80
-FINAL_N = 48
-CELLS = 256
+CELLS = 512
+SDS = 7.5
 
 
-def _nodes(stats: DataFrame, ranges: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
-    """Node log posterior per (g, ki, mi).
+def _info(u: Column, o: Column) -> tuple[Column, Column]:
+    """A unit's information on log m given the shape, and that times its rate."""
+    each = F.lit(1.0) / (F.exp(-o) + F.lit(1.0) / (F.col("m0") * u["t"]))
+    return each, each * u["k"] / u["t"]
 
-    ``ranges``: (g, ki, la, m_lo, m_hi) -- one log-shape value and a
-    log-mean range per row.  ``stats``: (g, cohort, k, T).
-    """
-    x = (join_groups(stats, ranges, ["g"])
-         .withColumn("mi", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))))
-         .withColumn("dm", (F.col("m_hi") - F.col("m_lo")) / F.lit(float(n_cols)))
-         .withColumn("lm", F.col("m_lo") + (F.col("mi") + F.lit(0.5)) * F.col("dm")))
-    a = F.exp(F.col("la"))
-    b = F.exp(F.col("la") - F.col("lm"))
-    k = F.col("k").cast("double")
-    t = F.col("T")
+
+def _mean_range(o: Column, w: Column, wm: Column) -> tuple[Column, Column, Column]:
+    """Range of log m.  Below an information of 2 the prior counts too: the range then takes in its peak."""
+    m = F.log(F.when(wm > 0, wm / w).otherwise(F.col("m0")))
+    peak, known = o - F.lit(math.log(HC_SCALE)), w >= 2
+    half = F.when(known, F.lit(LM_SDS) / F.sqrt(w) + F.lit(40.0) / w).otherwise(F.lit(FLAT))
+    return (F.when(known, m).otherwise(F.least(m, peak)) - half, F.when(known, m).otherwise(F.greatest(m, peak)) + half, w)
+
+
+def _term(u: Column, o: Column, x: Column) -> Column:
     # without lgamma(k + 1), the same at every node
-    term = lgamma_ratio(a, k) - a * F.log1p(t / b) - k * F.log1p(b / t)
-    per = x.withColumn("t", term).groupBy("g", "ki", "mi").agg(
-        F.sum("t").alias("ll"), F.first("la").alias("la"), F.first("lm").alias("lm"), F.first("dm").alias("dm"))
-    a = F.exp(F.col("la"))
-    b = F.exp(F.col("la") - F.col("lm"))
-    return per.withColumn("lp", F.col("ll") + log_half_cauchy(a, HC_SCALE) + log_half_cauchy(b, HC_SCALE)
-                          + F.col("la") + F.log(b))
+    b = F.exp(o - x)
+    return lgamma_ratio(F.exp(o), u["k"]) - F.exp(o) * F.log1p(u["t"] / b) - u["k"] * F.log1p(b / u["t"])
 
 
-def _mean_ranges(stats: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (g, ki, la, ..) with the log-mean range m_lo, m_hi of each.
+def _prior(o: Column, x: Column) -> Column:
+    return log_half_cauchy(F.exp(o), HC_SCALE) + log_half_cauchy(F.exp(o - x), HC_SCALE) + 2.0 * o - x
 
-    Given the shape a, a unit gives 1 / (1 / a + 1 / (m T)) of information on
-    log m; their sum I gives the width.  Below I = 2 the prior counts too: the
-    range then takes in its peak and is wide on both sides."""
-    k, t = F.col("k").cast("double"), F.col("T")
-    pooled = stats.groupBy("g").agg(((F.sum(k) + F.lit(0.5)) / F.sum(t)).alias("m0"))
-    each = F.lit(1.0) / (F.exp(-F.col("la")) + F.lit(1.0) / (F.col("m0") * t))
-    x = join_groups(join_groups(stats.select("g", "k", "T"), pooled, ["g"]), rows.select("g", "ki", "la"), ["g"])
-    got = x.groupBy("g", "ki").agg(
-        F.sum(each).alias("info"), (F.sum(each * k / t) / F.sum(each)).alias("m"), F.first("m0").alias("m0"))
-    centre = F.log(F.when(F.col("m") > 0, F.col("m")).otherwise(F.col("m0")))
-    peak, known = F.col("la") - F.lit(math.log(HC_SCALE)), F.col("info") >= 2
-    half = F.when(known, F.lit(LM_SDS) / F.sqrt("info") + F.lit(40.0) / F.col("info")).otherwise(F.lit(FLAT))
-    j = join_groups(rows, got, ["g", "ki"])
-    return j.select(*rows.columns, (F.when(known, centre).otherwise(F.least(centre, peak)) - half).alias("m_lo"),
-                    (F.when(known, centre).otherwise(F.greatest(centre, peak)) + half).alias("m_hi"))
-
-
-def _zoom_step(state: DataFrame, res: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
-    """New [lo, hi] per key from one pass's weighted extents (i0, i1, m, m2).
-
-    Keeps the cells with mass > EDGE plus one on each side; an end that holds
-    mass moves out by half the range.  A key is done once no mass is at its
-    ends and its marginal sd spans two cells, or a pass no longer narrows the
-    range by 10 % (long tails).  Column expressions only.
-    """
-    width = F.col(hi) - F.col(lo)
-    d = width / F.lit(float(ZOOM_N))
-    sd = F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(0.0)))
-    j = join_groups(state, res, keys, "left")
-    upd = ~F.col("done") & F.col("i0").isNotNull()
-    at_lo, at_hi = F.col("i0") == 0, F.col("i1") == ZOOM_N - 1
-    new_lo = F.when(at_lo, F.col(lo) - width / 2).otherwise(F.col(lo) + (F.col("i0") - 1) * d)
-    new_hi = F.when(at_hi, F.col(hi) + width / 2).otherwise(F.col(lo) + (F.col("i1") + 2) * d)
-    settled = ~at_lo & ~at_hi & ((sd >= F.lit(2.0) * d) | (new_hi - new_lo > F.lit(0.9) * width))
-    return (j.select(*keys, *[c for c in state.columns if c not in keys + [lo, hi, "done"]],
-                     F.when(upd, new_lo).otherwise(F.col(lo)).alias(lo),
-                     F.when(upd, new_hi).otherwise(F.col(hi)).alias(hi),
-                     (F.col("done") | (upd & settled)).alias("done")))
-
-
-def locate(stats: DataFrame, max_passes: int = 40) -> DataFrame:
-    """Zoomed grid ranges per (g, ki): (g, ki, la, m_lo, m_hi).
-
-    Phase 1 finds the log-shape range of each pooling group, phase 2 the
-    log-mean range of each log-shape row.  The zoom state is a DataFrame
-    (one row per group, then per group and row) updated by a join with the
-    pass's aggregated extents and checkpointed each pass, so nothing per
-    group passes through the driver; the driver only counts unfinished rows.
-    A range that does not settle is an error.
-    """
-    state = reliable_checkpoint(stats.select("g").distinct()
-                                .withColumn("la_lo", F.lit(LA_START[0])).withColumn("la_hi", F.lit(LA_START[1]))
-                                .withColumn("done", F.lit(False)))
-
-    def rows_of(state: DataFrame, n: int) -> DataFrame:
-        rows = (state.withColumn("ki", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-                .withColumn("la", F.col("la_lo") + (F.col("ki") + F.lit(0.5))
-                            * (F.col("la_hi") - F.col("la_lo")) / F.lit(float(n))).select("g", "ki", "la"))
-        return _mean_ranges(stats, rows)
-
-    def extents(rows: DataFrame, n_rows: int, keys: list[str], value: str, i: str) -> DataFrame:
-        nodes = _nodes(stats, rows, n_rows, ZOOM_N)
-        by = Window.partitionBy(*keys)
-        nodes = (nodes.withColumn("e", F.exp(F.col("lp") - F.max("lp").over(by)) * F.col("dm"))
-                 .withColumn("w", F.col("e") / F.sum("e").over(by)))
-        # the mass of a row (or column) of nodes, then the extent of those that hold some
-        line = nodes.groupBy(*dict.fromkeys([*keys, i])).agg(F.sum("w").alias("w"), F.first(value).alias("v"))
-        heavy = F.col("w") > F.lit(EDGE)
-        return line.groupBy(*keys).agg(
-            F.sum(F.col("w") * F.col("v")).alias("m"), F.sum(F.col("w") * F.col("v") ** 2).alias("m2"),
-            F.min(F.when(heavy, F.col(i))).alias("i0"), F.max(F.when(heavy, F.col(i))).alias("i1"))
-
-    def settle(state: DataFrame, step) -> DataFrame:
-        for _ in range(max_passes):
-            state = reliable_checkpoint(step(state))
-            if state.where(~F.col("done")).count() == 0:
-                return state
-        raise RuntimeError(f"the ranges of {state.where(~F.col('done')).count()} rows did not settle in {max_passes} passes")
-
-    state = settle(state, lambda s: _zoom_step(
-        s, extents(rows_of(s, ZOOM_N), ZOOM_N, ["g"], "la", "ki"), ["g"], "la_lo", "la_hi"))
-    rows = reliable_checkpoint(rows_of(state, FINAL_N).withColumn("done", F.lit(False)))
-    rows = settle(rows, lambda r: _zoom_step(
-        r, extents(r.drop("done"), FINAL_N, ["g", "ki"], "lm", "mi"), ["g", "ki"], "m_lo", "m_hi"))
-    return rows.select("g", "ki", "la", "m_lo", "m_hi")
+
+MODEL = Model(
+    consts=[((F.sum("k") + F.lit(0.5)) / F.sum("t")).alias("m0"), F.max("k").alias("most")],
+    outer=(F.lit(-REACH), F.lit(math.log(HC_SCALE) + REACH) + F.log1p("most")),
+    info=_info, inner=_mean_range, row_term=lambda u, o: F.lit(0.0), term=_term, prior=_prior)
 
 
 def hier_poisson_posterior(df: DataFrame, start, end, pool_by: str = "event_type",
@@ -187,54 +102,56 @@ def hier_poisson_posterior(df: DataFrame, start, end, pool_by: str = "event_type
 def pooled_rates(stats: DataFrame, cells: int = CELLS) -> DataFrame:
     """Per (g, unit) of counts (g, unit, k, T): the pooled posterior of its rate."""
     stats = reliable_checkpoint(stats)   # one row per unit, read by every pass
-    nodes = _nodes(stats, locate(stats), FINAL_N, FINAL_N)
-    by_g = Window.partitionBy("g")
-    hyper = (nodes.withColumn("hw", F.exp(F.col("lp") - F.max("lp").over(by_g)) * F.col("dm"))
-             .withColumn("hw", F.col("hw") / F.sum("hw").over(by_g))
-             .select("g", "ki", "mi", "la", "lm", "dm", "hw"))
-    return reliable_checkpoint(_mixtures(stats, hyper, cells))
-
-
-def _mixtures(stats: DataFrame, hyper: DataFrame, cells: int) -> DataFrame:
-    """Per (g, unit): mixture over hyper nodes of Gamma(a + k, b + T)."""
-    x = join_groups(stats, hyper, ["g"])
-    hyper_b = F.exp(F.col("la") - F.col("lm"))
-    x = (x.withColumn("ca", F.exp(F.col("la")) + F.col("k").cast("double"))
-         .withColumn("cb", hyper_b + F.col("T")).withColumn("m1", F.col("ca") / F.col("cb")))
-    by_u = Window.partitionBy("g", "unit")
-    m1 = F.col("m1")
-    sd_c = F.sqrt(F.col("ca")) / F.col("cb")
-    sig = F.col("hw") > F.lit(1e-12)
-    x = (x.withColumn("x_lo", F.greatest(F.lit(0.0), F.min(F.when(sig, m1 - F.lit(12.0) * sd_c)).over(by_u)))
-         .withColumn("x_hi", F.max(F.when(sig, m1 + F.lit(12.0) * sd_c)).over(by_u))
-         .withColumn("mean", F.sum(F.col("hw") * m1).over(by_u)))
-    off = m1 - F.col("mean")
-    moments = x.groupBy("g", "unit").agg(
-        F.first("k").alias("n_events"), F.first("mean").alias("mean"),
-        F.sqrt(F.sum(F.col("hw") * (sd_c * sd_c + off * off))).alias("sd"))
-    # A component much narrower than the step between its neighbours would be a
-    # spike between the cells: its sd is held at 0.6 steps (density only; the
-    # moments above are those of the components as they are).
-    step = F.lit(0.6) * F.col("dm") * m1 * hyper_b / F.col("cb")
-    x = x.withColumn("shape", F.when(step > sd_c, (m1 / step) * (m1 / step)).otherwise(F.col("ca")))
-    # the Gamma normaliser depends on (unit, node) only: computed before the cells
-    x = x.withColumn("lnorm", F.col("shape") * F.log("shape") - F.col("shape") - lgamma(F.col("shape")))
-    # cells uniform in u; x = x_lo + (x_hi - x_lo) u^2 when the support starts
-    # at 0, where components behave like x^(a-1) (cohorts with few events)
-    square = F.when(F.col("s_lo") <= 0, F.lit(1)).otherwise(F.lit(0))
-    c = cell_columns(x.withColumnRenamed("x_lo", "s_lo").withColumnRenamed("x_hi", "s_hi"),
-                     "s_lo", "s_hi", cells, square)
-    r = (F.col("x") - m1) / m1
-    logpdf = F.col("shape") * (F.log1p(r) - r) - F.log("x") + F.col("lnorm")
-    dens = (c.withColumn("f", F.col("hw") * F.exp(logpdf))
-            .groupBy("g", "unit", "i").agg(F.sum("f").alias("f"), F.first("x").alias("x"),
-                                           F.first("x_lo").alias("x_lo"), F.first("x_hi").alias("x_hi"),
-                                           F.first("ljac").alias("ljac")))
-    dens = dens.withColumn("m", F.col("f") * F.exp(F.col("ljac")))  # cell mass (du constant)
-    dens = (dens.withColumn("w", F.col("m") / F.sum("m").over(by_u))
-            .withColumn("g_max", F.lit(0.0)).withColumn("g_z", F.lit(1.0)))
-    summ = hdi_columns(weights_windows(dens, ["g", "unit"], density="f").groupBy("g", "unit")
-                       .agg(*grid_summary_aggs())).drop("g_max", "g_z")
-    return join_groups(moments, summ, ["g", "unit"])
-
+    units = stats.select("g", "unit", F.col("k").cast("double").alias("k"), F.col("T").alias("t"))
+    nodes = hyper_nodes(units, ["k", "t"], MODEL)
+    k, t = F.col("k").cast("double"), F.col("T")
 
+    def component(n: Column) -> Column:
+        def shape(c: Column) -> Column:
+            m = c["a"] / c["b"]
+            sd = F.sqrt(c["a"]) / c["b"]
+            # the mean moves by this much from one node of the row to the next
+            wide = F.greatest(sd, 0.7 * n["h"] * m * c["hb"] / c["b"])
+
+            def made(v: Column) -> Column:
+                a = F.when(v["wide"] > v["sd"], (m / v["wide"]) * (m / v["wide"])).otherwise(c["a"])
+                return F.struct(n["w"].alias("w"), m.alias("m"), v["wide"].alias("sd"), (v["sd"] * v["sd"]).alias("var"),
+                                ((v["sd"] / v["wide"]) * (v["sd"] / v["wide"])).alias("r"), a.alias("a"),
+                                (a * F.log(a) - a - lgamma(a)).alias("ln"))
+            return let(F.struct(sd.alias("sd"), wide.alias("wide")), made)
+        return let(F.exp(n["o"] - n["x"]), lambda hb: let(
+            F.struct(hb.alias("hb"), (F.exp(n["o"]) + k).alias("a"), (hb + t).alias("b")), shape))
+
+    def logpdf(c: Column, p: Column) -> Column:
+        # Gamma(a, a / m) at x = m (1 + r): log density a (log1p(r) - r) - log x + constant
+        return let((p["x"] - c["m"]) / c["m"], lambda r: c["a"] * (F.log1p(r) - r) - p["lx"] + c["ln"])
+
+    def points(lo: Column, hi: Column, square: Column) -> Column:
+        def cell(u: Column) -> Column:
+            x = lo + (hi - lo) * F.when(square == 1, u * u).otherwise(u)
+            return F.struct(x.alias("x"), F.log(x).alias("lx"), F.when(square == 1, 2.0 * u).otherwise(F.lit(1.0)).alias("jac"))
+        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: let((i + F.lit(0.5)) / F.lit(float(cells)), cell))
+
+    rows = join_groups(spread(stats, "g", "unit"), nodes, ["g"]).withColumn("comps", F.transform("nodes", component)).drop("nodes")
+    weight = total(F.col("comps"), lambda c: c["w"])
+    rows = reliable_checkpoint(spread(reliable_checkpoint(rows), "g", "unit").withColumn(
+        "mean", total(F.col("comps"), lambda c: c["w"] * c["m"]) / weight))
+    rows = rows.withColumn("sd", F.sqrt(total(F.col("comps"), lambda c: c["w"] * (
+        c["var"] + (c["m"] - F.col("mean")) * (c["m"] - F.col("mean"))))))
+    felt = F.filter("comps", lambda c: c["w"] > 1e-9)
+    rows = rows.withColumn("lo", F.greatest(F.lit(0.0), F.array_min(F.transform(felt, lambda c: c["m"] - SDS * c["sd"])))) \
+        .withColumn("hi", F.array_max(F.transform(felt, lambda c: c["m"] + SDS * c["sd"])))
+    # cells uniform in u; x = hi u^2 where the support starts at 0 and components behave like x^(a-1)
+    rows = rows.withColumn("square", F.when(F.col("lo") <= 0, 1).otherwise(0))
+    rows = reliable_checkpoint(rows.withColumn("xs", points(F.col("lo"), F.col("hi"), F.col("square"))))
+    rows = reliable_checkpoint(rows.withColumn("f", mixture_density(F.col("comps"), F.col("xs"), logpdf)).drop("comps"))
+    mass = F.zip_with("f", "xs", lambda f, p: f * p["jac"])
+    rows = reliable_checkpoint(rows.withColumn("cdf", edge_cdf(mass)))
+
+    def x_at(position: Column) -> Column:
+        u = position / float(cells)
+        return F.col("lo") + (F.col("hi") - F.col("lo")) * F.when(F.col("square") == 1, u * u).otherwise(u)
+    hdi = F.transform(narrowest(F.col("f"), F.col("cdf")), x_at)
+    rows = rows.withColumn("median", let(quantile_at(F.col("cdf"), F.lit(0.5)), x_at)).withColumn("hdi", hdi)
+    return reliable_checkpoint(rows.select("g", "unit", F.col("k").alias("n_events"), "mean", "sd", "median",
+                                           F.col("hdi")[0].alias("hdi_3"), F.col("hdi")[1].alias("hdi_97")))

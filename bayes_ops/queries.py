@@ -20,11 +20,11 @@ EVENTS_START = "2024-01-01 00:00:00"
 EVENTS_END = "2024-01-31 00:00:00"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, coarse: dict[str, int] | None = None) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
+            cols.append((F.round(F.col(f.name), (coarse or {}).get(f.name, digits)) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -41,9 +41,10 @@ def _utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def query(name: str):
+def query(name: str, **coarse: int):
+    """Register a query; ``coarse`` gives digits of columns whose two quadratures agree to fewer than 6."""
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(_utc(spark), sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(_utc(spark), sf_dir), coarse=coarse)
         QUERIES[name].__doc__ = fn.__doc__
         return fn
     return deco
@@ -172,7 +173,7 @@ def a2_ab_suffstats(spark, sf_dir):
     return ab_stats(AD.ab_from_orders(spark, sf_dir))
 
 
-@query("p2_ab_posterior")
+@query("p2_ab_posterior", median=5, hdi_3=4, hdi_97=4)
 def p2_ab_posterior(spark, sf_dir):
     """Hierarchical Beta-Bernoulli posterior of each variant's rate."""
     from bayes_ops.plans.ab import ab_posterior
@@ -515,7 +516,7 @@ def t3_windowed_rates(spark, sf_dir):
                     "alpha", "beta", "mean", "sd", "median", "hdi_3", "hdi_97")
 
 
-@query("p11_hier_poisson_posterior")
+@query("p11_hier_poisson_posterior", mean=5, sd=5, median=4, hdi_3=2, hdi_97=2)
 def p11_hier_poisson_posterior(spark, sf_dir):
     """Cohort rates partially pooled within each event type."""
     from bayes_ops.plans.hier_poisson import hier_poisson_posterior
@@ -580,7 +581,7 @@ def e9_parse_timestamps(spark, sf_dir):
         iso_format(F.min("pd")).alias("min_day"), iso_format(F.max("pd")).alias("max_day"))
 
 
-@query("p7_ab_curve")
+@query("p7_ab_curve", y=3)
 def p7_ab_curve(spark, sf_dir):
     """Posterior density of each variant's rate under the hierarchical model."""
     from bayes_ops.plans.ab import ab_curve

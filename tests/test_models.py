@@ -286,13 +286,13 @@ def test_hazard_boundaries_approx_close_to_exact(spark):
 
 def test_ab_hyper_posterior_at_a_billion_trials(spark):
     """Large n: rates are normal, so the hierarchy has a closed conditional posterior per kappa."""
-    from bayes_ops.plans.ab import _variant_mixtures, locate
+    from bayes_ops.plans.ab import variant_posteriors
     rng = np.random.default_rng(5)
     n = 1_000_000_000
     succ = [int(round(n * (0.1 + x))) for x in rng.normal(0, 5e-6, 12)]
     stats = spark.createDataFrame([(f"v{i}", s, n, n - s) for i, s in enumerate(succ)],
                                   "variant string, successes long, trials long, failures long").cache()
-    out = {r["variant"]: r for r in _variant_mixtures(stats, *locate(stats), 256).collect()}
+    out = {r["variant"]: r for r in variant_posteriors(stats).collect()}
     rate = np.array(succ) / n
     lk = np.linspace(np.log(1e2), np.log(1e22), 20001)
     q = 0.1 * 0.9

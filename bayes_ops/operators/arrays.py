@@ -24,14 +24,11 @@ def total(xs: Column, f: Callable[[Column], Column] = lambda x: x) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
-def log_sum_exp(xs: Column, f: Callable[[Column], Column] = lambda x: x) -> Column:
-    """log of the sum of exp(f) over an array, in one pass."""
-    zero = F.struct(F.lit(-1e308).alias("top"), F.lit(0.0).alias("s"))
-
-    def step(acc, x):
-        return let(f(x), lambda v: F.when(v > acc["top"], F.struct(v.alias("top"), (acc["s"] * F.exp(acc["top"] - v) + 1.0).alias("s")))
-                   .otherwise(F.struct(acc["top"].alias("top"), (acc["s"] + F.exp(v - acc["top"])).alias("s"))))
-    return F.aggregate(xs, zero, step, lambda acc: acc["top"] + F.log(acc["s"]))
+def normalised(xs: Column, lp: Callable[[Column], Column], build: Callable[[Column, Column], Column]) -> Column:
+    """``build(x, weight)`` of every element, weights exp(lp) / sum.  The greatest lp is taken off first, so
+    the weights add up to one however large the log densities are."""
+    return let(F.array_max(F.transform(xs, lp)), lambda top: let(total(xs, lambda x: F.exp(lp(x) - top)), lambda s: F.transform(
+        xs, lambda x: build(x, F.exp(lp(x) - top) / s))))
 
 
 def running(xs: Column) -> Column:

@@ -25,9 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayes_ops.operators.arrays import let, log_sum_exp, total
+from bayes_ops.operators.arrays import let, normalised, total
 from bayes_ops.operators.joins import join_groups
-from bayes_ops.operators.materialize import reliable_checkpoint
+from bayes_ops.operators.materialize import reliable_checkpoint, spread_tasks
 
 CHUNK = 256
 LOCATE_ROWS = 64
@@ -40,8 +40,8 @@ DROP = 1e-13          # nodes of less weight are left out of the mixtures
 @dataclass(frozen=True)
 class Model:
     """Column builders.  ``u`` is a unit's struct; group constants are columns of the group's row."""
-    consts: list[Column]                                    # aggregates over units, aliased
-    outer: tuple[Column, Column]                            # first range of o, from the constants
+    consts: Callable[[], list[Column]]                      # aggregates over units, aliased
+    outer: Callable[[], tuple[Column, Column]]              # first range of o, from the constants
     info: Callable[[Column, Column], tuple[Column, Column]]   # (u, o) -> information weight, weight * estimate
     inner: Callable[[Column, Column, Column], tuple[Column, Column, Column]]   # (o, weights, estimates) -> lo, hi, information
     row_term: Callable[[Column, Column], Column]            # (u, o) -> part of the term that x does not enter
@@ -97,25 +97,27 @@ def _weights(chunks: DataFrame, groups: DataFrame, model: Model) -> DataFrame:
     nodes = F.flatten(F.transform("rows", lambda r: F.transform(inner(r), lambda j: F.struct(
         r["i"].alias("i"), r["o"].alias("o"), (r["lo"] + (j + F.lit(0.5)) * r["h"]).alias("x"), r["h"].alias("h")))))
 
-    def normalised(ns: Column) -> Column:
-        return let(log_sum_exp(ns, lambda n: n["lp"]), lambda z: F.transform(ns, lambda n: F.struct(
-            n["i"].alias("i"), n["o"].alias("o"), n["x"].alias("x"), n["h"].alias("h"), F.exp(n["lp"] - z).alias("w"))))
+    def weighted(ns: Column) -> Column:
+        return normalised(ns, lambda n: n["lp"], lambda n, w: F.struct(
+            n["i"].alias("i"), n["o"].alias("o"), n["x"].alias("x"), n["h"].alias("h"), w.alias("w")))
 
     got = _summed(chunks, groups, F.flatten(F.transform("rows", of_row)))
     with_lp = F.zip_with(nodes, "sums", lambda n, s: F.struct(
         n["i"].alias("i"), n["o"].alias("o"), n["x"].alias("x"), n["h"].alias("h"),
         (s + model.prior(n["o"], n["x"]) + F.log(n["h"])).alias("lp")))
-    return got.withColumn("nodes", let(with_lp, normalised)).drop("sums", "rows")
+    return got.withColumn("nodes", let(with_lp, weighted)).drop("sums", "rows")
 
 
 def hyper_nodes(units: DataFrame, fields: list[str], model: Model, fine: float = 0.3,
                 max_passes: int = 40) -> DataFrame:
     """(g, nodes): the hyper-posterior of every group of ``units`` (g, unit, fields) as weighted nodes (o, x, h, w)."""
     chunks = reliable_checkpoint(chunks_of(units, fields))
-    groups = units.groupBy("g").agg(*model.consts)
+    groups = units.groupBy("g").agg(*model.consts())
     keep = [c for c in groups.columns if c != "g"]
-    groups = reliable_checkpoint(groups.withColumn("lo", model.outer[0]).withColumn("hi", model.outer[1])
+    lo, hi = model.outer()
+    groups = reliable_checkpoint(groups.withColumn("lo", lo).withColumn("hi", hi)
                                  .withColumn("n", F.lit(LOCATE_ROWS)).withColumn("done", F.lit(False)))
+    tasks = spread_tasks(groups)
     width, step = F.col("hi") - F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("n")
     for _ in range(max_passes):
         todo = groups.where(~F.col("done"))
@@ -132,7 +134,7 @@ def hyper_nodes(units: DataFrame, fields: list[str], model: Model, fine: float =
         rows = F.ceil((hi - lo) / F.least(F.lit(STEP), F.lit(SD_STEP) * sd)).cast("int")
         moved = seen.select("g", *keep, lo.alias("lo"), hi.alias("hi"),
                             F.when(settled, rows).otherwise(F.lit(LOCATE_ROWS)).alias("n"), settled.alias("done"))
-        groups = reliable_checkpoint(groups.where("done").unionByName(moved))
+        groups = reliable_checkpoint(groups.where("done").unionByName(moved).repartition(tasks))
         if groups.where(~F.col("done")).isEmpty():
             last = reliable_checkpoint(_rows(chunks, groups, model, fine))
             out = _weights(chunks, last, model)

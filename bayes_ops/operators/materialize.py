@@ -18,8 +18,11 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_tasks(df: DataFrame) -> int:
+    """Tasks for a checkpointed table of few, costly rows: as many as it has rows, at most the shuffle partitions."""
+    return max(1, min(df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A checkpointed table of few, costly rows dealt over the tasks: as many as it has rows, at most
-    the shuffle partitions (adaptive execution would merge so few bytes into one task)."""
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(1, min(df.count(), most)), *keys)
+    """Such a table dealt over the tasks (adaptive execution would merge so few bytes into one task)."""
+    return df.repartition(spread_tasks(df), *keys)

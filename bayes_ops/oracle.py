@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bayes_ops.oracle_hier import ab_curve_sql, ab_posterior_sql, hier_poisson_sql
+from bayes_ops.oracle_hier import ab_curve_sql, ab_posterior_sql, hier_poisson_sql, lognormal_sql
 from bayes_ops.sqlcheck import conjugate_curve_ctes, conjugate_summary_ctes, d, final_select
 
 ORACLE: dict[str, str] = {}
@@ -545,3 +545,4 @@ SELECT strftime(ws, {ISO}) AS window_start, cohort, n_events FROM wc"""
 ORACLE["p2_ab_posterior"] = ab_posterior_sql(AB)
 ORACLE["p7_ab_curve"] = ab_curve_sql(AB, 200)
 ORACLE["p11_hier_poisson_posterior"] = hier_poisson_sql(EV, START, END, 30.0)
+ORACLE["x1_density_kind"] = lognormal_sql(SURV)

@@ -26,15 +26,28 @@ def _cosh(v: str) -> str:
     return f"((exp({v}) + exp(-({v}))) / 2)"
 
 
+def _on(keys: str, a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{k.strip()} IS NOT DISTINCT FROM {b}.{k.strip()}" for k in keys.split(","))
+
+
+def _of(keys: str, a: str) -> str:
+    return ", ".join(f"{a}.{k.strip()}" for k in keys.split(","))
+
+
 def _summary(keys: str, density: str) -> str:
     """CTEs from ``mom`` (keys, mean, sd, lo, hi) and ``comp`` (keys, w, ..) to ``qs`` (median, hdi_3, hdi_97)."""
-    on = lambda a, b: " AND ".join(f"{a}.{k.strip()} IS NOT DISTINCT FROM {b}.{k.strip()}" for k in keys.split(","))
-    k_of = lambda a: ", ".join(f"{a}.{k.strip()}" for k in keys.split(","))
     return f"""cell AS (SELECT {keys}, lo, (hi - lo) / {CELLS} AS dx, r.range AS j, lo + (r.range + 0.5) * (hi - lo) / {CELLS} AS x
          FROM mom CROSS JOIN range({CELLS}) r),
-den AS (SELECT {k_of("cell")}, j, any_value(cell.x) AS x, any_value(cell.dx) AS dx, any_value(cell.lo) AS lo, sum(w * exp({density})) AS f
-        FROM cell JOIN comp ON {on("cell", "comp")} GROUP BY {k_of("cell")}, j),
-nrm AS (SELECT *, f / (sum(f) OVER k * dx) AS p FROM den WINDOW k AS (PARTITION BY {keys})),
+den AS (SELECT {_of(keys, "cell")}, j, any_value(cell.x) AS x, any_value(cell.dx) AS dx, any_value(cell.lo) AS lo, sum(w * exp({density})) AS f
+        FROM cell JOIN comp ON {_on(keys, "cell", "comp")} GROUP BY {_of(keys, "cell")}, j),
+{_quantiles(keys)}"""
+
+
+def _quantiles(keys: str) -> str:
+    """CTEs from a density on cells, ``den`` (keys, j, x, dx, lo, f), to ``qs`` (median, hdi_3, hdi_97)."""
+    on = lambda a, b: _on(keys, a, b)
+    k_of = lambda a: _of(keys, a)
+    return f"""nrm AS (SELECT *, f / (sum(f) OVER k * dx) AS p FROM den WINDOW k AS (PARTITION BY {keys})),
 edge AS (SELECT {keys}, j, lo + (j + 1) * dx AS e, dx, p, (p + lead(p) OVER o) / 2 AS fe,
            sum(p * dx) OVER o + (lead(p) OVER o - p) * dx / 24 AS c FROM nrm WINDOW o AS (PARTITION BY {keys} ORDER BY j)),
 seg AS (SELECT *, lead(c) OVER o AS c_next, lead(fe) OVER o AS fe_next FROM edge WINDOW o AS (PARTITION BY {keys} ORDER BY j)),
@@ -127,3 +140,27 @@ SELECT u.event_type, u.cohort, n_events, {rnd("t").replace("AS t", "AS exposure"
        {rnd("median", 4)}, {rnd("hdi_3", 2)}, {rnd("hdi_97", 2)}
 FROM u JOIN mom ON u.event_type IS NOT DISTINCT FROM mom.event_type AND u.cohort IS NOT DISTINCT FROM mom.cohort
 JOIN qs ON u.event_type IS NOT DISTINCT FROM qs.event_type AND u.cohort IS NOT DISTINCT FROM qs.cohort"""
+
+
+def lognormal_sql(surv: str) -> str:
+    """Two-parameter kind: log t ~ Normal(mu, sigma), mu ~ Normal(0, 10), sigma ~ HalfNormal(1), by sums on two plain grids."""
+    lp = "-n * ln(s) - (q - 2 * m * l + n * m * m) / (2 * s * s) - m * m / 200 - s * s / 2"
+    def axis(i: str, k: int) -> str:
+        return f"lo{i} + (r{i}.range + 0.5) * (hi{i} - lo{i}) / {k}"
+    def grid(name: str, km: int, ks: int) -> str:
+        return (f"{name} AS (SELECT *, {lp} AS lp FROM (SELECT grp, n, l, q, r0.range AS jm, r1.range AS js, {axis('0', km)} AS m, {axis('1', ks)} AS s, "
+                f"(hi0 - lo0) / {km} AS dm, (hi1 - lo1) / {ks} AS ds, lo0, lo1 FROM bx, range({km}) r0, range({ks}) r1))")
+    return f"""WITH {surv},
+st AS (SELECT observed AS grp, count(ln(duration)) AS n, sum(ln(duration)) AS l, sum(ln(duration) * ln(duration)) AS q FROM surv
+       WHERE duration > 0 GROUP BY observed),
+bx AS (SELECT *, l / n - 10 * sd / sqrt(n) AS lo0, l / n + 10 * sd / sqrt(n) AS hi0, sd * (1 - 10 / sqrt(2 * n)) AS lo1, sd * (1 + 10 / sqrt(2 * n)) AS hi1
+       FROM (SELECT *, sqrt(q / n - (l / n) * (l / n)) AS sd FROM st)),
+{grid("ga", 1200, 300)}, {grid("gb", 300, 1200)},
+wa AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY grp)) AS w FROM ga), wb AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY grp)) AS w FROM gb),
+mom AS (SELECT grp, 'mu' AS param, sum(w * m) / sum(w) AS mean, sqrt(sum(w * (m - l / n) * (m - l / n)) / sum(w) - pow(sum(w * (m - l / n)) / sum(w), 2)) AS sd FROM wa GROUP BY grp
+        UNION ALL SELECT grp, 'sigma', sum(w * s) / sum(w), sqrt(sum(w * (s - lo1) * (s - lo1)) / sum(w) - pow(sum(w * (s - lo1)) / sum(w), 2)) FROM wb GROUP BY grp),
+den AS (SELECT grp, 'mu' AS param, jm AS j, any_value(m) AS x, any_value(dm) AS dx, any_value(lo0) AS lo, sum(w) AS f FROM wa GROUP BY grp, jm
+        UNION ALL SELECT grp, 'sigma', js, any_value(s), any_value(ds), any_value(lo1), sum(w) FROM wb GROUP BY grp, js),
+{_quantiles("grp, param")}
+SELECT mom.grp AS observed, mom.param, {rnd("mean")}, {rnd("sd")}, {rnd("median", 5)}, {rnd("hdi_3", 4)}, {rnd("hdi_97", 4)}
+FROM mom JOIN qs ON mom.grp = qs.grp AND mom.param = qs.param"""

@@ -74,8 +74,8 @@ def _prior(o: Column, x: Column) -> Column:
 
 
 MODEL = Model(
-    consts=[F.max(F.col("s") + F.col("f")).alias("most")],
-    outer=(F.lit(-REACH), F.lit(math.log(HC_SCALE) + REACH) + F.log1p("most")),
+    consts=lambda: [F.max(F.col("s") + F.col("f")).alias("most")],
+    outer=lambda: (F.lit(-REACH), F.lit(math.log(HC_SCALE) + REACH) + F.log1p("most")),
     info=_info, inner=_mu_range, row_term=lambda u, o: -lgamma_ratio(F.exp(o), u["s"] + u["f"]), term=_term, prior=_prior)
 
 

@@ -72,8 +72,8 @@ def _prior(o: Column, x: Column) -> Column:
 
 
 MODEL = Model(
-    consts=[((F.sum("k") + F.lit(0.5)) / F.sum("t")).alias("m0"), F.max("k").alias("most")],
-    outer=(F.lit(-REACH), F.lit(math.log(HC_SCALE) + REACH) + F.log1p("most")),
+    consts=lambda: [((F.sum("k") + F.lit(0.5)) / F.sum("t")).alias("m0"), F.max("k").alias("most")],
+    outer=lambda: (F.lit(-REACH), F.lit(math.log(HC_SCALE) + REACH) + F.log1p("most")),
     info=_info, inner=_mean_range, row_term=lambda u, o: F.lit(0.0), term=_term, prior=_prior)
 
 

@@ -644,3 +644,24 @@ def t3_stream_window_counts(spark, sf_dir):
                    base + "/checkpoint", window="1 day", watermark=f"{span + 3600} seconds").awaitTermination()
     t = read_windows(spark, base + "/table", ["cohort"])
     return t.select(iso_format(F.col("window_start")).alias("window_start"), "cohort", "n_events")
+
+
+@query("x1_density_kind", median=5, hdi_3=4, hdi_97=4)
+def x1_density_kind(spark, sf_dir):
+    """A kind given by its columns, sufficient statistics and log density alone (2.15): log-normal durations,
+    mu ~ Normal(0, 10), sigma ~ HalfNormal(1), per observed flag."""
+    from bayes_ops import kinds
+    from bayes_ops.operators.adaptive import Parameter
+
+    def sums(df, group_by):
+        lt = F.when(F.col("duration") > 0, F.log("duration"))
+        return df.groupBy(*group_by).agg(F.count(lt).alias("n"), F.sum(lt).alias("l"), F.sum(lt * lt).alias("q"))
+
+    def logp(p):
+        n, l, q, mu, sigma = F.col("n"), F.col("l"), F.col("q"), p["mu"], p["sigma"]
+        return (-n * F.log(sigma) - (q - 2 * mu * l + n * mu * mu) / (2 * sigma * sigma)
+                - mu * mu / 200 - sigma * sigma / 2)
+
+    kinds.register_density("lognormal-durations", [("duration", T.DoubleType()), ("observed", T.BooleanType())],
+                           [Parameter("mu"), Parameter("sigma", "positive")], sums, logp)
+    return kinds.posterior("lognormal-durations", AD.survival_from_lineitem(spark, sf_dir), group_by=["observed"])

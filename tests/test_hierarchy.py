@@ -33,7 +33,7 @@ def test_no_row_per_unit_and_node(spark):
     units = _stats(spark, 12).select("g", "unit", F.col("k").cast("double").alias("k"), F.col("T").alias("t"))
     chunks = hierarchy.chunks_of(units, ["k", "t"])
     assert chunks.count() == 2 and {r["parts"] for r in chunks.collect()} == {1}
-    groups = units.groupBy("g").agg(*MODEL.consts).withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(3.0)).withColumn("n", F.lit(4))
+    groups = units.groupBy("g").agg(*MODEL.consts()).withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(3.0)).withColumn("n", F.lit(4))
     rows = hierarchy._rows(chunks, groups, MODEL, 0.3)
     assert rows.count() == 2 and all(len(r["rows"]) == 4 for r in rows.collect())
     nodes = hierarchy._weights(chunks, rows, MODEL).collect()
@@ -60,7 +60,8 @@ def test_array_summary_of_a_falling_density(spark):
     assert h[0] * 12 / n == pytest.approx(0.0, abs=1e-6) and h[1] * 12 / n == pytest.approx(-math.log(0.06), abs=2e-3)
 
 
-def test_log_sum_exp_of_far_values(spark):
-    df = spark.createDataFrame([([-5000.0, -5001.0, 900.0, 899.0],), ([-1e7],)], "v array<double>")
-    got = [r["z"] for r in df.select(arrays.log_sum_exp(F.col("v")).alias("z")).collect()]
-    assert got == pytest.approx([900 + math.log1p(math.exp(-1)), -1e7])
+def test_weights_of_far_log_densities(spark):
+    df = spark.createDataFrame([([-5000.0, -5001.0, 1.6e10, 1.6e10 - 1],), ([-1e7],)], "v array<double>")
+    got = [r["w"] for r in df.select(arrays.normalised(F.col("v"), lambda x: x, lambda x, w: w).alias("w")).collect()]
+    share = 1 / (1 + math.exp(-1))
+    assert got[0] == pytest.approx([0, 0, share, 1 - share]) and got[1] == [1.0]

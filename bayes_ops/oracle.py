@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bayes_ops.oracle_hier import ab_curve_sql, ab_posterior_sql, hier_poisson_sql, lognormal_sql
+from bayes_ops.oracle_hier import (ab_curve_sql, ab_posterior_sql, hier_poisson_sql, lognormal_sql, weibull_curve_sql,
+                                   weibull_sql, weibull_traces_sql)
 from bayes_ops.sqlcheck import conjugate_curve_ctes, conjugate_summary_ctes, d, final_select
 
 ORACLE: dict[str, str] = {}
@@ -546,3 +547,6 @@ ORACLE["p2_ab_posterior"] = ab_posterior_sql(AB)
 ORACLE["p7_ab_curve"] = ab_curve_sql(AB, 200)
 ORACLE["p11_hier_poisson_posterior"] = hier_poisson_sql(EV, START, END, 30.0)
 ORACLE["x1_density_kind"] = lognormal_sql(SURV)
+ORACLE["p5_weibull_posterior"] = weibull_sql(SURV)
+ORACLE["p7_weibull_curves"] = weibull_curve_sql(SURV, 200)
+ORACLE["v5_weibull_traces"] = weibull_traces_sql(SURV, lambda label, i: _uniform(SEED, label, i), 200, 30)

@@ -164,3 +164,67 @@ den AS (SELECT grp, 'mu' AS param, jm AS j, any_value(m) AS x, any_value(dm) AS
 {_quantiles("grp, param")}
 SELECT mom.grp AS observed, mom.param, {rnd("mean")}, {rnd("sd")}, {rnd("median", 5)}, {rnd("hdi_3", 4)}, {rnd("hdi_97", 4)}
 FROM mom JOIN qs ON mom.grp = qs.grp AND mom.param = qs.param"""
+
+
+def _weibull_den(surv: str) -> str:
+    """CTEs to ``den`` and ``mom`` of the Weibull marginals: S from the counts of equal durations, alpha and beta on plain grids."""
+    lp = "r * ln(a) - r * a * ln(b) + (a - 1) * l - exp(ls + a * ln(c / b)) - a * a / 2 - b * b / 200"
+    return f"""{surv},
+hs AS (SELECT duration AS t, count(*) AS k FROM surv WHERE duration IS NOT NULL AND observed IS NOT NULL GROUP BY duration),
+st AS (SELECT count(*) AS n, CAST(sum(CASE WHEN observed THEN 1 ELSE 0 END) AS BIGINT) AS r, sum(CASE WHEN observed THEN ln(duration) END) AS l,
+         max(duration) AS c FROM surv WHERE duration IS NOT NULL AND observed IS NOT NULL),
+s0 AS (SELECT (x.range + 1) * 0.01 AS a, ln(sum(k * pow(t / c, (x.range + 1) * 0.01))) AS ls FROM range(900) x, hs, st GROUP BY x.range),
+p0 AS (SELECT a, (SELECT r FROM st) * (ln(a) - ls) + a * ((SELECT l FROM st) - (SELECT r FROM st) * ln((SELECT c FROM st))) - a * a / 2 AS p FROM s0),
+rg AS (SELECT min(a) - 0.01 AS lo, max(a) + 0.01 AS hi FROM p0 WHERE p > (SELECT max(p) FROM p0) - 40),
+s1 AS (SELECT lo + (x.range + 0.5) * (hi - lo) / 1500 AS a, x.range AS j, any_value((hi - lo) / 1500) AS dx, any_value(lo) AS lo,
+         ln(sum(k * pow(t / c, lo + (x.range + 0.5) * (hi - lo) / 1500))) AS ls FROM range(1500) x, hs, st, rg GROUP BY x.range, lo, hi),
+mode AS (SELECT a, ls FROM s1, st ORDER BY r * (ln(a) - ls) + a * (l - r * ln(c)) - a * a / 2 DESC LIMIT 1),
+bm AS (SELECT c * pow(exp(ls) / r, 1 / a) AS b0, 1 / (a * sqrt(r)) AS rel, r, l, c, n FROM mode, st),
+bs AS (SELECT b0 * (1 - 14 * rel) + (y.range + 0.5) * 28 * rel * b0 / 1000 AS b, y.range AS i, 28 * rel * b0 / 1000 AS db, b0 * (1 - 14 * rel) AS blo, r, l, c FROM bm, range(1000) y),
+jt AS (SELECT j, a, dx, lo, i, b, db, blo, {lp} AS lp FROM s1, bs WHERE j % 3 = 1 OR i % 2 = 0),
+jw AS (SELECT *, exp(lp - max(lp) OVER ()) AS w FROM jt),
+den AS (SELECT 'alpha' AS param, j, any_value(a) AS x, any_value(dx) AS dx, any_value(lo) AS lo, sum(w) AS f FROM jw WHERE i % 2 = 0 GROUP BY j
+        UNION ALL SELECT 'beta', i, any_value(b), any_value(db), any_value(blo), sum(w) FROM jw WHERE j % 3 = 1 GROUP BY i),
+mom AS (SELECT param, sum(f * x) / sum(f) AS mean, sqrt(sum(f * (x - lo) * (x - lo)) / sum(f) - pow(sum(f * (x - lo)) / sum(f), 2)) AS sd FROM den GROUP BY param)"""
+
+
+def weibull_sql(surv: str) -> str:
+    return f"""WITH {_weibull_den(surv)},
+{_quantiles("param")}
+SELECT mom.param, st.n, st.r, {rnd("mean")}, {rnd("sd")}, {rnd("median", 5)}, {rnd("hdi_3", 3)}, {rnd("hdi_97", 3)}
+FROM mom JOIN qs ON mom.param = qs.param, st"""
+
+
+def weibull_curve_sql(surv: str, points: int) -> str:
+    """The density at the points: cubic through the logarithms of the four nearest cells."""
+    def at(k: int) -> str:
+        return f"ln(d{k}.f / tot.f / d{k}.dx)"
+    s = "((x - d1.x) / d1.dx)"
+    cubic = (f"-{s} * ({s} - 1) * ({s} - 2) / 6 * {at(0)} + ({s} + 1) * ({s} - 1) * ({s} - 2) / 2 * {at(1)} "
+             f"- ({s} + 1) * {s} * ({s} - 2) / 2 * {at(2)} + ({s} + 1) * {s} * ({s} - 1) / 6 * {at(3)}")
+    joins = " ".join(f"JOIN den d{k} ON d{k}.param = xs.param AND d{k}.j = CAST(floor((xs.x - dlo) / ddx - 0.5) AS BIGINT) + {k - 1}" for k in range(4))
+    return f"""WITH {_weibull_den(surv)},
+tot AS (SELECT param, sum(f) AS f, any_value(lo) AS dlo, any_value(dx) AS ddx FROM den GROUP BY param),
+xs AS (SELECT param, CAST(q.range AS INTEGER) AS i, mean - 6 * sd + (q.range + 0.5) * 12 * sd / {points} AS x FROM mom, range({points}) q),
+ys AS (SELECT xs.param, xs.i, xs.x AS x, exp({cubic.replace("(x -", "(xs.x -")}) AS y
+       FROM xs JOIN tot ON tot.param = xs.param {joins})
+SELECT param, i, {rnd("x", 5)}, {rnd("y", 3)} FROM ys"""
+
+
+def weibull_traces_sql(surv: str, uniform, points: int, n: int) -> str:
+    """``uniform(label, index)``: SQL of a draw's uniform."""
+    return f"""WITH {_weibull_den(surv)},
+nrm AS (SELECT *, f / (sum(f) OVER k * dx) AS p FROM den WINDOW k AS (PARTITION BY param)),
+edge AS (SELECT param, j, lo + (j + 1) * dx AS e, dx, (p + lead(p) OVER o) / 2 AS fe,
+           sum(p * dx) OVER o + (lead(p) OVER o - p) * dx / 24 AS c FROM nrm WINDOW o AS (PARTITION BY param ORDER BY j)),
+seg AS (SELECT *, lead(c) OVER o AS c2, lead(fe) OVER o AS fe2 FROM edge WINDOW o AS (PARTITION BY param ORDER BY j)),
+us AS (SELECT 'alpha' AS param, d.range AS draw_id, {uniform("'alpha'", "d.range")} AS u FROM range({n}) d
+       UNION ALL SELECT 'beta', d.range, {uniform("'beta'", "d.range")} FROM range({n}) d),
+dr AS (SELECT us.param, draw_id, e + dx * (s + (fe2 - fe) / (fe2 + fe) * s * (1 - s)) AS value FROM us JOIN seg ON us.param = seg.param AND u >= c AND u < c2,
+       LATERAL (SELECT (u - c) / (c2 - c) AS s)),
+q AS (SELECT quantile_cont(value, 0.95) * 1.5 AS x_max, quantile_cont(value, 0.5) AS med FROM dr WHERE param = 'beta'),
+ln AS (SELECT a.draw_id, a.value AS alpha, b.value AS beta FROM dr a JOIN dr b ON a.draw_id = b.draw_id WHERE a.param = 'alpha' AND b.param = 'beta'
+       UNION ALL SELECT -1, 1, med FROM q),
+pts AS (SELECT draw_id, CAST(k.range AS INTEGER) AS k, alpha, beta, x_max / 10000 + k.range * x_max / {points} AS x FROM ln, q, range({points}) k)
+SELECT draw_id, k, {rnd("alpha", 3)}, {rnd("beta", 3)}, {rnd("x", 2)},
+       round(alpha / beta * pow(x / beta, alpha - 1) * exp(-pow(x / beta, alpha)), 3) + 0.0 AS y, draw_id < 0 AS reference FROM pts"""

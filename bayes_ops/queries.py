@@ -157,7 +157,7 @@ def a7_weibull_suffstats(spark, sf_dir):
             .select("n", "r", "sum_log_t_obs", "nd.k", "nd.alpha", "nd.s"))
 
 
-@query("p5_weibull_posterior")
+@query("p5_weibull_posterior", median=5, hdi_3=3, hdi_97=3)
 def p5_weibull_posterior(spark, sf_dir):
     """Weibull (alpha, beta) posterior by adaptive grid quadrature (P5)."""
     from bayes_ops.plans.weibull import weibull_posterior
@@ -523,7 +523,7 @@ def p11_hier_poisson_posterior(spark, sf_dir):
     return hier_poisson_posterior(AD.poisson_from_events(spark, sf_dir), EVENTS_START, EVENTS_END)
 
 
-@query("v5_weibull_traces")
+@query("v5_weibull_traces", alpha=3, beta=3, x=2, y=3)
 def v5_weibull_traces(spark, sf_dir):
     """30 sampled Weibull pdfs from the posterior marginals plus the alpha = 1
     reference trace at the median beta, 200 x points each (V5, V6, E2)."""
@@ -588,7 +588,7 @@ def p7_ab_curve(spark, sf_dir):
     return ab_curve(AD.ab_from_orders(spark, sf_dir))
 
 
-@query("p7_weibull_curves")
+@query("p7_weibull_curves", x=5, y=3)
 def p7_weibull_curves(spark, sf_dir):
     """Marginal posterior densities of the Weibull shape and scale."""
     from bayes_ops.plans.weibull import weibull_curves

@@ -68,13 +68,12 @@ def _read_cache(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, CACHE_SCHEMA)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet table at ``path``, or an empty frame when nothing is there yet."""
-    from pyspark.errors import AnalysisException
-    try:
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Parquet table at ``path``, or an empty frame when nothing is there yet (any other fault is raised)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def _visible(spark: SparkSession, path: str) -> DataFrame:

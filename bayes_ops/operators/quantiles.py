@@ -61,3 +61,34 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[f
         a, b = at[lo], at[hi]
         out.append(a + (h - lo) * (b - a))
     return out
+
+
+def grouped_percentiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
+    """(keys, q): exact percentiles of every group (numpy 'linear' rule), as an array in the order of ``probs``.
+
+    The (keys, value, count) histogram is dealt out by range of (keys, value), so the bounds split a large
+    group over many tasks; each (partition, group) block adds the counts of the group's blocks before it, and
+    only the rows that hold a wanted rank (two per percentile) are kept.  No buffer holds a group."""
+    from bayes_ops.operators.joins import join_groups
+    from bayes_ops.operators.materialize import reliable_checkpoint
+    keys, probs = list(keys), list(probs)
+    hist = (df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    ranged = reliable_checkpoint(hist.repartitionByRange(*keys, "_v").withColumn("_pid", F.spark_partition_id()))
+    blocks = ranged.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_size"))
+    by_group = Window.partitionBy(*keys).orderBy("_pid") if keys else Window.orderBy("_pid")   # one row per partition
+    whole = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
+    blocks = blocks.select(*keys, "_pid", F.sum("_size").over(whole).alias("_n"), F.coalesce(
+        F.sum("_size").over(by_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("_cum", F.sum("_c").over(inside))
+    rows = join_groups(local, blocks, ["_pid", *keys])
+    end = F.col("_before") + F.col("_cum")
+    start = end - F.col("_c")
+    ranks = F.array(*[F.struct(F.lit(k).alias("p"), r.cast("long").alias("r"), side.alias("w")) for k, p in enumerate(probs)
+                      for h in [(F.col("_n") - 1) * F.lit(float(p))]
+                      for r, side in ((F.floor(h), 1.0 - (h - F.floor(h))), (F.floor(h) + 1, h - F.floor(h)))])
+    held = rows.select(*keys, "_v", F.explode(F.filter(ranks, lambda x: (x["w"] > 0) & (x["r"] >= start) & (x["r"] < end))).alias("x"))
+    each = held.groupBy(*keys, F.col("x.p").alias("p")).agg(
+        F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.min_by("x.w", "x.r").alias("w"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (1.0 - F.col("w")) * (F.col("hi") - F.col("lo")))
+    return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("p", value.alias("q")))), lambda x: x["q"]).alias("q"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bayes_ops.operators.grid import conjugate_summary, family_support, grid_posterior, GRID_N
+from bayes_ops.operators.materialize import reliable_checkpoint
 from bayes_ops.operators.suffstats import bandit_stats, bandit_stats_from_histogram
 
 TINY = 1e-300
@@ -52,7 +53,9 @@ def prob_best(params: DataFrame, n: int = GRID_N) -> DataFrame:
     and the P_i add up to one.  Below L = max_j (lowest plausible value of arm
     j) some arm is above v almost surely, so cells are cut at L.
 
-    The window runs over at most 2 n rows per arm.  Arms that never paid are
+    The at most 2 n breakpoints per arm are dealt out by range of v, so the running sums
+    of any number of arms run in as many tasks as there are ranges; each range adds the sums of the ranges
+    before it (one row per range).  Arms that never paid are
     worth 0 and only win when no arm pays (then the first arm by name wins
     every draw, as an argmax with ties does).
     """
@@ -73,15 +76,27 @@ def prob_best(params: DataFrame, n: int = GRID_N) -> DataFrame:
     turns = cells.select("arm", F.explode(F.array(
         F.struct(start.alias("s"), F.col("slope").alias("db"), icept.alias("da")),
         F.struct(end.alias("s"), (-F.col("slope")).alias("db"), (-icept).alias("da")))).alias("t")).select("arm", "t.*")
-    by_s = Window.partitionBy(F.lit(0)).orderBy("s")   # running sums include all rows at the same s
-    line = turns.select("arm", "s", "db", F.sum("da").over(by_s).alias("icept"), F.sum("db").over(by_s).alias("slope"),
-                        (F.lead("s").over(by_s) - F.col("s")).alias("ds"))
+    # first level: running sums inside each range partition of s; second level: what the partitions before it hold
+    turns = reliable_checkpoint(turns.repartitionByRange("s").withColumn("_pid", F.spark_partition_id()))
+    parts = turns.groupBy("_pid").agg(F.sum("da").alias("da"), F.sum("db").alias("db"), F.min("s").alias("s0"))
+    by_pid = Window.orderBy("_pid")                    # one row per partition
+    earlier = by_pid.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_pid", F.coalesce(F.sum("da").over(earlier), F.lit(0.0)).alias("da0"),
+                         F.coalesce(F.sum("db").over(earlier), F.lit(0.0)).alias("db0"), F.lead("s0").over(by_pid).alias("s_next"))
+    by_s = Window.partitionBy("_pid").orderBy("s")     # running sums include all rows at the same s
+    line = turns.join(parts, "_pid").select(
+        "_pid", "arm", "s", "db", (F.col("da0") + F.sum("da").over(by_s)).alias("icept"),
+        (F.col("db0") + F.sum("db").over(by_s)).alias("slope"),
+        (F.coalesce(F.lead("s").over(by_s), F.col("s_next")) - F.col("s")).alias("ds"))
     rise = F.col("slope") * F.col("ds")
     mean = F.when(F.abs(rise) < 1e-5, F.lit(1.0) - rise / 2 + rise * rise / 6).otherwise(-F.expm1(-rise) / rise)
     area = F.exp(F.col("icept") + F.col("slope") * F.col("s") + rise) * mean * F.col("ds")
+    line = reliable_checkpoint(line.select("_pid", "arm", "s", "db", area.alias("area")))
+    sums = line.groupBy("_pid").agg(F.sum("area").alias("area"))
+    sums = sums.select("_pid", F.coalesce(F.sum("area").over(earlier), F.lit(0.0)).alias("area0"))
     before = by_s.rowsBetween(Window.unboundedPreceding, -1)
-    area_before = F.coalesce(F.sum("area").over(before), F.lit(0.0))
-    won = (line.withColumn("area", area).select("arm", "db", area_before.alias("h"))
+    area_before = F.col("area0") + F.coalesce(F.sum("area").over(before), F.lit(0.0))
+    won = (line.join(sums, "_pid").select("arm", "db", area_before.alias("h"))
            .groupBy("arm").agg(F.greatest(F.lit(0.0), -F.sum(F.col("db") * F.col("h"))).alias("won")))
     # Non-paying arms: 0, unless nobody pays (then the first arm takes 1).
     any_pay = F.coalesce(params.agg(F.max(m)).scalar(), F.lit(0.0)) > 0
@@ -93,7 +108,6 @@ def prob_best(params: DataFrame, n: int = GRID_N) -> DataFrame:
 
 def bandit_with_prob_best(df: DataFrame | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Posterior table joined with prob_best (ops P3 + C3 + J1)."""
-    from bayes_ops.operators.materialize import reliable_checkpoint
     # one row per arm, referenced by several branches: materialise once
     params = reliable_checkpoint(bandit_params(df, hist=hist))
     pb = prob_best(params)
@@ -105,5 +119,6 @@ def bandit_with_prob_best(df: DataFrame | None = None, hist: DataFrame | None =
 def next_arm(df: DataFrame | None = None, hist: DataFrame | None = None) -> DataFrame:
     """Arm with the highest prob_best, ties to the first arm by name."""
     t = bandit_with_prob_best(df, hist=hist)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("prob_best").desc(), F.col("arm"))
-    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == 1).drop("rank")
+    # an aggregate with map-side partial results, not a sort of all arms
+    best = t.agg(F.min_by(F.struct(*t.columns), F.struct((-F.col("prob_best")).alias("p"), "arm")).alias("b"))
+    return best.where(F.col("b").isNotNull()).select("b.*")

@@ -1,13 +1,18 @@
 """Continuously updated posteriors and windowed rates (ops T2, T3).
 
 T2: the sufficient statistics are streaming aggregates (state = one row per
-group, or per (arm, reward) for bandits, whose magnitude is a running max and
-so is derived at read time from the histogram); each micro-batch writes the
+group); each micro-batch writes the
 small posterior table, computed from the complete aggregate with the same
 stateless posterior maths as the batch plans, to a version of its own and
 then a pointer to it.  ``read_snapshot`` follows the pointer, so a reader
 never meets a half-written table, and a replayed batch leaves the same result.
 
+A bandit arm's successes are the pulls at its largest reward, which may still
+grow.  Its state (largest positive reward, pulls at it, all pulls) merges with
+that of a batch: of two unlike maxima the smaller one's count is dropped, of equal ones the counts add
+up.  ``start_running_bandit`` keeps one such row per arm in the versioned snapshot, so
+continuous rewards cost no more than coarse ones.
+
 T3: tumbling (or sliding) event-time windows with a watermark; rows later
 than the watermark are dropped by Spark.  Each micro-batch writes the windows
 that it changed; ``read_windows`` takes the newest count of every window, so
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bayes_ops.functions.timefmt import unit_seconds
+from bayes_ops.operators.cache import read_or_empty
 from bayes_ops.operators.grid import conjugate_summary
 
 
@@ -37,6 +43,56 @@ def running_bernoulli(trials: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return g.agg(F.sum(F.coalesce(out, F.lit(0))).alias("successes"), F.count(out).alias("trials"))
 
 
+def bandit_state(pulls: DataFrame) -> DataFrame:
+    """(arm, magnitude, at_max, pulls) of a batch: largest positive reward, pulls at it, all pulls."""
+    each = (pulls.where(F.col("arm").isNotNull() & F.col("reward").isNotNull())
+            .groupBy("arm", "reward").agg(F.count(F.lit(1)).alias("cnt")))
+    paid = F.when(F.col("reward") > 0, F.col("reward"))
+    return each.groupBy("arm").agg(F.max(paid).alias("magnitude"), F.max_by(F.when(paid.isNotNull(), F.col("cnt")), paid).alias("at_max"),
+                                   F.sum("cnt").alias("pulls"))
+
+
+def merge_bandit_states(states: DataFrame) -> DataFrame:
+    """One (arm, magnitude, at_max, pulls) row per arm from any number of them."""
+    top = states.groupBy("arm", "magnitude").agg(F.sum("at_max").alias("at_max"), F.sum("pulls").alias("pulls"))
+    return top.groupBy("arm").agg(F.max("magnitude").alias("magnitude"), F.max_by("at_max", "magnitude").alias("at_max"),
+                                  F.sum("pulls").alias("pulls"))
+
+
+def bandit_params_of(state: DataFrame, prior: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Beta parameters per arm of a merged state (as ``plans.bandit.bandit_params`` of all pulls)."""
+    a0, b0 = prior
+    won = F.coalesce("at_max", F.lit(0).cast("long"))
+    st = state.select("arm", "magnitude", "pulls", won.alias("successes"), (F.col("pulls") - won).alias("failures"))
+    return (st.withColumn("alpha", F.lit(float(a0)) + F.col("successes").cast("double"))
+            .withColumn("beta", F.lit(float(b0)) + F.col("failures").cast("double"))
+            .withColumn("est_prob", F.col("alpha") / (F.col("alpha") + F.col("beta")))
+            .withColumn("expected_reward", F.col("est_prob") * F.col("magnitude")))
+
+
+def start_running_bandit(pulls: DataFrame, path: str, checkpoint: str, posterior: Callable[[DataFrame], DataFrame] | None = None,
+                         available_now: bool = True) -> StreamingQuery:
+    """Start T2 for bandits: every micro-batch merges its state with the newest one and writes state and posterior
+    (of ``bandit_params_of``; None: those parameters) as a version, then the pointer.  A replayed batch merges
+    with the state before it and overwrites its version."""
+    shape = "arm string, magnitude double, at_max long, pulls long"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        states = bandit_state(batch)
+        before = read_or_empty(spark, f"{path}/latest", "id long").where(F.col("id") < batch_id).agg(F.max("id")).first()[0]
+        if before is not None:
+            states = states.unionByName(spark.read.schema(shape).parquet(f"{path}/state/{before}"))
+        merge_bandit_states(states).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+        params = bandit_params_of(spark.read.schema(shape).parquet(f"{path}/state/{batch_id}"))
+        (params if posterior is None else posterior(params)).write.mode("overwrite").parquet(f"{path}/versions/{batch_id}")
+        spark.range(batch_id, batch_id + 1).coalesce(1).write.mode("append").parquet(f"{path}/latest")
+
+    w = pulls.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 def running_reward_histogram(pulls: DataFrame) -> DataFrame:
     return (pulls.where(F.col("arm").isNotNull() & F.col("reward").isNotNull())
             .groupBy("arm", "reward").agg(F.count(F.lit(1)).alias("cnt")))

@@ -73,7 +73,7 @@ POISSON_GROUPS = ("cohort", "event_type")
 def validate_group_by(group_by: Sequence[str]) -> list[str]:
     gb = list(group_by)
     if not gb or not all(c in POISSON_GROUPS for c in gb):
-        raise ValueError(f"Invalid group_by columns. Must be a subset of {list(POISSON_GROUPS)}")
+        raise ValueError(f"group_by takes one or more of {', '.join(POISSON_GROUPS)}, not {gb}")
     return gb
 
 

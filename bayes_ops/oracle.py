@@ -550,3 +550,48 @@ ORACLE["x1_density_kind"] = lognormal_sql(SURV)
 ORACLE["p5_weibull_posterior"] = weibull_sql(SURV)
 ORACLE["p7_weibull_curves"] = weibull_curve_sql(SURV, 200)
 ORACLE["v5_weibull_traces"] = weibull_traces_sql(SURV, lambda label, i: _uniform(SEED, label, i), 200, 30)
+
+
+# ---------------------------------------------------------------- table lifecycle and result cache
+
+ORACLE["g1_registry_lifecycle"] = f"""WITH {EV}, {AB}, {SURV}
+SELECT 'exp ' || kind AS name, kind AS type, upper(kind) AS display_name, 'created' AS status, n_rows FROM (
+  SELECT 'poisson-cohorts' AS kind, count(*) AS n_rows FROM ev UNION ALL SELECT 'ab-test', count(*) FROM ab
+  UNION ALL SELECT 'weibull', count(*) FROM surv)"""
+
+_KINDS = {
+    "poisson-cohorts": ("ev", [("timestamp", "timestamp"), ("cohort", "string"), ("event_type", "string")]),
+    "ab-test": ("ab", [("timestamp", "timestamp"), ("variant", "string"), ("outcome", "bigint")]),
+    "bernoulli": ("be", [("timestamp", "timestamp"), ("outcome", "boolean")]),
+    "multi-armed-bandits": ("mab", [("timestamp", "timestamp"), ("arm", "string"), ("reward", "double")]),
+    "weibull": ("surv", [("duration", "double"), ("observed", "boolean")]),
+    "hazard-rate": ("surv", [("duration", "double"), ("observed", "boolean")]),
+}
+ORACLE["g7_kind_columns"] = f"WITH {EV}, {AB}, {BE}, {MAB}, {SURV} " + " UNION ALL ".join(
+    f"SELECT '{kind}' AS experiment_type, CAST({i} AS INTEGER) AS position, '{c}' AS name, '{t}' AS type, count({c}) AS n_values FROM {view}"
+    for kind, (view, cols) in _KINDS.items() for i, (c, t) in enumerate(cols))
+
+ORACLE["g8_migrate_column"] = f"WITH {BE} SELECT outcome, count(*) AS n_rows, CAST(1 AS INTEGER) AS migrated FROM be GROUP BY outcome"
+
+ORACLE["s3_json_batch"] = ORACLE["s4_csv_batch"]
+
+_LATE = "timestamp >= TIMESTAMP '2024-01-15 00:00:00'"
+ORACLE["s6_append_batch"] = f"""WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS timestamp, 'c' || CAST(user_id % 4 AS VARCHAR) AS cohort, user_id % 100 = 7 AS bad FROM events)
+SELECT cohort, count(*) FILTER (NOT ({_LATE} AND bad)) AS n_rows, (SELECT count(*) FROM e WHERE {_LATE} AND bad) AS rejected,
+  (SELECT count(*) FROM e WHERE {_LATE} AND NOT bad) AS accepted FROM e GROUP BY cohort"""
+
+ORACLE["k2_result_cache"] = f"""WITH {_poisson_params(['cohort'])},
+{conjugate_summary_ctes('params', ['cohort', 'param'], 'gamma')}
+SELECT cohort, n_events, round(mean, 6) + 0.0 AS mean, round(hdi_3, 6) + 0.0 AS hdi_3, round(hdi_97, 6) + 0.0 AS hdi_97,
+  false AS hit_first, true AS hit_second, CAST(1 AS BIGINT) AS listed, CAST(1 AS BIGINT) AS cleared, CAST(0 AS BIGINT) AS "left" FROM cs"""
+
+ORACLE["t2_stream_bandit"] = f"""WITH {MAB},
+mg AS (SELECT arm, max(reward) FILTER (reward > 0) AS magnitude, count(*) AS pulls FROM mab GROUP BY arm),
+st AS (SELECT mg.arm, any_value(magnitude) AS magnitude, any_value(pulls) AS pulls, count(*) FILTER (mab.reward = mg.magnitude) AS successes
+       FROM mab JOIN mg ON mab.arm = mg.arm GROUP BY mg.arm)
+SELECT arm, magnitude, pulls, successes, 1.0::DOUBLE + successes AS alpha, 1.0::DOUBLE + pulls - successes AS beta,
+  round((1.0::DOUBLE + successes) / (2.0::DOUBLE + pulls), 6) + 0.0 AS est_prob FROM st"""
+
+ORACLE["t3_sliding_windows"] = f"""WITH {EV},
+w AS (SELECT time_bucket(INTERVAL '1 day', timestamp) - k.k * INTERVAL '1 day' AS ws, cohort FROM ev, (VALUES (0), (1)) k(k) WHERE timestamp IS NOT NULL)
+SELECT strftime(ws, {ISO}) AS window_start, strftime(ws + INTERVAL '2 days', {ISO}) AS window_end, cohort, count(*) AS n_events FROM w GROUP BY ws, cohort"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from bayes_ops.functions.timefmt import unit_seconds
 from bayes_ops.operators import filters as flt
 from bayes_ops.operators.grid import conjugate_curve, conjugate_summary
+from bayes_ops.operators.joins import join_groups
 from bayes_ops.operators.suffstats import event_counts, validate_group_by
 from bayes_ops.sources.schemas import POISSON_EXPOSURE_COLUMN
 
@@ -57,7 +58,7 @@ def poisson_params(df: DataFrame, start, end, cohort: Sequence[str] | None = Non
              + flt.membership("event_type", event_type))
     stats = event_counts(flt.apply(df, preds), gb, exposure_col)
     if groups is not None:
-        stats = (groups.select(*gb).distinct().join(stats, gb, "left")
+        stats = (join_groups(groups.select(*gb).distinct(), stats, gb, "left")
                  .withColumn("n_events", F.coalesce(F.col("n_events"), F.lit(0).cast("long"))))
     if not exposure_col:
         stats = stats.withColumn("exposure", F.lit(window_exposure(start, end, unit, population)))

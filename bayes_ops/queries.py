@@ -665,3 +665,135 @@ def x1_density_kind(spark, sf_dir):
     kinds.register_density("lognormal-durations", [("duration", T.DoubleType()), ("observed", T.BooleanType())],
                            [Parameter("mu"), Parameter("sigma", "positive")], sums, logp)
     return kinds.posterior("lognormal-durations", AD.survival_from_lineitem(spark, sf_dir), group_by=["observed"])
+
+
+# ---------------------------------------------------------------- table lifecycle and result cache
+
+def _root(spark, name: str) -> str:
+    import uuid
+    from bayes_ops.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("g1_registry_lifecycle")
+def g1_registry_lifecycle(spark, sf_dir):
+    """Registry made, four experiments created from the tables, one dropped with its data, the rest listed, by kind and
+    looked up, with the rows of each (G1, G2, G3, G4, G5, S1, S5, S7)."""
+    from bayes_ops.sources import registry as R
+    root = _root(spark, "g1")
+    R.init_registry(spark, root)
+    for kind in ("poisson-cohorts", "ab-test", "weibull", "bernoulli"):
+        R.create_experiment(spark, root, f"exp {kind}", kind, kind.upper(), AD.experiment_frame(spark, sf_dir, kind))
+    R.drop_experiment(spark, root, "exp bernoulli")
+    out = None
+    for name in R.list_tables(spark, root):
+        kind = R.lookup(spark, root, name)["type"]
+        one = R.list_experiments(spark, root, kind).select("name", "type", "display_name", "status").crossJoin(
+            R.read_experiment(spark, root, name, kind).agg(F.count("*").alias("n_rows")))   # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("g7_kind_columns")
+def g7_kind_columns(spark, sf_dir):
+    """Columns and types of the kinds (G7), each with the values that its adapted table holds for it."""
+    from bayes_ops.sources import registry as R
+    from bayes_ops.sources.tables import conform
+    out = None
+    for kind in AD.ADAPTERS:
+        frame = conform(AD.experiment_frame(spark, sf_dir, kind), kind)
+        counts = frame.agg(*[F.count(c).alias(c) for c in frame.columns])
+        long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n_values")) for c in frame.columns])).alias("x")).select("x.*")
+        one = R.kind_schemas(spark, kind).join(long, "name").select("experiment_type", "position", "name", "type", "n_values")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("g8_migrate_column")
+def g8_migrate_column(spark, sf_dir):
+    """Outcomes of a bernoulli table stored under the old column name, read after the migration."""
+    import time
+    from bayes_ops.sources import registry as R
+    root = _root(spark, "g8")
+    R.init_registry(spark, root)
+    AD.bernoulli_from_events(spark, sf_dir).withColumnRenamed("outcome", "conversion").write.parquet(R.data_path(root, "old", 1))
+    R._append(spark, root, [("old", "bernoulli", "Old", "created", R._now(), 1, time.time_ns())])
+    n = R.migrate_conversion_column(spark, root)
+    return R.read_experiment(spark, root, "old", "bernoulli").groupBy("outcome").agg(F.count("*").alias("n_rows")).withColumn("migrated", F.lit(n))
+
+
+@query("s3_json_batch")
+def s3_json_batch(spark, sf_dir):
+    """Events written as JSON arrays, read back as a text batch and validated."""
+    from bayes_ops.functions.timefmt import iso_format
+    from bayes_ops.sources.ingest import read_json_batch, validate
+    path = _root(spark, "s3")
+    ev = AD.poisson_from_events(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("string"))
+    row = F.struct("timestamp", "cohort", "event_type")
+    arrays = ev.groupBy(F.pmod(F.xxhash64(row), F.lit(8)).alias("file")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    arrays.repartition("file").write.partitionBy("file").text(path)      # one array a file
+    v = validate(read_json_batch(spark, path + "/file=*"), "poisson-cohorts")
+    good = F.col("reject_reason").isNull()
+    return v.groupBy("cohort", "event_type").agg(
+        F.count(F.when(good, 1)).alias("n_rows"), F.count(F.when(~good, 1)).alias("n_rejected"),
+        iso_format(F.max("timestamp")).alias("last_event"))
+
+
+@query("s6_append_batch")
+def s6_append_batch(spark, sf_dir):
+    """An experiment of the events before 15 January and a batch with the others, of which those of users 7 mod 100 have an
+    unreadable time: rows per cohort, rows accepted and rejected (S6, W3, S5)."""
+    from bayes_ops.sources import registry as R
+    root = _root(spark, "s6")
+    ev = AD.poisson_from_events(spark, sf_dir)
+    cut = F.col("timestamp") < F.lit("2024-01-15 00:00:00").cast("timestamp")
+    R.create_experiment(spark, root, "events", "poisson-cohorts", "Events", ev.where(cut))
+    raw = AD.read_table(spark, sf_dir, "events")
+    late = raw.where(AD.utc_ts("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp")).select(
+        F.when(F.col("user_id") % 100 == 7, F.lit("no time")).otherwise(AD.utc_ts("ts").cast("string")).alias("timestamp"),
+        F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("cohort"), "event_type")
+    n, bad = R.append_events(spark, root, "events", late)
+    held = R.read_experiment(spark, root, "events").groupBy("cohort").agg(F.count("*").alias("n_rows"))
+    return held.crossJoin(bad.agg(F.count("*").alias("rejected"))).withColumn("accepted", F.lit(n).cast("long"))   # one row
+
+
+@query("k2_result_cache")
+def k2_result_cache(spark, sf_dir):
+    """The rate posterior from the result cache: a miss, a hit, a listing and a clearing."""
+    from bayes_ops.operators import cache as C
+    path = _root(spark, "k2") + "/results"
+    ev = AD.poisson_from_events(spark, sf_dir)
+    fit = lambda d: p4_fit(d)
+    _, first = C.get_or_compute(spark, path, "events", "poisson", ev, fit, {"by": "cohort"})
+    got, second = C.get_or_compute(spark, path, "events", "poisson", ev, fit, {"by": "cohort"})
+    listed = C.list_cached(spark, path, "events").count()
+    got = got.select("cohort", "n_events", "mean", "hdi_3", "hdi_97").withColumns({
+        "hit_first": F.lit(first), "hit_second": F.lit(second), "listed": F.lit(listed).cast("long"),
+        "cleared": F.lit(C.clear_cached(spark, path, "events")).cast("long")})
+    return got.withColumn("left", F.lit(C.list_cached(spark, path, "events").count()).cast("long"))
+
+
+def p4_fit(df):
+    from bayes_ops.plans.poisson import poisson_posterior
+    return poisson_posterior(df, EVENTS_START, EVENTS_END, group_by=["cohort"])
+
+
+@query("t2_stream_bandit")
+def t2_stream_bandit(spark, sf_dir):
+    """Running Beta parameters per arm, a state of one row per arm, from a stream of the lineitem pulls."""
+    from bayes_ops.streaming.stats import read_snapshot, start_running_bandit
+    base = _root(spark, "t2b")
+    AD.bandit_from_lineitem(spark, sf_dir).select("arm", "reward").repartition(4).write.parquet(base + "/in")
+    stream = spark.readStream.schema("arm string, reward double").option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    start_running_bandit(stream, base + "/out", base + "/checkpoint").awaitTermination()
+    return read_snapshot(spark, base + "/out").select("arm", "magnitude", "pulls", "successes", "alpha", "beta", "est_prob")
+
+
+@query("t3_sliding_windows")
+def t3_sliding_windows(spark, sf_dir):
+    """Events per cohort in windows of two days, a day apart (T3, sliding form)."""
+    from bayes_ops.functions.timefmt import iso_format
+    from bayes_ops.streaming.stats import windowed_counts
+    t = windowed_counts(AD.poisson_from_events(spark, sf_dir), ["cohort"], "2 days", "1 day")
+    return t.select(iso_format(F.col("window_start")).alias("window_start"), iso_format(F.col("window_end")).alias("window_end"),
+                    "cohort", "n_events")

@@ -19,12 +19,12 @@ import datetime as _dt
 import functools
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bayes_ops.operators.cache import read_or_empty
-from bayes_ops.sources.ingest import check_columns, split
+from bayes_ops.sources.ingest import check_columns, split, validate
 from bayes_ops.sources.schemas import SUPPORTED_KINDS, schema_rows
 
 LOG_SCHEMA = T.StructType([
@@ -96,10 +96,10 @@ def lookup(spark: SparkSession, root: str, name: str, kind: str | None = None):
     """Registry row of an experiment; raises ExperimentNotFound / WrongKind."""
     rows = registry(spark, root).where(F.col("name") == name).limit(1).collect()
     if not rows:
-        raise ExperimentNotFound(f"Experiment '{name}' not found.")
+        raise ExperimentNotFound(f"no experiment is registered as '{name}'")
     row = rows[0]
     if kind is not None and row["type"] != kind:
-        raise WrongKind(f"Experiment '{name}' is not of type '{kind}'.")
+        raise WrongKind(f"'{name}' holds kind '{row['type']}', asked for as '{kind}'")
     return row
 
 
@@ -137,20 +137,23 @@ def create_experiment(spark: SparkSession, root: str, name: str, kind: str, disp
                       data: DataFrame) -> int:
     """Validate, write version 1, then register (S5).  Raises AlreadyExists
     (409) or ValueError for an empty or invalid batch (400).  Returns rows."""
-    if name in list_tables(spark, root):
+    if not registry(spark, root).where(F.col("name") == name).isEmpty():
         raise AlreadyExists(f"'{name}' is registered already")
+    version = time.time_ns()
+    path = data_path(root, name, version)
     if kind in SUPPORTED_KINDS:
         check_columns(data, kind)
-        good, bad = split(data, kind)
-        n_bad = bad.count()
-        if n_bad:
-            raise ValueError(f"Invalid initial data: {n_bad} rows rejected")
-        data = good
-    n = data.count()
-    if n == 0:
-        raise ValueError("the first batch holds no rows")
-    version = time.time_ns()
-    data.write.mode("errorifexists").parquet(data_path(root, name, version))
+        data = validate(data, kind)
+    else:
+        data = data.withColumn("reject_reason", F.lit(None).cast("string"))
+    # one pass over the source: the counts are observed while the rows are written
+    seen = Observation()
+    data = data.observe(seen, F.count("*").alias("n"), F.count("reject_reason").alias("bad"))
+    data.where("reject_reason is null").drop("reject_reason").write.mode("errorifexists").parquet(path)
+    n, n_bad = seen.get["n"], seen.get["bad"]
+    if n_bad or not n:
+        _remove(spark, path)
+        raise ValueError(f"{n_bad} rows do not fit the kind '{kind}'" if n_bad else "the first batch holds no rows")
     _append(spark, root, [(name, kind, display_name, "created", _now(), version, time.time_ns())])
     return n
 
@@ -164,14 +167,14 @@ def append_events(spark: SparkSession, root: str, name: str, batch: DataFrame) -
     row = lookup(spark, root, name)
     kind = row["type"]
     good, bad = split(batch, kind)
-    good = good.cache()
-    try:
-        n = good.count()
-        if n:
-            good.write.mode("append").parquet(data_path(root, name, row["version"]))
-    finally:
-        good.unpersist()
-    return n, bad
+    seen = Observation()      # counted while written: the batch is read once, and nothing of it is cached
+    good.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(data_path(root, name, row["version"]))
+    return seen.get["n"], bad
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _rewrite(spark: SparkSession, root: str, row, new_data: DataFrame) -> None:
@@ -217,10 +220,12 @@ def migrate_conversion_column(spark: SparkSession, root: str) -> int:
 
 
 def drop_experiment(spark: SparkSession, root: str, name: str) -> None:
-    """Unregister an experiment (S7); its folders become unreferenced."""
+    """Unregister an experiment and remove all its versions (S7).  The record comes first, so a crash
+    between the two leaves an unreferenced folder, which the next drop of the name removes."""
     row = lookup(spark, root, name)
     _append(spark, root, [(name, row["type"], row["display_name"], "dropped", row["created_at"],
                            row["version"], time.time_ns())])
+    _remove(spark, f"{root.rstrip('/')}/{name}")
 
 
 def drop_by_kind(spark: SparkSession, root: str, kind: str) -> list[str]:

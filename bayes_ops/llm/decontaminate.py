@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayes_ops.llm.common import Shared, byte_texts, spill
+from bayes_ops.llm.common import Shared, byte_texts, fresh, spill
 
 WINDOW = 10
 MAX_WORDS = 2_000_000
@@ -185,8 +185,9 @@ def report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents without any occurrence of a benchmark window, all columns kept."""
-    h = contamination(docs, benchmark, **kw)
-    return h.filter(F.size("_hits.spans") == 0).drop("_hits")
+    at = fresh(docs, "_hits")
+    h = contamination(docs, benchmark, out=at, **kw)
+    return h.filter(F.size(f"{at}.spans") == 0).drop(at)
 
 
 def items_digest(items: list[str]) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayes_ops.llm.common import Shared, byte_texts, crc_mod
+from bayes_ops.llm.common import Shared, byte_texts, crc_mod, fresh
 
 DIMS = 4096
 PER_LANGUAGE = 500       # bound of the training sample, in documents per language
@@ -206,5 +206,6 @@ def report(docs: DataFrame, **kw) -> DataFrame:
 def keep_identified(docs: DataFrame, min_score: float = 0.1, **kw) -> DataFrame:
     """Documents with a recognised language; ``und`` and scores under min_score go."""
     model = train(docs, ~held_out(F.col("doc_id")), **kw)
-    p = docs.withColumn("_p", predict_column(docs, model, F.col("text")))
-    return p.filter((F.col("_p.lang") != "und") & (F.col("_p.score") >= min_score)).select(*docs.columns)
+    at = fresh(docs, "_p")
+    p = docs.withColumn(at, predict_column(docs, model, F.col("text")))
+    return p.filter((F.col(f"{at}.lang") != "und") & (F.col(f"{at}.score") >= min_score)).select(*docs.columns)

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayes_ops.llm.common import let, plain_spaces, spill
+from bayes_ops.llm.common import fresh, let, plain_spaces, spill
 
 CELLS = 1 << 19
 MOST = (1 << 22) - 1     # a cell's count counts up to here in the order of words
@@ -184,9 +184,10 @@ def dedup(docs: DataFrame, cells: int = CELLS) -> DataFrame:
 def clean(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """The documents without their removed lines (the other lines as they were), all columns kept."""
     # numbered once: the numbers must be the same where the texts are read again
-    rows = spill(docs.withColumn("_row", row_id()), "numbered")
-    gone = _judge(rows.select("doc_id", "text", F.col("_row").alias("row")), cells).select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_at"), F.col("removed_lines").alias("_gone"))
-    j = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (F.col("_row") == F.col("_at")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return j.withColumn("text", F.when(F.size("_gone") > 0, kept).otherwise(F.col("text"))).select(*docs.columns)
+    at, key, of, gone = (fresh(docs, c) for c in ("_row", "_id", "_at", "_gone"))
+    rows = spill(docs.withColumn(at, row_id()), "numbered")
+    judged = _judge(rows.select("doc_id", "text", F.col(at).alias("row")), cells).select(
+        F.col("doc_id").alias(key), F.col("row").alias(of), F.col("removed_lines").alias(gone))
+    j = rows.join(judged, rows["doc_id"].eqNullSafe(judged[key]) & (rows[at] == judged[of]), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return j.withColumn("text", F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))).select(*docs.columns)

@@ -9,27 +9,30 @@ without sorting: sizes are summed by (source, leading 12 bits of the hash),
 the bucket in which the budget ends is refined by the next 12 bits, alone,
 and so on.  Budgets are nested: a larger one takes a superset.
 
-Every document hash is 60 bits of md5(doc_id), so reruns and SQL agree.  The
-document at the threshold is taken if that brings the source nearer to its
-target.
+A document's key is 36 bits of md5(doc_id), so reruns and SQL agree, then 12 bits of its text's
+hash and 24 bits of its row's.  The last 36 bits matter only for documents that share
+the first, such as rows that repeat an id or have none: these are split at the threshold like any
+others, however many they are.  The document at the threshold is taken if that
+brings the source nearer to its target.
 
 Defined results: a null text has size 0 and nothing is taken of it; sources of
-size 0 have target 0; rows that repeat a doc_id are taken together; a null
-doc_id hashes as the empty string.
+size 0 have target 0; a null doc_id hashes as the empty string; of equal rows without an id some
+may be taken and some not (which, is of no consequence: the result is the same multiset).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bayes_ops.llm.common import spill, words
+from bayes_ops.llm.common import fresh, spill, words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-BITS = 12                # of the hash, per level
-LEVELS = 3
+BITS = 12                # of the key, per level
+LEVELS = 3               # of each half of the key: that of the id, that of text and row
+HALF = BITS * LEVELS
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -52,19 +55,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
 
 
 def thresholds(rows: DataFrame, budget: DataFrame) -> DataFrame:
-    """source -> copies (whole passes), below (hash prefixes taken once more).
+    """source -> copies (whole passes), below, below_tie: documents whose key (h, tie) lies below are taken once more.
 
-    rows: source, size, h (60 bits); budget: source, source_size, target."""
+    rows: source, size, h, tie (36 bits each); budget: source, source_size, target."""
     b = budget.filter("source_size > 0").select(
         "source", F.floor(F.col("target") / F.col("source_size")).cast("long").alias("copies"),
         (F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).alias("left"),
-        F.lit(0).cast("long").alias("below"))
+        F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("below_tie"))
     done = b
-    for level in range(1, LEVELS + 1):
-        prefix = F.shiftright("h", 60 - BITS * level)
+    for step in range(1, 2 * LEVELS + 1):
+        key, found = ("h", "below") if step <= LEVELS else ("tie", "below_tie")
+        level = (step - 1) % LEVELS + 1
         near = rows.alias("r").join(done.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-        if level > 1:      # the boundary bucket alone
-            near = near.filter(F.shiftright("r.h", 60 - BITS * (level - 1)) == F.col("t.below"))
+        if step > LEVELS:  # the boundary bucket alone
+            near = near.filter(F.col("r.h") == F.col("t.below"))
+        if level > 1:
+            near = near.filter(F.shiftright(f"r.{key}", HALF - BITS * (level - 1)) == F.col(f"t.{found}"))
+        prefix = F.shiftright(f"r.{key}", HALF - BITS * level)
         hist = near.groupBy(F.col("t.source").alias("source"), prefix.alias("bucket")).agg(F.sum("r.size").alias("n"))
         run = W.partitionBy("source").orderBy("bucket")
         hist = hist.withColumn("upto", F.sum("n").over(run))
@@ -74,36 +81,41 @@ def thresholds(rows: DataFrame, budget: DataFrame) -> DataFrame:
             F.max(F.when(fits, F.col("h.upto"))).alias("used"),
             F.min(F.when(~fits, F.col("h.bucket"))).alias("edge"),
             F.min_by("h.n", F.when(~fits, F.col("h.bucket"))).alias("edge_n"))
-        step = (done.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
-                .select("t.source", "t.copies", (F.col("t.left") - F.coalesce("c.used", F.lit(0))).alias("left"),
-                        F.coalesce("c.edge", (F.col("t.below") + 1) * (1 << BITS) if level > 1
-                                   else F.lit(1 << BITS)).alias("below"), "c.edge_n"))
-        if level == LEVELS:
+        edge = F.coalesce("c.edge", (F.col(f"t.{found}") + 1) * (1 << BITS) if level > 1 else F.lit(1 << BITS)).cast("long")
+        if step == 2 * LEVELS:
             # the last bucket is a document or so: taken if that comes nearer to the target
-            step = step.withColumn("below", F.col("below") + F.when(F.col("edge_n") < 2 * F.col("left"), 1).otherwise(0))
-        done = spill(step.select("source", "copies", "left", F.col("below").cast("long").alias("below")), "budget")
-    return done.select("source", "copies", "below")
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), h.alias("h"))
-
-
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row."""
-    rows = spill(sized(docs), "sizes")
+            edge = edge + F.when(F.col("c.edge_n") < 2 * (F.col("t.left") - F.coalesce("c.used", F.lit(0))), 1).otherwise(0)
+        other = "below_tie" if found == "below" else "below"
+        done = spill(done.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select(
+            "t.source", "t.copies", (F.col("t.left") - F.coalesce("c.used", F.lit(0))).alias("left"),
+            edge.alias(found), f"t.{other}"), "budget")
+    return done.select("source", "copies", "below", "below_tie")
+
+
+def sized(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, source, size, the key (h, tie) and row of every document."""
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HALF // 4), 16, 10).cast("long")
+    tie = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(1 << BITS)), HALF - BITS).bitwiseOR(
+        F.pmod(F.xxhash64("row"), F.lit(1 << (HALF - BITS))))
+    return docs.withColumn("row", row).select(
+        "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), h.alias("h"), tie.alias("tie"), "row")
+
+
+def mix(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken, row of every row (numbered by ``row``, else here)."""
+    rows = spill(sized(docs.select("doc_id", "source", "text", *([] if row is None else [row.alias("row")])),
+                       F.monotonically_increasing_id() if row is None else F.col("row")), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     budget = spill(targets(sizes), "targets")
     t = thresholds(rows, budget)
     plan = budget.alias("b").join(t.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")), "left").select(
-        F.col("b.source").alias("s"), "b.source_size", "b.target", "t.copies", "t.below")
+        F.col("b.source").alias("s"), "b.source_size", "b.target", "t.copies", "t.below", "t.below_tie")
     plan = spill(plan, "plan")
-    more = (F.shiftright("h", 60 - BITS * LEVELS) < F.col("below")).cast("long")
+    more = ((F.col("h") < F.col("below")) | ((F.col("h") == F.col("below")) & (F.col("tie") < F.col("below_tie")))).cast("long")
     copies = F.least(F.lit(MAX_REPEAT), F.coalesce(F.col("copies") + more, F.lit(0).cast("long")))
     return (rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
             .select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
-                    copies.alias("copies"), (F.col("size") * copies).alias("taken")))
+                    copies.alias("copies"), (F.col("size") * copies).alias("taken"), "row"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -112,12 +124,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: those of no copies go, repeats are rows."""
-    rows = spill(sized(docs), "sizes")
-    budget = spill(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    plan = thresholds(rows, budget).select(F.col("source").alias("_s"), F.col("copies").alias("_c"),
-                                           F.col("below").alias("_b"))
-    plan = spill(plan, "plan")
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    copies = F.least(F.lit(MAX_REPEAT), F.col("_c") + (F.shiftright(h, 60 - BITS * LEVELS) < F.col("_b")).cast("long"))
-    return (docs.join(plan, docs["source"].eqNullSafe(plan["_s"]))
-            .withColumn("_k", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns))
+    row, found, copies = fresh(docs, "_row"), fresh(docs, "_of"), fresh(docs, "_copies")
+    # numbered once: the numbers must be the same where the texts are read again
+    numbered = spill(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plan = spill(mix(numbered, F.col(row)).filter("copies > 0").select(F.col("row").alias(found), F.col("copies").alias(copies)), "taken")
+    return (numbered.join(plan.hint("merge"), numbered[row] == plan[found])
+            .withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayes_ops.llm.common import byte_texts, popcount, spill
+from bayes_ops.llm.common import byte_texts, fresh, popcount, spill
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -340,12 +340,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
     It is the row with the smallest doc_id (null ids last), then fingerprint, hash of the text, and row
     number, so rows that repeat an id or have none are told apart."""
     # numbered once: the numbers must be the same where the texts are read again
-    rows = spill(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    prints = spill(rows.select("doc_id", "_row", F.xxhash64("text").alias("_body"),
+    at = fresh(docs, "_row")
+    rows = spill(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    prints = spill(rows.select("doc_id", F.col(at).alias("row"), F.xxhash64("text").alias("body"),
                                fingerprint_column(F.col("text"), shingle).alias("fp")), "prints")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "_body", "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "body", "row")
     firsts = spill(prints.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
     of_class = firsts.join(_classes(firsts, max_bits, **kw), "fp", "left").groupBy(F.coalesce("root", "fp"))
-    keepers = spill(of_class.agg(F.min("first").alias("first")).select("first._row"), "keepers")
+    keepers = spill(of_class.agg(F.min("first").alias("first")).select(F.col("first.row").alias(at)), "keepers")
     # merged by row at every size: keepers are about as many as documents, so they are never a broadcast
-    return rows.join(keepers.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(keepers.hint("merge"), at, "left_semi").select(*docs.columns)

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from bayes_ops.llm import chat, mixing, pack, simhash, urls
+from bayes_ops.llm import chat, decontaminate, langid, lines, mixing, pack, simhash, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -139,6 +140,36 @@ def test_sharding_splits_a_hot_group(spark):
     assert all(len(s) == 1 for s in of.values())        # groups that fit stay together
 
 
+@pytest.mark.parametrize("sf_dir", ["sf0.01", "sf0.1"])
+def test_equal_texts_stay_together(spark, sf_dir):
+    """No group of the fixture is too large for a shard, so none is torn; the law holds all the same."""
+    df = spark.read.parquet(f"/root/testdata/{sf_dir}/documents.parquet")
+    rows = check_pack(df, near=0.02)
+    of, n = defaultdict(set), Counter()
+    for r in rows:
+        of[r["text_crc32"], r["size"]].add(r["shard"])
+        n[r["text_crc32"], r["size"]] += 1
+    assert max(n.values()) > 1 and all(len(s) == 1 for s in of.values())
+
+
+def test_sharding_of_rows_without_an_id(spark):
+    """A third of the rows have no id and one text, another third one id: near-equal bytes, the smaller groups whole."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "no id " * 9 if i % 3 == 0 else f"text {i % 50 if i % 3 == 2 else i} " * 9) for i in range(9000)]
+    got = check_pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), near=0.02)
+    of = defaultdict(set)
+    for r in got:
+        of[r["text_crc32"], r["size"]].add(r["shard"])
+    assert sum(len(s) > 1 for s in of.values()) == 1       # the hot text alone is larger than a shard
+
+
+def test_groups_that_find_no_room_are_cut():
+    """24 groups of 0.7 shards fill the shards; the others find none with room."""
+    sizes = np.array([[0.7, 0.7, 0.7]] * 30)
+    whole = pack.uncut(sizes, np.array([24.0, 24.0, 24.0]), 24)
+    assert whole.sum() == 24
+    assert not pack.uncut(np.array([[1.5, 1.5, 1.5]]), np.array([24.0] * 3), 24).any()
+
+
 def test_place_prefers_the_largest_dot_product():
     sizes = np.array([[8, 0, 1], [8, 0, 1], [0, 8, 1], [0, 8, 1]], float)
     at = pack.place(sizes, 2)
@@ -196,6 +227,31 @@ def test_mixing_caps_small_sources(spark):
     check_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
 
 
+def test_mixing_of_rows_without_an_id(spark):
+    """Null and repeated ids, unlike and equal texts: every source comes within a document of its target."""
+    rows = [(None, f"w {i} " * 5, "a") for i in range(3000)] + [(7, "same text here", "b")] * 3000 + [(i, "w x " * 5, "c") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken, target = Counter(), {}
+    for r in mixing.report(df).collect():      # the sources' sizes differ, and tell them apart
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+    assert len(target) == 3 and all(abs(taken[s] - t) <= 10 for s, t in target.items())
+    assert Counter(r["source"] for r in mixing.take(df).collect()).keys() == {"a", "b", "c"}
+
+
+def test_clashing_column_names(spark, docs):
+    """Every name that a stage function might use for itself stays the caller's."""
+    names = ["_row", "_of", "_copies", "_hits", "_p", "_k", "_s", "_c", "_b", "_at", "_id", "_gone", "row", "fp", "size"]
+    few = docs.filter("doc_id < 120")
+    odd = few.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "nothing that occurs anywhere at all in here today ok")], "item_id long, text string")
+    for f in (mixing.take, langid.keep_identified, simhash.keep_one, lines.clean, lambda d: decontaminate.clean(d, bench)):
+        got = f(odd)
+        assert got.columns == odd.columns
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
 def test_mixing_rows_follow_the_plan(docs):
     taken = {r["doc_id"]: r["taken"] // r["size"] if r["size"] else 0 for r in mixing.report(docs).collect()}
     rows = mixing.take(docs)

@@ -10,11 +10,15 @@ Distances of unrelated 64-bit fingerprints to any vantage point crowd around
 fingerprints some block differs in at most 4 // 3 = 1 bit (pigeonhole), and
 the Hamming distance on a block is a metric too.  Each block has its own tree:
 
-* top: vantage points and radii from a bounded sample (``sample_rows``) cut
-  the fingerprints into shards by distance to the vantage points;
+* top: vantage points and radii from a sample (``sample_rows``, or 16 a shard if that is more, which is
+  one in 2500 fingerprints) cut the fingerprints into shards by distance to the
+  vantage points;
 * a fingerprint is a member of its home shard, and visits every earlier shard
   that the triangle bounds (|d - radius| <= 1) cannot rule out -- so each
   linked pair meets in exactly one shard per block;
+* a shard that holds far more than it should, since many fingerprints share a
+  block's value (near copies of one template), is cut again in the same way by trees
+  over the other bits, in 3 parts of which some differs in at most 1 bit;
 * inside a shard a local tree prunes in the same way down to small leaves,
   where full 64-bit distances are compared.
 
@@ -44,6 +48,7 @@ SHINGLE = 4
 MAX_BITS = 4
 SAMPLE_ROWS = 16_384     # fingerprints that shape the top trees; all are indexed
 SHARD_ROWS = 40_000      # members a shard aims at
+LARGE = 4                # times that: a shard that is cut again
 LEAF = 96                # members of a leaf that is compared directly
 
 
@@ -89,6 +94,14 @@ def block_masks(max_bits: int) -> tuple[list[int], int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])], max_bits // n
 
 
+def parts_of(mask: int, max_bits: int) -> tuple[list[int], int]:
+    """The bits outside ``mask`` in parts, and the radius that suffices on one of them."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    n = max(1, min(3, max_bits + 1, len(bits)))
+    cuts = [round(len(bits) * i / n) for i in range(n + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:])], max_bits // n
+
+
 def _split(fps: np.ndarray, mask: np.uint64) -> tuple[np.uint64, int, np.ndarray] | None:
     """A vantage point, a radius that leaves points on both sides, and the distances."""
     for at in (0, len(fps) // 2, len(fps) - 1):
@@ -126,10 +139,14 @@ def top_tree(sample: np.ndarray, mask: int, shards: int) -> list[tuple]:
     return nodes
 
 
-def route(nodes: list[tuple], mask: int, r: int, fps: np.ndarray) -> Iterator[tuple[int, bool, np.ndarray]]:
-    """(shard, home, positions of fps) for home shards and the earlier ones within r."""
+def route(nodes: list[tuple], mask: int, r: int, fps: np.ndarray,
+          visitors: np.ndarray | None = None) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """(shard, home, positions of fps) for home shards and the earlier ones within r; positions marked in
+    ``visitors`` have no home and come to every shard within r."""
     m = np.uint64(mask)
-    stack = [(0, np.arange(len(fps)), np.empty(0, np.int64))]
+    every = np.arange(len(fps))
+    guest = np.zeros(len(fps), bool) if visitors is None else visitors
+    stack = [(0, every[~guest], every[guest])]
     while stack:
         at, home, visit = stack.pop()
         node = nodes[at]
@@ -243,20 +260,33 @@ def shard_links(members: np.ndarray, visitors: np.ndarray, mask: int, r: int, ma
 
 # --- the distributed join ---------------------------------------------------
 
+def _sampled(rows: DataFrame, most: int) -> np.ndarray:
+    """At most ``most`` of the distinct fingerprints of column ``fp``, evenly: those of the smallest rehash."""
+    n = rows.count()
+    rehash = F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1 << 30))
+    share = min(1.0, 1.5 * most / max(1, n))
+    got = rows.filter(rehash < int(share * (1 << 30)) + 1).select("fp", rehash.alias("k")).orderBy("k", "fp").limit(most).toArrow()
+    return np.unique(got["fp"].to_numpy()).view(np.uint64)
+
+
+def _linked(dealt: DataFrame, keys: list[str], masks: dict[int, int], r: int, max_bits: int) -> DataFrame:
+    """Spanning links of the cells of ``dealt`` (keys, tree, home, fp); ``masks``: by tree."""
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = pdf["fp"].to_numpy().view(np.uint64)
+        home = pdf["home"].to_numpy(bool)
+        a, b = shard_links(np.sort(u[home]), np.sort(u[~home]), masks[int(pdf["tree"].iat[0])], r, max_bits)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    return dealt.groupBy(*keys).applyInPandas(join, "a long, b long")
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, sample_rows: int = SAMPLE_ROWS,
           shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Spanning links (a, b) over the distinct fingerprints of column ``fp``."""
     spark = fps.sparkSession
-    n = fps.count()
-    # fingerprints are hashes: the smallest of a rehash are an even sample
-    share = min(1.0, 1.5 * sample_rows / max(1, n))
-    rehash = F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(1 << 30))
-    sample = [r[0] for r in fps.filter(rehash < int(share * (1 << 30)) + 1).orderBy(rehash, "fp")
-              .limit(sample_rows).select("fp").collect()]
-    base = np.array(sample, np.int64).view(np.uint64)
+    want = max(1, -(-fps.count() // shard_rows))
+    base = _sampled(fps, max(sample_rows, 16 * want))
     masks, r = block_masks(max_bits)
-    shards = max(1, min(len(base) // 16, -(-n // shard_rows)))
-    trees = spark.sparkContext.broadcast([top_tree(base, m, shards) for m in masks])
+    trees = spark.sparkContext.broadcast([top_tree(base, m, want) for m in masks])
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -265,18 +295,48 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, sample_rows: int = SAMPLE_RO
             for t, (nodes, mask) in enumerate(zip(trees.value, masks)):
                 for shard, home, at in route(nodes, mask, r, u):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), t * 1_000_000 + shard, np.int64)),
-                         pa.array(np.full(len(at), home)), pa.array(x[at])], names=["shard", "home", "fp"])
+                        [pa.array(np.full(len(at), t, np.int32)), pa.array(np.full(len(at), shard, np.int64)),
+                         pa.array(np.full(len(at), home)), pa.array(x[at])], names=["tree", "shard", "home", "fp"])
+
+    dealt = spill(fps.select("fp").mapInArrow(deal, "tree int, shard long, home boolean, fp long"), "dealt")
+    sizes = dealt.groupBy("tree", "shard").agg(F.count_if("home").alias("n"))      # members; visitors are at most some 20 times as many
+    large = spill(sizes.filter(F.col("n") > LARGE * shard_rows), "large")
+    fit = dealt.join(large, ["tree", "shard"], "left_anti")
+    out = _linked(fit, ["tree", "shard"], dict(enumerate(masks)), r, max_bits)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_cut_again(dealt.join(large, ["tree", "shard"]).drop("n"), masks, max_bits, sample_rows, shard_rows))
+
+
+def _cut_again(rows: DataFrame, masks: list[int], max_bits: int, sample_rows: int, shard_rows: int) -> DataFrame:
+    """Links inside shards that are too large, by trees over the bits outside their block."""
+    spark = rows.sparkSession
+    rows = spill(rows, "large_shards")
+    plan, by_part = [], {}
+    for t, mask in enumerate(masks):
+        own = rows.filter(F.col("tree") == t)
+        want = max(1, -(-own.count() // shard_rows))
+        base = _sampled(own, max(sample_rows, 16 * want))
+        parts, r = parts_of(mask, max_bits)
+        for j, part in enumerate(parts):
+            by_part[3 * t + j] = part
+            plan.append((t, 3 * t + j, part, r, top_tree(base, part, want)))
+    trees = spark.sparkContext.broadcast(plan)
+    r = plan[0][3]
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["shard"].iat[0]) // 1_000_000
-        u = pdf["fp"].to_numpy().view(np.uint64)
-        home = pdf["home"].to_numpy(bool)
-        a, b = shard_links(np.sort(u[home]), np.sort(u[~home]), masks[t], r, max_bits)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            tree, shard, home, x = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            for t, name, part, near, nodes in trees.value:
+                own = np.flatnonzero(tree == t)
+                u = np.ascontiguousarray(x[own]).view(np.uint64)
+                for leaf, at_home, at in route(nodes, part, near, u, ~home[own].astype(bool)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), name, np.int32)), pa.array(shard[own[at]]), pa.array(np.full(len(at), leaf, np.int64)),
+                         pa.array(np.full(len(at), at_home)), pa.array(x[own[at]])], names=["tree", "shard", "leaf", "home", "fp"])
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard long, home boolean, fp long")
-    return dealt.groupBy("shard").applyInPandas(join, "a long, b long")
+    again = rows.select("tree", "shard", "home", "fp").mapInArrow(deal, "tree int, shard long, leaf long, home boolean, fp long")
+    return _linked(again, ["tree", "shard", "leaf"], by_part, r, max_bits)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -92,6 +92,65 @@ def test_shards_lose_no_link(seed):
     assert got.tolist() == [want[int(f)] for f in fps]
 
 
+def test_more_shards_than_the_sample_holds(spark):
+    """More than 1024 shards asked for: the sample grows with them, and no link is lost."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 7000, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 7000).astype(np.uint64))]))
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long").repartition(4)
+    sizes = []
+    real = simhash.top_tree
+    try:
+        def counted(*a):
+            tree = real(*a)
+            sizes.append(sum(len(n) == 1 for n in tree))
+            return tree
+        simhash.top_tree = counted
+        got = simhash.components(simhash.links(df, shard_rows=10)).collect()
+    finally:
+        simhash.top_tree = real
+    assert min(sizes[:3]) > 1024
+    want = brute_components(fps)
+    pairs = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in got}
+    classes = defaultdict(set)
+    for f in map(int, fps):
+        classes[pairs.get(f, f)].add(f)
+    brute = defaultdict(set)
+    for f in map(int, fps):
+        brute[want[f]].add(f)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, brute.values()))
+
+
+def test_many_fingerprints_of_one_block_value(spark):
+    """Equal on a block, unlike elsewhere: cells of the second cut stay small, links are all there."""
+    rng = np.random.default_rng(9)
+    masks, _ = simhash.block_masks(4)
+    free = ~np.uint64(masks[0])
+    base = rng.integers(0, 1 << 63, 1500, dtype=np.uint64) & free
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(22, 64, (1500, 4)).astype(np.uint64), axis=1) & free
+    fps = np.unique(np.concatenate([base, base ^ flips]))
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long").repartition(4)
+    cells = []
+    real = simhash._linked
+    try:
+        def seen(dealt, keys, *a):
+            cells.append((len(keys), [r["count"] for r in dealt.groupBy(*keys).count().collect()]))
+            return real(dealt, keys, *a)
+        simhash._linked = seen
+        got = simhash.components(simhash.links(df, shard_rows=60, sample_rows=500)).collect()
+    finally:
+        simhash._linked = real
+    again = [c for k, c in cells if k == 3]
+    assert again and max(again[0]) < len(fps) / 3
+    pairs = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in got}
+    want = brute_components(fps)
+    classes, brute = defaultdict(set), defaultdict(set)
+    for f in map(int, fps):
+        classes[pairs.get(f, f)].add(f)
+        brute[want[f]].add(f)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, brute.values()))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (600, 600)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

@@ -92,41 +92,55 @@ def thresholds(rows: DataFrame, budget: DataFrame) -> DataFrame:
     return done.select("source", "copies", "below", "below_tie")
 
 
-def sized(docs: DataFrame, row: Column) -> DataFrame:
-    """doc_id, source, size, the key (h, tie) and row of every document."""
+def _key(row: str) -> tuple[Column, Column]:
+    """The key (h, tie) of a document whose number is column ``row``."""
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HALF // 4), 16, 10).cast("long")
     tie = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit(1 << BITS)), HALF - BITS).bitwiseOR(
-        F.pmod(F.xxhash64("row"), F.lit(1 << (HALF - BITS))))
-    return docs.withColumn("row", row).select(
-        "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), h.alias("h"), tie.alias("tie"), "row")
+        F.pmod(F.xxhash64(row), F.lit(1 << (HALF - BITS))))
+    return h, tie
 
 
-def mix(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken, row of every row (numbered by ``row``, else here)."""
-    rows = spill(sized(docs.select("doc_id", "source", "text", *([] if row is None else [row.alias("row")])),
-                       F.monotonically_increasing_id() if row is None else F.col("row")), "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    budget = spill(targets(sizes), "targets")
+def sized(docs: DataFrame, row: str) -> DataFrame:
+    """doc_id, source, size and the key (h, tie) of every document."""
+    h, tie = _key(row)
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), h.alias("h"), tie.alias("tie"))
+
+
+def _plan(rows: DataFrame) -> DataFrame:
+    """s (source), source_size, target, copies, below, below_tie: one row per source."""
+    budget = spill(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     t = thresholds(rows, budget)
     plan = budget.alias("b").join(t.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")), "left").select(
         F.col("b.source").alias("s"), "b.source_size", "b.target", "t.copies", "t.below", "t.below_tie")
-    plan = spill(plan, "plan")
-    more = ((F.col("h") < F.col("below")) | ((F.col("h") == F.col("below")) & (F.col("tie") < F.col("below_tie")))).cast("long")
-    copies = F.least(F.lit(MAX_REPEAT), F.coalesce(F.col("copies") + more, F.lit(0).cast("long")))
-    return (rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
-            .select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
-                    copies.alias("copies"), (F.col("size") * copies).alias("taken"), "row"))
+    return spill(plan, "plan")
+
+
+def _copies(h: Column, tie: Column, at: str = "") -> Column:
+    """How often the mix takes a document; ``at``: prefix of the plan's columns."""
+    below, copies = F.col(f"{at}below"), F.col(f"{at}copies")
+    more = ((h < below) | ((h == below) & (tie < F.col(f"{at}below_tie")))).cast("long")
+    return F.least(F.lit(MAX_REPEAT), F.coalesce(copies + more, F.lit(0).cast("long")))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken of every row."""
+    numbered = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    rows = spill(sized(numbered, "row"), "sizes")
+    plan = _plan(rows)
+    return rows.join(plan, rows["source"].eqNullSafe(plan["s"])).select(
+        "doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
+        (F.col("size") * _copies(F.col("h"), F.col("tie"))).alias("taken"))
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: those of no copies go, repeats are rows."""
-    row, found, copies = fresh(docs, "_row"), fresh(docs, "_of"), fresh(docs, "_copies")
+    """The documents as the mix takes them: those of no copies go, repeats are rows.
+
+    Only the plan, a row per source, is joined to the texts; they are not shuffled."""
+    row, at, copies = fresh(docs, "_row"), fresh(docs, "_plan"), fresh(docs, "_copies")
     # numbered once: the numbers must be the same where the texts are read again
     numbered = spill(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    plan = spill(mix(numbered, F.col(row)).filter("copies > 0").select(F.col("row").alias(found), F.col("copies").alias(copies)), "taken")
-    return (numbered.join(plan.hint("merge"), numbered[row] == plan[found])
-            .withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns))
+    rows = spill(sized(numbered, row), "sizes")
+    plan = _plan(rows)
+    plan = plan.select(F.struct(*plan.columns).alias(at))
+    return (numbered.join(plan, numbered["source"].eqNullSafe(plan[f"{at}.s"]))
+            .withColumn(copies, F.explode(F.array_repeat(F.lit(1), _copies(*_key(row), f"{at}.").cast("int")))).select(*docs.columns))

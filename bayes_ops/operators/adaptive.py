@@ -98,7 +98,9 @@ def _conditional_sds(axes: list[str]) -> list[Column]:
         return [F.sqrt(c("0", "0"))]
     minor = lambda i, j: c(i, i) * c(j, j) - c(i, j) * c(i, j)
     if len(axes) == 2:
-        return [F.sqrt(F.greatest(minor("0", "1"), F.lit(0.0)) / c(o, o)) for o in ("1", "0")]
+        # one node may hold all weight on an axis (of variance 0 then, with no covariance)
+        return [F.when(c(o, o) > 0, F.sqrt(F.greatest(minor("0", "1"), F.lit(0.0)) / c(o, o))).otherwise(F.sqrt(c(j, j)))
+                for j, o in (("0", "1"), ("1", "0"))]
     det = (c("0", "0") * minor("1", "2") - c("0", "1") * (c("0", "1") * c("2", "2") - c("1", "2") * c("0", "2"))
            + c("0", "2") * (c("0", "1") * c("1", "2") - c("1", "1") * c("0", "2")))
     return [F.sqrt(F.greatest(det, F.lit(0.0)) / F.greatest(minor(i, j), F.lit(1e-300))) for i, j in (("1", "2"), ("0", "2"), ("0", "1"))]

@@ -73,6 +73,18 @@ def test_two_parameters_of_a_registered_kind(spark, workdir):
         assert np.trapezoid(part.y, part.x) == pytest.approx(1.0, abs=1e-3)
 
 
+def test_two_parameters_where_one_node_holds_all_weight(spark):
+    """So many rows that every other node of the first grid has a weight of exactly zero."""
+    rows = [("a", 1e3, 3.3, 1.1), ("b", 4e5, 3.3, 1.1), ("c", 4e7, -2.0, 0.3)]
+    stats = spark.createDataFrame([(g, n, n * m, n * (s * s + m * m)) for g, n, m, s in rows], "g string, n double, s double, q double")
+    got = by_key(adaptive.summaries(stats, ["g"], [Parameter("mu"), Parameter("sigma", "positive")], _normal_logp), "g", "param")
+    for g, n, m, s in rows:
+        assert got[(g, "mu")]["mean"] == pytest.approx(m, abs=1e-3 * s / math.sqrt(n))
+        assert got[(g, "mu")]["sd"] == pytest.approx(s / math.sqrt(n), rel=3 / n + 1e-4)
+        assert got[(g, "sigma")]["mean"] == pytest.approx(s, rel=2 / n + 1e-6)
+        assert got[(g, "sigma")]["sd"] == pytest.approx(s / math.sqrt(2 * n), rel=3 / n + 1e-4)
+
+
 def test_three_parameters_on_a_ridge(spark):
     """Line through points far from the origin: intercept and slope correlate at -0.9; Student t marginals."""
     rng = np.random.default_rng(2)

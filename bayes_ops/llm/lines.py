@@ -5,19 +5,22 @@ A line is the set of its words; lines whose Jaccard similarity is
 doc_id, then row, then line number) is removed, as is a line with an equal word set.
 
 1. Rarity: words are counted in a hashed histogram of 2^19 cells over all
-   lines (a fixed size).  Words are ordered by (cell count, hash), one order
-   for all lines, so rare words come first.
-2. Prefix filter: a line of n words is listed under its n - ceil(4n/5) + 1
-   rarest words; matching lines share one of them.  Equal sets are listed
-   once (merged map-side), so a line repeated over a third of the corpus is
-   one entry.
-3. Pairs that meet under a word must pass the length filter (5 min >= 4 max),
+   lines (a fixed size).  A word is one long: the logarithm of its cell's count
+   (3 steps an octave), then 56 bits of its hash.  That is one order for all
+   lines, rare words first, and what words are compared by.
+2. Equal sets are merged map-side, so a line repeated over a third of the
+   corpus is one set, known by its first place.
+3. Prefix filter: a set of n words is listed under its n - ceil(4n/5) + 1
+   rarest words; matching sets share one of them.
+4. Pairs that meet under a word must pass the length filter (5 min >= 4 max),
    the positional filter (words left after the meeting point can still give
-   9 * overlap >= 4 * (n + m)), and a bitmap filter: 40-bit word bitmaps
-   differ in at most the words the sets may differ in.
-4. What passes is verified: Jaccard of the full word sets, in integers.
+   9 * overlap >= 4 * (n + m)), and a bitmap filter: bit k of a set's bitmap is the
+   parity of its words of hash k, so bitmaps differ in at most as many bits as the
+   sets do in words, and do not fill up.
+5. What passes is verified: Jaccard of the full word sets, in integers.  The
+   words are read again from the texts, only those of lines whose hash is asked for.
 
-Words are compared by their 64-bit hashes; a set is known by 96 bits of hash.
+A set is known by 96 bits of hash.
 
 Defined results: blank lines are neither counted nor removed; null and empty
 texts have no lines; null doc_ids come first, each row of them a document of
@@ -29,14 +32,17 @@ remove each other).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bayes_ops.llm.common import fresh, let, plain_spaces, spill
+from bayes_ops.llm.common import discard, fresh, let, plain_spaces, spill
 
 CELLS = 1 << 19
-MOST = (1 << 22) - 1     # a cell's count counts up to here in the order of words
-WIDE = (1 << 24) - 1     # sizes are kept up to here; a line this wide passes the filters unseen
+MARKS = 1 << 25          # most bits of the filter of lines read again
+WIDE = (1 << 16) - 1     # sizes are kept up to here; a line this wide passes the filters unseen
+HASH = 56                # bits of a word's hash below its rarity
 
 
 def row_id() -> Column:
@@ -45,132 +51,145 @@ def row_id() -> Column:
 
 
 def split_lines(docs: DataFrame, keys: tuple[str, ...] = (), every: bool = False) -> DataFrame:
-    """``keys``, line_no and the sorted distinct word hashes of every line with a word; with ``every``
-    also of a first line without one, so no row is missing."""
+    """``keys``, line_no and text (``line``) of every line with a word; with ``every`` also of a first
+    line without one, so no row is missing."""
     # the outer form: the plain one adds a filter on the array's size, for which arrays are made twice
     lines = docs.select(*keys, F.posexplode_outer(F.split(plain_spaces(F.col("text")), "\n")).alias("line_no", "line"))
     held = F.trim("line") != ""
-    lines = lines.filter(held | (F.col("line_no") == 0) if every else held)
-    hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    return lines.select(*keys, "line_no", F.sort_array(F.array_distinct(hashes)).alias("toks"))
+    return lines.filter(held | (F.col("line_no") == 0) if every else held)
+
+
+def word_set(line: Column, hist: Column | str, cells: int) -> Column:
+    """The sorted distinct words of a line, as longs in the order of rarity."""
+    hashes = F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda x: F.get(
+        hist, x.bitwiseAND(F.lit(cells - 1)).cast("int")).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH) - 1))))))
 
 
 def _set_id(t: Column) -> list[Column]:
     return [F.xxhash64(t).alias("set_a"), F.hash(t, F.lit(7)).alias("set_b")]
 
 
-def cell_counts(hits: DataFrame, cells: int, left: int = 0) -> Column:
-    """Counts of column ``cell`` (0 .. cells - 1), shifted ``left`` bits, as one array of fixed size,
-    a scalar value of a plan."""
-    spark = hits.sparkSession
-    counts = hits.groupBy("cell").agg(F.count("*").alias("n"))
-    none = spark.range(0, cells, numPartitions=4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
-    every = counts.unionByName(none).groupBy("cell").agg(F.sum("n").alias("n"))
-    packed = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "n"))),
-                                   lambda x: F.shiftleft(F.least(x["n"], F.lit(MOST)), left)).alias("h"))
-    return spill(packed, "cells").scalar()
+def _as_value(cells: DataFrame, n: int, name: str, shape=lambda v: v) -> Column:
+    """``shape(v)`` of (cell, v), 0 for a cell not there, as one array of n, a scalar value of a plan."""
+    none = cells.sparkSession.range(0, n, numPartitions=4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("v"))
+    every = cells.unionByName(none).groupBy("cell").agg(F.sum("v").alias("v"))
+    packed = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "v"))), lambda x: shape(x["v"])).alias("h"))
+    return spill(packed, name).scalar()
 
 
 def rarity(docs: DataFrame, cells: int = CELLS) -> Column:
-    """Word counts over all texts by cell of the word's hash."""
+    """The logarithm of the word count over all texts, by cell of the word's hash, above ``HASH`` bits."""
     text = F.replace(plain_spaces(F.col("text")), F.lit("\n"), F.lit(" "))
     ws = docs.select(F.explode_outer(F.split(text, " ")).alias("w")).filter("w <> ''")
-    return cell_counts(ws.select(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).alias("cell")), cells, 40)
+    counts = ws.groupBy(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("v"))
+    # up to 127: 4e12 words in a cell
+    steps = lambda v: F.least(F.floor(3 * F.log2(F.greatest(v, F.lit(1)))), F.lit(127)).cast("long")
+    return _as_value(counts, cells, "cells", lambda v: F.shiftleft(steps(v), HASH))
 
 
-def line_sets(docs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """doc_id, row, line_no, set_a, set_b (the set's id), sig (40 bits of word bitmap, 24 of size), and the
-    prefix: the rarest words' hashes, 32 bits each, rarest first.  Every row of ``docs`` (doc_id, row,
-    text) has its first line here, of size 0 where that is blank.
-
-    The order of words is one long: cell count, then the low 40 bits of the hash (which hold the cell)."""
+def line_sets(docs: DataFrame, hist: Column, cells: int = CELLS) -> DataFrame:
+    """doc_id, row, line_no, line_hash, set_a, set_b (the set's id), n (its size), sig (64 parities), and the
+    prefix: the rarest words' hashes, 31 bits each, rarest first.  Every row of ``docs`` (doc_id, row,
+    text) has its first line here, of size 0 where that is blank."""
     # the histogram is one value of the plan (a scalar subquery), never a column of rows
-    lines = split_lines(docs, ("doc_id", "row"), every=True).withColumn("hist", rarity(docs, cells))
-    low = F.lit((1 << 40) - 1)
+    lines = split_lines(docs, ("doc_id", "row"), every=True).withColumn("hist", hist)
 
     def parts(t: Column) -> Column:
-        # the array is bound once; as a column it would be made again for every use
-        bits = F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(x, 40), F.lit(40)).cast("int"))))
-        order = F.sort_array(F.transform(t, lambda x: F.get(
-            "hist", x.bitwiseAND(F.lit(cells - 1)).cast("int")).bitwiseOR(x.bitwiseAND(low))))
+        # the array is bound once; as a column it would be made again for every use.  A shift takes 6 bits
+        odd = F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, HASH - 6).cast("int"))))
         size = F.size(t)
-        prefix = F.slice(order, F.lit(1), size - F.floor((size * 4 + 4) / 5).cast("int") + 1)
-        return F.struct(
-            *_set_id(t), F.shiftleft(bits, 24).bitwiseOR(F.least(size, F.lit(WIDE)).cast("long")).alias("sig"),
-            F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 32) - 1))).alias("prefix"))
+        prefix = F.slice(t, F.lit(1), size - F.floor((size * 4 + 4) / 5).cast("int") + 1)
+        return F.struct(*_set_id(t), size.alias("n"), odd.alias("sig"),
+                        F.transform(prefix, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
 
     at = ["doc_id", "row", "line_no"]
-    return lines.select(*at, let(F.col("toks"), parts).alias("s")).select(*at, "s.*")
+    return lines.select(*at, F.xxhash64("line").alias("line_hash"),
+                        let(word_set(F.col("line"), "hist", cells), parts).alias("s")).select(*at, "line_hash", "s.*")
+
+
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """Every distinct set with its first place, and the hash of the line there."""
+    kept = F.min(F.struct("doc_id", "row", "line_no", "line_hash", "n", "sig", "prefix")).alias("f")
+    return sets.groupBy("set_a", "set_b").agg(kept).select(
+        "set_a", "set_b", F.struct("f.doc_id", "f.row", "f.line_no").alias("first"), "f.line_hash", "f.n", "f.sig", "f.prefix")
 
 
-def index(sets: DataFrame) -> DataFrame:
-    """key (prefix word, position), set_a, sig: one row per distinct set and prefix word."""
-    rows = sets.select("set_a", "sig", F.posexplode_outer("prefix").alias("pos", "p"))
-    return rows.select(F.shiftleft("p", 32).bitwiseOR(F.col("pos").cast("long")).alias("key"), "set_a", "sig").distinct()
+def index(firsts: DataFrame) -> DataFrame:
+    """key (prefix word, size, position), set_a, sig: one row per distinct set and prefix word."""
+    rows = firsts.select("set_a", "sig", "n", F.posexplode_outer("prefix").alias("pos", "p"))
+    packed = F.shiftleft(F.col("p").cast("long"), 32)
+    for c, left in (("n", 16), ("pos", 0)):
+        packed = packed.bitwiseOR(F.shiftleft(F.least(F.col(c), F.lit(WIDE)).cast("long"), left))
+    return rows.select(packed.alias("key"), "set_a", "sig")
 
 
 def candidates(idx: DataFrame) -> DataFrame:
     """Distinct pairs of set ids (a, b) that pass the filters, the smaller first."""
     x, y = idx.alias("x"), idx.alias("y")
-    n, m = f"(x.sig & {WIDE})", f"(y.sig & {WIDE})"
-    i, j = "(x.key & 2147483647)", "(y.key & 2147483647)"
+    n, m = (f"(shiftright({t}.key, 16) & {WIDE})" for t in "xy")
+    i, j = (f"({t}.key & {WIDE})" for t in "xy")
     ok = F.expr(f"""shiftright(x.key, 32) = shiftright(y.key, 32) and x.set_a < y.set_a
         and (greatest({n}, {m}) = {WIDE} or (
             5 * least({n}, {m}) >= 4 * greatest({n}, {m})
             and 9 * (1 + least({n} - {i} - 1, {m} - {j} - 1)) >= 4 * ({n} + {m})
-            and 9 * bit_count(shiftrightunsigned(x.sig ^ y.sig, 24)) <= {n} + {m}))""")
+            and 9 * bit_count(x.sig ^ y.sig) <= {n} + {m}))""")
     return x.join(y, ok).select(F.col("x.set_a").alias("a"), F.col("y.set_a").alias("b")).distinct()
 
 
-def matches(docs: DataFrame, sets: DataFrame, cells: int = CELLS) -> DataFrame:
-    """Verified pairs of distinct sets (a1, a2), (b1, b2).
-
-    The words of the sets in question are read again from the documents that hold their first
-    occurrence, rather than kept for all lines."""
-    pairs = spill(candidates(index(sets)), "pairs")
-    ids = spill(pairs.select(F.col("a").alias("set_a")).unionByName(pairs.select(F.col("b").alias("set_a"))).distinct(), "ids")
-    asked = sets.select("doc_id", "line_no", "set_a", "set_b").join(ids, "set_a", "left_semi")
-    asked = spill(asked.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-                  .select("set_a", "set_b", "at.doc_id"), "asked")
-    cell = lambda c: F.xxhash64(c).bitwiseAND(F.lit(cells - 1))
-    # documents, then lines, that hold none of the sets skip the splitting and the shuffle
-    some = docs.withColumn("held", cell_counts(asked.select(cell("doc_id").alias("cell")), cells))
-    some = split_lines(some.filter(F.get("held", cell("doc_id").cast("int")) > 0).select("doc_id", "text"))
-    some = some.withColumn("seen", cell_counts(
-        ids.select(F.col("set_a").bitwiseAND(F.lit(cells - 1)).alias("cell")), cells))
-    # chosen in the projection, where the cells are a value of the plan and not a column of rows
-    some = some.select(F.filter(
-        F.transform(F.array("toks"), lambda t: F.struct(*_set_id(t), t.alias("toks"))),
-        lambda x: F.get("seen", x["set_a"].bitwiseAND(F.lit(cells - 1)).cast("int")) > 0).alias("s"))
-    some = some.select(F.explode_outer("s").alias("s")).filter("s is not null").select("s.*")
-    full = spill(some.join(asked.select("set_a", "set_b"), ["set_a", "set_b"], "left_semi")
-                 .groupBy("set_a", "set_b").agg(F.first("toks").alias("toks")), "full")
-    a = full.select(F.col("set_a").alias("a"), F.col("set_b").alias("a2"), F.col("toks").alias("ta"))
-    b = full.select(F.col("set_a").alias("b"), F.col("set_b").alias("b2"), F.col("toks").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    both = pairs.join(a, "a").join(b, "b").filter(common * 9 >= (F.size("ta") + F.size("tb")) * 4)
-    return spill(both.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2"), "matches")
+def _marked(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test that every hash of ``hashes`` (column line_hash) passes, and few others."""
+    bits = 1 << 16
+    while bits < min(MARKS, 16 * hashes.count()):
+        bits *= 2
+    cell = lambda h: h.bitwiseAND(F.lit(bits - 1))
+    bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    words = hashes.groupBy(F.shiftright(cell(F.col("line_hash")), 6).alias("cell")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("line_hash")))).alias("v"))
+    marks = _as_value(words, bits >> 6, "marks")
+    return lambda h: F.call_function("shiftright", F.get(marks, F.shiftright(cell(h), 6).cast("int")), bit(h)).bitwiseAND(F.lit(1)) == 1
+
+
+def matches(docs: DataFrame, firsts: DataFrame, hist: Column, cells: int = CELLS) -> DataFrame:
+    """set_a, set_b, of: every set that matches an earlier one, and the first place of the earliest such."""
+    pairs = spill(candidates(index(firsts)), "pairs")
+    ids = pairs.select(F.col("a").alias("set_a")).unionByName(pairs.select(F.col("b").alias("set_a"))).distinct()
+    asked = spill(firsts.select("set_a", "set_b", "first", "line_hash").join(ids, "set_a", "left_semi"), "asked")
+    some = split_lines(docs.select("text")).select("line", F.xxhash64("line").alias("line_hash"))
+    # other lines skip the splitting into words and the shuffle
+    some = some.filter(_marked(asked)(F.col("line_hash"))).withColumn("hist", hist)
+    some = some.select("line_hash", word_set(F.col("line"), "hist", cells).alias("toks"))
+    some = some.select("toks", "line_hash", *_set_id(F.col("toks")))
+    full = spill(some.join(asked, ["set_a", "set_b", "line_hash"])
+                 .groupBy("set_a", "set_b").agg(F.first("first").alias("first"), F.first("toks").alias("toks")), "full")
+
+    def side(c: str) -> DataFrame:
+        return full.select(F.col("set_a").alias(c), F.col("set_b").alias(c + "2"), F.col("first").alias("f" + c), F.col("toks").alias("t" + c))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(
+        F.size(F.array_intersect("ta", "tb")) * 9 >= (F.size("ta") + F.size("tb")) * 4)
+    later = F.col("fa") > F.col("fb")
+    near = spill(both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("set_a"),
+                             F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("set_b"),
+                             F.least("fa", "fb").alias("of"))
+                 .groupBy("set_a", "set_b").agg(F.min("of").alias("of")), "near")
+    discard(pairs, asked, full)
+    return near
 
 
 def _judge(docs: DataFrame, cells: int) -> DataFrame:
     """doc_id, row, n_lines, n_removed, removed_lines of every doc_id and row of ``docs``."""
-    every = spill(line_sets(docs, cells), "lines")
-    size = F.col("sig").bitwiseAND(F.lit(WIDE))
-    sets = every.filter(size > 0)
-    pairs = matches(docs, sets, cells)
+    hist = rarity(docs, cells)
+    every = spill(line_sets(docs, hist, cells), "lines")
+    sets = every.filter("n > 0")
+    firsts = spill(distinct_sets(sets), "firsts")
+    near = matches(docs, firsts, hist, cells)
     place = F.struct("doc_id", "row", "line_no")
-    first = spill(sets.groupBy("set_a", "set_b").agg(F.min(place).alias("first")), "firsts")
-    links = pairs.select(F.col("a1").alias("set_a"), F.col("a2").alias("set_b"), F.col("b1").alias("o1"), F.col("b2").alias("o2")) \
-        .unionByName(pairs.select(F.col("b1").alias("set_a"), F.col("b2").alias("set_b"),
-                                  F.col("a1").alias("o1"), F.col("a2").alias("o2")))
-    other = first.select(F.col("set_a").alias("o1"), F.col("set_b").alias("o2"), F.col("first").alias("of"))
-    near = links.join(other, ["o1", "o2"]).groupBy("set_a", "set_b").agg(F.min("of").alias("of"))
-    keep = spill(first.join(near, ["set_a", "set_b"], "left")
-                 .select("set_a", "set_b", F.least("first", F.coalesce("of", "first")).alias("keep")), "keep")
-    judged = sets.select("doc_id", "row", "line_no", "set_a", "set_b").join(keep, ["set_a", "set_b"])
-    judged = judged.select("doc_id", "row", F.lit(1).alias("n"), F.when(place > F.col("keep"), F.col("line_no")).alias("gone"))
-    blank = every.filter(size == 0).select("doc_id", "row", F.lit(0).alias("n"), F.lit(None).cast("int").alias("gone"))
+    judged = sets.select("doc_id", "row", "line_no", "set_a", "set_b").join(
+        firsts.select("set_a", "set_b", "first"), ["set_a", "set_b"]).join(near, ["set_a", "set_b"], "left")
+    judged = judged.select("doc_id", "row", F.lit(1).alias("n"), F.when(
+        place > F.coalesce("of", "first"), F.col("line_no")).alias("gone"))
+    blank = every.filter("n = 0").select("doc_id", "row", F.lit(0).alias("n"), F.lit(None).cast("int").alias("gone"))
     return judged.unionByName(blank).groupBy("doc_id", "row").agg(
         F.sum("n").alias("n_lines"), F.count("gone").alias("n_removed"),
         F.sort_array(F.collect_set("gone")).alias("removed_lines"))

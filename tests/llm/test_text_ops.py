@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -314,3 +315,22 @@ def test_lines_of_rows_without_an_id_of_their_own(spark):
         rows[0], (None, "and the second says another thing"), (None, None), (None, ""), rows[6], rows[7]])
     assert out.columns == df.columns and sum("a line seven begins with" in (t or "") for _, t in left) == 1
     assert not any(top in (t or "") for i, t in left if i == 7)
+
+
+def test_lines_of_many_words_are_told_apart_by_their_bitmaps(spark, monkeypatch):
+    """Lines of 60 words that share their rarest words but are unlike: almost no pair is left to verify, and
+    the planted match is found."""
+    rng, spill, seen = random.Random(4), lines.spill, {}
+
+    def counted(df, name):
+        out = spill(df, name)
+        seen[name] = out.count()
+        return out
+    monkeypatch.setattr(lines, "spill", counted)
+    rare = [f"rare{k}" for k in range(6)]
+    common = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rare + rng.sample(common, 54))) for k in range(80)]
+    rows.append((80, rows[0][1].rsplit(" ", 1)[0]))
+    want = check_lines(spark.createDataFrame(rows, "doc_id long, text string"), cells=1 << 12)
+    assert [k for k, v in want.items() if v[1]] == [80]
+    assert 1 <= seen["pairs"] < 200        # of 3240

@@ -17,8 +17,13 @@ doc_id, then row, then line number) is removed, as is a line with an equal word
    9 * overlap >= 4 * (n + m)), and a bitmap filter: bit k of a set's bitmap is the
    parity of its words of hash k, so bitmaps differ in at most as many bits as the
    sets do in words, and do not fill up.
-5. What passes is verified: Jaccard of the full word sets, in integers.  The
-   words are read again from the texts, only those of lines whose hash is asked for.
+5. The words of the sets in what passes are read again from the texts, only
+   those of lines whose hash is asked for, and bitmaps of 256 bits made of them,
+   which pairs are held against before any words are joined to them.
+6. A line is removed if any earlier one matches.  So of a set's earlier ones the
+   one of the nearest bitmap is verified first, and then all others of the sets
+   which that has not settled.  Verified is the Jaccard of the full word sets, in
+   integers.
 
 A set is known by 96 bits of hash.
 
@@ -33,6 +38,8 @@ remove each other).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +69,10 @@ def split_lines(docs: DataFrame, keys: tuple[str, ...] = (), every: bool = False
 def word_set(line: Column, hist: Column | str, cells: int) -> Column:
     """The sorted distinct words of a line, as longs in the order of rarity."""
     hashes = F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda x: F.get(
-        hist, x.bitwiseAND(F.lit(cells - 1)).cast("int")).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH) - 1))))))
+    # never null, and so compiled to arrays of longs
+    rare = lambda x: F.coalesce(F.get(hist, x.bitwiseAND(F.lit(cells - 1)).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.array_distinct(F.transform(
+        hashes, lambda x: rare(x).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH) - 1))))))
 
 
 def _set_id(t: Column) -> list[Column]:
@@ -88,6 +97,15 @@ def rarity(docs: DataFrame, cells: int = CELLS) -> Column:
     return _as_value(counts, cells, "cells", lambda v: F.shiftleft(steps(v), HASH))
 
 
+def wide_parities(t: Column) -> Column:
+    """256 parities of a set's words, as 4 longs."""
+    def odd(q: int) -> Column:
+        mine = F.filter(t, lambda x: F.shiftrightunsigned(x, HASH - 2).bitwiseAND(F.lit(3)) == q)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, HASH - 8).bitwiseAND(F.lit(63)).cast("int"))))
+    return F.struct(*(odd(q).alias(f"s{q}") for q in range(4)))
+
+
 def line_sets(docs: DataFrame, hist: Column, cells: int = CELLS) -> DataFrame:
     """doc_id, row, line_no, line_hash, set_a, set_b (the set's id), n (its size), sig (64 parities), and the
     prefix: the rarest words' hashes, 31 bits each, rarest first.  Every row of ``docs`` (doc_id, row,
@@ -151,8 +169,31 @@ def _marked(hashes: DataFrame) -> Callable[[Column], Column]:
     return lambda h: F.call_function("shiftright", F.get(marks, F.shiftright(cell(h), 6).cast("int")), bit(h)).bitwiseAND(F.lit(1)) == 1
 
 
+def close(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """late, late_b, early, early_b (the ids of a pair's later and earlier set) and far (unlike bits of their
+    wide bitmaps) of the pairs that may match."""
+    def side(c: str) -> DataFrame:
+        return full.select(F.col("set_a").alias(c), F.struct("first", "set_a", "set_b", "n", "sig").alias("of_" + c))
+    x, y = F.col("of_a"), F.col("of_b")
+    far = reduce(add, (F.bit_count(x["sig"][f"s{q}"].bitwiseXOR(y["sig"][f"s{q}"])) for q in range(4)))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(far * 9 <= x["n"] + y["n"])
+    swap = x["first"] > y["first"]
+    late, early = F.when(swap, x).otherwise(y), F.when(swap, y).otherwise(x)
+    return both.select(late["set_a"].alias("late"), late["set_b"].alias("late_b"),
+                       early["set_a"].alias("early"), early["set_b"].alias("early_b"), far.alias("far"))
+
+
+def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """set_a, set_b: the later sets of the pairs whose words match."""
+    def side(c: str) -> DataFrame:
+        return full.select(F.col("set_a").alias(c), F.col("set_b").alias(c + "_b"), F.col("toks").alias("of_" + c))
+    both = pairs.join(side("late"), ["late", "late_b"]).join(side("early"), ["early", "early_b"])
+    return both.filter(F.size(F.array_intersect("of_late", "of_early")) * 9 >= (F.size("of_late") + F.size("of_early")) * 4).select(
+        F.col("late").alias("set_a"), F.col("late_b").alias("set_b")).distinct()
+
+
 def matches(docs: DataFrame, firsts: DataFrame, hist: Column, cells: int = CELLS) -> DataFrame:
-    """set_a, set_b, of: every set that matches an earlier one, and the first place of the earliest such."""
+    """set_a, set_b: every set that matches an earlier one."""
     pairs = spill(candidates(index(firsts)), "pairs")
     ids = pairs.select(F.col("a").alias("set_a")).unionByName(pairs.select(F.col("b").alias("set_a"))).distinct()
     asked = spill(firsts.select("set_a", "set_b", "first", "line_hash").join(ids, "set_a", "left_semi"), "asked")
@@ -162,19 +203,15 @@ def matches(docs: DataFrame, firsts: DataFrame, hist: Column, cells: int = CELLS
     some = some.select("line_hash", word_set(F.col("line"), "hist", cells).alias("toks"))
     some = some.select("toks", "line_hash", *_set_id(F.col("toks")))
     full = spill(some.join(asked, ["set_a", "set_b", "line_hash"])
-                 .groupBy("set_a", "set_b").agg(F.first("first").alias("first"), F.first("toks").alias("toks")), "full")
-
-    def side(c: str) -> DataFrame:
-        return full.select(F.col("set_a").alias(c), F.col("set_b").alias(c + "2"), F.col("first").alias("f" + c), F.col("toks").alias("t" + c))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        F.size(F.array_intersect("ta", "tb")) * 9 >= (F.size("ta") + F.size("tb")) * 4)
-    later = F.col("fa") > F.col("fb")
-    near = spill(both.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("set_a"),
-                             F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("set_b"),
-                             F.least("fa", "fb").alias("of"))
-                 .groupBy("set_a", "set_b").agg(F.min("of").alias("of")), "near")
-    discard(pairs, asked, full)
-    return near
+                 .groupBy("set_a", "set_b").agg(F.first("first").alias("first"), F.first("toks").alias("toks"))
+                 .select("set_a", "set_b", "first", "toks", F.size("toks").alias("n"), wide_parities(F.col("toks")).alias("sig")), "full")
+    near_pairs = spill(close(pairs, full), "close")
+    best = near_pairs.groupBy("late", "late_b").agg(F.min(F.struct("far", "early", "early_b")).alias("m"))
+    near = spill(verified(best.select("late", "late_b", "m.early", "m.early_b"), full), "near")
+    open_ = near_pairs.join(near.select(F.col("set_a").alias("late"), F.col("set_b").alias("late_b")), ["late", "late_b"], "left_anti")
+    more = spill(verified(open_.drop("far"), full), "more")
+    discard(pairs, asked, full, near_pairs)
+    return near.unionByName(more)
 
 
 def _judge(docs: DataFrame, cells: int) -> DataFrame:
@@ -183,12 +220,12 @@ def _judge(docs: DataFrame, cells: int) -> DataFrame:
     every = spill(line_sets(docs, hist, cells), "lines")
     sets = every.filter("n > 0")
     firsts = spill(distinct_sets(sets), "firsts")
-    near = matches(docs, firsts, hist, cells)
+    near = matches(docs, firsts, hist, cells).withColumn("near", F.lit(True))
     place = F.struct("doc_id", "row", "line_no")
     judged = sets.select("doc_id", "row", "line_no", "set_a", "set_b").join(
         firsts.select("set_a", "set_b", "first"), ["set_a", "set_b"]).join(near, ["set_a", "set_b"], "left")
     judged = judged.select("doc_id", "row", F.lit(1).alias("n"), F.when(
-        place > F.coalesce("of", "first"), F.col("line_no")).alias("gone"))
+        F.coalesce("near", place > F.col("first")), F.col("line_no")).alias("gone"))
     blank = every.filter("n = 0").select("doc_id", "row", F.lit(0).alias("n"), F.lit(None).cast("int").alias("gone"))
     return judged.unionByName(blank).groupBy("doc_id", "row").agg(
         F.sum("n").alias("n_lines"), F.count("gone").alias("n_removed"),

@@ -318,8 +318,7 @@ def test_lines_of_rows_without_an_id_of_their_own(spark):
 
 
 def test_lines_of_near_copies_are_not_verified_pair_by_pair(spark, monkeypatch):
-    """Copies of a line with a word changed all match the first: a pair a copy is verified, not one for every two,
-    and a copy that only a later one matches is found in the second round."""
+    """Copies of a line with a word changed all match the first: a pair a copy is verified, not one for every two."""
     verified, seen = lines.verified, []
 
     def counted(pairs, full):
@@ -329,7 +328,7 @@ def test_lines_of_near_copies_are_not_verified_pair_by_pair(spark, monkeypatch):
     base = [f"w{k}" for k in range(40)]
     rows = [(k, " ".join([*base[:k], f"own{k}", *base[k + 1:]])) for k in range(40)]
     rows.append((40, " ".join([*base[:28], *(f"far{k}" for k in range(12))])))       # matches none
-    rows.append((41, " ".join([*base[:32], *(f"far{k}" for k in range(8))])))        # matches 40, or one before
+    rows.append((41, " ".join([*base[:32], *(f"far{k}" for k in range(8))])))        # matches 40 only
     want = check_lines(spark.createDataFrame(rows, "doc_id long, text string"), cells=1 << 12)
     assert not want[0][1] and all(want[k][1] for k in range(1, 40)) and not want[40][1]
     assert len(seen) == 2 and sum(seen) < 120        # of 780 pairs of copies
